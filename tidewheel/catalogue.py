@@ -1,9 +1,422 @@
-"""The queries of the engine's own operators."""
+"""A query for each operator over the standard tables, and SQL with the same rows where SQL can say it.
 
+Orders of status F stand in for a source: their rank differs from their key, so a wrong place shows.
+"""
 
-def queries():
-    return {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidewheel.functions.permutation import half_bits, round_keys
+from tidewheel.functions.schedules import Shard, default_seed, proportions
+from tidewheel.functions.stats import execution_summary
+from tidewheel.loader import DataLoader, IndexSampler, elastic_batches
+from tidewheel.operators import packing
+from tidewheel.operators.transforms import Batch, Filter, Map, apply_all
+from tidewheel.pipeline import IterPipeline, MapPipeline
+from tidewheel.plans.ranking import with_index
+
+_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        _QUERIES[f.__name__] = f
+        if sql:
+            _SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return dict(_QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(_SQL)
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _orders(spark: SparkSession, sf_dir: str, status: str = "F") -> MapPipeline:
+    df = _table(spark, sf_dir, "orders").where(F.col("o_orderstatus") == status).select("o_orderkey", "o_totalprice")
+    return MapPipeline.source(with_index(df, "o_orderkey"))
+
+
+def _events(spark: SparkSession, sf_dir: str) -> MapPipeline:
+    df = _table(spark, sf_dir, "events").where("event_type = 'click'").select("event_id", "value")
+    return MapPipeline.source(with_index(df, "event_id"))
+
+
+def _rows(ds: MapPipeline | IterPipeline, *columns: str) -> DataFrame:
+    df = ds.epoch() if isinstance(ds, MapPipeline) else ds.frame()
+    return df.select(F.col("_idx").alias("idx"), *columns)
+
+
+def _ranked(status: str = "F") -> str:
+    return f"SELECT row_number() OVER (ORDER BY o_orderkey) - 1 AS i, o_orderkey, o_totalprice FROM orders WHERE o_orderstatus = '{status}'"
+
+
+F_ROWS, O_ROWS = _ranked("F"), _ranked("O")
+E_ROWS = "SELECT row_number() OVER (ORDER BY event_id) - 1 AS i, event_id, value FROM events WHERE event_type = 'click'"
+#: Rows in blocks for the SQL side: number, place, key.
+_UNNEST = "SELECT CAST(i // {b} AS BIGINT) AS batch, CAST(i % {b} AS BIGINT) AS pos, o_orderkey FROM ({rows})"
+
+
+def permutation_sql(domain: str, seeds: list[int], width_of: int) -> str:
+    """Rows (w, i, v) of the bijection of [0, n), by walking the cipher; domain gives rows (w, n, i, x), a seed for each w."""
+    w = half_bits(width_of - 1)
+    mask = (1 << w) - 1
+    keys = ", ".join(f"({k}, {', '.join(f'CAST({x} AS UBIGINT)' for x in round_keys(s, w))})" for k, s in enumerate(seeds))
+
+    def rot(x: str, r: int) -> str:
+        r %= w
+        return f"((({x} << {r}) | ({x} >> {w - r})) & {mask})" if r else x
+
+    def turn(x: str) -> str:
+        return f"xor({rot(x, 1)} & {rot(x, 8)}, {rot(x, 2)})"
+
+    step = f"SELECT w, n, i, l, r, k0, k1, k2, k3, step FROM (SELECT p.w, p.n, p.i, p.v >> {w} AS l, p.v & {mask} AS r, k0, k1, k2, k3, p.step FROM walk p JOIN keys USING (w) WHERE p.step = 0 OR p.v >= p.n)"
+    for a in ("k0", "k2"):
+        b = {"k0": "k1", "k2": "k3"}[a]
+        step = f"SELECT w, n, i, xor(xor(l, {turn('r')}), {a}) AS l, r, k0, k1, k2, k3, step FROM ({step})"
+        step = f"SELECT w, n, i, l, xor(xor(r, {turn('l')}), {b}) AS r, k0, k1, k2, k3, step FROM ({step})"
+    return f"""
+      WITH RECURSIVE keys(w, k0, k1, k2, k3) AS (VALUES {keys}),
+      walk AS (
+        SELECT w, CAST(n AS UBIGINT) AS n, i, CAST(x AS UBIGINT) AS v, 0 AS step FROM ({domain})
+        UNION ALL SELECT w, n, i, (l << {w}) | r AS v, step + 1 AS step FROM ({step})
+      ) SELECT w, i, CAST(v AS BIGINT) AS v FROM walk WHERE step > 0 AND v < n"""
+
+
+SEED = 42
+SHUFFLE_SEED = default_seed([(SEED, 1)])
+_WIDE = 1 << 16  # every table of the checked size fits a block of 16 bits
+
+
+def _shuffled(rows: str, seed: int = SHUFFLE_SEED) -> str:
+    """(i, o_orderkey, ..) in shuffled order."""
+    places = permutation_sql(f"SELECT 0 AS w, (SELECT count(*) FROM ({rows})) AS n, i, i AS x FROM ({rows})", [seed], _WIDE)
+    return f"SELECT p.i, s.* EXCLUDE (i) FROM ({places}) p JOIN ({rows}) s ON s.i = p.v"
+
+
+@query(f"""WITH kept AS (SELECT row_number() OVER (ORDER BY i) - 1 AS i, o_orderkey FROM ({_shuffled(F_ROWS)}) WHERE o_totalprice > 100000)
+SELECT CAST(i // 64 AS BIGINT) AS batch, CAST(i % 64 AS BIGINT) AS pos, o_orderkey FROM kept""")
+def minimum_slice(spark, sf_dir):
+    ds = _orders(spark, sf_dir).seed(SEED).shuffle().filter("o_totalprice > 100000").to_iter().batch(64)
+    return _unnest(ds)
+
+
+def _unnest(ds, *columns: str) -> DataFrame:
+    df = ds.epoch() if isinstance(ds, MapPipeline) else ds.frame()
+    columns = columns or ("o_orderkey",)
+    return df.select(F.col("_idx").alias("batch"), F.posexplode(F.arrays_zip(*columns)).alias("pos", "_r")).select("batch", F.col("pos").cast("long").alias("pos"), *[f"_r.{c}" for c in columns])
+
+
+@query("SELECT i AS idx, CAST(3 + 7 * i AS BIGINT) AS value FROM range(143) t(i)")
+def src_range(spark, sf_dir):
+    return _rows(MapPipeline.range(spark, 3, 1000, 7), "value")
+
+
+@query("SELECT i AS idx, event_id, value FROM (" + E_ROWS + ")")
+def src_table(spark, sf_dir):
+    return _rows(_events(spark, sf_dir), "event_id", "value")
+
+
+@query(f"SELECT CAST((i - 10) // 3 AS BIGINT) AS idx, o_orderkey FROM ({F_ROWS}) WHERE i >= 10 AND i < 2000 AND (i - 10) % 3 = 0")
+def slc_slice(spark, sf_dir):
+    return _rows(_orders(spark, sf_dir)[10:2000:3], "o_orderkey")
+
+
+@query(f"WITH s AS ({F_ROWS}) SELECT (SELECT count(*) FROM s) - 1 - i AS idx, o_orderkey FROM s")
+def slc_negative_step(spark, sf_dir):
+    return _rows(_orders(spark, sf_dir)[::-1], "o_orderkey")
+
+
+@query(f"SELECT CAST(i // 4 AS BIGINT) AS idx, o_orderkey FROM ({F_ROWS}) WHERE i % 4 = 1")
+def shd_strided(spark, sf_dir):
+    return _rows(_orders(spark, sf_dir)[1::4], "o_orderkey")
+
+
+@query(f"""WITH s AS ({F_ROWS}), b AS (SELECT 1 * (count(*) // 3) + least(1, count(*) % 3) AS lo, 2 * (count(*) // 3) + least(2, count(*) % 3) AS hi FROM s)
+SELECT CAST(i - lo AS BIGINT) AS idx, o_orderkey FROM s, b WHERE i >= lo AND i < hi""")
+def shd_even_split(spark, sf_dir):
+    return _rows(_orders(spark, sf_dir).shard(Shard(1, 3)), "o_orderkey")
+
+
+@query(f"SELECT i AS idx, o_orderkey FROM ({F_ROWS}) WHERE i < 500")
+def lim_limit(spark, sf_dir):
+    return _rows(_orders(spark, sf_dir).to_iter().limit(500), "o_orderkey")
+
+
+@query(f"SELECT i AS idx, o_totalprice * 2 + o_orderkey AS v FROM ({F_ROWS})")
+def map_expr(spark, sf_dir):
+    return _rows(_orders(spark, sf_dir).map(v="o_totalprice * 2 + o_orderkey"), "v")
+
+
+@query(f"SELECT i AS idx, o_orderkey % 97 AS v FROM ({F_ROWS})")
+def map_pandas(spark, sf_dir):
+    return _rows(_orders(spark, sf_dir).map_pandas(lambda b: b[["_idx"]].assign(v=b["o_orderkey"] % 97), "v long"), "v")
+
+
+@query(f"SELECT i AS idx, i * 10 + o_orderkey % 10 AS v FROM ({F_ROWS})")
+def map_with_index(spark, sf_dir):
+    return _rows(_orders(spark, sf_dir).map_with_index(lambda i: {"v": i * 10 + F.col("o_orderkey") % 10}), "v")
+
+
+@query(f"SELECT row_number() OVER (ORDER BY i) - 1 AS idx, o_orderkey FROM ({F_ROWS}) WHERE o_totalprice < 150000")
+def flt_filter(spark, sf_dir):
+    return _rows(_orders(spark, sf_dir).to_iter().filter("o_totalprice < 150000"), "o_orderkey")
+
+
+@query(f"SELECT i AS idx, o_orderkey, o_totalprice < 150000 AS present FROM ({F_ROWS})")
+def flt_map_length(spark, sf_dir):
+    return _orders(spark, sf_dir).filter("o_totalprice < 150000").epoch().select(F.col("_idx").alias("idx"), "o_orderkey", F.col("_present").alias("present"))
+
+
+@query(f"SELECT CAST(i // 1000 AS BIGINT) AS win, count(*) AS n, count(*) FILTER (WHERE o_totalprice >= 150000) AS dropped FROM ({F_ROWS}) GROUP BY 1")
+def flt_threshold_windows(spark, sf_dir):
+    df = _orders(spark, sf_dir).epoch()
+    return df.groupBy(F.floor(F.col("_idx") / 1000).alias("win")).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("o_totalprice") >= 150000).alias("dropped"))
+
+
+@query(f"""WITH kept AS (SELECT row_number() OVER (ORDER BY i) - 1 AS i, o_orderkey + 1 AS o_orderkey FROM ({F_ROWS}) WHERE (o_orderkey + 1) % 2 = 0)
+{_UNNEST.format(b=10, rows="SELECT * FROM kept")}""")
+def apply_chain(spark, sf_dir):
+    return _unnest(apply_all(_orders(spark, sf_dir).to_iter(), [Map({"o_orderkey": "o_orderkey + 1"}), Filter("o_orderkey % 2 = 0"), Batch(10)]))
+
+
+@query(r"""WITH w AS (SELECT doc_id, unnest(string_split(text, ' ')) AS word, generate_subscripts(string_split(text, ' '), 1) AS p FROM documents)
+SELECT row_number() OVER (ORDER BY doc_id, p) - 1 AS idx, word FROM w""")
+def flm_words(spark, sf_dir):
+    docs = _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("_idx"), "text")
+    return _rows(IterPipeline.source(docs).flat_map("split(text, ' ', -1)", "word"), "word")
+
+
+@query(f"SELECT a.i AS idx, a.o_orderkey AS k1, b.o_orderkey AS k2 FROM ({F_ROWS}) a JOIN (SELECT (SELECT count(*) FROM ({F_ROWS})) - 1 - i AS i, o_orderkey FROM ({F_ROWS})) b USING (i)")
+def zip_reversed(spark, sf_dir):
+    ds = _orders(spark, sf_dir)
+    return MapPipeline.zip([ds, ds[::-1]]).epoch().select(F.col("_idx").alias("idx"), F.col("_1.o_orderkey").alias("k1"), F.col("_2.o_orderkey").alias("k2"))
+
+
+@query(f"SELECT a.i AS idx, o_orderkey, event_id FROM ({F_ROWS}) a JOIN ({E_ROWS}) b USING (i)")
+def zip_shortest(spark, sf_dir):
+    ds = IterPipeline.zip([_orders(spark, sf_dir).to_iter(), _events(spark, sf_dir).to_iter()], strict=False)
+    return ds.frame().select(F.col("_idx").alias("idx"), F.col("_1.o_orderkey").alias("o_orderkey"), F.col("_2.event_id").alias("event_id"))
+
+
+@query(f"SELECT t.i AS idx, o_orderkey FROM range(1000) t(i) JOIN ({F_ROWS}) s ON s.i = (t.i * 37) % 500")
+def idx_reindex(spark, sf_dir):
+    return _rows(_orders(spark, sf_dir).slice([(i * 37) % 500 for i in range(1000)]), "o_orderkey")
+
+
+@query(f"SELECT t.i AS idx, CASE WHEN t.i % 3 = 0 THEN 'O' ELSE 'F' END AS which, coalesce(a.o_orderkey, b.o_orderkey) AS o_orderkey FROM range(900) t(i) LEFT JOIN ({F_ROWS}) a ON a.i = t.i // 2 AND t.i % 3 <> 0 LEFT JOIN ({O_ROWS}) b ON b.i = t.i // 2 AND t.i % 3 = 0")
+def idx_selection_map(spark, sf_dir):
+    inputs = [_orders(spark, sf_dir, s).map(o_orderkey="o_orderkey", which=F.lit(s)) for s in "FO"]
+    return _rows(MapPipeline.select_from(inputs, [(int(i % 3 == 0), i // 2) for i in range(900)]), "which", "o_orderkey")
+
+
+@query(f"SELECT i AS idx, o_orderkey FROM ({F_ROWS}) UNION ALL SELECT i + (SELECT count(*) FROM ({F_ROWS})), o_orderkey FROM ({O_ROWS})")
+def cat_concat(spark, sf_dir):
+    return _rows(MapPipeline.concatenate([_orders(spark, sf_dir), _orders(spark, sf_dir, "O")]), "o_orderkey")
+
+
+def _mix_sql(parts: list[int], last: str) -> str:
+    """A two-input mix: position k takes from the first input if the second's share of k rows doesn't grow there."""
+    total, free = sum(parts), parts[1]
+    first = f"k + 1 - (k + 1) * {free} // {total} - (k - k * {free} // {total})"
+    return f"""WITH f AS ({F_ROWS}), o AS ({O_ROWS}), nf AS (SELECT count(*) AS n FROM f), no AS (SELECT count(*) AS n FROM o),
+    k AS (SELECT k, {first} AS d, k * {free} // {total} AS j1, k - k * {free} // {total} AS j0 FROM range(200000) t(k)),
+    s AS (SELECT k, d, CASE WHEN d = 1 THEN j0 ELSE j1 END AS j FROM k)
+    SELECT k AS idx, coalesce(f.o_orderkey, o.o_orderkey) AS o_orderkey FROM s LEFT JOIN f ON s.d = 1 AND f.i = s.j LEFT JOIN o ON s.d = 0 AND o.i = s.j WHERE k < {last}"""
+
+
+MIX = proportions([0.25, 0.75], 2)
+
+
+@query(_mix_sql(MIX, f"(SELECT CAST(trunc(least(nf.n / ({MIX[0]}::DOUBLE / {sum(MIX)}), no.n / ({MIX[1]}::DOUBLE / {sum(MIX)}))) AS BIGINT) FROM nf, no)"))
+def mix_weighted(spark, sf_dir):
+    return _rows(MapPipeline.mix([_orders(spark, sf_dir), _orders(spark, sf_dir, "O")], [0.25, 0.75]), "o_orderkey")
+
+
+@query(_mix_sql(MIX, "(SELECT min(k) FROM s, nf, no WHERE (d = 1 AND j >= nf.n) OR (d = 0 AND j >= no.n))"))
+def mix_iter_stop(spark, sf_dir):
+    return _rows(IterPipeline.mix([_orders(spark, sf_dir).to_iter(), _orders(spark, sf_dir, "O").to_iter()], [0.25, 0.75]), "o_orderkey")
+
+
+_INTERLEAVED = """WITH s AS (SELECT n_nationkey AS d, c_custkey, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) - 1 AS j FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_nationkey < 5)
+SELECT row_number() OVER (ORDER BY j, d) - 1 AS idx, c_custkey FROM s"""
+
+
+def _by_nation(spark, sf_dir) -> list[IterPipeline]:
+    customers = _table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
+    return [IterPipeline.source(with_index(customers.where(F.col("c_nationkey") == k).select("c_custkey"), "c_custkey")) for k in range(5)]
+
+
+@query(_INTERLEAVED)
+def itl_interleave(spark, sf_dir):
+    return _rows(IterPipeline.interleave(_by_nation(spark, sf_dir), 5), "c_custkey")
+
+
+@query()
+def itl_short_cycle(spark, sf_dir):
+    return _rows(IterPipeline.interleave(_by_nation(spark, sf_dir), 2), "c_custkey")
+
+
+@query(f"WITH s AS ({F_ROWS}) SELECT e * (SELECT count(*) FROM s) + i AS idx, o_orderkey FROM s, range(3) t(e)")
+def rpt_repeat(spark, sf_dir):
+    return _rows(_orders(spark, sf_dir).to_iter().repeat(3), "o_orderkey")
+
+
+_TWO_EPOCHS = permutation_sql(f"SELECT e AS w, (SELECT count(*) FROM ({F_ROWS})) AS n, i, i AS x FROM ({F_ROWS}), range(2) t(e)", [SHUFFLE_SEED, SHUFFLE_SEED + 1], _WIDE)
+
+
+@query(f"SELECT w * (SELECT count(*) FROM ({F_ROWS})) + p.i AS idx, o_orderkey FROM ({_TWO_EPOCHS}) p JOIN ({F_ROWS}) s ON s.i = p.v")
+def rpt_shuffle_epochs(spark, sf_dir):
+    return _rows(_orders(spark, sf_dir).seed(SEED).shuffle().repeat(2), "o_orderkey")
+
+
+@query(f"SELECT i AS idx, o_orderkey FROM ({_shuffled(F_ROWS)})")
+def shf_global(spark, sf_dir):
+    return _rows(_orders(spark, sf_dir).seed(SEED).shuffle(), "o_orderkey")
+
+
+WINDOW = 1000
+_WINDOWS = permutation_sql(f"SELECT i // {WINDOW} AS w, least({WINDOW}, (SELECT count(*) FROM ({F_ROWS})) - i // {WINDOW} * {WINDOW}) AS n, i, i % {WINDOW} AS x FROM ({F_ROWS})", [7 + k for k in range(60)], _WIDE)
+
+
+@query(f"SELECT p.i AS idx, o_orderkey FROM ({_WINDOWS}) p JOIN ({F_ROWS}) s ON s.i = p.w * {WINDOW} + p.v")
+def shf_window_map(spark, sf_dir):
+    return _rows(_orders(spark, sf_dir).window_shuffle(WINDOW, 7, clip_last=True), "o_orderkey")
+
+
+@query(f"SELECT p.w * {WINDOW} + least({WINDOW}, (SELECT count(*) FROM ({F_ROWS})) - p.w * {WINDOW}) - 1 - p.i % {WINDOW} AS idx, o_orderkey FROM ({_WINDOWS}) p JOIN ({F_ROWS}) s ON s.i = p.w * {WINDOW} + p.v")
+def shf_window_iter(spark, sf_dir):
+    return _rows(_orders(spark, sf_dir).to_iter().window_shuffle(WINDOW, 7), "o_orderkey")
+
+
+@query(_UNNEST.format(b=100, rows=F_ROWS))
+def bat_batch(spark, sf_dir):
+    return _unnest(_orders(spark, sf_dir).batch(100))
+
+
+@query(_UNNEST.format(b=100, rows=f"SELECT * FROM ({F_ROWS}) WHERE i < (SELECT count(*) // 100 * 100 FROM ({F_ROWS}))"))
+def bat_drop_remainder(spark, sf_dir):
+    return _unnest(_orders(spark, sf_dir).batch(100, drop_remainder=True))
+
+
+@query(f"""WITH s AS ({F_ROWS}), n AS (SELECT count(*) AS n, -(-count(*) // 100) AS _, (count(*) + 99) // 100 * 100 AS m FROM s)
+SELECT CAST(k // 100 AS BIGINT) AS batch, CAST(k % 100 AS BIGINT) AS pos, coalesce(o_orderkey, -1) AS o_orderkey FROM (SELECT unnest(range(m)) AS k FROM n) LEFT JOIN s ON i = k""")
+def bat_pad(spark, sf_dir):
+    return _unnest(_orders(spark, sf_dir).batch(100, pad={"o_orderkey": -1, "o_totalprice": 0.0}))
+
+
+@query(f"SELECT CAST(i // 256 AS BIGINT) AS batch, count(*) AS n, min(o_orderkey) AS low, max(o_totalprice) AS high FROM ({F_ROWS}) GROUP BY 1")
+def bat_aggregate(spark, sf_dir):
+    ds = _orders(spark, sf_dir).batch(256, aggregates=[F.count(F.lit(1)).alias("n"), F.min("o_orderkey").alias("low"), F.max("o_totalprice").alias("high")])
+    return ds.epoch().withColumnRenamed("_idx", "batch")
+
+
+@query(_UNNEST.format(b=70, rows=F_ROWS))
+def bat_rebatch(spark, sf_dir):
+    return _unnest(IterPipeline.source(_orders(spark, sf_dir).batch(100).epoch()).rebatch(70))
+
+
+CLIP = 512
+
+
+def _lengths(spark, sf_dir) -> DataFrame:
+    words = F.size(F.split("text", " ", -1))
+    return _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("_idx"), F.array(F.least(words, F.lit(CLIP)).cast("long")).alias("len"))
+
+
+def _places(df: DataFrame) -> DataFrame:
+    return df.select("row", F.col("segment").cast("long").alias("segment"), F.col("_idx").alias("doc_id"), F.col("at")[0].alias("at"), F.col("size")[0].alias("size"))
+
+
+@query()
+def pck_first_fit(spark, sf_dir):
+    return _places(packing.assign_bins(_lengths(spark, sf_dir), [CLIP], 8))
+
+
+@query()
+def pck_best_fit(spark, sf_dir):
+    return _places(packing.assign_bins(_lengths(spark, sf_dir), [CLIP], 8, best=True))
+
+
+@query()
+def pck_workers(spark, sf_dir):
+    return _places(packing.assign_bins(_lengths(spark, sf_dir), [CLIP], 8, workers=4))
+
+
+@query(f"""WITH s AS (SELECT doc_id, CAST(least(len(string_split(text, ' ')), {CLIP}) AS BIGINT) AS n FROM documents),
+c AS (SELECT doc_id, n, CAST(sum(n) OVER (ORDER BY doc_id) - n AS BIGINT) AS a FROM s),
+p AS (SELECT doc_id, n, a, unnest(range(a // {CLIP}, (a + n - 1) // {CLIP} + 1)) AS r FROM c)
+SELECT r AS row, row_number() OVER (PARTITION BY r ORDER BY doc_id) AS segment, doc_id, greatest(a, r * {CLIP}) - r * {CLIP} AS at, least(a + n, (r + 1) * {CLIP}) - greatest(a, r * {CLIP}) AS size FROM p""")
+def pck_concat_split(spark, sf_dir):
+    df = _lengths(spark, sf_dir)
+    return _places(packing.assign_prefix_sums(df, CLIP, df.agg(F.max("_idx")).first()[0] + 1))
+
+
+@query(f"""WITH w AS (SELECT doc_id, unnest(string_split(text, ' ')[1:{CLIP}]) AS word, generate_subscripts(string_split(text, ' ')[1:{CLIP}], 1) AS p FROM documents),
+g AS (SELECT doc_id, word, row_number() OVER (ORDER BY doc_id, p) - 1 AS k, p FROM w),
+c AS (SELECT k // {CLIP} AS row, k % {CLIP} AS pos, CASE WHEN p = 1 OR k % {CLIP} = 0 THEN -1 ELSE length(word) END AS token FROM g)
+SELECT row, sum(token * (pos + 1))::BIGINT AS digest, count(*) AS used FROM c GROUP BY row""")
+def pck_concat_split_bos(spark, sf_dir):
+    tokens = F.slice(F.transform(F.split("text", " ", -1), lambda w: F.length(w).cast("long")), 1, CLIP)
+    docs = _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("_idx"), tokens.alias("token"))
+    df = IterPipeline.source(docs).concat_then_split({"token": CLIP}, bos={"token": -1}).frame()
+    digest = F.aggregate(F.transform("token", lambda x, i: x * (i + 1)), F.lit(0).cast("long"), lambda s, x: s + x)
+    return df.select(F.col("_idx").alias("row"), digest.alias("digest"), F.size(F.filter("token_segment_ids", lambda x: x > 0)).cast("long").alias("used"))
+
+
+def _loader(spark, sf_dir, workers: int) -> DataFrame:
+    ds = _orders(spark, sf_dir)
+    sampler = IndexSampler(ds.n, shuffle=True, num_epochs=1, seed=SHUFFLE_SEED)
+    return _unnest(DataLoader(ds.epoch(), sampler, [Filter("o_totalprice > 100000"), Batch(64)], workers).pipeline())
+
+
+@query(_SQL["minimum_slice"])
+def dl_loader(spark, sf_dir):
+    return _loader(spark, sf_dir, 1)
+
+
+@query(f"""WITH kept AS (SELECT i % 3 AS w, row_number() OVER (PARTITION BY i % 3 ORDER BY i) - 1 AS j, o_orderkey FROM ({_shuffled(F_ROWS)}) WHERE o_totalprice > 100000),
+b AS (SELECT w, j // 64 AS n, j % 64 AS pos, o_orderkey FROM kept), o AS (SELECT w, n, row_number() OVER (ORDER BY n, w) - 1 AS batch FROM (SELECT DISTINCT w, n FROM b))
+SELECT batch, CAST(pos AS BIGINT) AS pos, o_orderkey FROM b JOIN o USING (w, n)""")
+def dl_workers(spark, sf_dir):
+    return _loader(spark, sf_dir, 3)
+
+
+@query(f"SELECT p.i * 1 AS index, p.v AS key FROM ({permutation_sql(f'SELECT 0 AS w, (SELECT count(*) FROM ({F_ROWS})) AS n, i, i AS x FROM ({F_ROWS})', [5], _WIDE)}) p")
+def smp_index(spark, sf_dir):
+    n = _orders(spark, sf_dir).n
+    keys = IndexSampler(n, shuffle=True, num_epochs=1, seed=5).keys(spark, 0, n)
+    return keys.select(F.col("_index").alias("index"), F.col("_record_key").alias("key"))
+
+
+@query(f"""WITH s AS ({F_ROWS}), t AS (SELECT i - 96 AS q, o_orderkey FROM s WHERE i >= 96 AND i < 96 + (SELECT (count(*) - 96) // 32 * 32 FROM s)),
+h AS (SELECT q // 4 AS i, o_orderkey FROM t WHERE q % 4 = 2) {_UNNEST.format(b=8, rows="SELECT * FROM h")}""")
+def elastic_resume(spark, sf_dir):
+    return _unnest(elastic_batches(_orders(spark, sf_dir), 32, Shard(2, 4), next_index=96))
+
+
+@query()
+def random_map(spark, sf_dir):
+    ds = _orders(spark, sf_dir).seed(41).random_map(lambda g: int(g.integers(0, 1000)), "long", "drawn")
+    return _rows(ds, "o_orderkey", "drawn")
+
+
+@query()
+def stats_summary(spark, sf_dir):
+    ds = _orders(spark, sf_dir).seed(SEED).shuffle().filter("o_totalprice > 100000").to_iter().batch(64)
+    return execution_summary(ds).drop("seconds")
 
 
-def oracle_sql():
-    return {}
