@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from tidewheel.functions.bins import BinPacker, cut_stream
 from tidewheel.operators.batching import field
 from tidewheel.plans.ranking import dense
+from tidewheel.session import ship
 
 IDX = "_idx"
 SCHEMA = f"{IDX} long, row long, segment int, at array<long>, since array<long>, size array<long>"
@@ -62,6 +63,8 @@ def assign_cuts(lengths: DataFrame, target: Sequence[int], split_full: bool = Tr
 
 
 def _assigned(lengths: DataFrame, place, workers: int) -> DataFrame:
+    ship(lengths.sparkSession)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from _batches(place((i, n) for b in batches for i, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)))
 

@@ -24,6 +24,7 @@ from tidewheel.functions import schedules
 from tidewheel.functions.permutation import permute
 from tidewheel.operators import batching, packing
 from tidewheel.plans.ranking import IDX, dense
+from tidewheel.session import ship
 
 PRESENT = "_present"
 #: Reserved columns.
@@ -47,6 +48,8 @@ def _div(a: Column, b: int) -> Column:
 def permuted(idx: Column, n: int, seed: Column | int, inverse: bool = True) -> Column:
     """A column's places under the bijection of [0, n); seeds may differ by row."""
 
+    ship(SparkSession.active())
+
     def run(i: pd.Series, s: pd.Series) -> pd.Series:
         out = np.empty(len(i), np.int64)
         seeds = s.to_numpy(np.int64)
@@ -62,6 +65,8 @@ def permuted(idx: Column, n: int, seed: Column | int, inverse: bool = True) -> C
 def random_values(idx: Column, seed: int, draw: Callable[[np.random.Generator], object], returns: str, *inputs: Column) -> Column:
     """draw(rng, *inputs) by row, with the row's own generator."""
 
+    ship(SparkSession.active())
+
     def run(i: pd.Series, *rest: pd.Series) -> pd.Series:
         pool = schedules.RngPool(seed)
         out = []
@@ -140,6 +145,7 @@ class MapPipeline(_Node):
     @staticmethod
     def source(df: DataFrame, n: int | None = None) -> MapPipeline:
         """df has a dense _idx (see plans.ranking.with_index); n: its rows, counted if not given."""
+        ship(df.sparkSession)
         return _Source(df, df.count() if n is None else n)
 
     @staticmethod
@@ -567,6 +573,7 @@ class IterPipeline(_Node):
     @staticmethod
     def source(df: DataFrame) -> IterPipeline:
         """df has a dense _idx."""
+        ship(df.sparkSession)
         return _Frame(lambda: df, (), spark=df.sparkSession)
 
     @staticmethod

@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
+import tempfile
+import zipfile
+from pathlib import Path
+
 from pyspark.sql import SparkSession
 
 
@@ -22,3 +28,22 @@ def local_session(master: str = "local[*]", shuffle_partitions: int = 8, checkpo
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
+
+
+def ship(spark: SparkSession) -> None:
+    """Gives this package's code to the executors' Python workers, once for each application.
+
+    They share no folders with the driver on a cluster, and functions are pickled by their modules' names.
+    """
+    sc = spark.sparkContext
+    if getattr(sc, "_tidewheel_shipped", False):
+        return
+    package = Path(__file__).resolve().parent
+    folder = tempfile.mkdtemp(prefix="tidewheel-")  # served from here as long as the driver lives
+    atexit.register(shutil.rmtree, folder, True)
+    path = f"{folder}/tidewheel.zip"
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+        for f in sorted(package.rglob("*.py")):
+            z.write(f, f.relative_to(package.parent))
+    sc.addPyFile(path)
+    sc._tidewheel_shipped = True

@@ -12,6 +12,8 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 
+from tidewheel.session import ship
+
 HEAD, TAIL = struct.Struct("<QI"), 4
 
 
@@ -41,5 +43,6 @@ def read_tfrecords(spark: SparkSession, paths: str | list[str]) -> DataFrame:
                 got = list(frames(raw, path))
                 yield pd.DataFrame({"path": path, "offset": [o for o, _ in got], "record": [r for _, r in got]})
 
+    ship(spark)
     files = spark.read.format("binaryFile").load(paths).select("path", "content")
     return files.mapInPandas(run, "path string, offset long, record binary")

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
 
 from tidewheel.pipeline import MapPipeline
+from tidewheel.session import ship
 
 
 class _Range(InputPartition):
@@ -57,6 +58,7 @@ class IndexSource(DataSource):
 
 def index_stream(spark: SparkSession, stop: int, step: int = 1000) -> DataFrame:
     """A stream of the indices 0 .. stop - 1, step of them at a time."""
+    ship(spark)
     spark.dataSource.register(IndexSource)
     return spark.readStream.format("tidewheel_index").option("stop", stop).option("step", step).load()
 
