@@ -26,6 +26,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewheel.llm.shared import materialise
+from tidewheel.session import ship
 
 #: Bounds of the fit: sampled vectors, and centroids (about one for LIST vectors).
 SAMPLE, LIST, MOST_LISTS = 30_000, 256, 4096
@@ -166,6 +167,7 @@ def _search_block(k: int):
 
 def neighbours(rows: DataFrame, is_query: Column, k: int = 20, key: str = "vec_id", vector: str = "embedding", sample: int = SAMPLE) -> DataFrame:
     """query_id, rank from 1, key, score: the k nearest found of each row for which is_query holds; keys are whole numbers."""
+    ship(rows.sparkSession)
     fine = rows.where(valid(F.col(vector)) & F.col(key).isNotNull()).select(F.col(key).cast("long").alias("_id"), F.col(vector).alias("_v"), is_query.alias("_asks"))
     dims = fine.groupBy(F.size("_v").alias("_dim")).agg(F.count(F.lit(1)).alias("_n")).orderBy(F.desc("_n"), "_dim").limit(1).collect()
     schema = f"query_id long, rank int, {key} long, score double"

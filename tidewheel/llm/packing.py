@@ -21,6 +21,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidewheel.session import ship
+
 LONGEST = 2048
 END_ID = 1
 
@@ -73,6 +75,7 @@ def pack(docs: DataFrame, key: str = "doc_id", text: str = "text", longest: int
     """One row for each piece: key, start, length, ids (little-endian unsigned 32-bit), doc_tokens, bucket (log2 of length), sequence_id, offset."""
     if longest < 1 or longest & (longest - 1):
         raise ValueError("the longest sequence must be a power of two")
+    ship(docs.sparkSession)
     json_path, ranks_path = paths or tokenizer_paths()
     rows = docs.select(F.col(key).alias("_key"), F.coalesce(text, F.lit("")).alias("_text"))
     schema = T.StructType([rows.schema["_key"], *(T.StructField(n, t) for n, t in (("start", T.LongType()), ("length", T.LongType()), ("ids", T.BinaryType()), ("doc_tokens", T.LongType()), ("bucket", T.IntegerType())))])

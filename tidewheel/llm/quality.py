@@ -22,6 +22,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidewheel.session import ship
+
 #: Labelled rows that a fit uses at most.
 SAMPLE = 8000
 DIMS, RANK = 1 << 15, 8
@@ -133,6 +135,7 @@ def held_out(key: Column) -> Column:
 
 def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", n_chars: str = "n_chars", label: str = "quality", sample: int = SAMPLE) -> Machine:
     """Fits on labelled rows that aren't held out; at most `sample` of them, whose ids are broadcast."""
+    ship(docs.sparkSession)
     known = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull() & ~held_out(F.col(key)))
     known = known.groupBy(F.col(key).alias("_key")).agg(F.min(label).cast("double").alias("_y")).orderBy(F.xxhash64("_key"), "_key").limit(sample)
     picked = docs.select(F.col(key).alias("_id"), F.col(text).alias("_text"), F.col(n_chars).cast("double").alias("_n")).join(F.broadcast(known), F.col("_id") == F.col("_key"))
@@ -162,5 +165,6 @@ def score_column(model: Machine, text: Column, n_chars: Column) -> Column:
 
 def classify(docs: DataFrame, model: Machine, text: str = "text", n_chars: str = "n_chars", threshold: float = THRESHOLD) -> DataFrame:
     """Adds score and predicted to the rows of docs."""
+    ship(docs.sparkSession)
     kept = [c for c in docs.columns if c not in ("score", "predicted")]
     return docs.select(*kept, score_column(model, F.col(text), F.col(n_chars)).alias("score")).withColumn("predicted", (F.col("score") >= threshold).cast("int"))

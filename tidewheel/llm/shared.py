@@ -9,6 +9,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidewheel.session import ship
+
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
 #: The two characters outside ASCII whose lower case holds an ASCII letter, and stand-ins that have none.
@@ -16,6 +18,7 @@ FOLDS_TO_ASCII, STAND_INS = "Kİ", "ĸɪ"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -39,6 +42,7 @@ def _remove(spark: SparkSession, path: str) -> None:
 def materialise(df: DataFrame, *partition_by: str) -> DataFrame:
     """Writes the rows to the shared folder and reads them back, so that lost executors cost no more than this step."""
     spark = df.sparkSession
+    ship(spark)
     path = f"{shared_dir(spark)}/tidewheel-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path, partitionBy=list(partition_by) or None)
     atexit.register(_remove, spark, path)

@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
 from tidewheel.llm.shared import ascii_lower
+from tidewheel.session import ship
 
 #: The contract's rules.
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
@@ -118,6 +119,7 @@ def _judged(name: str, default: str):
 
 def judge_urls(pages: DataFrame, rules: Iterable[tuple[str, str, str]] = RULES, url: str = "url", default: str = "allow") -> DataFrame:
     """Adds host, path, rule and verdict to the rows of pages."""
+    ship(pages.sparkSession)
     rules = list(rules)
     if sum(len(h) + len(p) + 40 for _, h, p in rules) > MOST_INDEX_BYTES:
         return judge_by_join(pages, pages.sparkSession.createDataFrame(rules, "verdict string, host string, path string"), url, default)
