@@ -11,6 +11,8 @@ all before its texts are compared:
    buckets in which pairs meet;
 3. by another hash: the two prefixes must meet.
 
+Parity sketches of 512 bits, whose difference never exceeds the sets', spare most remaining comparisons.
+
 Equal sets are one class from the start. In each bucket all members are held against its smallest id
 first, a number of pairs in proportion to the members; verified links make components, and only members
 of different components that still share a bucket are compared after that, so a group of copies costs no
@@ -19,7 +21,7 @@ pointer jumping, on tables in the shared folder.
 
 Edge cases: ASCII letters are lowered and ASCII white space separates words; a text with fewer words
 than a shingle is one shingle; a null text, or one without words, has none and links with nothing;
-repeated rows are in one component; several texts of one id count as that one document; null ids take no
+repeated rows are in one component; of several texts under one id, one looks for links beyond equal sets; null ids take no
 part in links and keep a null component; an empty table gives an empty result; other columns are unused.
 """
 
@@ -37,11 +39,14 @@ from pyspark.sql import types as T
 from xxhash import xxh3_64_intdigest, xxh128_digest
 
 from tidewheel.llm.shared import materialise
+from tidewheel.session import ship
 
 #: Words remembered by a worker before it forgets them all.
 MOST_WORDS = 500_000
 #: Bits that tell which texts verification may need: a table of a fixed size, BITS / 64 rows at most.
 BITS = 1 << 23
+#: Bits of a parity sketch: two sets differ in as many shingles at least as their sketches do in bits.
+SKETCH = 512
 
 
 class _Hashes(dict):
@@ -101,16 +106,17 @@ class Threshold:
 
 
 def describe(docs: DataFrame, key: str, text: str, width: int, t: Threshold) -> DataFrame:
-    """For each row: key, n (shingles), sig (of the set), first (prefix by hash), keep, need, other (prefix by another hash, 32 bits each)."""
+    """For each row: key, n (shingles), sig (of the set), first (prefix by hash), keep, need, other (prefix by another hash, 32 bits each), sketch (parities)."""
+    ship(docs.sparkSession)
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
-    fields = (("n", T.LongType()), ("sig", T.BinaryType()), ("first", T.ArrayType(T.LongType())), ("keep", T.IntegerType()), ("need", T.IntegerType()), ("other", T.ArrayType(T.IntegerType())))
+    fields = (("n", T.LongType()), ("sig", T.BinaryType()), ("first", T.ArrayType(T.LongType())), ("keep", T.IntegerType()), ("need", T.IntegerType()), ("other", T.ArrayType(T.IntegerType())), ("sketch", T.ArrayType(T.LongType())))
     schema = T.StructType([rows.schema["key"], *(T.StructField(n, kind) for n, kind in fields)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo in range(0, batch.num_rows, 1000):
                 part = batch.slice(lo, 1000)
-                ns, sigs, firsts, keeps, needs, others = [], [], [], [], [], []
+                ns, sigs, firsts, keeps, needs, others, sketches = [], [], [], [], [], [], []
                 for x in part.column(1):
                     s = shingles(x.as_py(), width)
                     n = len(s)
@@ -121,6 +127,7 @@ def describe(docs: DataFrame, key: str, text: str, width: int, t: Threshold) ->
                         keeps.append(0)
                         needs.append(0)
                         others.append(None)
+                        sketches.append(None)
                         continue
                     p, places, need = t.prefix(n), t.places(n), t.places(t.least(n))
                     longer = min(p + places - 1, n)
@@ -129,19 +136,25 @@ def describe(docs: DataFrame, key: str, text: str, width: int, t: Threshold) ->
                     needs.append(need)
                     b = _mixed(s, 202)
                     others.append((np.partition(b, p - 1)[:p] & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32))
+                    sketches.append(np.packbits(np.bincount((s & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH) & 1).view(np.int64))
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(ns, pa.int64()), pa.array(sigs, pa.binary()), pa.array(firsts, pa.list_(pa.int64())), pa.array(keeps, pa.int32()), pa.array(needs, pa.int32()), pa.array(others, pa.list_(pa.int32()))],
+                    [part.column(0), pa.array(ns, pa.int64()), pa.array(sigs, pa.binary()), pa.array(firsts, pa.list_(pa.int64())), pa.array(keeps, pa.int32()), pa.array(needs, pa.int32()), pa.array(others, pa.list_(pa.int32())), pa.array(sketches, pa.list_(pa.int64()))],
                     names=["key", *(n for n, _ in fields)])
 
     return rows.mapInArrow(run, schema)
 
 
-def buckets(sets: DataFrame) -> DataFrame:
-    """token, key, n: the places where pairs can meet; one key for each distinct set."""
-    classes = sets.where(F.col("key").isNotNull() & (F.col("need") > 0)).groupBy("sig").agg(F.min(F.struct("key", "n", "keep", "need", F.size("first").alias("longer"))).alias("r")).select("r.*")
+def distinct_sets(sets: DataFrame) -> DataFrame:
+    """One row for each distinct set that may have a partner, under its smallest key."""
+    classes = sets.where(F.col("key").isNotNull() & (F.col("need") > 0)).groupBy("sig").agg(F.min_by(F.struct("key", "n", "keep", "need", F.size("first").alias("longer"), "other", "sketch"), "key").alias("r"))
+    return classes.select("r.*").dropDuplicates(["key"])
+
+
+def buckets(sets: DataFrame, nodes: DataFrame) -> DataFrame:
+    """token, key, n: the places where pairs can meet; keys are those of nodes."""
     postings = sets.where("need > 0 and key is not null").select("key", F.explode("first").alias("token"))
     shared = postings.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
-    hits = postings.join(shared, "token").join(classes, "key").dropDuplicates(["key", "token"])
+    hits = postings.join(shared, "token").join(nodes.select("key", "n", "keep", "need", "longer"), "key").dropDuplicates(["key", "token"])
     of = Window.partitionBy("key")
     hits = hits.withColumn("found", F.count(F.lit(1)).over(of)).withColumn("nth", F.row_number().over(of.orderBy("df", "token")))
     # Shingles that no other document has come first in the second order; they meet nobody.
@@ -152,13 +165,21 @@ def _near_sizes(a: str, b: str, t: Threshold):
     return F.least(a, b) * t.den >= F.greatest(a, b) * t.num
 
 
-def verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, key: str, text: str, width: int, t: Threshold) -> DataFrame:
+def _near_sketches(a: str, b: str, sizes: str, t: Threshold):
+    """False only for sets whose symmetric difference is too large: it has a parity bit's worth at least for each differing bit."""
+    bits = reduce(lambda x, y: x + y, [F.bit_count(F.get(a, F.lit(i)).bitwiseXOR(F.get(b, F.lit(i)))) for i in range(SKETCH // 64)])
+    return bits * (t.den + t.num) <= F.expr(sizes) * (t.den - t.num)
+
+
+def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, key: str, text: str, width: int, t: Threshold) -> DataFrame:
     """Of the pairs (a, b): those that pass the third order and whose texts are near enough."""
     pairs = materialise(pairs)
-    order = sets.where("need > 0").select("key", "other")
-    left = order.withColumnsRenamed({"key": "a", "other": "other_a"}).dropDuplicates(["a"])
-    right = order.withColumnsRenamed({"key": "b", "other": "other_b"}).dropDuplicates(["b"])
-    pairs = materialise(needed(pairs, left, "a").join(pairs, "a").join(needed(pairs, right, "b"), "b").where(F.arrays_overlap("other_a", "other_b")).select("a", "b"))
+    left = nodes.select(F.col("key").alias("a"), F.col("other").alias("other_a"), F.col("sketch").alias("sketch_a"), F.col("n").alias("n_a"))
+    right = nodes.select(F.col("key").alias("b"), F.col("other").alias("other_b"), F.col("sketch").alias("sketch_b"), F.col("n").alias("n_b"))
+    pass_all = F.arrays_overlap("other_a", "other_b") & _near_sketches("sketch_a", "sketch_b", "n_a + n_b", t)
+    first = needed(pairs, left, "a").join(pairs, "a").alias("l")
+    second = needed(pairs, right, "b").alias("r")
+    pairs = materialise(first.join(second, (F.col("l.b") == F.col("r.b")) & pass_all).select("a", "l.b"))
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
     left, right = rows.withColumnsRenamed({"key": "a", "text": "text_a"}), rows.withColumnsRenamed({"key": "b", "text": "text_b"})
     full = needed(pairs, left, "a").join(pairs, "a").join(needed(pairs, right, "b"), "b")
@@ -209,19 +230,22 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     """One row for each row of docs: key, n_shingles, component_id."""
     t = Threshold(num, den, extra)
     sets = materialise(describe(docs, key, text, width, t))
-    meet = materialise(buckets(sets))
+    nodes = materialise(distinct_sets(sets))
+    meet = materialise(buckets(sets, nodes))
     pivots = meet.groupBy("token").agg(F.min(F.struct("key", "n")).alias("p"), F.count(F.lit(1)).alias("c")).where("c > 1").select("token", F.col("p.key").alias("b"), F.col("p.n").alias("m"))
     stars = meet.join(pivots, "token").where((F.col("key") != F.col("b")) & _near_sizes("n", "m", t)).select(F.col("key").alias("a"), "b").distinct()
-    links = verified(stars, sets, docs, key, text, width, t)
+    links = verified(stars, nodes, docs, key, text, width, t)
 
     found = components(links)
     placed = meet.join(found, "key", "left").select("token", "key", "n", F.coalesce("component", "key").alias("comp"))
     open_ = placed.groupBy("token").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.min("key").alias("p"), F.count(F.lit(1)).alias("c")).where("x <> y and c > 2").select("token", "p")
-    # The pivot met everybody already.
-    rest = materialise(placed.join(open_, "token").where("key <> p").select("token", "key", "n", "comp"))
-    other = rest.select("token", F.col("key").alias("b"), F.col("n").alias("m"), F.col("comp").alias("comp_b"))
-    across = rest.join(other, "token").where((F.col("key") > F.col("b")) & (F.col("comp") != F.col("comp_b")) & _near_sizes("n", "m", t)).select(F.col("key").alias("a"), "b").distinct()
-    more = verified(across, sets, docs, key, text, width, t)
+    # The pivot met everybody already. The sketches stand in the join's condition, so few pairs leave it.
+    rest = placed.join(open_, "token").where("key <> p").join(nodes.select("key", "sketch"), "key").select("token", "key", "n", "comp", "sketch")
+    rest = materialise(rest).alias("x")
+    other = rest.select("token", F.col("key").alias("b"), F.col("n").alias("m"), F.col("comp").alias("comp_b"), F.col("sketch").alias("sketch_b")).alias("y")
+    near = (F.col("x.token") == F.col("y.token")) & (F.col("key") > F.col("b")) & (F.col("comp") != F.col("comp_b")) & _near_sizes("n", "m", t) & _near_sketches("sketch", "sketch_b", "n + m", t)
+    across = rest.join(other, near).select(F.col("key").alias("a"), "b").distinct()
+    more = verified(across, nodes, docs, key, text, width, t)
     found = found if more.isEmpty() else components(reduce(DataFrame.union, [links, more]))
 
     classes = sets.where("n > 0 and key is not null").groupBy("sig").agg(F.min("key").alias("rep"), F.count(F.lit(1)).alias("c"))
