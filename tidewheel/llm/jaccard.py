@@ -42,7 +42,7 @@ from tidewheel.llm.shared import materialise
 from tidewheel.session import ship
 
 #: Words remembered by a worker before it forgets them all.
-MOST_WORDS = 500_000
+MOST_WORDS = 100_000
 #: Bits that tell which texts verification may need: a table of a fixed size, BITS / 64 rows at most.
 BITS = 1 << 23
 #: Bits of a parity sketch: two sets differ in as many shingles at least as their sketches do in bits.

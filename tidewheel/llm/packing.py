@@ -13,6 +13,7 @@ an empty table gives no pieces; other columns are not carried.
 from __future__ import annotations
 
 import base64
+import json
 from collections.abc import Iterator
 
 import numpy as np
@@ -41,17 +42,21 @@ def encoder(json_path: str, ranks_path: str):
     if found is None:
         import public_tokenizers
         import tiktoken
-        from tokenizers import Tokenizer
 
-        full = Tokenizer.from_file(json_path)
+        with open(json_path, encoding="utf-8") as f:
+            special = [t["content"] for t in json.load(f)["added_tokens"]]
         with open(ranks_path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-        special = [t.content for t in full.get_added_tokens_decoder().values()]
+        full: list = []  # the tokenizer file takes much memory, and few texts need it
 
         def found(text: str) -> list[int]:
             if any(s in text for s in special):
-                return full.encode(text, add_special_tokens=False).ids
+                if not full:
+                    from tokenizers import Tokenizer
+
+                    full.append(Tokenizer.from_file(json_path))
+                return full[0].encode(text, add_special_tokens=False).ids
             return fast.encode_ordinary(text)
 
         _CACHE[(json_path, ranks_path)] = found

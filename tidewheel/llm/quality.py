@@ -29,7 +29,7 @@ SAMPLE = 8000
 DIMS, RANK = 1 << 15, 8
 THRESHOLD = 0.7
 #: Words remembered by a worker before it forgets them all.
-MOST_WORDS = 500_000
+MOST_WORDS = 100_000
 
 
 class _Hashes(dict):
@@ -100,7 +100,7 @@ def fit(parts: list, labels: np.ndarray, epochs: int = 8, batch: int = 256, rate
     s = np.array([p[2] for p in parts]) if parts else np.zeros((1, STATS))
     std = s.std(0)
     m = Machine(float(np.log((share + 1e-3) / (1 - share + 1e-3))), np.zeros(DIMS + STATS), rng.normal(0, 0.05, (DIMS + STATS, RANK)), s.mean(0), np.where(std > 1e-6, std, 1.0))
-    if not 0 < share < 1:
+    if not len(labels) or not 0 < share < 1:
         m.v[:] = 0
         return m
     state = [[np.zeros_like(p), np.zeros_like(p)] for p in (m.w, m.v)]
