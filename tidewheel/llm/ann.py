@@ -5,7 +5,8 @@ to all lists whose centroid is within (1 + REPLICATE) times the nearest one's di
 them. Centroids are searched through an in-memory neighbour graph by best-first search, for vectors and
 queries alike; a query reads the lists within (1 + PRUNE) times its nearest distance. Long lists are cut
 into blocks of at most BLOCK vectors, so a list's length bounds no task. Scores are inner products in
-double precision, computed pair by pair on the original vectors.
+double precision, computed pair by pair on the original vectors; for the lists one more component levels
+the vectors' norms, so that near means a large inner product whatever the norms are.
 
 Equal vectors are searched once: of each distinct vector only the k + 1 smallest ids can be among any
 query's k nearest, so only those are indexed, and queries with equal vectors share one search.
@@ -124,12 +125,19 @@ def fit_centroids(sample: np.ndarray, k: int, rounds: int = 8, seed: int = 5) ->
     return c
 
 
-def _lists(graph: Graph, ratio: float, beam: tuple[int, int, int], most: int | None):
+def _level(x: np.ndarray, top: float) -> np.ndarray:
+    """Vectors with one more component that gives all the norm `top`: the nearest of them have the largest inner products."""
+    return np.concatenate([x, np.sqrt(np.maximum(top**2 - (x**2).sum(1, keepdims=True), 0))], 1)
+
+
+def _lists(graph: Graph, top: float, ratio: float, beam: tuple[int, int, int], most: int | None, asks: bool = False):
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for vectors in batches:
             out = []
             for at in range(0, len(vectors), 512):
                 x = np.array(vectors.iloc[at : at + 512].tolist(), np.float64)
+                # A query's length doesn't matter, so it takes the common one, with nothing in the last component.
+                x = np.pad(x * (top / np.sqrt((x**2).sum(1, keepdims=True))), ((0, 0), (0, 1))) if asks else _level(x, top)
                 ids, dist = graph.search(x, beam)
                 keep = (dist <= np.maximum(dist[:, :1], graph.usual) * (1 + ratio) + 1e-9) & (ids >= 0)
                 if most:
@@ -178,13 +186,15 @@ def neighbours(rows: DataFrame, is_query: Column, k: int = 20, key: str = "vec_i
     index = materialise(fine.select("_id", "_v").dropDuplicates(["_id"]).withColumn("_nth", nth).where(F.col("_nth") <= k + 1).select("_id", "_v", F.col("_nth") == 1))
     index = index.toDF("_id", "_v", "_first")
     distinct = index.where("_first")
-    n = distinct.count()
+    norm = F.sqrt(F.aggregate("_v", F.lit(0.0), lambda a, v: a + v.cast("double") * v.cast("double")))
+    n, top = distinct.agg(F.count(F.lit(1)), F.max(norm)).first()
     picked = np.array([r["_v"] for r in distinct.orderBy(F.xxhash64("_id"), "_id").limit(sample).select("_v").toArrow().to_pylist()], np.float64)
+    picked = _level(picked, top)
     lists = int(np.clip(round(n / LIST), 1, min(MOST_LISTS, len(picked))))
     graph = Graph.over(fit_centroids(picked, lists))
     graph.usual = float(np.median(graph.search(picked[:1000])[1][:, 0]))
 
-    placed = index.select("_id", "_v", F.explode(_lists(graph, REPLICATE, BEAM, COPIES)("_v")).alias("_list"))
+    placed = index.select("_id", "_v", F.explode(_lists(graph, top, REPLICATE, BEAM, COPIES)("_v")).alias("_list"))
     placed = materialise(placed)
     sizes = placed.groupBy("_list").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("_blocks"))  # at most MOST_LISTS rows
     blocks = placed.join(F.broadcast(sizes), "_list").withColumn("_block", F.pmod(F.xxhash64("_id"), F.col("_blocks")).cast("int")).select("_list", "_block", "_id", "_v")
@@ -192,7 +202,7 @@ def neighbours(rows: DataFrame, is_query: Column, k: int = 20, key: str = "vec_i
     asking = fine.where("_asks").select("_id", "_v")
     # Queries with equal vectors share the search of the smallest id among them.
     shared = asking.groupBy("_v").agg(F.min("_id").alias("_q"))
-    asked = shared.select("_q", "_v", F.explode(_lists(graph, PRUNE, WIDE, None)("_v")).alias("_list"))
+    asked = shared.select("_q", "_v", F.explode(_lists(graph, top, PRUNE, WIDE, None, True)("_v")).alias("_list"))
     asked = asked.join(F.broadcast(sizes), "_list").select("_list", "_q", "_v", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)).alias("_block"))
     found = blocks.groupBy("_list", "_block").cogroup(asked.groupBy("_list", "_block")).applyInPandas(_search_block(k + 1), "_q long, _id long, _score double")
     best = Window.partitionBy("_q").orderBy(F.desc("_score"), "_id")
