@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewheel.llm.shared import materialise
+from tidewheel.llm.shared import materialise, without
 
 #: White space of the ASCII range, as the contract lists it.
 SPACES = r"[\x20\x09-\x0D]+"
@@ -60,7 +60,7 @@ def keep_first(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
     left = docs.withColumn("_sha256", F.unhex(F.sha2(normalised(F.col(text)), 256)))
     repeats = F.col("_dropped").eqNullSafe(F.col("keep_id"))
     others = dropped.where(~repeats).select("_dropped", "_of").distinct()
-    left = left.join(others, (left["_sha256"] == others["_of"]) & left[key].eqNullSafe(others["_dropped"]), "left_anti")
+    left = without(left, others, [F.col("_sha256"), F.col(key)], ["_of", "_dropped"])
     if not dropped.where(repeats).isEmpty():  # rows that repeat a smallest id: one of each stays
         nth = F.row_number().over(Window.partitionBy("_sha256").orderBy("_sha256"))
         left = left.withColumn("_nth", nth).where("_nth = 1")

@@ -38,13 +38,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from xxhash import xxh3_64_intdigest, xxh128_digest
 
-from tidewheel.llm.shared import materialise
+from tidewheel.llm.shared import BITS, materialise, without
 from tidewheel.session import ship
 
 #: Words remembered by a worker before it forgets them all.
 MOST_WORDS = 100_000
-#: Bits that tell which texts verification may need: a table of a fixed size, BITS / 64 rows at most.
-BITS = 1 << 23
 #: Bits of a parity sketch: two sets differ in as many shingles at least as their sketches do in bits.
 SKETCH = 512
 
@@ -257,4 +255,4 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", **how) -> DataFrame:
     """The rows of docs whose id is their component's; all their columns."""
     gone = jaccard_components(docs, key, text, **how).where(F.col("component_id") != F.col(key)).select(F.col(key).alias("_gone")).distinct()
-    return docs.join(materialise(gone), F.col(key) == F.col("_gone"), "left_anti")
+    return without(docs, materialise(gone), [F.col(key)], ["_gone"])

@@ -61,3 +61,22 @@ def lower_for_matching(text: Column) -> Column:
     """
     odd = F.contains(text, F.lit(FOLDS_TO_ASCII[0])) | F.contains(text, F.lit(FOLDS_TO_ASCII[1]))
     return F.lower(F.when(odd, F.translate(text, FOLDS_TO_ASCII, STAND_INS)).otherwise(text))
+
+
+#: Bits of the tables by which rows without a match leave before a shuffle: BITS / 64 rows at most.
+BITS = 1 << 23
+
+
+def without(docs: DataFrame, gone: DataFrame, keys: list[Column], names: list[str]) -> DataFrame:
+    """The rows of docs whose keys aren't in gone (columns names).
+
+    A bit table of a fixed size tells most rows of docs at once that they stay; only the rest is shuffled.
+    """
+    bit = F.pmod(F.xxhash64(*names), F.lit(BITS))
+    words = gone.select(bit.alias("_h")).groupBy(F.expr("_h >> 6").alias("_w")).agg(F.expr("bit_or(shiftleft(1L, cast(_h & 63 as int)))").alias("_mask"))
+    named = docs.withColumns({f"_k{i}": k for i, k in enumerate(keys)})
+    named = named.withColumn("_bit", F.pmod(F.xxhash64(*[f"_k{i}" for i in range(len(keys))]), F.lit(BITS))).withColumn("_w", F.expr("_bit >> 6"))
+    named = named.join(F.broadcast(words), "_w", "left").withColumn("_maybe", F.coalesce(F.expr("bit_get(_mask, cast(_bit & 63 as int)) = 1"), F.lit(False)))
+    same = [named[f"_k{i}"].eqNullSafe(gone[n]) for i, n in enumerate(names)]
+    doubtful = named.where("_maybe").join(gone, same, "left_anti")
+    return named.where("not _maybe").select(*docs.columns).union(doubtful.select(*docs.columns))
