@@ -212,7 +212,7 @@ def zip_shortest(spark, sf_dir):
     return ds.frame().select(F.col("_idx").alias("idx"), F.col("_1.o_orderkey").alias("o_orderkey"), F.col("_2.event_id").alias("event_id"))
 
 
-@query(f"SELECT t.i AS idx, o_orderkey FROM range(1000) t(i) JOIN ({F_ROWS}) s ON s.i = (t.i * 37) % 500")
+@query(f"SELECT t.i AS idx, o_orderkey FROM range(1000) t(i) JOIN ({F_ROWS}) s ON s.i = (t.i * 37) % 500 % (SELECT count(*) FROM ({F_ROWS}))")
 def idx_reindex(spark, sf_dir):
     return _rows(_orders(spark, sf_dir).slice([(i * 37) % 500 for i in range(1000)]), "o_orderkey")
 
