@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewheel.functions.permutation import half_bits, round_keys
+from tidewheel.functions.permutation import half_bits, permute, round_keys
 from tidewheel.functions.schedules import Shard, default_seed, proportions
 from tidewheel.functions.stats import execution_summary
 from tidewheel.loader import DataLoader, IndexSampler, elastic_batches
@@ -302,6 +302,19 @@ def shf_window_iter(spark, sf_dir):
     return _rows(_orders(spark, sf_dir).to_iter().window_shuffle(WINDOW, 7), "o_orderkey")
 
 
+_FILES = permutation_sql("SELECT 0 AS w, 5 AS n, k AS i, k AS x FROM range(5) t(k)", [SHUFFLE_SEED], _WIDE)
+_MERGED = f"""SELECT row_number() OVER (ORDER BY j, d) - 1 AS i, c_custkey FROM (SELECT p.i AS d, c_custkey, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) - 1 AS j
+FROM customer JOIN ({_FILES}) p ON c_nationkey = p.v)"""
+_MERGED_WINDOWS = permutation_sql(f"SELECT i // 100 AS w, least(100, (SELECT count(*) FROM ({_MERGED})) - i // 100 * 100) AS n, i, i % 100 AS x FROM ({_MERGED})", [7 + k for k in range(60)], _WIDE)
+
+
+@query(f"SELECT p.w * 100 + least(100, (SELECT count(*) FROM ({_MERGED})) - p.w * 100) - 1 - p.i % 100 AS idx, c_custkey FROM ({_MERGED_WINDOWS}) p JOIN ({_MERGED}) s ON s.i = p.w * 100 + p.v")
+def shf_hierarchical(spark, sf_dir):
+    files = _by_nation(spark, sf_dir)
+    files = [files[k] for k in permute(range(5), 5, SHUFFLE_SEED)]
+    return _rows(IterPipeline.interleave(files, 5).window_shuffle(100, 7), "c_custkey")
+
+
 @query(_UNNEST.format(b=100, rows=F_ROWS))
 def bat_batch(spark, sf_dir):
     return _unnest(_orders(spark, sf_dir).batch(100))
@@ -351,6 +364,16 @@ def pck_best_fit(spark, sf_dir):
     return _places(packing.assign_bins(_lengths(spark, sf_dir), [CLIP], 8, best=True))
 
 
+@query()
+def pck_max_seq(spark, sf_dir):
+    return _places(packing.assign_bins(_lengths(spark, sf_dir), [CLIP], 8, most=3))
+
+
+@query()
+def pck_align(spark, sf_dir):
+    return _places(packing.assign_bins(_lengths(spark, sf_dir), [CLIP], 8, align=[64]))
+
+
 @query()
 def pck_workers(spark, sf_dir):
     return _places(packing.assign_bins(_lengths(spark, sf_dir), [CLIP], 8, workers=4))
@@ -395,6 +418,15 @@ def dl_workers(spark, sf_dir):
     return _loader(spark, sf_dir, 3)
 
 
+_SHARD = f"SELECT i - lo AS i, o_orderkey FROM ({F_ROWS}), (SELECT 1 * (count(*) // 4) + least(1, count(*) % 4) AS lo, 2 * (count(*) // 4) + least(2, count(*) % 4) AS hi FROM ({F_ROWS})) WHERE i >= lo AND i < hi"
+
+
+@query(f"SELECT i AS idx, o_orderkey FROM ({_shuffled(_SHARD)})")
+def dl_sharded(spark, sf_dir):
+    ds = _orders(spark, sf_dir)
+    return _rows(DataLoader(ds.epoch(), IndexSampler(ds.n, Shard(1, 4), shuffle=True, num_epochs=1, seed=SHUFFLE_SEED)).pipeline(), "o_orderkey")
+
+
 @query(f"SELECT p.i * 1 AS index, p.v AS key FROM ({permutation_sql(f'SELECT 0 AS w, (SELECT count(*) FROM ({F_ROWS})) AS n, i, i AS x FROM ({F_ROWS})', [5], _WIDE)}) p")
 def smp_index(spark, sf_dir):
     n = _orders(spark, sf_dir).n
