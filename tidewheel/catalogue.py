@@ -265,7 +265,21 @@ def itl_interleave(spark, sf_dir):
     return _rows(IterPipeline.interleave(_by_nation(spark, sf_dir), 5), "c_custkey")
 
 
-@query()
+_SHORT_CYCLE = """WITH RECURSIVE s AS (SELECT c_nationkey AS d, c_custkey, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) - 1 AS j FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_nationkey < 5),
+c AS (SELECT list(n ORDER BY d) AS sizes FROM (SELECT d, (SELECT count(*) FROM s WHERE s.d = t.d) AS n FROM range(5) t(d))),
+turns AS (
+  SELECT CAST(0 AS BIGINT) AS v, [CAST(-1 AS BIGINT), -1] AS held, [CAST(0 AS BIGINT), 0] AS places, CAST(0 AS BIGINT) AS following, CAST(NULL AS BIGINT) AS d, CAST(NULL AS BIGINT) AS j
+  UNION ALL
+  SELECT v + 1, list_transform(held, lambda x, k: CASE WHEN k = slot THEN CASE WHEN gives THEN own ELSE CAST(-1 AS BIGINT) END ELSE x END), list_transform(places, lambda x, k: CASE WHEN k = slot THEN CASE WHEN gives THEN at_ + 1 ELSE CAST(0 AS BIGINT) END ELSE x END), next_, CASE WHEN gives THEN own END, CASE WHEN gives THEN at_ END
+  FROM (
+    SELECT *, own >= 0 AND at_ < coalesce(sizes[own + 1], 0) AS gives FROM (
+      SELECT v, held, places, sizes, slot, CASE WHEN held[slot] < 0 AND following < 5 THEN following ELSE held[slot] END AS own, CASE WHEN held[slot] < 0 THEN 0 ELSE places[slot] END AS at_, CASE WHEN held[slot] < 0 AND following < 5 THEN following + 1 ELSE following END AS next_
+      FROM (SELECT *, CAST(v % 2 + 1 AS BIGINT) AS slot FROM turns) t, c WHERE following < 5 OR list_max(held) >= 0))
+)
+SELECT row_number() OVER (ORDER BY v) - 1 AS idx, c_custkey FROM turns JOIN s ON s.d = turns.d AND s.j = turns.j"""
+
+
+@query(_SHORT_CYCLE)
 def itl_short_cycle(spark, sf_dir):
     return _rows(IterPipeline.interleave(_by_nation(spark, sf_dir), 2), "c_custkey")
 
@@ -354,27 +368,47 @@ def _places(df: DataFrame) -> DataFrame:
     return df.select("row", F.col("segment").cast("long").alias("segment"), F.col("_idx").alias("doc_id"), F.col("at")[0].alias("at"), F.col("size")[0].alias("size"))
 
 
-@query()
+def _packing_sql(best: bool = False, most: int = 1 << 40, align: int = 1, workers: int = 1) -> str:
+    """Places of documents, packed one after the other by a recursive query; workers pack strided parts, whose rows are taken in turn."""
+    score = "used[k]" if best else "9 - k"
+    return f"""WITH RECURSIVE d AS (SELECT doc_id, CAST(least(len(string_split(text, ' ')), {CLIP}) AS BIGINT) AS n, doc_id % {workers} AS w, row_number() OVER (PARTITION BY doc_id % {workers} ORDER BY doc_id) - 1 AS i FROM documents),
+fill AS (
+  SELECT w, CAST(-1 AS BIGINT) AS i, CAST(-1 AS BIGINT) AS doc_id, CAST(0 AS BIGINT) AS n, CAST(0 AS BIGINT) AS gone, list_transform(range(8), lambda k: CAST(0 AS BIGINT)) AS used, list_transform(range(8), lambda k: CAST(0 AS BIGINT)) AS held, CAST(0 AS BIGINT) AS r, CAST(0 AS BIGINT) AS segment, CAST(0 AS BIGINT) AS begun
+  FROM (SELECT DISTINCT w FROM d)
+  UNION ALL
+  SELECT w, i, doc_id, n, gone, list_transform(used, lambda x, k: CAST(CASE WHEN k = b THEN (x + n + {align - 1}) // {align} * {align} ELSE x END AS BIGINT)), list_transform(held, lambda x, k: CAST(x + CASE WHEN k = b THEN 1 ELSE 0 END AS BIGINT)), CAST(gone + b - 1 AS BIGINT), CAST(held[b] + 1 AS BIGINT), used[b]
+  FROM (
+    SELECT w, i, doc_id, n, CASE WHEN top < 0 THEN gone + len(list_filter(held, lambda x: x > 0)) ELSE gone END AS gone, CASE WHEN top < 0 THEN list_transform(used, lambda x: CAST(0 AS BIGINT)) ELSE used END AS used,
+      CASE WHEN top < 0 THEN list_transform(held, lambda x: CAST(0 AS BIGINT)) ELSE held END AS held, CASE WHEN top < 0 THEN 1 ELSE list_position(scores, top) END AS b
+    FROM (SELECT *, list_max(scores) AS top FROM (
+      SELECT f.w, d.i, d.doc_id, d.n, f.gone, f.used, f.held, list_transform(range(1, 9), lambda k: CASE WHEN f.used[k] + d.n <= {CLIP} AND f.held[k] < {most} THEN {score.replace("used", "f.used")} ELSE -1 END) AS scores
+      FROM fill f JOIN d ON d.w = f.w AND d.i = f.i + 1))
+  )
+), c AS (SELECT w, max(r) + 1 AS c FROM fill WHERE i >= 0 GROUP BY w)
+SELECT CAST((SELECT sum(least(c.c, f.r + CASE WHEN c.w < f.w THEN 1 ELSE 0 END)) FROM c) AS BIGINT) AS row, segment, doc_id, begun AS at, n AS size FROM fill f WHERE i >= 0"""
+
+
+@query(_packing_sql())
 def pck_first_fit(spark, sf_dir):
     return _places(packing.assign_bins(_lengths(spark, sf_dir), [CLIP], 8))
 
 
-@query()
+@query(_packing_sql(best=True))
 def pck_best_fit(spark, sf_dir):
     return _places(packing.assign_bins(_lengths(spark, sf_dir), [CLIP], 8, best=True))
 
 
-@query()
+@query(_packing_sql(most=3))
 def pck_max_seq(spark, sf_dir):
     return _places(packing.assign_bins(_lengths(spark, sf_dir), [CLIP], 8, most=3))
 
 
-@query()
+@query(_packing_sql(align=64))
 def pck_align(spark, sf_dir):
     return _places(packing.assign_bins(_lengths(spark, sf_dir), [CLIP], 8, align=[64]))
 
 
-@query()
+@query(_packing_sql(workers=4))
 def pck_workers(spark, sf_dir):
     return _places(packing.assign_bins(_lengths(spark, sf_dir), [CLIP], 8, workers=4))
 
