@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewheel.llm import ann, chat, exact, jaccard, licenses, mixing, packing, quality, sharding, urlfilter
+from tidewheel.llm import ann, chat, exact, jaccard, licenses, mixing, packing, quality, sharding, sql, urlfilter
 from tidewheel.llm.shared import table
 
 #: The conversation that op1 adds: both turns say it.
@@ -126,4 +126,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_chat_format": OP1_SQL, "op2_url_filter": OP2_SQL, "op7_exact_dedup": OP7_SQL}
+    return {
+        "op1_chat_format": OP1_SQL, "op2_url_filter": OP2_SQL, "op3_ngram_jaccard": sql.jaccard_sql(3, 90, 100), "op7_exact_dedup": OP7_SQL,
+        "op4_license_scan": sql.licenses_sql(licenses.BASE, licenses.TEMPLATES, licenses.WORDS, licenses.NEAR, licenses.SHARE, licenses.LOOK),
+        "op8_mixing": sql.mixing_sql(MIX_WEIGHTS, MIX_SHARE, MIX_EPOCHS, MIX_SEED, mixing.NONE)}
