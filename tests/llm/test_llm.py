@@ -235,6 +235,18 @@ def test_neighbours(spark):
     assert len(few) == 4
 
 
+def test_neighbours_of_a_lone_group(spark):
+    rng = np.random.default_rng(4)
+    v = np.concatenate([rng.normal(size=(1200, 8)) + 9, rng.normal(size=(6, 8)) * 0.01 - 50]).astype(np.float32)
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<float>")
+    got = ann.neighbours(df, F.col("vec_id").isin(0, 1200, 1203)).collect()
+    assert Counter(r.query_id for r in got) == {0: 20, 1200: 20, 1203: 20}
+    x = v.astype(np.float64)
+    s = (x * x[1200]).sum(-1)
+    s[1200] = -np.inf
+    assert [r.vec_id for r in sorted(got, key=lambda r: r["rank"]) if r.query_id == 1200] == np.lexsort((np.arange(len(v)), -s))[:20].tolist()
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline as p
 

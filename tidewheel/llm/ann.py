@@ -11,6 +11,8 @@ the vectors' norms, so that near means a large inner product whatever the norms
 Equal vectors are searched once: of each distinct vector only the k + 1 smallest ids can be among any
 query's k nearest, so only those are indexed, and queries with equal vectors share one search.
 
+A query whose lists hold fewer than k vectors reads all lists.
+
 Edge cases: vectors that are null, zero, of another dimension than most, or hold null or non-finite
 components take no part; a query's own row is no candidate, though its equal copies are; with fewer than
 k candidates all that are found come back; repeated ids count once; an empty table gives an empty result.
@@ -188,6 +190,7 @@ def neighbours(rows: DataFrame, is_query: Column, k: int = 20, key: str = "vec_i
     distinct = index.where("_first")
     norm = F.sqrt(F.aggregate("_v", F.lit(0.0), lambda a, v: a + v.cast("double") * v.cast("double")))
     n, top = distinct.agg(F.count(F.lit(1)), F.max(norm)).first()
+    least = min(k + 1, index.count())
     picked = np.array([r["_v"] for r in distinct.orderBy(F.xxhash64("_id"), "_id").limit(sample).select("_v").toArrow().to_pylist()], np.float64)
     picked = _level(picked, top)
     lists = int(np.clip(round(n / LIST), 1, min(MOST_LISTS, len(picked))))
@@ -203,11 +206,21 @@ def neighbours(rows: DataFrame, is_query: Column, k: int = 20, key: str = "vec_i
     # Queries with equal vectors share the search of the smallest id among them.
     shared = asking.groupBy("_v").agg(F.min("_id").alias("_q"))
     asked = shared.select("_q", "_v", F.explode(_lists(graph, top, PRUNE, WIDE, None, True)("_v")).alias("_list"))
-    asked = asked.join(F.broadcast(sizes), "_list").select("_list", "_q", "_v", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)).alias("_block"))
-    found = blocks.groupBy("_list", "_block").cogroup(asked.groupBy("_list", "_block")).applyInPandas(_search_block(k + 1), "_q long, _id long, _score double")
     best = Window.partitionBy("_q").orderBy(F.desc("_score"), "_id")
-    found = found.groupBy("_q", "_id").agg(F.max("_score").alias("_score")).withColumn("_r", F.row_number().over(best)).where(F.col("_r") <= k + 1)
+
+    def search(asked: DataFrame) -> DataFrame:
+        by_block = asked.join(F.broadcast(sizes), "_list").select("_list", "_q", "_v", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)).alias("_block"))
+        found = blocks.groupBy("_list", "_block").cogroup(by_block.groupBy("_list", "_block")).applyInPandas(_search_block(k + 1), "_q long, _id long, _score double")
+        return materialise(found.groupBy("_q", "_id").agg(F.max("_score").alias("_score")).withColumn("_r", F.row_number().over(best)).where(F.col("_r") <= k + 1).drop("_r"))
+
+    found = search(asked)
+    # Lists of few vectors may leave a query with fewer than k: it then reads all lists, block by block.
+    enough = found.groupBy("_q").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= least)
+    short = materialise(shared.join(enough, "_q", "left_anti"))
+    if not short.isEmpty():
+        more = search(short.withColumn("_list", F.explode(F.sequence(F.lit(0), F.lit(lists - 1)))))
+        found = found.join(short.select("_q"), "_q", "left_anti").unionByName(more)
     members = asking.distinct().join(shared, "_v").select(F.col("_id").alias("query_id"), "_q")
-    pairs = members.join(materialise(found), "_q").where("query_id <> _id")
+    pairs = members.join(found, "_q").where("query_id <> _id")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("_score"), "_id"))
     return pairs.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", F.col("_id").alias(key), F.col("_score").alias("score"))
