@@ -84,3 +84,36 @@ def test_tfrecords(spark, tmp_path):
     assert [bytes(r.record) for r in rows] == [b"1", b"", b"2 1"]
     with pytest.raises(ValueError):
         list(tfrecord.frames(b"\1"))
+
+
+def test_pack_and_batch(spark):
+    df = spark.createDataFrame([(0, [1, 1, 1], [9]), (1, [2, 2], [8, 8, 8]), (2, [3], [7, 7])], "_idx long, inputs array<long>, targets array<long>")
+    got = IterPipeline.source(df).pack_and_batch({"inputs": 3, "targets": 4}, 2).frame().orderBy("_idx").collect()
+    assert [(r["inputs"], r["targets_segment_ids"], r["inputs_positions"], r["last_index"]) for r in got] == [
+        ([[1, 1, 1], [2, 2, 0]], [[1, 0, 0, 0], [1, 1, 1, 0]], [[0, 1, 2], [0, 1, 0]], 1),
+        ([[3, 0, 0], [0, 0, 0]], [[1, 1, 0, 0], [0, 0, 0, 0]], [[0, 0, 0], [0, 0, 0]], 2)]
+    assert IterPipeline.source(df.limit(0)).pack_and_batch({"inputs": 3, "targets": 4}, 2).frame().isEmpty()
+
+
+def test_features_of_vectors_are_packed(spark):
+    df = spark.createDataFrame([(0, [[1, 2], [3, 4]]), (1, []), (2, [[5, 6]])], "_idx long, v array<array<long>>")
+    packed = IterPipeline.source(df).pack({"v": 4}, 1, shuffle_bins=False).frame().first()
+    assert packed["v"] == [[1, 2], [3, 4], [5, 6], [0, 0]] and packed["v_positions"] == [0, 1, 0, 0]
+    batch = IterPipeline.source(df).pack_and_batch({"v": 2}, 3).frame().first()
+    assert batch["v"] == [[[1, 2], [3, 4]], [[5, 6], [0, 0]], [[0, 0], [0, 0]]]
+
+
+def test_operations_from_iterator_to_iterator(spark):
+    def pairs(elements):
+        for x in elements:
+            yield {"both": x["value"] + next(elements)["value"]}
+
+    ds = MapPipeline.range(spark, 12).to_iter()
+    assert values(ds.through(pairs, "both long").frame(), "both") == [1, 5, 9, 13, 17, 21]
+    assert values(ds.through(pairs, "both long", workers=2).frame(), "both") == [2, 4, 10, 12, 18, 20]
+
+
+def test_filter_warns(spark):
+    ds = MapPipeline.range(spark, 2000).to_iter()
+    with pytest.warns(UserWarning, match="90%"):
+        assert ds.filter("value >= 950", warn_above=0.9).count() == 1050

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from tidewheel.functions.permutation import half_bits, permute, round_keys
 from tidewheel.functions.schedules import Shard, default_seed, proportions
 from tidewheel.functions.stats import execution_summary
-from tidewheel.loader import DataLoader, IndexSampler, elastic_batches
+from tidewheel.loader import DataLoader, IndexSampler, SequentialSampler, elastic_batches
 from tidewheel.operators import packing
 from tidewheel.operators.transforms import Batch, Filter, Map, apply_all
 from tidewheel.pipeline import IterPipeline, MapPipeline
@@ -151,6 +151,12 @@ def shd_even_split(spark, sf_dir):
     return _rows(_orders(spark, sf_dir).shard(Shard(1, 3)), "o_orderkey")
 
 
+@query(f"""WITH s AS ({F_ROWS}), b AS (SELECT 1 * (count(*) // 4) + least(1, count(*) % 4) AS lo, 2 * (count(*) // 4) + least(2, count(*) % 4) AS hi FROM s)
+SELECT CAST(e * (hi - lo) + i - lo AS BIGINT) AS idx, o_orderkey FROM s, b, range(2) t(e) WHERE i >= lo AND i < hi""")
+def shd_epochs(spark, sf_dir):
+    return _rows(_orders(spark, sf_dir).shard(Shard(1, 4)).repeat(2), "o_orderkey")
+
+
 @query(f"SELECT i AS idx, o_orderkey FROM ({F_ROWS}) WHERE i < 500")
 def lim_limit(spark, sf_dir):
     return _rows(_orders(spark, sf_dir).to_iter().limit(500), "o_orderkey")
@@ -171,6 +177,26 @@ def map_with_index(spark, sf_dir):
     return _rows(_orders(spark, sf_dir).map_with_index(lambda i: {"v": i * 10 + F.col("o_orderkey") % 10}), "v")
 
 
+@query(f"SELECT row_number() OVER (ORDER BY i) - 1 AS idx, (row_number() OVER (ORDER BY i) - 1) * 10 + o_orderkey % 10 AS v FROM ({F_ROWS}) WHERE o_totalprice < 150000")
+def map_iter_index(spark, sf_dir):
+    kept = _orders(spark, sf_dir).filter("o_totalprice < 150000").to_iter()
+    return _rows(kept.map_with_index(lambda i: {"v": i * 10 + F.col("o_orderkey") % 10}), "v")
+
+
+def _running(elements):
+    """Every other element with the sum of the keys so far."""
+    total = 0
+    for i, x in enumerate(elements):
+        total += x["o_orderkey"]
+        if i % 2:
+            yield {"o_orderkey": x["o_orderkey"], "total": total}
+
+
+@query(f"SELECT i // 2 AS idx, o_orderkey, total FROM (SELECT i, o_orderkey, CAST(sum(o_orderkey) OVER (ORDER BY i) AS BIGINT) AS total FROM ({F_ROWS})) WHERE i % 2 = 1")
+def map_operation(spark, sf_dir):
+    return _rows(_orders(spark, sf_dir).to_iter().through(_running, "o_orderkey long, total long"), "o_orderkey", "total")
+
+
 @query(f"SELECT row_number() OVER (ORDER BY i) - 1 AS idx, o_orderkey FROM ({F_ROWS}) WHERE o_totalprice < 150000")
 def flt_filter(spark, sf_dir):
     return _rows(_orders(spark, sf_dir).to_iter().filter("o_totalprice < 150000"), "o_orderkey")
@@ -351,6 +377,12 @@ def bat_aggregate(spark, sf_dir):
     return ds.epoch().withColumnRenamed("_idx", "batch")
 
 
+@query(f"SELECT CAST(i // 100 AS BIGINT) AS batch, CAST(max(i) AS BIGINT) AS last_index, max_by(o_orderkey, i) AS last_key, count(*) AS n FROM ({F_ROWS}) GROUP BY 1")
+def bat_last_record(spark, sf_dir):
+    ds = _orders(spark, sf_dir).to_iter().batch(100, aggregates=[F.max("_idx").alias("last_index"), F.max_by("o_orderkey", "_idx").alias("last_key"), F.count(F.lit(1)).alias("n")])
+    return ds.frame().withColumnRenamed("_idx", "batch")
+
+
 @query(_UNNEST.format(b=70, rows=F_ROWS))
 def bat_rebatch(spark, sf_dir):
     return _unnest(IterPipeline.source(_orders(spark, sf_dir).batch(100).epoch()).rebatch(70))
@@ -413,6 +445,21 @@ def pck_workers(spark, sf_dir):
     return _places(packing.assign_bins(_lengths(spark, sf_dir), [CLIP], 8, workers=4))
 
 
+@query(f"""WITH p AS (SELECT * FROM ({_packing_sql()})), b AS (SELECT row // 8 AS batch, max(doc_id) AS last_index FROM p GROUP BY 1),
+g AS (SELECT row, count(*) AS segments, sum(size) AS used, sum(segment * (size * (size - 1) // 2)) AS digest FROM p GROUP BY row)
+SELECT CAST(batch AS BIGINT) AS batch, CAST(k AS BIGINT) AS bin, last_index, CAST(coalesce(segments, 0) AS BIGINT) AS segments, CAST(coalesce(used, 0) AS BIGINT) AS used, CAST(coalesce(digest, 0) AS BIGINT) AS digest, CAST({CLIP} AS BIGINT) AS cells
+FROM b CROSS JOIN range(8) t(k) LEFT JOIN g ON g.row = batch * 8 + k""")
+def pck_and_batch(spark, sf_dir):
+    tokens = F.slice(F.transform(F.split("text", " ", -1), lambda w: F.length(w).cast("long")), 1, CLIP)
+    docs = _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("_idx"), tokens.alias("token"))
+    df = IterPipeline.source(docs).pack_and_batch({"token": CLIP}, 8).frame()
+    rows = df.select(F.col("_idx").alias("batch"), "last_index", F.posexplode(F.arrays_zip(F.col("token_segment_ids").alias("s"), F.col("token_positions").alias("p"), F.col("token").alias("t"))).alias("bin", "r"))
+    digest = F.aggregate(F.zip_with("r.s", "r.p", lambda a, b: (a * b).cast("long")), F.lit(0).cast("long"), lambda x, y: x + y)
+    return rows.select(
+        "batch", F.col("bin").cast("long").alias("bin"), "last_index", F.array_max("r.s").cast("long").alias("segments"),
+        F.size(F.filter("r.s", lambda x: x > 0)).cast("long").alias("used"), digest.alias("digest"), F.size("r.t").cast("long").alias("cells"))
+
+
 @query(f"""WITH s AS (SELECT doc_id, CAST(least(len(string_split(text, ' ')), {CLIP}) AS BIGINT) AS n FROM documents),
 c AS (SELECT doc_id, n, CAST(sum(n) OVER (ORDER BY doc_id) - n AS BIGINT) AS a FROM s),
 p AS (SELECT doc_id, n, a, unnest(range(a // {CLIP}, (a + n - 1) // {CLIP} + 1)) AS r FROM c)
@@ -468,6 +515,12 @@ def smp_index(spark, sf_dir):
     return keys.select(F.col("_index").alias("index"), F.col("_record_key").alias("key"))
 
 
+@query(f"SELECT i AS index, i AS key FROM ({F_ROWS}) WHERE i < (SELECT count(*) // 4 * 4 FROM ({F_ROWS}))")
+def smp_sequential(spark, sf_dir):
+    sampler = SequentialSampler(_orders(spark, sf_dir).n, Shard(0, 4, drop_remainder=True))
+    return sampler.keys(spark, 0, len(sampler)).select(F.col("_index").alias("index"), F.col("_record_key").alias("key"))
+
+
 @query(f"""WITH s AS ({F_ROWS}), t AS (SELECT i - 96 AS q, o_orderkey FROM s WHERE i >= 96 AND i < 96 + (SELECT (count(*) - 96) // 32 * 32 FROM s)),
 h AS (SELECT q // 4 AS i, o_orderkey FROM t WHERE q % 4 = 2) {_UNNEST.format(b=8, rows="SELECT * FROM h")}""")
 def elastic_resume(spark, sf_dir):

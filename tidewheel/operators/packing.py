@@ -13,11 +13,11 @@ from collections.abc import Iterator, Mapping, Sequence
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewheel.functions.bins import BinPacker, cut_stream
-from tidewheel.operators.batching import field
+from tidewheel.operators.batching import blocks, field
 from tidewheel.plans.ranking import dense
 from tidewheel.session import ship
 
@@ -108,7 +108,7 @@ def materialise_rows(df: DataFrame, places: DataFrame, features: Mapping[str, in
     out = []
     for i, (f, size) in enumerate(features.items()):
         element = kinds[f].removeprefix("array<")[:-1]
-        fill = F.lit((pad or {}).get(f, 0)).cast(element)
+        fill = _filler(df, f, element, (pad or {}).get(f, 0))
 
         def laid(part, filler, i=i, size=size):
             """Pieces with their gaps (alignment) before them, then padding."""
@@ -129,6 +129,19 @@ def materialise_rows(df: DataFrame, places: DataFrame, features: Mapping[str, in
     return rows.select(F.col("row").alias(IDX), *out)
 
 
+def _filler(df: DataFrame, feature: str, element: str, pad) -> Column:
+    """One cell of padding; for cells that are arrays, of the shape that the first element with a cell shows."""
+    sizes, at = [], F.col(feature)
+    while element.startswith("array<"):
+        at, element = F.get(at, F.lit(0)), element.removeprefix("array<")[:-1]
+        sizes.append(F.size(at))
+    fill = F.lit(pad).cast(element)
+    shape = df.where(F.size(feature) > 0).select(*sizes).first() if sizes else ()
+    for n in reversed(shape or [0] * len(sizes)):
+        fill = F.array_repeat(fill, max(n, 0))
+    return fill
+
+
 def _lengths(df: DataFrame, features: Sequence[str]) -> DataFrame:
     kinds = dict(df.dtypes)
     return df.select(IDX, F.array(*[(F.size(f) if kinds[f].startswith("array") else F.lit(1)).cast("long") for f in features]).alias("len"))
@@ -142,6 +155,24 @@ def pack_bins(df: DataFrame, lengths: Mapping[str, int], bins: int, best: bool =
     return materialise_rows(df, places, lengths, meta, pad)
 
 
+def pack_and_batch(df: DataFrame, lengths: Mapping[str, int], batch_size: int, max_sequences_per_bin: int | None = None) -> DataFrame:
+    """Batches of batch_size first-fit rows: each feature, its _segment_ids and _positions as arrays of rows, and last_index, the last element's index.
+
+    Rows of the last batch that no element reached are zero.
+    """
+    if batch_size < 1:
+        raise ValueError("batch size must be positive")
+    rows = pack_bins(df.withColumn("last_index", F.col(IDX)), lengths, batch_size, meta=["last_index"], max_sequences_per_bin=max_sequences_per_bin, shuffle_bins=False)
+    rows = rows.withColumn("last_index", F.array_max("last_index"))
+    out = blocks(rows, F.expr(f"{IDX} div {batch_size}"), F.pmod(F.col(IDX), F.lit(batch_size)), batch_size)
+    kinds = dict(rows.dtypes)
+    for f, size in lengths.items():
+        for c in (f, f"{f}_segment_ids", f"{f}_positions"):
+            blank = F.array_repeat(_filler(df, f, kinds[f].removeprefix("array<")[:-1], 0) if c == f else F.lit(0).cast("int"), size)
+            out = out.withColumn(c, F.concat(c, F.array_repeat(blank, F.lit(batch_size) - F.size(c))))
+    return out.withColumn("last_index", F.array_max("last_index"))
+
+
 def concat_then_split(df: DataFrame, lengths: Mapping[str, int], meta: Sequence[str] = (), split_full_length_features: bool = True, bos: Mapping[str, object] | None = None, workers: int = 1) -> DataFrame:
     """Rows of a concatenated stream; bos: a token that replaces the first of each piece, by feature."""
     df = _as_arrays(df, lengths)

@@ -11,14 +11,18 @@ the raw indices from e * n on.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable, Mapping, Sequence
+import warnings
+from collections.abc import Callable, Iterator, Mapping, Sequence
 from functools import cached_property, reduce
+from itertools import islice
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from tidewheel.functions import schedules
 from tidewheel.functions.permutation import permute
@@ -655,15 +659,19 @@ class IterPipeline(_Node):
         node._make = lambda: self.frame().withColumn(name, random_values(F.col(IDX), own, draw, returns, *map(F.col, inputs)))
         return node
 
-    def filter(self, condition: Column | str, raise_above: float | None = None, window: int = 1000) -> IterPipeline:
-        """raise_above: fails if a full window of inputs loses such a share or more (0 and None: never)."""
+    def filter(self, condition: Column | str, raise_above: float | None = None, window: int = 1000, warn_above: float | None = None) -> IterPipeline:
+        """raise_above, warn_above: fails, or warns, if a full window of inputs loses such a share or more (0 and None: never, and without a job of its own)."""
 
         def run(df):
             keep = F.coalesce(as_column(condition), F.lit(False))
-            if raise_above:
+            if raise_above or warn_above:
                 lost = df.groupBy(F.floor(F.col(IDX) / window)).agg(F.count_if(~keep).alias("x"), F.count(F.lit(1)).alias("n"))
-                if not lost.where((F.col("n") == window) & (F.col("x") >= raise_above * window)).isEmpty():
-                    raise ValueError(f"the filter drops {raise_above:.0%} or more of a window of {window} elements")
+                most = lost.where(F.col("n") == window).agg(F.max("x")).first()[0] or 0
+                said = "the filter drops {:.0%} or more of a window of {} elements"
+                if raise_above and most >= raise_above * window:
+                    raise ValueError(said.format(raise_above, window))
+                if warn_above and most >= warn_above * window:
+                    warnings.warn(said.format(warn_above, window), stacklevel=2)
             return dense(df.where(keep), IDX, self.count())
 
         return self._then(run, "filter", str(condition))
@@ -760,6 +768,34 @@ class IterPipeline(_Node):
         """First-fit or best-fit packing of array columns; see operators.packing.pack_bins."""
         return self._then(lambda df: packing.pack_bins(df, lengths, bins, best, workers=workers, **options), "pack", sorted(lengths.items()), bins, best, workers, sorted(options.items(), key=str))
 
+    def pack_and_batch(self, lengths: Mapping[str, int], batch_size: int, max_sequences_per_bin: int | None = None) -> IterPipeline:
+        """First-fit packing, a whole batch of rows at a time; see operators.packing.pack_and_batch."""
+        return self._then(lambda df: packing.pack_and_batch(df, lengths, batch_size, max_sequences_per_bin), "pack_and_batch", sorted(lengths.items()), batch_size, max_sequences_per_bin)
+
+    def through(self, operation: Callable[[Iterator[dict]], Iterator[dict]], schema: str, workers: int = 1) -> IterPipeline:
+        """Elements, in order, through an operation from iterator to iterator.
+
+        The operation may keep state, so one task runs it over sorted rows, which stream; workers: on so many
+        strided parts, whose results are taken in turn.
+        """
+        if workers > 1:
+            return self.parallel(workers, lambda part: part.through(operation, schema))
+
+        def run(df):
+            names = payload(df)
+            kind = T.StructType.fromDDL(schema)
+            arrow = to_arrow_schema(T.StructType([T.StructField(IDX, T.LongType()), *kind.fields]))
+
+            def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                elements = (x for b in batches for x in b.select(names).to_pylist())
+                numbered = ({**x, IDX: i} for i, x in enumerate(operation(elements)))
+                while chunk := list(islice(numbered, 4096)):
+                    yield pa.RecordBatch.from_pylist(chunk, schema=arrow)
+
+            return df.repartition(1).sortWithinPartitions(IDX).mapInArrow(each, f"{IDX} bigint, {schema}")
+
+        return self._then(run, "through", schema, workers)
+
     def concat_then_split(self, lengths: Mapping[str, int], **options) -> IterPipeline:
         return self._then(lambda df: packing.concat_then_split(df, lengths, **options), "concat_then_split", sorted(lengths.items()), sorted(options.items(), key=str))
 
