@@ -209,6 +209,8 @@ def test_sharding(spark, odd, none):
     assert all(r.size == len((texts[r.doc_id] or "").encode()) + 1 and r.text_crc32 == zlib.crc32((texts[r.doc_id] or "").encode()) for r in rows)
     heavy = Counter(r.shard for r in sharding.assign_shards(spark.range(20_000).withColumnRenamed("id", "doc_id"), [1.0, 3.0]).collect())
     assert 0.23 < heavy[0] / 20_000 < 0.27
+    shared = spark.range(3000).select(F.lit(7).alias("doc_id"), F.col("id").alias("size"))
+    assert sorted(r.slot for r in sharding.assign_shards(shared, [1.0, 1.0], order=["size"]).collect()) == list(range(3000))
     assert sharding.assign_shards(odd, [1.0, 1.0]).count() == len(ODD) and sharding.assign_shards(none, [1.0]).count() == 0
 
 

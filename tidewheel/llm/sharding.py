@@ -5,6 +5,8 @@ shard's number. A new shard changes no score of the others, so it takes records
 a shard's expected share is its weight's. A place in the shard comes from two levels: 4,096 hash buckets
 a shard with running totals (a table of a fixed size), then a row number inside the bucket.
 
+A key that many rows share is spread over its shard's buckets by the columns of `order`.
+
 Edge cases: a null key is a key of its own; repeated keys share a shard and get slots of their own; a
 null text has size 1 and the CRC of an empty text; an empty table gives an empty result.
 """
@@ -35,7 +37,7 @@ def shard_of(key: Column, weights: Sequence[float], seed: int = 0) -> Column:
 
 def with_slots(df: DataFrame, shard: str, key: str, order: Sequence[str] = ()) -> DataFrame:
     """Adds slot: gapless from 0 in each shard, without bringing a shard into one task."""
-    df = df.withColumn("_bucket", F.pmod(F.xxhash64(F.lit("slot"), F.col(key)), F.lit(BUCKETS)).cast("int"))
+    df = df.withColumn("_bucket", F.pmod(F.xxhash64(F.lit("slot"), F.col(key), *order), F.lit(BUCKETS)).cast("int"))
     counts = df.groupBy(shard, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
     before = F.sum("_n").over(Window.partitionBy(shard).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1))
     starts = counts.select(F.col(shard).alias("_s"), F.col("_bucket").alias("_b"), F.coalesce(before, F.lit(0)).alias("_start"))
