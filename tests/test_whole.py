@@ -1,0 +1,74 @@
+"""Queries over all rows: SQL, or plain loops where there is none."""
+
+import numpy as np
+import oracle
+import pytest
+
+from tidewheel import catalogue, whole
+from tidewheel.functions.permutation import permute
+from tidewheel.functions.schedules import RngPool, default_seed
+
+SF, LARGE = "/root/testdata/sf0.001", "/root/testdata/sf0.1"
+
+
+@pytest.fixture(scope="module")
+def con():
+    return oracle.connect(SF)
+
+
+@pytest.fixture(scope="module")
+def keys():
+    return [k for (k,) in oracle.connect(LARGE).execute("SELECT o_orderkey FROM orders ORDER BY 1 DESC").fetchall()]
+
+
+def in_order(df, *columns):
+    return [tuple(r) if len(r) > 1 else r[0] for r in df.orderBy("idx").select(*columns).collect()]
+
+
+@pytest.mark.parametrize("name", sorted(whole.oracle_sql()))
+def test_same_rows(spark, con, name):
+    assert not oracle.differences(whole.queries()[name](spark, SF), con, whole.oracle_sql()[name])
+
+
+def test_every_row_is_read(spark, con):
+    for name, table in (("src_table", "events"), ("map_expr", "orders"), ("shf_global", "orders"), ("bat_batch", "orders"), ("itl_interleave", "customer"), ("itl_short_cycle", "customer"), ("shf_hierarchical", "customer")):
+        assert whole.queries()[f"whole_{name}"](spark, SF).count() == con.execute(f"SELECT count(*) FROM {table}").fetchone()[0]
+    orders, customers = (con.execute(f"SELECT count(*) FROM {t}").fetchone()[0] for t in ("orders", "customer"))
+    assert whole.queries()["whole_cat_concat"](spark, SF).count() == orders + customers
+
+
+def test_shuffles_past_the_catalogues_sizes(spark, keys):
+    """More rows than a 16-bit block holds, and more than 60 windows."""
+    n = len(keys)
+    assert n > catalogue._WIDE and n > 60 * catalogue.WINDOW
+    assert in_order(whole.queries()["whole_shf_global"](spark, LARGE), "o_orderkey") == [keys[v] for v in permute(np.arange(n), n, catalogue.SHUFFLE_SEED)]
+    assert not oracle.differences(whole.queries()["whole_shf_global"](spark, LARGE), oracle.connect(LARGE), whole.oracle_sql()["whole_shf_global"])
+    straight, turned = [], []
+    for w, lo in enumerate(range(0, n, catalogue.WINDOW)):
+        own = keys[lo : lo + catalogue.WINDOW]
+        own = [own[v] for v in permute(np.arange(len(own)), len(own), 7 + w)]
+        straight += own
+        turned += own[::-1]
+    assert in_order(whole.queries()["whole_shf_window_map"](spark, LARGE), "o_orderkey") == straight
+    assert in_order(whole.queries()["whole_shf_window_iter"](spark, LARGE), "o_orderkey") == turned
+
+
+def test_hierarchical_shuffle(spark, con):
+    lists = {}
+    for nation, key in con.execute("SELECT n_nationkey, c_custkey FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey ORDER BY 1, 2").fetchall():
+        lists.setdefault(nation, []).extend([key] if key is not None else [])
+    files = [lists[sorted(lists)[v]] for v in permute(range(len(lists)), len(lists), catalogue.SHUFFLE_SEED)]
+    merged = [f[j] for j in range(max(map(len, files))) for f in files if j < len(f)]
+    want = []
+    for w, lo in enumerate(range(0, len(merged), 100)):
+        own = merged[lo : lo + 100]
+        want += [own[v] for v in permute(np.arange(len(own)), len(own), 7 + w)][::-1]
+    assert in_order(whole.queries()["whole_shf_hierarchical"](spark, SF), "c_custkey") == want
+
+
+def test_random_map_and_summary(spark, con):
+    keys = [k for (k,) in con.execute("SELECT o_orderkey FROM orders ORDER BY 1 DESC").fetchall()]
+    pool = RngPool(default_seed([(41, 1)]))
+    assert in_order(whole.queries()["whole_random_map"](spark, SF), "o_orderkey", "drawn") == [(k, int(pool.acquire_rng(i).integers(0, 1000))) for i, k in enumerate(keys)]
+    kept = con.execute("SELECT count(*) FROM orders WHERE o_totalprice > 100000").fetchone()[0]
+    assert [r.elements for r in whole.queries()["whole_stats_summary"](spark, SF).orderBy("id").collect()][0] == -(-kept // 64)

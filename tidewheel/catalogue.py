@@ -1,6 +1,7 @@
 """A query for each operator over the standard tables, and SQL with the same rows where SQL can say it.
 
-Orders of status F stand in for a source: their rank differs from their key, so a wrong place shows.
+Orders of status F stand in for a source: their rank differs from their key, so a wrong place shows. The
+same queries over all rows are in whole.py.
 """
 
 from __future__ import annotations
@@ -45,12 +46,21 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+class Whole(str):
+    """A folder of tables whose sources give all rows, last key first, and customers as the second orders."""
+
+
 def _orders(spark: SparkSession, sf_dir: str, status: str = "F") -> MapPipeline:
+    if isinstance(sf_dir, Whole):
+        df = _table(spark, sf_dir, "orders") if status == "F" else _table(spark, sf_dir, "customer").withColumnsRenamed({"c_custkey": "o_orderkey", "c_acctbal": "o_totalprice"})
+        return MapPipeline.source(with_index(df.select("o_orderkey", "o_totalprice"), F.col("o_orderkey").desc()))
     df = _table(spark, sf_dir, "orders").where(F.col("o_orderstatus") == status).select("o_orderkey", "o_totalprice")
     return MapPipeline.source(with_index(df, "o_orderkey"))
 
 
 def _events(spark: SparkSession, sf_dir: str) -> MapPipeline:
+    if isinstance(sf_dir, Whole):
+        return MapPipeline.source(with_index(_table(spark, sf_dir, "events").select("event_id", "value"), F.col("event_id").desc()))
     df = _table(spark, sf_dir, "events").where("event_type = 'click'").select("event_id", "value")
     return MapPipeline.source(with_index(df, "event_id"))
 
@@ -283,7 +293,8 @@ SELECT row_number() OVER (ORDER BY j, d) - 1 AS idx, c_custkey FROM s"""
 
 def _by_nation(spark, sf_dir) -> list[IterPipeline]:
     customers = _table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
-    return [IterPipeline.source(with_index(customers.where(F.col("c_nationkey") == k).select("c_custkey"), "c_custkey")) for k in range(5)]
+    nations = sorted(r[0] for r in _table(spark, sf_dir, "nation").select("n_nationkey").collect()) if isinstance(sf_dir, Whole) else range(5)
+    return [IterPipeline.source(with_index(customers.where(F.col("c_nationkey") == k).select("c_custkey"), "c_custkey")) for k in nations]
 
 
 @query(_INTERLEAVED)

@@ -1,0 +1,101 @@
+"""The catalogue's queries over all rows of their tables, as whole_NAME, with SQL whose sizes follow the row count.
+
+Window shuffles need a seed for each window, and two queries are beyond SQL: tests hold these against plain loops.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+from tidewheel import catalogue
+from tidewheel.catalogue import SHUFFLE_SEED, Whole
+from tidewheel.functions.permutation import permute, round_keys
+from tidewheel.pipeline import IterPipeline
+
+_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_SQL: dict[str, str] = {}
+
+ROWS = "SELECT row_number() OVER (ORDER BY o_orderkey DESC) - 1 AS i, o_orderkey, o_totalprice FROM orders"
+SECOND = "SELECT row_number() OVER (ORDER BY c_custkey DESC) - 1 AS i, c_custkey AS o_orderkey, c_acctbal AS o_totalprice FROM customer"
+EVENTS = "SELECT row_number() OVER (ORDER BY event_id DESC) - 1 AS i, event_id, value FROM events"
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return dict(_QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(_SQL)
+
+
+def _add(name: str, f: Callable[[SparkSession, str], DataFrame], sql: str | None = None) -> None:
+    _QUERIES[f"whole_{name}"] = lambda spark, sf_dir: f(spark, Whole(sf_dir))
+    if sql:
+        _SQL[f"whole_{name}"] = sql
+
+
+def permutation_sql(domain: str, seeds: list[int]) -> str:
+    """As the catalogue's, for any n: keys of every half block, and each w takes those of its own n."""
+    keys = []
+    for k, seed in enumerate(seeds):
+        for h in range(8, 21):
+            numbers = [h, (1 << h) - 1, 8 % h, h - 8 % h, h - 1, h - 2, *round_keys(seed, h)]
+            keys.append(f"({k}, {', '.join(f'CAST({x} AS UBIGINT)' for x in numbers)})")
+    wide = " + ".join(f"CASE WHEN n > {1 << 2 * h} THEN 1 ELSE 0 END" for h in range(8, 20))
+
+    def turn(x: str) -> str:
+        a, b, c = (f"((({x} << {r}) | ({x} >> {l})) & m)" for r, l in (("1", "b1"), ("a8", "b8"), ("2", "b2")))
+        return f"xor({a} & {b}, {c})"
+
+    own = "h, m, a8, b8, b1, b2, k0, k1, k2, k3"
+    step = f"SELECT p.w, p.n, p.i, p.v >> p.h AS l, p.v & m AS r, p.step, {own.replace('h,', 'p.h,', 1)} FROM walk p JOIN keys ON keys.w = p.w AND keys.h = p.h WHERE p.step = 0 OR p.v >= p.n"
+    for a, b in (("k0", "k1"), ("k2", "k3")):
+        step = f"SELECT w, n, i, xor(xor(l, {turn('r')}), {a}) AS l, r, step, {own} FROM ({step})"
+        step = f"SELECT w, n, i, l, xor(xor(r, {turn('l')}), {b}) AS r, step, {own} FROM ({step})"
+    return f"""
+      WITH RECURSIVE keys(w, {own}) AS (VALUES {", ".join(keys)}),
+      walk AS (
+        SELECT w, CAST(n AS UBIGINT) AS n, i, CAST(x AS UBIGINT) AS v, 0 AS step, CAST(8 + {wide} AS UBIGINT) AS h FROM ({domain})
+        UNION ALL SELECT w, n, i, (l << h) | r AS v, step + 1 AS step, h FROM ({step})
+      ) SELECT w, i, CAST(v AS BIGINT) AS v FROM walk WHERE step > 0 AND v < n"""
+
+
+def _shuffled(rows: str, seed: int = SHUFFLE_SEED) -> str:
+    places = permutation_sql(f"SELECT 0 AS w, (SELECT count(*) FROM ({rows})) AS n, i, i AS x FROM ({rows})", [seed])
+    return f"SELECT p.i, s.* EXCLUDE (i) FROM ({places}) p JOIN ({rows}) s ON s.i = p.v"
+
+
+def _over_all(sql: str) -> str:
+    """The catalogue's SQL over all rows."""
+    for rows in (catalogue.F_ROWS, catalogue._SHARD):
+        sql = sql.replace(catalogue._shuffled(rows), _shuffled(rows))
+    epochs = f"SELECT e AS w, (SELECT count(*) FROM ({catalogue.F_ROWS})) AS n, i, i AS x FROM ({catalogue.F_ROWS}), range(2) t(e)"
+    one = f"SELECT 0 AS w, (SELECT count(*) FROM ({catalogue.F_ROWS})) AS n, i, i AS x FROM ({catalogue.F_ROWS})"
+    sql = sql.replace(catalogue._TWO_EPOCHS, permutation_sql(epochs, [SHUFFLE_SEED, SHUFFLE_SEED + 1]))
+    sql = sql.replace(catalogue.permutation_sql(one, [5], catalogue._WIDE), permutation_sql(one, [5]))
+    sql = sql.replace("FROM range(200000) t(k)", "FROM (SELECT unnest(range(nf.n + no.n + 1)) AS k FROM nf, no) t")
+    sql = sql.replace("FROM range(5) t(d)", "FROM (SELECT n_nationkey AS d FROM nation) t").replace(" WHERE c_nationkey < 5", "").replace("following < 5", "following < len(sizes)")
+    return sql.replace(catalogue.F_ROWS, ROWS).replace(catalogue.O_ROWS, SECOND).replace(catalogue.E_ROWS, EVENTS)
+
+
+def itl_interleave(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = catalogue._by_nation(spark, sf_dir)
+    return catalogue._rows(IterPipeline.interleave(files, len(files)), "c_custkey")
+
+
+def shf_hierarchical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = catalogue._by_nation(spark, sf_dir)
+    files = [files[k] for k in permute(range(len(files)), len(files), SHUFFLE_SEED)]
+    return catalogue._rows(IterPipeline.interleave(files, len(files)).window_shuffle(100, 7), "c_custkey")
+
+
+#: Queries of parts that are no filter, or that other functions here stand for.
+_APART = ("src_range", "flm_words", "idx_", "pck_", "shf_hierarchical", "itl_interleave")
+_NO_SQL = ("shf_window_map", "shf_window_iter")
+for _name, _f in catalogue.queries().items():
+    if not _name.startswith(_APART):
+        _add(_name, _f, _over_all(catalogue.oracle_sql()[_name]) if _name in catalogue.oracle_sql() and _name not in _NO_SQL else None)
+_add("itl_interleave", itl_interleave, _over_all(catalogue._INTERLEAVED))
+_add("shf_hierarchical", shf_hierarchical)
