@@ -72,3 +72,21 @@ def test_random_map_and_summary(spark, con):
     assert in_order(whole.queries()["whole_random_map"](spark, SF), "o_orderkey", "drawn") == [(k, int(pool.acquire_rng(i).integers(0, 1000))) for i, k in enumerate(keys)]
     kept = con.execute("SELECT count(*) FROM orders WHERE o_totalprice > 100000").fetchone()[0]
     assert [r.elements for r in whole.queries()["whole_stats_summary"](spark, SF).orderBy("id").collect()][0] == -(-kept // 64)
+
+
+def test_every_word_is_packed(spark, con):
+    """Texts longer than a row keep their tails, and no word has two places."""
+    sizes = dict(con.execute("SELECT doc_id, len(string_split(text, ' ')) FROM documents").fetchall())
+    assert max(sizes.values()) > 3 * catalogue.CLIP
+    for name in ("first_fit", "best_fit", "max_seq", "align", "workers"):
+        words, cells, n = set(), set(), 0
+        for r in whole.queries()[f"whole_pck_{name}"](spark, SF).collect():
+            assert r.at + r["size"] <= catalogue.CLIP
+            words |= {(r.doc_id, r.since + k) for k in range(r["size"])}
+            cells |= {(r.row, r.at + k) for k in range(r["size"])}
+            n += r["size"]
+        assert words == {(d, k) for d, size in sizes.items() for k in range(size)} and len(cells) == n == len(words)
+    for name in ("pck_concat_split_bos", "pck_and_batch"):
+        assert sum(r.used for r in whole.queries()[f"whole_{name}"](spark, SF).collect()) == sum(sizes.values())
+    cut = whole.queries()["whole_pck_concat_split"](spark, SF).collect()
+    assert sum(r["size"] for r in cut) == sum(sizes.values()) and max(sum(r.doc_id == d for r in cut) for d in (max(sizes, key=sizes.get),)) >= 3

@@ -463,6 +463,10 @@ FROM b CROSS JOIN range(8) t(k) LEFT JOIN g ON g.row = batch * 8 + k""")
 def pck_and_batch(spark, sf_dir):
     tokens = F.slice(F.transform(F.split("text", " ", -1), lambda w: F.length(w).cast("long")), 1, CLIP)
     docs = _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("_idx"), tokens.alias("token"))
+    return _pack_and_batch(docs)
+
+
+def _pack_and_batch(docs: DataFrame) -> DataFrame:
     df = IterPipeline.source(docs).pack_and_batch({"token": CLIP}, 8).frame()
     rows = df.select(F.col("_idx").alias("batch"), "last_index", F.posexplode(F.arrays_zip(F.col("token_segment_ids").alias("s"), F.col("token_positions").alias("p"), F.col("token").alias("t"))).alias("bin", "r"))
     digest = F.aggregate(F.zip_with("r.s", "r.p", lambda a, b: (a * b).cast("long")), F.lit(0).cast("long"), lambda x, y: x + y)
@@ -487,6 +491,10 @@ SELECT row, sum(token * (pos + 1))::BIGINT AS digest, count(*) AS used FROM c GR
 def pck_concat_split_bos(spark, sf_dir):
     tokens = F.slice(F.transform(F.split("text", " ", -1), lambda w: F.length(w).cast("long")), 1, CLIP)
     docs = _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("_idx"), tokens.alias("token"))
+    return _cut_with_bos(docs)
+
+
+def _cut_with_bos(docs: DataFrame) -> DataFrame:
     df = IterPipeline.source(docs).concat_then_split({"token": CLIP}, bos={"token": -1}).frame()
     digest = F.aggregate(F.transform("token", lambda x, i: x * (i + 1)), F.lit(0).cast("long"), lambda s, x: s + x)
     return df.select(F.col("_idx").alias("row"), digest.alias("digest"), F.size(F.filter("token_segment_ids", lambda x: x > 0)).cast("long").alias("used"))

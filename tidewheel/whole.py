@@ -1,4 +1,4 @@
-"""The catalogue's queries over all rows of their tables, as whole_NAME, with SQL whose sizes follow the row count.
+"""The catalogue's queries over all rows of their tables and all words of their texts, as whole_NAME, with SQL whose sizes follow the row count.
 
 Window shuffles need a seed for each window, and two queries are beyond SQL: tests hold these against plain loops.
 """
@@ -8,11 +8,14 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tidewheel import catalogue
-from tidewheel.catalogue import SHUFFLE_SEED, Whole
+from tidewheel.catalogue import CLIP, SHUFFLE_SEED, Whole
 from tidewheel.functions.permutation import permute, round_keys
+from tidewheel.operators import packing
 from tidewheel.pipeline import IterPipeline
+from tidewheel.plans.ranking import with_index
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
@@ -99,3 +102,53 @@ for _name, _f in catalogue.queries().items():
         _add(_name, _f, _over_all(catalogue.oracle_sql()[_name]) if _name in catalogue.oracle_sql() and _name not in _NO_SQL else None)
 _add("itl_interleave", itl_interleave, _over_all(catalogue._INTERLEAVED))
 _add("shf_hierarchical", shf_hierarchical)
+
+
+def _pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole texts in consecutive pieces of at most CLIP words: _idx, doc_id, since (words before), token (a number for each word)."""
+    tokens = F.transform(F.split("text", " ", -1), lambda w: F.length(w).cast("long"))
+    docs = catalogue._table(spark, sf_dir, "documents").select("doc_id", F.coalesce(tokens, F.array().cast("array<long>")).alias("all"))
+    last = F.greatest(F.size("all") - 1, F.lit(0))
+    cut = docs.withColumn("since", F.explode(F.sequence(F.lit(0), last, F.lit(CLIP))))
+    return with_index(cut.select("doc_id", F.col("since").cast("long").alias("since"), F.slice("all", F.col("since") + 1, F.lit(CLIP)).alias("token")), "doc_id", "since")
+
+
+def _packed(spark: SparkSession, sf_dir: str, **how) -> DataFrame:
+    pieces = _pieces(spark, sf_dir)
+    sizes = pieces.select("_idx", F.array(F.size("token").cast("long")).alias("len"))
+    placed = packing.assign_bins(sizes, [CLIP], 8, **how).select("_idx", "row", F.col("segment").cast("long").alias("segment"), F.col("at")[0].alias("at"), F.col("size")[0].alias("size"))
+    return placed.join(pieces.select("_idx", "doc_id", "since"), "_idx").drop("_idx")
+
+
+def pck_and_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return catalogue._pack_and_batch(_pieces(spark, sf_dir).select("_idx", "token"))
+
+
+def pck_concat_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = _words(spark, sf_dir).select("_idx", F.array(F.size("token").cast("long")).alias("len"))
+    return catalogue._places(packing.assign_prefix_sums(df, CLIP, df.agg(F.max("_idx")).first()[0] + 1))
+
+
+def pck_concat_split_bos(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return catalogue._cut_with_bos(_words(spark, sf_dir))
+
+
+def _words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return catalogue._table(spark, sf_dir, "documents").select(F.col("doc_id").alias("_idx"), F.transform(F.split("text", " ", -1), lambda w: F.length(w).cast("long")).alias("token"))
+
+
+_PIECES = f"""SELECT row_number() OVER (ORDER BY doc_id, k) - 1 AS piece, doc_id, CAST(k AS BIGINT) AS since, CAST(least({CLIP}, n - k) AS BIGINT) AS n
+FROM (SELECT doc_id, n, unnest(range(0, greatest(n, 1), {CLIP})) AS k FROM (SELECT doc_id, coalesce(len(string_split(text, ' ')), 0) AS n FROM documents))"""
+_CLIPPED = f"least(len(string_split(text, ' ')), {CLIP})"
+
+
+def _piece_sql(**how) -> str:
+    """The catalogue's packing of pieces, whose numbers stand for documents."""
+    return catalogue._packing_sql(**how).replace(_CLIPPED, "n").replace("FROM documents)", f"FROM (SELECT piece AS doc_id, n FROM ({_PIECES})))", 1)
+
+
+for _name, _how, _same in (("first_fit", {}, {}), ("best_fit", {"best": True}, {"best": True}), ("max_seq", {"most": 3}, {"most": 3}), ("align", {"align": [64]}, {"align": 64}), ("workers", {"workers": 4}, {"workers": 4})):
+    _add(f"pck_{_name}", lambda spark, sf_dir, how=_how: _packed(spark, sf_dir, **how), f"SELECT f.row, f.segment, p.doc_id, p.since, f.at, f.size FROM ({_piece_sql(**_same)}) f JOIN ({_PIECES}) p ON p.piece = f.doc_id")
+_add("pck_and_batch", pck_and_batch, catalogue.oracle_sql()["pck_and_batch"].replace(catalogue._packing_sql(), _piece_sql()))
+_add("pck_concat_split", pck_concat_split, catalogue.oracle_sql()["pck_concat_split"].replace(_CLIPPED, "len(string_split(text, ' '))"))
+_add("pck_concat_split_bos", pck_concat_split_bos, catalogue.oracle_sql()["pck_concat_split_bos"].replace(f"[1:{CLIP}]", ""))
