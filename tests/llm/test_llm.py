@@ -7,6 +7,7 @@ from itertools import combinations
 
 import numpy as np
 import oracle
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -249,6 +250,22 @@ def test_neighbours_of_a_lone_group(spark):
     assert [r.vec_id for r in sorted(got, key=lambda r: r["rank"]) if r.query_id == 1200] == np.lexsort((np.arange(len(v)), -s))[:20].tolist()
 
 
+@pytest.mark.parametrize("kind", ["noise", "skewed norms"])
+def test_neighbours_read_all_lists_within_the_ratio(spark, kind):
+    rng = np.random.default_rng(6)
+    v = rng.normal(size=(1600, 1024))
+    if kind == "skewed norms":
+        v[7] *= 30
+    top = float(np.sqrt((v**2).sum(1)).max())
+    graph = ann.Graph.over(ann._level(v, top)[:1500])
+    asked = v[1500::10]
+    got = next(ann._lists(graph, top, ann.PRUNE, None, True).func(iter([pd.Series(asked.tolist())])))
+    x = np.pad(asked * (top / np.sqrt((asked**2).sum(1, keepdims=True))), ((0, 0), (0, 1)))
+    d = np.sqrt(((x[:, None] - graph.centroids[None]) ** 2).sum(-1))
+    want = [set(np.flatnonzero(row <= row.min() * (1 + ann.PRUNE)).tolist()) for row in d]
+    assert max(map(len, want)) > 512 and [set(ids.tolist()) for ids in got] == want
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline as p
 

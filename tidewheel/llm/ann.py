@@ -2,8 +2,8 @@
 
 Centroids are fitted on a bounded sample; every vector is indexed. Vectors near a boundary are replicated
 to all lists whose centroid is within (1 + REPLICATE) times the nearest one's distance, at most COPIES of
-them. Centroids are searched through an in-memory neighbour graph by best-first search, for vectors and
-queries alike; a query reads the lists within (1 + PRUNE) times its nearest distance. Long lists are cut
+them. Vectors search centroids through an in-memory neighbour graph, best first; queries, which are fewer,
+are held against all centroids and read every list within (1 + PRUNE) times their nearest distance. Long lists are cut
 into blocks of at most BLOCK vectors, so a list's length bounds no task. Scores are inner products in
 double precision, computed pair by pair on the original vectors; for the lists one more component levels
 the vectors' norms, so that near means a large inner product whatever the norms are.
@@ -37,8 +37,8 @@ REPLICATE, COPIES = 0.06, 3
 PRUNE = 0.11
 BLOCK = 4096
 DEGREE = 12
-#: Best-first search: centroids kept, opened at a step, and steps, for vectors and for queries.
-BEAM, WIDE = (16, 2, 16), (512, 16, 48)
+#: Best-first search of vectors: centroids kept, opened at a step, and steps.
+BEAM = (16, 2, 16)
 
 
 @dataclass
@@ -100,6 +100,11 @@ class Graph:
         order = np.argsort(dist, 1, kind="stable")[:, :width]
         return ids[rows, order], dist[rows, order]
 
+    def scan(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """As search, of all centroids, in their own order."""
+        d = (x**2).sum(1)[:, None] + (self.centroids**2).sum(1)[None] - 2 * x @ self.centroids.T
+        return np.broadcast_to(np.arange(len(self.centroids)), d.shape), np.sqrt(np.maximum(d, 0))
+
 
 def valid(vector: Column) -> Column:
     fine = F.forall(vector, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
@@ -132,7 +137,7 @@ def _level(x: np.ndarray, top: float) -> np.ndarray:
     return np.concatenate([x, np.sqrt(np.maximum(top**2 - (x**2).sum(1, keepdims=True), 0))], 1)
 
 
-def _lists(graph: Graph, top: float, ratio: float, beam: tuple[int, int, int], most: int | None, asks: bool = False):
+def _lists(graph: Graph, top: float, ratio: float, most: int | None, asks: bool = False):
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for vectors in batches:
             out = []
@@ -140,8 +145,8 @@ def _lists(graph: Graph, top: float, ratio: float, beam: tuple[int, int, int], m
                 x = np.array(vectors.iloc[at : at + 512].tolist(), np.float64)
                 # A query's length doesn't matter, so it takes the common one, with nothing in the last component.
                 x = np.pad(x * (top / np.sqrt((x**2).sum(1, keepdims=True))), ((0, 0), (0, 1))) if asks else _level(x, top)
-                ids, dist = graph.search(x, beam)
-                keep = (dist <= np.maximum(dist[:, :1], graph.usual) * (1 + ratio) + 1e-9) & (ids >= 0)
+                ids, dist = graph.scan(x) if asks else graph.search(x)
+                keep = (dist <= np.maximum(dist.min(1, keepdims=True), graph.usual) * (1 + ratio) + 1e-9) & (ids >= 0)
                 if most:
                     keep[:, most:] = False
                 out += [i[k].astype(np.int32) for i, k in zip(ids, keep, strict=True)]
@@ -197,7 +202,7 @@ def neighbours(rows: DataFrame, is_query: Column, k: int = 20, key: str = "vec_i
     graph = Graph.over(fit_centroids(picked, lists))
     graph.usual = float(np.median(graph.search(picked[:1000])[1][:, 0]))
 
-    placed = index.select("_id", "_v", F.explode(_lists(graph, top, REPLICATE, BEAM, COPIES)("_v")).alias("_list"))
+    placed = index.select("_id", "_v", F.explode(_lists(graph, top, REPLICATE, COPIES)("_v")).alias("_list"))
     placed = materialise(placed)
     sizes = placed.groupBy("_list").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("_blocks"))  # at most MOST_LISTS rows
     blocks = placed.join(F.broadcast(sizes), "_list").withColumn("_block", F.pmod(F.xxhash64("_id"), F.col("_blocks")).cast("int")).select("_list", "_block", "_id", "_v")
@@ -205,7 +210,7 @@ def neighbours(rows: DataFrame, is_query: Column, k: int = 20, key: str = "vec_i
     asking = fine.where("_asks").select("_id", "_v")
     # Queries with equal vectors share the search of the smallest id among them.
     shared = asking.groupBy("_v").agg(F.min("_id").alias("_q"))
-    asked = shared.select("_q", "_v", F.explode(_lists(graph, top, PRUNE, WIDE, None, True)("_v")).alias("_list"))
+    asked = shared.select("_q", "_v", F.explode(_lists(graph, top, PRUNE, None, True)("_v")).alias("_list"))
     best = Window.partitionBy("_q").orderBy(F.desc("_score"), "_id")
 
     def search(asked: DataFrame) -> DataFrame:
