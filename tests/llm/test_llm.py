@@ -130,6 +130,21 @@ def test_licenses(spark, con, odd, none):
     assert licenses.scan_licenses(none).count() == 0
 
 
+def test_edited_licenses(spark):
+    rows, want = [("Licensed under the Apache License 2.0", "apache-2.0", 5 / 7), ("Released under the terms of the MIT License", "mit", 1.0), ("with or without", "bsd-text", None)], []
+    for label, phrase in licenses.TEMPLATES.items():
+        w, votes = phrase.split(), len(phrase.split()) - 1
+        for i in range(1, len(w) - 1):
+            rows += [(" ".join([*w[:i], "zzz", *w[i:]]), label, (votes - 1) / votes), (" ".join([*w[:i], *w[i + 1 :]]), label, (votes - 2) / votes), (" ".join([*w[:i], "zzz", *w[i + 1 :]]), label, (votes - 2) / votes)]
+    df = spark.createDataFrame([(i, t) for i, (t, *_) in enumerate(rows)], "doc_id long, text string")
+    got = {r.doc_id: r for r in licenses.scan_licenses(df).collect()}
+    for i, (text, label, share) in enumerate(rows):
+        found = label in got[i].labels.split(",")
+        assert found == (share is not None and share >= licenses.SHARE), text
+        assert not found or got[i].score >= share - 1e-12, text
+    assert got[2].score == 0
+
+
 def test_packing_round_trip(spark, odd, none):
     from tokenizers import Tokenizer
 

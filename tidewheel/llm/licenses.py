@@ -4,7 +4,8 @@ The rolling word 2-grams of every text are joined with those of fixed templates.
 word t at text word w votes for the diagonal w - t. A base phrase stands where its diagonal has all
 its votes. Longer templates merge neighbouring diagonals (words put in or left out shift them), and a
 merged span counts once enough of the template's 2-grams voted for it. Votes compare the words behind
-the hashes, so a collision has none; for longer templates the next two words have to agree as well.
+the hashes, so a collision has none. A longer template's score counts all votes of a merged span that is a
+copy or has a vote behind which the next two words agree as well: a common word pair alone scores nothing.
 
 Edge cases: a null text is empty: no words, no places, empty labels, score 0; repeated rows have rows of
 their own; an empty table gives an empty result.
@@ -32,7 +33,7 @@ TEMPLATES = {
 WORDS = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Diagonals at most so far apart merge; a merged span needs this share of its template's votes.
 NEAR, SHARE = 3, 0.6
-#: Words that have to agree after a template's matching word, itself included, beyond the 2-gram.
+#: Words from a template's matching word on that have to agree somewhere in a span for a score below SHARE.
 LOOK = 4
 
 
@@ -60,19 +61,19 @@ def license_votes(docs: DataFrame, key: str, text: str, base: dict[str, str], te
     grams = grams.withColumn("_hash", F.when(F.col("pos") >= 0, F.xxhash64(w(0), w(1))))
     t = F.broadcast(template_grams(docs.sparkSession, base, templates))
     agree = (F.col("_hash") == F.col("t_hash")) & (w(0) == F.col("t_w0")) & (w(1) == F.col("t_w1"))
-    agree &= (F.col("t_look") == 0) | (F.array_join(F.slice(F.col("_w"), F.col("pos") + 3, F.col("t_look")), " ") == F.col("t_ahead"))
-    return grams.join(t, agree, "left").where("pos = -1 or t_label is not null").select("_id", "_row", "_n", "pos", "t_label", "t_base", "t_len", "t_pos")
+    firm = (F.col("t_look") == 0) | (F.array_join(F.slice(F.col("_w"), F.col("pos") + 3, F.col("t_look")), " ") == F.col("t_ahead"))
+    return grams.join(t, agree, "left").where("pos = -1 or t_label is not null").select("_id", "_row", "_n", "pos", "t_label", "t_base", "t_len", "t_pos", firm.alias("firm"))
 
 
 def scan_licenses(docs: DataFrame, key: str = "doc_id", text: str = "text", base: dict[str, str] = BASE, templates: dict[str, str] = TEMPLATES) -> DataFrame:
     """One row for each row of docs: key, n_words, n_base, first_word, last_word, base_labels, labels, score, spans (label, first and last word)."""
     votes = license_votes(docs, key, text, base, templates).repartition("_row")
-    diagonals = votes.groupBy("_row", "_id", "_n", "t_label", "t_base", "t_len", (F.col("pos") - F.col("t_pos")).alias("diagonal")).agg(F.count(F.lit(1)).alias("votes"), F.min("pos").alias("first"), F.max("pos").alias("last"))
+    diagonals = votes.groupBy("_row", "_id", "_n", "t_label", "t_base", "t_len", (F.col("pos") - F.col("t_pos")).alias("diagonal")).agg(F.count(F.lit(1)).alias("votes"), F.min("pos").alias("first"), F.max("pos").alias("last"), F.max("firm").alias("firm"))
     along = Window.partitionBy("_row", "t_label").orderBy("diagonal")
     gap = F.col("diagonal") - F.lag("diagonal").over(along)
     starts = F.when(gap.isNull() | F.coalesce(F.col("t_base"), F.lit(True)) | (gap > NEAR), 1).otherwise(0)
     spans = diagonals.withColumn("_new", starts).withColumn("_span", F.sum("_new").over(along))
-    spans = spans.groupBy("_row", "_id", "_n", "t_label", "t_base", "t_len", "_span").agg(F.sum("votes").alias("votes"), F.min("first").alias("first"), F.max("last").alias("last"))
+    spans = spans.groupBy("_row", "_id", "_n", "t_label", "t_base", "t_len", "_span").agg(F.sum("votes").alias("votes"), F.min("first").alias("first"), F.max("last").alias("last"), F.max("firm").alias("firm"))
     share = F.least(F.lit(1.0), F.col("votes") / (F.col("t_len") - 1))
     # A span that reaches much farther than its template is no copy of it.
     fits = (F.col("last") - F.col("first") + 2) <= F.col("t_len") * 1.5 + NEAR
@@ -82,6 +83,6 @@ def scan_licenses(docs: DataFrame, key: str = "doc_id", text: str = "text", base
     found = spans.groupBy("_row", "_id", "_n").agg(
         F.count_if(is_base).alias("n_base"), F.min(F.when(is_base, F.col("first"))).cast("long").alias("first_word"), F.max(F.when(is_base, F.col("first"))).cast("long").alias("last_word"),
         F.array_join(F.array_sort(F.collect_set(F.when(is_base, F.col("t_label")))), ",").alias("base_labels"), F.array_join(F.array_sort(F.collect_set(F.when(F.col("_good"), F.col("t_label")))), ",").alias("labels"),
-        F.coalesce(F.max(F.when(F.col("t_base"), F.when(F.col("_good"), 1.0)).when(F.col("t_label").isNotNull(), F.col("_share"))), F.lit(0.0)).alias("score"),
+        F.coalesce(F.max(F.when(F.col("t_base"), F.when(F.col("_good"), 1.0)).when(F.col("t_label").isNotNull() & (F.col("_good") | F.col("firm")), F.col("_share"))), F.lit(0.0)).alias("score"),
         F.array_sort(F.collect_list(F.when(F.col("_good"), F.struct("first", (F.col("last") + 1).alias("last"), F.col("t_label").alias("label"))))).alias("spans"))
     return found.select(F.col("_id").alias(key), F.col("_n").alias("n_words"), "n_base", "first_word", "last_word", "base_labels", "labels", "score", "spans")
