@@ -15,8 +15,10 @@ from tidewheel.llm.shared import materialise, table
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier doesn't reject."""
+    """Documents that the classifier doesn't reject; all of them if it had no labelled rows of both classes."""
     model = quality.train(docs, table(spark, sf_dir, "labels"))
+    if not model.learnt:
+        return docs
     return quality.classify(docs, model).where("predicted = 1").select(*docs.columns)
 
 

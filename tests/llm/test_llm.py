@@ -298,3 +298,12 @@ def test_pipeline_stages(spark):
         before = docs
     pieces = p.STAGES[-1][1](spark, docs, SF)
     assert {r.doc_id for r in pieces.select("doc_id").distinct().collect()} == {r.doc_id for r in docs.collect()}
+
+
+@pytest.mark.parametrize("labels", [[], [(1, None), (2, None)], [(10**9, 1), (10**9 + 1, 0)], [(i, 0) for i in range(50)]])
+def test_quality_stage_without_usable_labels(spark, tmp_path, labels):
+    import corpus_pipeline as p
+
+    spark.createDataFrame(labels, "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    assert sorted(r.doc_id for r in p.good_quality(spark, docs, str(tmp_path)).collect()) == sorted(r.doc_id for r in docs.collect())

@@ -73,6 +73,8 @@ class Machine:
     v: np.ndarray
     mean: np.ndarray
     std: np.ndarray
+    #: Whether labelled rows of both classes were there to learn from.
+    learnt: bool = True
 
     def stats(self, s: np.ndarray) -> np.ndarray:
         return np.clip((s - self.mean) / self.std, -4, 4) / np.sqrt(STATS)
@@ -102,6 +104,7 @@ def fit(parts: list, labels: np.ndarray, epochs: int = 8, batch: int = 256, rate
     m = Machine(float(np.log((share + 1e-3) / (1 - share + 1e-3))), np.zeros(DIMS + STATS), rng.normal(0, 0.05, (DIMS + STATS, RANK)), s.mean(0), np.where(std > 1e-6, std, 1.0))
     if not len(labels) or not 0 < share < 1:
         m.v[:] = 0
+        m.learnt = False
         return m
     state = [[np.zeros_like(p), np.zeros_like(p)] for p in (m.w, m.v)]
     step = 0
