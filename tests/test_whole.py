@@ -90,3 +90,8 @@ def test_every_word_is_packed(spark, con):
         assert sum(r.used for r in whole.queries()[f"whole_{name}"](spark, SF).collect()) == sum(sizes.values())
     cut = whole.queries()["whole_pck_concat_split"](spark, SF).collect()
     assert sum(r["size"] for r in cut) == sum(sizes.values()) and max(sum(r.doc_id == d for r in cut) for d in (max(sizes, key=sizes.get),)) >= 3
+
+
+def test_gathers_reach_every_row(spark, con):
+    got = [r.o_orderkey for r in whole.queries()["whole_idx_reindex"](spark, SF).collect()]
+    assert sorted(got) == [k for (k,) in con.execute("SELECT o_orderkey FROM orders ORDER BY 1").fetchall()]

@@ -6,6 +6,7 @@ Window shuffles need a seed for each window, and two queries are beyond SQL: tes
 from __future__ import annotations
 
 from collections.abc import Callable
+from math import gcd
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -152,3 +153,20 @@ for _name, _how, _same in (("first_fit", {}, {}), ("best_fit", {"best": True}, {
 _add("pck_and_batch", pck_and_batch, catalogue.oracle_sql()["pck_and_batch"].replace(catalogue._packing_sql(), _piece_sql()))
 _add("pck_concat_split", pck_concat_split, catalogue.oracle_sql()["pck_concat_split"].replace(_CLIPPED, "len(string_split(text, ' '))"))
 _add("pck_concat_split_bos", pck_concat_split_bos, catalogue.oracle_sql()["pck_concat_split_bos"].replace(f"[1:{CLIP}]", ""))
+
+
+def idx_reindex(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ds = catalogue._orders(spark, sf_dir)
+    cycle = ds.n // gcd(ds.n, 37)
+    return catalogue._rows(ds.slice([(i * 37 + i // cycle) % ds.n for i in range(ds.n)]), "o_orderkey")
+
+
+_add("idx_reindex", idx_reindex, f"WITH s AS ({ROWS}), n AS (SELECT count(*) AS n FROM s) SELECT t.i AS idx, s.o_orderkey FROM s t, n JOIN s ON s.i = (t.i * 37 + t.i // (n // gcd(n, 37))) % n")
+
+
+def idx_selection_map(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a, b = (catalogue._orders(spark, sf_dir, s).map(o_orderkey="o_orderkey", which=F.lit(s)) for s in "FO")
+    return catalogue._rows(catalogue.MapPipeline.select_from([a, b], [(1, b.n - 1 - i) for i in range(b.n)] + [(0, a.n - 1 - i) for i in range(a.n)]), "which", "o_orderkey")
+
+
+_add("idx_selection_map", idx_selection_map, f"WITH a AS ({ROWS}), b AS ({SECOND}) SELECT (SELECT count(*) FROM b) - 1 - i AS idx, 'O' AS which, o_orderkey FROM b UNION ALL SELECT (SELECT count(*) FROM b) + (SELECT count(*) FROM a) - 1 - i, 'F', o_orderkey FROM a")
