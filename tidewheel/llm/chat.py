@@ -7,10 +7,13 @@ role share a block; a mark between them keeps them apart, so that reading back l
 
 Inside roles and texts a backslash is doubled, and `\-` breaks every control string after its first
 character, both its own marks and common ones of other templates; decode() undoes both in one pass.
-Every piece is built on its own from its neighbour's role, so the work is linear in the conversation.
+Every piece is built on its own from its neighbour's role and pieces are joined once, so the work is linear in
+the conversation; merging blocks by an aggregate that grows would be quadratic.
 
-Edge cases: a null role or text counts as empty; a null turn sorts first; repeated rows are turns of
-their own; a null conversation id is a conversation; an empty table gives no rows.
+Edge cases: a null role or text counts as empty; a null turn sorts first; turns that tie are ordered by role,
+then text; repeated rows are turns of their own; texts are kept whole, and a conversation must fit one string
+(2 GB); a null conversation id is a conversation; an empty table gives no rows. Columns but the four named
+are not read, whatever their names.
 """
 
 from __future__ import annotations

@@ -2,11 +2,14 @@
 
 Texts are grouped by the pair (hash, normalised text), so two texts that share a hash never share a
 group: the grouping compares their bytes. Map-side aggregation leaves one copy of a text for each task,
-whatever the size of its group. Rows then find their group by (hash, SHA-256), which are narrow; only
-groups of two rows or more are joined, and adaptive execution splits a hot key.
-
-Edge cases: a null text counts as empty; equal texts with null ids keep an id that isn't null if there
-is one; of rows that repeat the smallest id exactly one stays; an empty table gives an empty result.
+whatever the size of its group. Rows then find their group by SHA-256, which is taken once of each row and
+once more of each text of a group; only groups of two rows or more are joined, and adaptive execution
+splits a hot key. Two texts of one SHA-256, of which one has copies, would stop the query with an error.
+
+Edge cases: a null text counts as empty; texts are compared whole, whatever their length; equal texts with
+null ids keep an id that isn't null if there is one; of rows that repeat the smallest id exactly one stays
+(a tie that no column decides); an empty table gives an empty result. exact_dedup reads no other columns;
+keep_first returns all columns of docs, whatever their names.
 """
 
 from __future__ import annotations
@@ -14,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewheel.llm.shared import materialise, without
+from tidewheel.llm.shared import materialise, one_of_each, without
 
 #: White space of the ASCII range, as the contract lists it.
 SPACES = r"[\x20\x09-\x0D]+"
@@ -32,22 +35,20 @@ def content_hash(text: Column) -> Column:
 
 
 def duplicate_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", hashed=content_hash) -> DataFrame:
-    """Groups of two rows or more: _hash, _sha, keep_id, group_size. hashed: may be weak, as in tests."""
+    """Groups of two rows or more: _sha, keep_id, group_size. hashed: may be weak, as in tests."""
     rows = docs.select(F.col(key).alias("_id"), normalised(F.col(text)).alias("_norm")).withColumn("_hash", hashed(F.col("_norm")))
     groups = rows.groupBy("_hash", "_norm").agg(F.min("_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-    # Once for each distinct text; texts that share both digests would be told apart no longer, so this fails loudly.
-    groups = groups.select("_hash", F.unhex(F.sha2("_norm", 256)).alias("_sha"), "keep_id", "group_size")
-    same = F.count(F.lit(1)).over(Window.partitionBy("_hash", "_sha"))
-    checked = F.when(same > 1, F.raise_error(F.lit("two texts share both digests")).cast("long")).otherwise(F.col("group_size"))
-    return materialise(groups.withColumn("group_size", checked).where("group_size > 1"))
+    groups = groups.where("group_size > 1").select(F.unhex(F.sha2("_norm", 256)).alias("_sha"), "keep_id", "group_size")
+    same = F.count(F.lit(1)).over(Window.partitionBy("_sha"))
+    checked = F.when(same > 1, F.raise_error(F.lit("two texts share a digest")).cast("long")).otherwise(F.col("group_size"))
+    return materialise(groups.withColumn("group_size", checked))
 
 
 def exact_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", hashed=content_hash) -> DataFrame:
     """One row for each row of docs: key, keep_id, group_size, kept, text_sha256."""
     groups = duplicate_groups(docs, key, text, hashed)
-    rows = docs.select(F.col(key).alias("_id"), normalised(F.col(text)).alias("_norm")).select("_id", hashed(F.col("_norm")).alias("_hash"), F.sha2("_norm", 256).alias("text_sha256"))
-    rows = rows.withColumn("_sha", F.unhex("text_sha256"))
-    joined = rows.join(groups, ["_hash", "_sha"], "left").select(
+    rows = docs.select(F.col(key).alias("_id"), F.sha2(normalised(F.col(text)), 256).alias("text_sha256")).withColumn("_sha", F.unhex("text_sha256"))
+    joined = rows.join(groups, "_sha", "left").select(
         "_id", F.when(F.col("group_size").isNull(), F.col("_id")).otherwise(F.col("keep_id")).alias("keep_id"),
         F.coalesce("group_size", F.lit(1)).alias("group_size"), "text_sha256")
     nth = F.row_number().over(Window.partitionBy("_id", "text_sha256", "keep_id").orderBy("group_size"))
@@ -56,12 +57,11 @@ def exact_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", hashed
 
 def keep_first(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of docs that exact_dedup keeps, with all their columns."""
-    dropped = materialise(exact_dedup(docs, key, text).where(~F.col("kept")).select(F.col(key).alias("_dropped"), F.unhex("text_sha256").alias("_of"), "keep_id"))
-    left = docs.withColumn("_sha256", F.unhex(F.sha2(normalised(F.col(text)), 256)))
-    repeats = F.col("_dropped").eqNullSafe(F.col("keep_id"))
-    others = dropped.where(~repeats).select("_dropped", "_of").distinct()
-    left = without(left, others, [F.col("_sha256"), F.col(key)], ["_of", "_dropped"])
-    if not dropped.where(repeats).isEmpty():  # rows that repeat a smallest id: one of each stays
-        nth = F.row_number().over(Window.partitionBy("_sha256").orderBy("_sha256"))
-        left = left.withColumn("_nth", nth).where("_nth = 1")
-    return left.select(*docs.columns)
+    dropped = materialise(exact_dedup(docs, key, text).where(~F.col("kept")).select(F.col(key).alias("dropped"), F.unhex("text_sha256").alias("of"), "keep_id"))
+    repeats = F.col("dropped").eqNullSafe(F.col("keep_id"))
+    sha = F.unhex(F.sha2(normalised(F.col(text)), 256))
+    left = without(docs, materialise(dropped.where(~repeats).select("dropped", "of").distinct()), [sha, F.col(key)], ["of", "dropped"])
+    if dropped.where(repeats).isEmpty():
+        return left
+    # Rows that repeat a smallest id: a text has one id left by now, so one row of it stays.
+    return one_of_each(left, materialise(dropped.where(repeats).select("of").distinct()), [sha], ["of"])

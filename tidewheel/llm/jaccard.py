@@ -13,20 +13,25 @@ all before its texts are compared:
 
 Parity sketches of 512 bits, whose difference never exceeds the sets', spare most remaining comparisons.
 
-Equal sets are one class from the start. In each bucket all members are held against its smallest id
-first, a number of pairs in proportion to the members; verified links make components, and only members
-of different components that still share a bucket are compared after that, so a group of copies costs no
-pair within it, and no link between different texts is lost. Components come from minimum labels with
-pointer jumping, on tables in the shared folder.
-
-Edge cases: ASCII letters are lowered and ASCII white space separates words; a text with fewer words
-than a shingle is one shingle; a null text, or one without words, has none and links with nothing;
-repeated rows are in one component; of several texts under one id, one looks for links beyond equal sets; null ids take no
-part in links and keep a null component; an empty table gives an empty result; other columns are unused.
+Equal sets are one class from the start: a class is a node with a number of its own. In each bucket all
+members are held against its smallest node first, a number of pairs in proportion to the members; verified
+links make components, and only members of different components that still share a bucket are compared
+after that, so a group of copies costs no pair within it. Those buckets are dealt out by bands of set size,
+as sets of far sizes can't link, and bands of more than BLOCK members by salted blocks. Connectivity is
+whole; links inside a component that it doesn't need are neither compared nor counted. Components come from
+minimum labels with pointer jumping, on tables in the shared folder.
+
+Edge cases: ASCII letters are lowered and ASCII white space separates words; texts are read whole, whatever
+their length; a text with fewer words than a shingle is one shingle; a null text, or one without words, has
+none and links with nothing; rows of equal texts (repeated rows too) are in one component; several texts
+under one id are nodes of their own; null ids take no part in links and keep a null component; an empty
+table gives an empty result. jaccard_components reads no other columns; keep_one returns all columns of
+docs, whatever their names, and of repeated rows of one id and text it keeps one.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
@@ -38,11 +43,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from xxhash import xxh3_64_intdigest, xxh128_digest
 
-from tidewheel.llm.shared import BITS, materialise, without
+from tidewheel.llm.shared import KeyFilter, matching, materialise, one_of_each, without
 from tidewheel.session import ship
 
 #: Words remembered by a worker before it forgets them all.
 MOST_WORDS = 100_000
+#: Members of a bucket's band that one block of the second pass holds.
+BLOCK = 2048
 #: Bits of a parity sketch: two sets differ in as many shingles at least as their sketches do in bits.
 SKETCH = 512
 
@@ -104,18 +111,18 @@ class Threshold:
 
 
 def describe(docs: DataFrame, key: str, text: str, width: int, t: Threshold) -> DataFrame:
-    """For each row: key, n (shingles), sig (of the set), first (prefix by hash), keep, need, other (prefix by another hash, 32 bits each), sketch (parities)."""
+    """For each row: key, h (of its text), n (shingles), sig (of the set), first (prefix by hash), keep, need, other (prefix by another hash, 32 bits each), sketch (parities)."""
     ship(docs.sparkSession)
-    rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
+    rows = docs.select(F.col(key).alias("key"), F.xxhash64(text).alias("h"), F.col(text).alias("text"))
     fields = (("n", T.LongType()), ("sig", T.BinaryType()), ("first", T.ArrayType(T.LongType())), ("keep", T.IntegerType()), ("need", T.IntegerType()), ("other", T.ArrayType(T.IntegerType())), ("sketch", T.ArrayType(T.LongType())))
-    schema = T.StructType([rows.schema["key"], *(T.StructField(n, kind) for n, kind in fields)])
+    schema = T.StructType([rows.schema["key"], rows.schema["h"], *(T.StructField(n, kind) for n, kind in fields)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo in range(0, batch.num_rows, 1000):
                 part = batch.slice(lo, 1000)
                 ns, sigs, firsts, keeps, needs, others, sketches = [], [], [], [], [], [], []
-                for x in part.column(1):
+                for x in part.column(2):
                     s = shingles(x.as_py(), width)
                     n = len(s)
                     ns.append(n)
@@ -136,27 +143,28 @@ def describe(docs: DataFrame, key: str, text: str, width: int, t: Threshold) ->
                     others.append((np.partition(b, p - 1)[:p] & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32))
                     sketches.append(np.packbits(np.bincount((s & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH) & 1).view(np.int64))
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(ns, pa.int64()), pa.array(sigs, pa.binary()), pa.array(firsts, pa.list_(pa.int64())), pa.array(keeps, pa.int32()), pa.array(needs, pa.int32()), pa.array(others, pa.list_(pa.int32())), pa.array(sketches, pa.list_(pa.int64()))],
-                    names=["key", *(n for n, _ in fields)])
+                    [part.column(0), part.column(1), pa.array(ns, pa.int64()), pa.array(sigs, pa.binary()), pa.array(firsts, pa.list_(pa.int64())), pa.array(keeps, pa.int32()), pa.array(needs, pa.int32()), pa.array(others, pa.list_(pa.int32())), pa.array(sketches, pa.list_(pa.int64()))],
+                    names=["key", "h", *(n for n, _ in fields)])
 
     return rows.mapInArrow(run, schema)
 
 
 def distinct_sets(sets: DataFrame) -> DataFrame:
-    """One row for each distinct set that may have a partner, under its smallest key."""
-    classes = sets.where(F.col("key").isNotNull() & (F.col("need") > 0)).groupBy("sig").agg(F.min_by(F.struct("key", "n", "keep", "need", F.size("first").alias("longer"), "other", "sketch"), "key").alias("r"))
-    return classes.select("r.*").dropDuplicates(["key"])
+    """A node for each distinct set that may have a partner: node (numbered as written), and the row of its smallest key and text hash."""
+    fields = F.struct("key", "h", "n", "keep", "need", F.size("first").alias("longer"), "other", "sketch")
+    classes = sets.where(F.col("key").isNotNull() & (F.col("need") > 0)).groupBy("sig").agg(F.min_by(fields, F.struct("key", "h")).alias("r"))
+    return classes.select(F.monotonically_increasing_id().alias("node"), "sig", "r.*")
 
 
 def buckets(sets: DataFrame, nodes: DataFrame) -> DataFrame:
-    """token, key, n: the places where pairs can meet; keys are those of nodes."""
-    postings = sets.where("need > 0 and key is not null").select("key", F.explode("first").alias("token"))
+    """token, node, n: the places where pairs can meet."""
+    postings = sets.where("need > 0 and key is not null").select("key", "h", F.explode("first").alias("token"))
     shared = postings.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
-    hits = postings.join(shared, "token").join(nodes.select("key", "n", "keep", "need", "longer"), "key").dropDuplicates(["key", "token"])
-    of = Window.partitionBy("key")
+    hits = postings.join(shared, "token").join(nodes.select("node", "key", "h", "n", "keep", "need", "longer"), ["key", "h"]).dropDuplicates(["node", "token"])
+    of = Window.partitionBy("node")
     hits = hits.withColumn("found", F.count(F.lit(1)).over(of)).withColumn("nth", F.row_number().over(of.orderBy("df", "token")))
     # Shingles that no other document has come first in the second order; they meet nobody.
-    return hits.where("found >= need and nth <= keep - (longer - found)").select("token", "key", "n")
+    return hits.where("found >= need and nth <= keep - (longer - found)").select("token", "node", "n")
 
 
 def _near_sizes(a: str, b: str, t: Threshold):
@@ -170,17 +178,19 @@ def _near_sketches(a: str, b: str, sizes: str, t: Threshold):
 
 
 def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, key: str, text: str, width: int, t: Threshold) -> DataFrame:
-    """Of the pairs (a, b): those that pass the third order and whose texts are near enough."""
+    """Of the pairs (a, b) of nodes: those that pass the third order and whose texts are near enough."""
     pairs = materialise(pairs)
-    left = nodes.select(F.col("key").alias("a"), F.col("other").alias("other_a"), F.col("sketch").alias("sketch_a"), F.col("n").alias("n_a"))
-    right = nodes.select(F.col("key").alias("b"), F.col("other").alias("other_b"), F.col("sketch").alias("sketch_b"), F.col("n").alias("n_b"))
+    side = lambda x: nodes.select(F.col("node").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("key", "h", "n", "other", "sketch")])
     pass_all = F.arrays_overlap("other_a", "other_b") & _near_sketches("sketch_a", "sketch_b", "n_a + n_b", t)
-    first = needed(pairs, left, "a").join(pairs, "a").alias("l")
-    second = needed(pairs, right, "b").alias("r")
-    pairs = materialise(first.join(second, (F.col("l.b") == F.col("r.b")) & pass_all).select("a", "l.b"))
-    rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
-    left, right = rows.withColumnsRenamed({"key": "a", "text": "text_a"}), rows.withColumnsRenamed({"key": "b", "text": "text_b"})
-    full = needed(pairs, left, "a").join(pairs, "a").join(needed(pairs, right, "b"), "b")
+    first = matching(side("a"), ["a"], pairs.select("a"), ["a"]).join(pairs, "a").alias("l")
+    second = matching(side("b"), ["b"], pairs.select("b"), ["b"]).alias("r")
+    pairs = materialise(first.join(second, (F.col("l.b") == F.col("r.b")) & pass_all).select("a", "l.b", "key_a", "h_a", "key_b", "h_b"))
+
+    def texts(x: str) -> DataFrame:
+        rows = docs.select(F.col(key).alias(f"key_{x}"), F.xxhash64(text).alias(f"h_{x}"), F.col(text).alias(f"text_{x}"))
+        return matching(rows, [f"key_{x}", f"h_{x}"], pairs.select(f"key_{x}", f"h_{x}"), [f"key_{x}", f"h_{x}"])
+
+    full = texts("a").join(pairs, ["key_a", "h_a"]).join(texts("b"), ["key_b", "h_b"])
     schema = T.StructType([full.schema["a"], full.schema["b"]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -199,12 +209,26 @@ def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, key: str, text
     return materialise(full.select("a", "b", "text_a", "text_b").mapInArrow(run, schema).distinct())
 
 
-def needed(pairs: DataFrame, rows: DataFrame, key: str) -> DataFrame:
-    """Rows whose key pairs may hold: most others leave before any shuffle, by a bit table of a fixed size."""
-    bit = F.pmod(F.xxhash64(key), F.lit(BITS))
-    words = pairs.select(bit.alias("h")).groupBy(F.expr("h >> 6").alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(h & 63 as int)))").alias("mask"))
-    found = rows.withColumn("h", bit).withColumn("w", F.expr("h >> 6")).join(F.broadcast(words), "w").where(F.expr("bit_get(mask, cast(h & 63 as int)) = 1"))
-    return found.select(*rows.columns)
+def across_components(placed: DataFrame, nodes: DataFrame, t: Threshold) -> DataFrame:
+    """Pairs (a, b) of members (token, node, n, comp) of different components that share a bucket, without those its smallest node has met.
+
+    A band holds sizes within den / num of each other, so partners are in one band or in neighbouring ones.
+    The larger side is dealt over blocks, the smaller one is sent to each of them. The sketches stand in the
+    join's condition, so few pairs leave it.
+    """
+    open_ = placed.groupBy("token").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.min("node").alias("p"), F.count(F.lit(1)).alias("c")).where("x <> y and c > 2").select("token", "p")
+    band = F.floor(F.log("n") / math.log(t.den / t.num * (1 + 1e-6))).cast("int") if t.num < t.den else F.col("n").cast("int")
+    rest = placed.join(open_, "token").where("node <> p").join(nodes.select("node", "sketch"), "node").select("token", "node", "n", "comp", "sketch", band.alias("band"))
+    rest = materialise(rest)
+    blocks = rest.groupBy("token", "band").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks")).where("blocks > 1")
+    left = rest.join(blocks, ["token", "band"], "left").withColumn("block", F.pmod(F.xxhash64("node"), F.coalesce("blocks", F.lit(1))).cast("int")).drop("blocks")
+    right = rest.withColumn("own", F.col("band")).withColumn("band", F.explode(F.array("own", F.col("own") + 1))).join(blocks, ["token", "band"], "left")
+    right = right.select("token", "band", "own", F.explode(F.sequence(F.lit(0), F.coalesce("blocks", F.lit(1)) - 1)).alias("block"), F.col("node").alias("other"), F.col("n").alias("m"), F.col("comp").alias("comp_b"), F.col("sketch").alias("sketch_b"))
+    left, right = left.alias("x"), right.alias("y")
+    met = (F.col("x.token") == F.col("y.token")) & (F.col("x.band") == F.col("y.band")) & (F.col("x.block") == F.col("y.block"))
+    once = (F.col("own") < F.col("x.band")) | (F.col("node") > F.col("other"))
+    near = met & once & (F.col("comp") != F.col("comp_b")) & _near_sizes("n", "m", t) & _near_sketches("sketch", "sketch_b", "n + m", t)
+    return left.join(right, near).select(F.greatest("node", "other").alias("a"), F.least("node", "other").alias("b")).distinct()
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -224,35 +248,40 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, num: int = 8, den: int = 10, extra: float = 0.25) -> DataFrame:
-    """One row for each row of docs: key, n_shingles, component_id."""
-    t = Threshold(num, den, extra)
+def labelled(docs: DataFrame, key: str, text: str, width: int, t: Threshold) -> DataFrame:
+    """key, h, n, component for each row of docs."""
     sets = materialise(describe(docs, key, text, width, t))
     nodes = materialise(distinct_sets(sets))
     meet = materialise(buckets(sets, nodes))
-    pivots = meet.groupBy("token").agg(F.min(F.struct("key", "n")).alias("p"), F.count(F.lit(1)).alias("c")).where("c > 1").select("token", F.col("p.key").alias("b"), F.col("p.n").alias("m"))
-    stars = meet.join(pivots, "token").where((F.col("key") != F.col("b")) & _near_sizes("n", "m", t)).select(F.col("key").alias("a"), "b").distinct()
+    pivots = meet.groupBy("token").agg(F.min(F.struct("node", "n")).alias("p"), F.count(F.lit(1)).alias("c")).where("c > 1").select("token", F.col("p.node").alias("b"), F.col("p.n").alias("m"))
+    stars = meet.join(pivots, "token").where((F.col("node") != F.col("b")) & _near_sizes("n", "m", t)).select(F.col("node").alias("a"), "b").distinct()
     links = verified(stars, nodes, docs, key, text, width, t)
 
     found = components(links)
-    placed = meet.join(found, "key", "left").select("token", "key", "n", F.coalesce("component", "key").alias("comp"))
-    open_ = placed.groupBy("token").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.min("key").alias("p"), F.count(F.lit(1)).alias("c")).where("x <> y and c > 2").select("token", "p")
-    # The pivot met everybody already. The sketches stand in the join's condition, so few pairs leave it.
-    rest = placed.join(open_, "token").where("key <> p").join(nodes.select("key", "sketch"), "key").select("token", "key", "n", "comp", "sketch")
-    rest = materialise(rest).alias("x")
-    other = rest.select("token", F.col("key").alias("b"), F.col("n").alias("m"), F.col("comp").alias("comp_b"), F.col("sketch").alias("sketch_b")).alias("y")
-    near = (F.col("x.token") == F.col("y.token")) & (F.col("key") > F.col("b")) & (F.col("comp") != F.col("comp_b")) & _near_sizes("n", "m", t) & _near_sketches("sketch", "sketch_b", "n + m", t)
-    across = rest.join(other, near).select(F.col("key").alias("a"), "b").distinct()
-    more = verified(across, nodes, docs, key, text, width, t)
+    placed = meet.join(found.withColumnRenamed("key", "node"), "node", "left").select("token", "node", "n", F.coalesce("component", "node").alias("comp"))
+    more = verified(across_components(placed, nodes, t), nodes, docs, key, text, width, t)
     found = found if more.isEmpty() else components(reduce(DataFrame.union, [links, more]))
 
+    # A component is named by the smallest key of its classes.
+    linked = found.join(nodes.select(F.col("node").alias("key"), F.col("key").alias("own"), "sig"), "key").select("sig", "own", "component")
+    names = linked.groupBy("component").agg(F.min("own").alias("named"))
+    linked = linked.join(names, "component").select("sig", "named")
     classes = sets.where("n > 0 and key is not null").groupBy("sig").agg(F.min("key").alias("rep"), F.count(F.lit(1)).alias("c"))
-    named = classes.join(found, F.col("rep") == F.col("key"), "left").where("c > 1 or component is not null").select("sig", F.coalesce("component", "rep").alias("component"))
-    out = sets.select("key", "n", F.when((F.col("n") > 0) & F.col("key").isNotNull(), F.col("sig")).alias("sig")).join(materialise(named), "sig", "left")
-    return out.select(F.col("key").alias(key), F.col("n").alias("n_shingles"), F.coalesce("component", "key").alias("component_id"))
+    known = classes.join(linked, "sig", "left").where("c > 1 or named is not null").select("sig", F.coalesce("named", "rep").alias("component"))
+    out = sets.select("key", "h", "n", F.when((F.col("n") > 0) & F.col("key").isNotNull(), F.col("sig")).alias("sig")).join(materialise(known), "sig", "left")
+    return out.select("key", "h", "n", F.coalesce("component", "key").alias("component"))
+
+
+def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, num: int = 8, den: int = 10, extra: float = 0.25) -> DataFrame:
+    """One row for each row of docs: key, n_shingles, component_id."""
+    rows = labelled(docs, key, text, width, Threshold(num, den, extra))
+    return rows.select(F.col("key").alias(key), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
 
 
-def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", **how) -> DataFrame:
-    """The rows of docs whose id is their component's; all their columns."""
-    gone = jaccard_components(docs, key, text, **how).where(F.col("component_id") != F.col(key)).select(F.col(key).alias("_gone")).distinct()
-    return without(docs, materialise(gone), [F.col(key)], ["_gone"])
+def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, num: int = 8, den: int = 10, extra: float = 0.25) -> DataFrame:
+    """The rows of docs whose id is their component's (rows with a null id, or without words, stay); all their columns."""
+    rows = labelled(docs, key, text, width, Threshold(num, den, extra))
+    gone = materialise(rows.where(F.col("component") != F.col("key")).select("key", "h").distinct())
+    left = without(docs, gone, [F.col(key), F.xxhash64(text)], ["key", "h"])
+    again = rows.where("component = key and n > 0").groupBy("key", "h").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("key", "h")
+    return one_of_each(left, materialise(again), [F.col(key), F.xxhash64(text)], ["key", "h"])

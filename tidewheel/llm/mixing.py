@@ -12,8 +12,10 @@ longest prefix, in that epoch's seeded order, whose tokens fit the rest. The pre
 sums over 4,096 hash buckets a leaf and running sums inside one bucket, so no leaf meets in one task;
 documents then compare themselves with their leaf's end, without being shuffled.
 
-Edge cases: null level values form a node of their own; a null text has the end token's one token; repeated
-ids stand or fall together; an empty table gives an empty result.
+Edge cases: null level values form a node of their own; a null text has the end token's one token; texts of
+any length count whole; repeated ids stand or fall together, and a prefix ends before the first document that
+doesn't fit, so ties in the order can't arise between different ids; an empty table gives an empty result.
+The columns of docs stay, whatever their names, but for one named epoch, which the result's replaces.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewheel.llm.shared import materialise
+from tidewheel.llm.shared import materialise, others
 
 NONE = "(none)"
 #: Leaves up to this many are sent to every executor (counted first); more meet the documents in a join.
@@ -35,9 +37,10 @@ def utf8_tokens(text: Column) -> Column:
     return (F.ceil(F.coalesce(F.octet_length(text), F.lit(0)) / 4) + 1).cast("long")
 
 
-def word_domain(source: Column) -> Column:
-    """The letters that begin a source's name."""
-    return F.coalesce(F.regexp_extract(source, "^([A-Za-z]*)", 1), F.lit(NONE))
+def ranged_domain(source: Column, width: int) -> Column:
+    """The letters that begin a source's name and its number by ranges: src7 and src9 are of src-1 if width is 5."""
+    number = F.regexp_extract(source, "^[A-Za-z]*([0-9]{1,9})", 1)
+    return F.coalesce(F.concat(F.regexp_extract(source, "^([A-Za-z]*)", 1), F.lit("-"), F.coalesce(F.floor(F.when(number != "", number.cast("long")) / width).cast("string"), F.lit(""))), F.lit(NONE))
 
 
 def _weight(level: Column, weights: Mapping[str, float]) -> Column:
@@ -83,8 +86,9 @@ def mix(docs: DataFrame, levels: Sequence[Column], weights: Sequence[Mapping[str
     n = len(levels)
     names = [f"_l{i}" for i in range(n)]
     tokens = utf8_tokens(F.col("text")) if tokens is None else tokens
-    placed = docs.withColumns({**{c: F.coalesce(x.cast("string"), F.lit(NONE)) for c, x in zip(names, levels, strict=True)}, "_t": tokens})
-    narrow = materialise(placed.select(F.col(key).alias("_key"), *names, "_t"))
+    named = [F.coalesce(x.cast("string"), F.lit(NONE)).alias(c) for c, x in zip(names, levels, strict=True)]
+    placed = docs.select(F.struct(*others(docs, "epoch")).alias("_row"), F.col(key).alias("_key"), *named, tokens.alias("_t"))
+    narrow = materialise(placed.select("_key", *names, "_t"))
     leaves = materialise(narrow.groupBy(*names).agg(F.sum("_t").alias("_tokens")))
     total, n_leaves = leaves.agg(F.sum("_tokens"), F.count(F.lit(1))).first()
     small = n_leaves <= MOST_BROADCAST
@@ -105,6 +109,6 @@ def mix(docs: DataFrame, levels: Sequence[Column], weights: Sequence[Mapping[str
     plan = materialise(plan.select(*names, "_full", F.coalesce("_last", F.when(F.col("_cut").isNotNull(), F.col("_cut")).otherwise(F.lit("g"))).alias("_last")))
     # Without a document of the cut bucket the prefix ends before it: its three digits sort before its orders.
     chosen = placed.join(hint(plan), names)
-    times = F.col("_full") + F.when(seeded_order(F.col(key), F.col("_full"), seed) <= F.col("_last"), 1).otherwise(0)
+    times = F.col("_full") + F.when(seeded_order(F.col("_key"), F.col("_full"), seed) <= F.col("_last"), 1).otherwise(0)
     chosen = chosen.withColumn("_times", F.least(times, F.lit(epochs))).where("_times > 0")
-    return chosen.select(*[c for c in docs.columns if c != "epoch"], F.explode(F.sequence(F.lit(0), (F.col("_times") - 1).cast("int"))).alias("epoch"))
+    return chosen.select("_row", F.explode(F.sequence(F.lit(0), (F.col("_times") - 1).cast("int"))).alias("_epoch")).select("_row.*", F.col("_epoch").alias("epoch"))

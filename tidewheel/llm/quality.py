@@ -6,9 +6,12 @@ so all pairwise interactions cost time linear in a text's words. It is fitted on
 SAMPLE labelled rows (those with the smallest hashes of their ids), every text is scored whole on the
 executors. Labels, language, source and id are never inputs.
 
-Edge cases: a null text is empty; empty texts get a score from the intercept and their structure; a null
-or wrong metadata value counts as the text's own length; repeated rows get equal scores; an empty table
-gives an empty result; without labelled rows of both classes the score is the class's share (0.5 if none).
+Edge cases: a null text is empty; empty texts get a score from the intercept and their structure; a text is
+scored whole, whatever its length; a null or wrong metadata value counts as the text's own length; repeated
+rows get equal scores, and an id with several texts is learnt from once, by the text of the smallest hash; an
+empty table gives an empty result; without labelled rows of both classes the score is the class's share (0.5
+if none). The columns of docs stay, whatever their names, but for score and predicted, which the result's
+replace.
 """
 
 from __future__ import annotations
@@ -22,6 +25,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidewheel.llm.shared import others
 from tidewheel.session import ship
 
 #: Labelled rows that a fit uses at most.
@@ -142,6 +146,8 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     known = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull() & ~held_out(F.col(key)))
     known = known.groupBy(F.col(key).alias("_key")).agg(F.min(label).cast("double").alias("_y")).orderBy(F.xxhash64("_key"), "_key").limit(sample)
     picked = docs.select(F.col(key).alias("_id"), F.col(text).alias("_text"), F.col(n_chars).cast("double").alias("_n")).join(F.broadcast(known), F.col("_id") == F.col("_key"))
+    # One row for each id, so that what reaches the driver is bounded by the sample.
+    picked = picked.groupBy("_id", "_y").agg(F.min_by(F.struct("_text", "_n"), F.struct(F.xxhash64("_text"), "_text", "_n")).alias("_r")).select("_id", "_y", "_r.*")
 
     def extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -169,5 +175,4 @@ def score_column(model: Machine, text: Column, n_chars: Column) -> Column:
 def classify(docs: DataFrame, model: Machine, text: str = "text", n_chars: str = "n_chars", threshold: float = THRESHOLD) -> DataFrame:
     """Adds score and predicted to the rows of docs."""
     ship(docs.sparkSession)
-    kept = [c for c in docs.columns if c not in ("score", "predicted")]
-    return docs.select(*kept, score_column(model, F.col(text), F.col(n_chars)).alias("score")).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+    return docs.select(*others(docs, "score", "predicted"), score_column(model, F.col(text), F.col(n_chars)).alias("score")).withColumn("predicted", (F.col("score") >= threshold).cast("int"))

@@ -71,7 +71,7 @@ def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     packed = packing.pack(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return packed.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+    return packed.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "bucket", "batch_id")
 
 
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -91,13 +91,14 @@ SELECT doc_id, keep_id, group_size, row_number() OVER (PARTITION BY norm ORDER B
 FROM rows JOIN groups USING (norm)
 """
 
-#: Target weights of op8: domains are the letters that begin a source's name; sources weigh the same.
-MIX_WEIGHTS = ({}, {"en": 0.4, "de": 0.25, "fr": 0.2, "es": 0.15}, {})
-MIX_SHARE, MIX_EPOCHS, MIX_SEED = 0.6, 2, 17
+#: Target weights of op8. Domains are ranges of DOMAIN sources' numbers, sources of one domain weigh the same. Where
+#: sources are of one size the first domain can't use its share, and inside the others the rarer languages can't.
+MIX_WEIGHTS = ({"src-0": 0.55, "src-1": 0.2, "src-2": 0.15, "src-3": 0.1}, {"en": 0.4, "de": 0.25, "fr": 0.2, "es": 0.15}, {})
+MIX_SHARE, MIX_EPOCHS, MIX_SEED, DOMAIN = 1.2, 2, 17, 5
 
 
 def mix_levels() -> list:
-    return [mixing.word_domain(F.col("source")), F.col("lang"), F.col("source")]
+    return [mixing.ranged_domain(F.col("source"), DOMAIN), F.col("lang"), F.col("source")]
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -129,4 +130,4 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op1_chat_format": OP1_SQL, "op2_url_filter": OP2_SQL, "op3_ngram_jaccard": sql.jaccard_sql(3, 90, 100), "op7_exact_dedup": OP7_SQL,
         "op4_license_scan": sql.licenses_sql(licenses.BASE, licenses.TEMPLATES, licenses.WORDS, licenses.NEAR, licenses.SHARE, licenses.LOOK),
-        "op8_mixing": sql.mixing_sql(MIX_WEIGHTS, MIX_SHARE, MIX_EPOCHS, MIX_SEED, mixing.NONE)}
+        "op8_mixing": sql.mixing_sql(MIX_WEIGHTS, MIX_SHARE, MIX_EPOCHS, MIX_SEED, mixing.NONE, DOMAIN)}

@@ -2,13 +2,17 @@
 
 Each record takes the shard with the smallest -ln(u) / weight, where u in (0, 1) hashes its key and the
 shard's number. A new shard changes no score of the others, so it takes records only into itself, and
-a shard's expected share is its weight's. A place in the shard comes from two levels: 4,096 hash buckets
-a shard with running totals (a table of a fixed size), then a row number inside the bucket.
+a shard's expected share is its weight's. A place in the shard comes from two levels: hash buckets with
+running totals, then a row number inside the bucket. There are 4,096 buckets a shard, fewer where shards are
+many, so the table of totals stays within TOTALS rows as long as the shards do.
 
 A key that many rows share is spread over its shard's buckets by the columns of `order`.
 
-Edge cases: a null key is a key of its own; repeated keys share a shard and get slots of their own; a
-null text has size 1 and the CRC of an empty text; an empty table gives an empty result.
+Edge cases: a null key is a key of its own; repeated keys share a shard and get slots of their own, in the
+order of `order` and, among rows that tie in it, in any; shards with equal scores go by number; texts play no
+part, whatever their length (in the query a null text has size 1 and the CRC of an empty text); an empty
+table gives an empty result. The columns of df stay, whatever their names, but for shard, slot and
+grown_shard, which the result's replace.
 """
 
 from __future__ import annotations
@@ -18,40 +22,46 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Hash buckets of a shard; with at most MOST_SHARDS this bounds the table of running totals that is broadcast.
-BUCKETS, MOST_SHARDS = 4096, 64
+from tidewheel.llm.shared import others
 
+#: Hash buckets of a shard at most, and of all shards together (one a shard at least): the running totals that are broadcast.
+BUCKETS, TOTALS = 4096, 1 << 18
+#: Shards up to this many are scored by expressions side by side, which compile; more by one function over an array.
+UNROLLED = 64
 
-def _score(key: Column, shard: int, weight: float, seed: int) -> Column:
-    bits = F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.coalesce(key.cast("string"), F.lit("\0null")), F.lit(shard)), 11)
-    return -F.log((bits.cast("double") + 0.5) / float(1 << 53)) / F.lit(float(weight))
+
+def _score(key: Column, shard: Column, weight: Column, seed: int) -> Column:
+    bits = F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.coalesce(key.cast("string"), F.lit("\0null")), shard), 11)
+    return -F.log((bits.cast("double") + 0.5) / float(1 << 53)) / weight
 
 
 def shard_of(key: Column, weights: Sequence[float], seed: int = 0) -> Column:
     """The shard of a key, from 0."""
     if not weights or any(w <= 0 for w in weights):
         raise ValueError("weights must be positive")
-    scores = F.array(*[F.struct(_score(key, i, w, seed).alias("s"), F.lit(i).alias("i")) for i, w in enumerate(weights)])
+    if len(weights) <= UNROLLED:
+        scores = F.array(*[F.struct(_score(key, F.lit(i), F.lit(float(w)), seed).alias("s"), F.lit(i).alias("i")) for i, w in enumerate(weights)])
+    else:
+        scores = F.transform(F.lit([float(w) for w in weights]), lambda w, i: F.struct(_score(key, i, w, seed).alias("s"), i.alias("i")))
     return F.array_min(scores)["i"]
 
 
-def with_slots(df: DataFrame, shard: str, key: str, order: Sequence[str] = ()) -> DataFrame:
-    """Adds slot: gapless from 0 in each shard, without bringing a shard into one task."""
-    df = df.withColumn("_bucket", F.pmod(F.xxhash64(F.lit("slot"), F.col(key), *order), F.lit(BUCKETS)).cast("int"))
-    counts = df.groupBy(shard, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
-    before = F.sum("_n").over(Window.partitionBy(shard).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1))
-    starts = counts.select(F.col(shard).alias("_s"), F.col("_bucket").alias("_b"), F.coalesce(before, F.lit(0)).alias("_start"))
-    nth = F.row_number().over(Window.partitionBy(shard, "_bucket").orderBy(key, *order))
-    ranked = df.withColumn("_nth", nth)
-    joined = ranked.join(F.broadcast(starts), (ranked[shard] == starts["_s"]) & (ranked["_bucket"] == starts["_b"]))
-    return joined.withColumn("slot", F.col("_start") + F.col("_nth") - 1).drop("_bucket", "_nth", "_s", "_b", "_start")
+def with_slots(rows: DataFrame, shards: int) -> DataFrame:
+    """rows: _shard, _key and _order. Adds _slot: gapless from 0 in each shard, without bringing a shard into one task."""
+    buckets = max(1, min(BUCKETS, TOTALS // shards))
+    rows = rows.withColumn("_bucket", F.pmod(F.xxhash64(F.lit("slot"), "_key", "_order"), F.lit(buckets)).cast("int"))
+    counts = rows.groupBy("_shard", "_bucket").agg(F.count(F.lit(1)).alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy("_shard").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1))
+    starts = counts.select("_shard", "_bucket", F.coalesce(before, F.lit(0)).alias("_start"))
+    ranked = rows.withColumn("_nth", F.row_number().over(Window.partitionBy("_shard", "_bucket").orderBy("_key", "_order")))
+    starts = F.broadcast(starts) if shards <= TOTALS else starts
+    return ranked.join(starts, ["_shard", "_bucket"]).withColumn("_slot", F.col("_start") + F.col("_nth") - 1)
 
 
 def assign_shards(df: DataFrame, weights: Sequence[float], key: str = "doc_id", order: Sequence[str] = (), seed: int = 0, grow_by: float | None = None) -> DataFrame:
     """Adds shard and slot, and with grow_by (a new shard's weight) grown_shard."""
-    if len(weights) > MOST_SHARDS:
-        raise ValueError(f"at most {MOST_SHARDS} shards")
-    df = df.withColumn("shard", shard_of(F.col(key), weights, seed))
-    if grow_by is not None:
-        df = df.withColumn("grown_shard", shard_of(F.col(key), [*weights, grow_by], seed))
-    return with_slots(df, "shard", key, order)
+    results = ["shard", "slot"] + (["grown_shard"] if grow_by is not None else [])
+    grown = [shard_of(F.col(key), [*weights, grow_by], seed).alias("_grown")] if grow_by is not None else []
+    rows = df.select(F.struct(*others(df, *results)).alias("_row"), F.col(key).alias("_key"), F.struct(F.lit(0), *order).alias("_order"), shard_of(F.col(key), weights, seed).alias("_shard"), *grown)
+    placed = with_slots(rows, len(weights))
+    return placed.select("_row.*", F.col("_shard").alias("shard"), F.col("_slot").alias("slot"), *([F.col("_grown").alias("grown_shard")] if grown else []))

@@ -6,7 +6,7 @@ import atexit
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidewheel.session import ship
@@ -23,12 +23,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share; a temporary one only where the session names none."""
+    """The folder that the driver and all executors share; where the session names none, a temporary one, for a local master only."""
     found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="tidewheel-shared-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
+    if found:
+        return found.rstrip("/")
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
+    if spark.sparkContext.applicationId not in _OWN:
+        _OWN[spark.sparkContext.applicationId] = "file://" + tempfile.mkdtemp(prefix="tidewheel-shared-")
+    return _OWN[spark.sparkContext.applicationId]
+
+
+#: Temporary folders of local sessions, and the paths written so far, in order.
+_OWN: dict[str, str] = {}
+_WRITTEN: list[tuple[SparkSession, str]] = []
 
 
 def _remove(spark: SparkSession, path: str) -> None:
@@ -39,16 +47,43 @@ def _remove(spark: SparkSession, path: str) -> None:
         pass
 
 
+def _remove_all() -> None:
+    while _WRITTEN:
+        _remove(*_WRITTEN.pop())
+
+
+atexit.register(_remove_all)
+
+
 def materialise(df: DataFrame, *partition_by: str) -> DataFrame:
     """Writes the rows to the shared folder and reads them back, so that lost executors cost no more than this step."""
     spark = df.sparkSession
     ship(spark)
     path = f"{shared_dir(spark)}/tidewheel-{uuid.uuid4().hex}"
+    _WRITTEN.append((spark, path))
     df.write.option("compression", "zstd").parquet(path, partitionBy=list(partition_by) or None)
-    atexit.register(_remove, spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def written() -> int:
+    """A mark: how many tables stand in the shared folder now."""
+    return len(_WRITTEN)
+
+
+def release(since: int, upto: int) -> None:
+    """Removes the tables written between two marks, once no frame reads them any more."""
+    gone = _WRITTEN[since:upto]
+    del _WRITTEN[since:upto]
+    for spark, path in gone:
+        _remove(spark, path)
+
+
+def others(df: DataFrame, *results: str) -> list[str]:
+    """The columns of df, quoted, that no result column replaces."""
+    named = {r.lower() for r in results}
+    return [f"`{c.replace('`', '``')}`" for c in df.columns if c.lower() not in named]
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-cases A-Z and nothing else, exactly."""
     return F.translate(text, UPPER, LOWER)
@@ -63,20 +98,73 @@ def lower_for_matching(text: Column) -> Column:
     return F.lower(F.when(odd, F.translate(text, FOLDS_TO_ASCII, STAND_INS)).otherwise(text))
 
 
-#: Bits of the tables by which rows without a match leave before a shuffle: BITS / 64 rows at most.
-BITS = 1 << 23
+#: A bit table has this many bits for a key if it can, LEAST_BITS at least, and MOST_BITS in all: its broadcast takes MOST_BITS / 8 bytes.
+BITS_A_KEY, LEAST_BITS, MOST_BITS = 16, 4, 1 << 29
+#: Bits of a row of the table: 1,024 words.
+CHUNK = 1 << 16
+
+
+class KeyFilter:
+    """A bit table by which rows without a match are known before any shuffle.
+
+    keys: a written table. The table's size follows the number of keys; with more keys than it can hold
+    (MOST_BITS / LEAST_BITS) there is none, every row is doubtful, and callers shuffle all rows once.
+    """
+
+    def __init__(self, keys: DataFrame, *columns: str):
+        n = keys.count()
+        self.bits = 0
+        if 0 < n <= MOST_BITS // LEAST_BITS:
+            self.bits = min(MOST_BITS, max(CHUNK, 1 << (BITS_A_KEY * n - 1).bit_length()))
+            bit = F.pmod(F.xxhash64(*columns), F.lit(self.bits))
+            set_ = keys.select(bit.alias("b")).selectExpr("b >> 6 AS w", "shiftleft(1L, cast(b & 63 AS int)) AS m")
+            blank = keys.sparkSession.range(self.bits >> 6).selectExpr("id AS w", "0L AS m")
+            words = set_.union(blank).groupBy("w").agg(F.expr("bit_or(m)").alias("m"))
+            rows = words.groupBy(F.expr("w >> 10").alias("c")).agg(F.array_sort(F.collect_list(F.struct("w", "m"))).alias("l"))
+            self.table = rows.select(F.col("c").alias("_chunk"), F.col("l.m").alias("_words"))
+
+    def flag(self, rows: DataFrame, *columns: str) -> DataFrame:
+        """Adds _maybe: false only where no key equals the row's columns. rows has no column that begins so."""
+        if not self.bits:
+            return rows.withColumn("_maybe", F.lit(True))
+        bit = F.pmod(F.xxhash64(*columns), F.lit(self.bits))
+        found = rows.withColumn("_bit", bit).withColumn("_chunk", F.expr("_bit >> 16")).join(F.broadcast(self.table), "_chunk")
+        hit = F.expr("bit_get(get(_words, cast((_bit >> 6) & 1023 AS int)), cast(_bit & 63 AS int)) = 1")
+        return found.withColumn("_maybe", hit).drop("_bit", "_chunk", "_words")
 
 
 def without(docs: DataFrame, gone: DataFrame, keys: list[Column], names: list[str]) -> DataFrame:
-    """The rows of docs whose keys aren't in gone (columns names).
+    """The rows of docs whose keys aren't in gone (a written table with the columns names); docs' columns may have any names.
 
-    A bit table of a fixed size tells most rows of docs at once that they stay; only the rest is shuffled.
+    A bit table tells most rows of docs at once that they stay; only the rest is shuffled.
     """
-    bit = F.pmod(F.xxhash64(*names), F.lit(BITS))
-    words = gone.select(bit.alias("_h")).groupBy(F.expr("_h >> 6").alias("_w")).agg(F.expr("bit_or(shiftleft(1L, cast(_h & 63 as int)))").alias("_mask"))
-    named = docs.withColumns({f"_k{i}": k for i, k in enumerate(keys)})
-    named = named.withColumn("_bit", F.pmod(F.xxhash64(*[f"_k{i}" for i in range(len(keys))]), F.lit(BITS))).withColumn("_w", F.expr("_bit >> 6"))
-    named = named.join(F.broadcast(words), "_w", "left").withColumn("_maybe", F.coalesce(F.expr("bit_get(_mask, cast(_bit & 63 as int)) = 1"), F.lit(False)))
-    same = [named[f"_k{i}"].eqNullSafe(gone[n]) for i, n in enumerate(names)]
+    if gone.isEmpty():
+        return docs
+    named = docs.select(F.struct("*").alias("_row"), *[k.alias(f"_k{i}") for i, k in enumerate(keys)])
+    own = [f"_k{i}" for i in range(len(keys))]
+    gone = gone.select(*[F.col(n).alias(f"_g{i}") for i, n in enumerate(names)])
+    named = KeyFilter(gone, *gone.columns).flag(named, *own)
+    same = [F.col(k).eqNullSafe(F.col(f"_g{i}")) for i, k in enumerate(own)]
     doubtful = named.where("_maybe").join(gone, same, "left_anti")
-    return named.where("not _maybe").select(*docs.columns).union(doubtful.select(*docs.columns))
+    return named.where("not _maybe").select("_row.*").union(doubtful.select("_row.*"))
+
+
+def one_of_each(docs: DataFrame, repeated: DataFrame, keys: list[Column], names: list[str]) -> DataFrame:
+    """The rows of docs, but any one of those that share keys which stand in repeated (a written table with the columns names)."""
+    if repeated.isEmpty():
+        return docs
+    own = [f"_k{i}" for i in range(len(keys))]
+    rows = docs.select(F.struct("*").alias("_row"), *[k.alias(o) for k, o in zip(keys, own, strict=True)])
+    rows = KeyFilter(repeated, *names).flag(rows, *own)
+    nth = F.row_number().over(Window.partitionBy(*own).orderBy(*own))
+    again = repeated.select(*[F.col(n).alias(f"_g{i}") for i, n in enumerate(names)], F.lit(True).alias("_again")).distinct()
+    same = [F.col(k).eqNullSafe(F.col(f"_g{i}")) for i, k in enumerate(own)]
+    some = rows.where("_maybe").join(again, same, "left").withColumn("_nth", nth).where("_nth = 1 or _again is null")
+    return rows.where("not _maybe").select("_row.*").union(some.select("_row.*"))
+
+
+def matching(rows: DataFrame, columns: list[str], wanted: DataFrame, names: list[str]) -> DataFrame:
+    """Rows whose columns a written table of keys may hold (rows has no column that begins with an underscore)."""
+    if wanted.isEmpty():
+        return rows.where(F.lit(False))
+    return KeyFilter(wanted, *names).flag(rows, *columns).where("_maybe").drop("_maybe")

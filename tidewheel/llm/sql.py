@@ -42,12 +42,11 @@ WITH template(label, base, size, place, w0, w1, ahead, look) AS (VALUES {", ".jo
 words AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({_lowered("text")}, '{words}') AS w FROM documents),
 at_ AS (SELECT r, w, unnest(range(len(w) - 1)) AS p FROM words WHERE len(w) > 1),
 votes AS (
-  SELECT r, label, base, size, p, p - place AS diagonal FROM at_ JOIN template ON w[p + 1] = w0 AND w[p + 2] = w1
-  WHERE look = 0 OR array_to_string(w[p + 3:p + 2 + look], ' ') = ahead
-), diagonals AS (SELECT r, label, base, size, diagonal, count(*) AS votes, min(p) AS low, max(p) AS high FROM votes GROUP BY ALL),
+  SELECT r, label, base, size, place, p, p - place AS diagonal, look = 0 OR array_to_string(w[p + 3:p + 2 + look], ' ') = ahead AS firm FROM at_ JOIN template ON w[p + 1] = w0 AND w[p + 2] = w1
+), diagonals AS (SELECT r, label, base, size, diagonal, list(DISTINCT place) AS places, min(p) AS low, max(p) AS high, bool_or(firm) AS firm FROM votes GROUP BY r, label, base, size, diagonal),
 gaps AS (SELECT *, CASE WHEN base OR coalesce(diagonal - lag(diagonal) OVER (PARTITION BY r, label ORDER BY diagonal) > {near}, true) THEN 1 ELSE 0 END AS fresh FROM diagonals),
 numbered AS (SELECT *, sum(fresh) OVER (PARTITION BY r, label ORDER BY diagonal) AS span FROM gaps),
-merged AS (SELECT r, label, base, size, span, sum(votes) AS votes, min(low) AS low, max(high) AS high FROM numbered GROUP BY r, label, base, size, span),
+merged AS (SELECT r, label, base, size, span, len(list_distinct(flatten(list(places)))) AS votes, min(low) AS low, max(high) AS high, bool_or(firm) AS firm FROM numbered GROUP BY r, label, base, size, span),
 judged AS (
   SELECT *, least(1.0::DOUBLE, votes::DOUBLE / (size - 1)) AS part,
     CASE WHEN base THEN votes = size - 1 ELSE votes::DOUBLE / (size - 1) >= {share} AND high - low + 2 <= size * 1.5 + {near} END AS good
@@ -55,7 +54,7 @@ judged AS (
 ), found AS (
   SELECT r, count(*) FILTER (WHERE good AND base) AS n_base, min(low) FILTER (WHERE good AND base) AS first_word, max(low) FILTER (WHERE good AND base) AS last_word,
     string_agg(DISTINCT label, ',' ORDER BY label) FILTER (WHERE good AND base) AS base_labels, string_agg(DISTINCT label, ',' ORDER BY label) FILTER (WHERE good) AS labels,
-    max(CASE WHEN NOT base THEN part WHEN good THEN 1.0::DOUBLE END) AS score
+    max(CASE WHEN base THEN CASE WHEN good THEN 1.0::DOUBLE END WHEN good OR firm THEN part END) AS score
   FROM judged GROUP BY r
 )
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0.0::DOUBLE) AS score
@@ -63,7 +62,7 @@ FROM words LEFT JOIN found USING (r)
 """
 
 
-def mixing_sql(weights: Sequence[Mapping[str, float]], share: float, epochs: int, seed: int, none: str) -> str:
+def mixing_sql(weights: Sequence[Mapping[str, float]], share: float, epochs: int, seed: int, none: str, width: int) -> str:
     """Water filling through domain, language and source, then each leaf's prefix by one running sum."""
     names = ["l0", "l1", "l2"]
     levels = []
@@ -80,7 +79,7 @@ above{i} AS (SELECT {here}, t, least(capacity, max(rise) OVER ({by}) * weight) A
     return f"""
 WITH docs AS (
   SELECT doc_id, lang, source, CAST((strlen(coalesce(text, '')) + 3) // 4 + 1 AS BIGINT) AS tokens,
-    coalesce(regexp_extract(source, '^([A-Za-z]*)', 1), '{none}') AS l0, coalesce(lang, '{none}') AS l1, coalesce(source, '{none}') AS l2
+    coalesce(regexp_extract(source, '^([A-Za-z]*)', 1) || '-' || coalesce(CAST(TRY_CAST(nullif(regexp_extract(source, '^[A-Za-z]*([0-9]{{1,9}})', 1), '') AS BIGINT) // {width} AS VARCHAR), ''), '{none}') AS l0, coalesce(lang, '{none}') AS l1, coalesce(source, '{none}') AS l2
   FROM documents
 ),{",".join(levels)},
 plan AS (SELECT l0, l1, l2, CAST(t AS BIGINT) AS t, CAST(floor(budget + 1e-6) AS BIGINT) AS allowed FROM above2),

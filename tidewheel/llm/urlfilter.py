@@ -8,8 +8,10 @@ and the stored string has to equal the key, so a collision never decides. The lo
 The index is sent to the executors as a file (bounded by MOST_INDEX_BYTES, checked); larger rule sets go
 through judge_by_join, where the same keys meet the rules in a shuffled join on the digest.
 
-Edge cases: a null url, or one without "://", has an empty host and path, which no rule fits; repeated
-rows are judged alike; an empty table gives no rows; other columns stay unless they clash with the result.
+Edge cases: a null url, or one without "://", has an empty host and path, which no rule fits; urls are read
+whole, whatever their length; of fitting keys of one length the smallest decides, and of rules of one key
+block; repeated rows are judged alike; an empty table gives no rows. The columns of pages stay, whatever their
+names, but for host, path, rule and verdict, which the result's replace.
 """
 
 from __future__ import annotations
@@ -28,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from tidewheel.llm.shared import ascii_lower
+from tidewheel.llm.shared import ascii_lower, others
 from tidewheel.session import ship
 
 #: The contract's rules.
@@ -47,7 +49,10 @@ def path_of(url: Column) -> Column:
 
 def build_index(rules: Iterable[tuple[str, str, str]]) -> np.ndarray:
     """The file's content: a header (rules, bytes of strings, path lengths), digests, string ends, host lengths, verdicts, path lengths, strings."""
-    unique = {host + path: (verdict, host, path) for verdict, host, path in rules}
+    unique: dict[str, tuple[str, str, str]] = {}
+    for verdict, host, path in rules:
+        if unique.get(host + path, ("",))[0] != "block":
+            unique[host + path] = (verdict, host, path)
     if any(not host for _, host, _ in unique.values()):
         raise ValueError("a rule needs a host")
     ordered = sorted((xxh64_intdigest(k.encode()), k, v) for k, v in unique.items())
@@ -99,7 +104,7 @@ class RuleIndex:
                 if self.digests[j] != probes[h]:
                     break
                 stored = self.blob[int(self.ends[j - 1]) if j else 0 : int(self.ends[j])].tobytes().decode()
-                if stored == key and (rules[owner] is None or len(key) > len(rules[owner])):
+                if stored == key and (rules[owner] is None or (-len(key), key) < (-len(rules[owner]), rules[owner])):
                     rules[owner], verdicts[owner] = key, "allow" if self.allow[j] else "block"
         return rules, verdicts
 
@@ -128,22 +133,25 @@ def judge_urls(pages: DataFrame, rules: Iterable[tuple[str, str, str]] = RULES,
     atexit.register(shutil.rmtree, folder, True)
     build_index(rules).tofile(os.path.join(folder, name))
     pages.sparkSession.sparkContext.addFile(os.path.join(folder, name))
-    kept = [c for c in pages.columns if c not in ("host", "path", "rule", "verdict")]
-    rows = pages.select(*kept, host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"))
-    return rows.withColumn("_j", _judged(name, default)("host", "path")).select(*kept, "host", "path", "_j.rule", "_j.verdict")
+    rows = _split(pages, url).withColumn("_judged", _judged(name, default)("host", "path"))
+    return rows.select("_row.*", "host", "path", "_judged.rule", "_judged.verdict")
+
+
+def _split(pages: DataFrame, url: str) -> DataFrame:
+    return pages.select(F.struct(*others(pages, "host", "path", "rule", "verdict")).alias("_row"), host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"))
 
 
 def judge_by_join(pages: DataFrame, rules: DataFrame, url: str = "url", default: str = "allow") -> DataFrame:
     """judge_urls for rule sets of any size: every distinct (host, path) is judged once, by a join on digests."""
-    kept = [c for c in pages.columns if c not in ("host", "path", "rule", "verdict")]
-    rows = pages.select(*kept, host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"))
+    rows = _split(pages, url)
     labels = F.split("host", r"\.")
     n = F.size(labels)
     suffixes = F.transform(F.sequence(F.lit(1), n), lambda i: F.array_join(F.slice(labels, i, n), "."))
-    asked = rows.where("host <> ''").select("host", "path").distinct()
-    asked = asked.select("host", "path", F.explode(suffixes).alias("_suffix")).select("host", "path", "_suffix", F.explode(F.sequence(F.lit(0), F.length("path"))).alias("_k"))
+    lengths = F.broadcast(rules.agg(F.collect_set(F.length("path")).alias("_lengths")))  # one row, an entry for each length of a path
+    asked = rows.where("host <> ''").select("host", "path").distinct().join(lengths, F.lit(True))
+    asked = asked.select("host", "path", F.explode(suffixes).alias("_suffix"), F.filter("_lengths", lambda k: k <= F.length("path")).alias("_fit")).select("host", "path", "_suffix", F.explode("_fit").alias("_k"))
     asked = asked.withColumn("_key", F.concat("_suffix", F.expr("left(path, _k)"))).withColumn("_digest", F.xxhash64("_key"))
-    keys = rules.select(F.concat("host", "path").alias("rule"), F.col("verdict").alias("_v")).dropDuplicates(["rule"]).withColumn("_d", F.xxhash64("rule"))
+    keys = rules.groupBy(F.concat("host", "path").alias("rule")).agg(F.max("verdict").alias("_v")).withColumn("_d", F.xxhash64("rule"))  # block is greater than allow
     found = asked.join(keys, (asked["_digest"] == keys["_d"]) & (asked["_key"] == keys["rule"]))
-    best = found.groupBy("host", "path").agg(F.max_by(F.struct("rule", "_v"), F.length("rule")).alias("_best"))
-    return rows.join(best, ["host", "path"], "left").select(*kept, "host", "path", "_best.rule", F.coalesce("_best._v", F.lit(default)).alias("verdict"))
+    best = found.groupBy("host", "path").agg(F.min_by(F.struct("rule", "_v"), F.struct(-F.length("rule"), "rule")).alias("_best"))
+    return rows.join(best, ["host", "path"], "left").select("_row.*", "host", "path", "_best.rule", F.coalesce("_best._v", F.lit(default)).alias("verdict"))
