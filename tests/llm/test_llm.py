@@ -7,9 +7,10 @@ from itertools import combinations
 
 import numpy as np
 import oracle
-import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidewheel.llm import ann, chat, exact, jaccard, licenses, mixing, packing, quality, queries, sharding, urlfilter
 
@@ -274,10 +275,13 @@ def test_neighbours_read_all_lists_within_the_ratio(spark, kind):
     top = float(np.sqrt((v**2).sum(1)).max())
     graph = ann.Graph.over(ann._level(v, top)[:1500])
     asked = v[1500::10]
-    got = next(ann._lists(graph, top, ann.PRUNE, None, True).func(iter([pd.Series(asked.tolist())])))
+    schema = T.StructType([T.StructField("_q", T.LongType()), T.StructField("_v", T.ArrayType(T.DoubleType()))])
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(asked)), pa.int64()), pa.array(asked.tolist(), pa.list_(pa.float64()))], names=["_q", "_v"])
+    rows = pa.Table.from_batches(ann._cells(graph, top, 0.11, schema)(iter([batch]))).to_pandas()
+    got = [rows["_list"][rows["_q"] == i].tolist() for i in range(len(asked))]
     x = np.pad(asked * (top / np.sqrt((asked**2).sum(1, keepdims=True))), ((0, 0), (0, 1)))
     d = np.sqrt(((x[:, None] - graph.centroids[None]) ** 2).sum(-1))
-    want = [set(np.flatnonzero(row <= row.min() * (1 + ann.PRUNE)).tolist()) for row in d]
+    want = [set(np.flatnonzero(row <= row.min() * 1.11).tolist()) for row in d]
     assert max(map(len, want)) > 512 and [set(ids.tolist()) for ids in got] == want
 
 
