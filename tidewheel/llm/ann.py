@@ -116,13 +116,16 @@ def valid(vector: Column) -> Column:
     return F.coalesce(vector.isNotNull() & (F.size(vector) > 0) & fine & F.exists(vector, lambda v: v != 0), F.lit(False))
 
 
+def _chunks(x: np.ndarray, rows: int = 1024) -> Iterator[np.ndarray]:
+    return (x[at : at + rows] for at in range(0, len(x), rows))
+
+
 def fit_centroids(sample: np.ndarray, k: int, rounds: int = 8, seed: int = 5) -> np.ndarray:
     """k-means; a list over twice the mean size gives its place for one of two halves, so lists stay balanced."""
     rng = np.random.default_rng(seed)
     c = sample[rng.permutation(len(sample))[:k]].copy()
     for step in range(rounds):
-        d = (c**2).sum(1)[None] - 2 * sample @ c.T
-        own = d.argmin(1)
+        own = np.concatenate([((c**2).sum(1)[None] - 2 * x @ c.T).argmin(1) for x in _chunks(sample)])
         counts = np.bincount(own, minlength=k)
         order = np.argsort(own, kind="stable")
         starts = np.flatnonzero(np.r_[True, own[order][1:] != own[order][:-1]])
@@ -170,11 +173,14 @@ def measured_ratio(vectors: np.ndarray, held: np.ndarray, to_query: np.ndarray,
     """
     if len(vectors) < 2:
         return 0.0
-    scores = vectors[asked] @ vectors.T
-    scores[np.arange(len(asked)), asked] = -np.inf
     m = min(k, len(vectors) - 1)
-    true = np.argpartition(-scores, m - 1, 1)[:, :m]
-    lists = held[true]
+
+    def nearest(rows: np.ndarray) -> np.ndarray:
+        scores = -(vectors[rows] @ vectors.T)
+        scores[np.arange(len(rows)), rows] = np.inf
+        return np.argpartition(scores, m - 1, 1)[:, :m]
+
+    lists = held[np.concatenate([nearest(rows) for rows in _chunks(asked, 32)])]
     reach = np.where(lists >= 0, to_query[np.arange(len(asked))[:, None, None], np.maximum(lists, 0)], np.inf).min(2)
     need = reach / np.maximum(np.maximum(to_query.min(1, keepdims=True), usual), 1e-12) - 1
     return float(max(np.quantile(need, AIM), 0.0)) + 1e-6
@@ -225,7 +231,7 @@ def _lower_lists(v: np.ndarray, top: float, k: int, queries: int) -> tuple[np.nd
     x = _level(v, top)
     rng = np.random.default_rng(11)
     centroids = fit_centroids(x[rng.permutation(len(x))[: 32 * lists]], lists, rounds=4)
-    own = np.concatenate([_distances(x[at : at + 4096], centroids).argmin(1) for at in range(0, len(x), 4096)])
+    own = np.concatenate([_distances(some, centroids).argmin(1) for some in _chunks(x)])
     asked = rng.permutation(len(x))[:64]
     usual = float(np.median(_distances(x[asked], centroids).min(1)))
     to_query = _distances(_as_query(v[asked], top), centroids)
@@ -288,7 +294,7 @@ def neighbours(rows: DataFrame, is_query: Column, k: int = 20, key: str = "vec_i
     picked = _matrix(distinct.orderBy(F.xxhash64("_id"), "_id").limit(sample).select("_v").toArrow()["_v"])
     cells = int(np.clip(round(np.sqrt(n / LIST)), 1, min(MOST_CELLS, len(picked))))
     graph = Graph.over(fit_centroids(_level(picked, top), cells))
-    ids, dist = graph.search(_level(picked, top))
+    ids, dist = (np.concatenate(c) for c in zip(*map(graph.search, _chunks(_level(picked, top))), strict=True))
     graph.usual = float(np.median(dist[:, 0]))
     held = np.where(within(dist, graph.usual, REPLICATE), ids, -1)[:, :COPIES]
     asked = np.arange(min(len(picked), 400))
