@@ -282,7 +282,7 @@ def test_neighbours_read_all_lists_within_the_ratio(spark, kind):
     x = np.pad(asked * (top / np.sqrt((asked**2).sum(1, keepdims=True))), ((0, 0), (0, 1)))
     d = np.sqrt(((x[:, None] - graph.centroids[None]) ** 2).sum(-1))
     want = [set(np.flatnonzero(row <= row.min() * 1.11).tolist()) for row in d]
-    assert max(map(len, want)) > 512 and [set(ids.tolist()) for ids in got] == want
+    assert max(map(len, want)) > 512 and [set(ids) for ids in got] == want
 
 
 def test_pipeline_stages(spark):

@@ -111,18 +111,18 @@ class Threshold:
 
 
 def describe(docs: DataFrame, key: str, text: str, width: int, t: Threshold) -> DataFrame:
-    """For each row: key, h (of its text), n (shingles), sig (of the set), first (prefix by hash), keep, need, other (prefix by another hash, 32 bits each), sketch (parities)."""
+    """For each row: row (a number), key, h (of its text), n (shingles), sig (of the set), first (prefix by hash), keep, need, other (prefix by another hash, 32 bits each), sketch (parities)."""
     ship(docs.sparkSession)
-    rows = docs.select(F.col(key).alias("key"), F.xxhash64(text).alias("h"), F.col(text).alias("text"))
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(key).alias("key"), F.xxhash64(text).alias("h"), F.col(text).alias("text"))
     fields = (("n", T.LongType()), ("sig", T.BinaryType()), ("first", T.ArrayType(T.LongType())), ("keep", T.IntegerType()), ("need", T.IntegerType()), ("other", T.ArrayType(T.IntegerType())), ("sketch", T.ArrayType(T.LongType())))
-    schema = T.StructType([rows.schema["key"], rows.schema["h"], *(T.StructField(n, kind) for n, kind in fields)])
+    schema = T.StructType([*rows.schema.fields[:3], *(T.StructField(n, kind) for n, kind in fields)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo in range(0, batch.num_rows, 1000):
                 part = batch.slice(lo, 1000)
                 ns, sigs, firsts, keeps, needs, others, sketches = [], [], [], [], [], [], []
-                for x in part.column(2):
+                for x in part.column(3):
                     s = shingles(x.as_py(), width)
                     n = len(s)
                     ns.append(n)
@@ -143,24 +143,24 @@ def describe(docs: DataFrame, key: str, text: str, width: int, t: Threshold) ->
                     others.append((np.partition(b, p - 1)[:p] & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32))
                     sketches.append(np.packbits(np.bincount((s & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH) & 1).view(np.int64))
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), part.column(1), pa.array(ns, pa.int64()), pa.array(sigs, pa.binary()), pa.array(firsts, pa.list_(pa.int64())), pa.array(keeps, pa.int32()), pa.array(needs, pa.int32()), pa.array(others, pa.list_(pa.int32())), pa.array(sketches, pa.list_(pa.int64()))],
-                    names=["key", "h", *(n for n, _ in fields)])
+                    [*part.columns[:3], pa.array(ns, pa.int64()), pa.array(sigs, pa.binary()), pa.array(firsts, pa.list_(pa.int64())), pa.array(keeps, pa.int32()), pa.array(needs, pa.int32()), pa.array(others, pa.list_(pa.int32())), pa.array(sketches, pa.list_(pa.int64()))],
+                    names=["row", "key", "h", *(n for n, _ in fields)])
 
     return rows.mapInArrow(run, schema)
 
 
 def distinct_sets(sets: DataFrame) -> DataFrame:
-    """A node for each distinct set that may have a partner: node (numbered as written), and the row of its smallest key and text hash."""
-    fields = F.struct("key", "h", "n", "keep", "need", F.size("first").alias("longer"), "other", "sketch")
-    classes = sets.where(F.col("key").isNotNull() & (F.col("need") > 0)).groupBy("sig").agg(F.min_by(fields, F.struct("key", "h")).alias("r"))
-    return classes.select(F.monotonically_increasing_id().alias("node"), "sig", "r.*")
+    """A node for each distinct set that may have a partner: its first row, whose number names it, and the smallest key of its rows."""
+    fields = F.struct(F.col("row").alias("node"), "key", "h", "n", "keep", "need", F.size("first").alias("longer"), "other", "sketch")
+    classes = sets.where(F.col("key").isNotNull() & (F.col("need") > 0)).groupBy("sig").agg(F.min_by(fields, "row").alias("r"), F.min("key").alias("smallest"))
+    return classes.select("sig", "smallest", "r.*")
 
 
 def buckets(sets: DataFrame, nodes: DataFrame) -> DataFrame:
     """token, node, n: the places where pairs can meet."""
-    postings = sets.where("need > 0 and key is not null").select("key", "h", F.explode("first").alias("token"))
+    postings = sets.where("need > 0 and key is not null").select(F.col("row").alias("node"), F.explode("first").alias("token"))
     shared = postings.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
-    hits = postings.join(shared, "token").join(nodes.select("node", "key", "h", "n", "keep", "need", "longer"), ["key", "h"]).dropDuplicates(["node", "token"])
+    hits = postings.join(shared, "token").join(nodes.select("node", "n", "keep", "need", "longer"), "node")
     of = Window.partitionBy("node")
     hits = hits.withColumn("found", F.count(F.lit(1)).over(of)).withColumn("nth", F.row_number().over(of.orderBy("df", "token")))
     # Shingles that no other document has come first in the second order; they meet nobody.
@@ -263,7 +263,7 @@ def labelled(docs: DataFrame, key: str, text: str, width: int, t: Threshold) ->
     found = found if more.isEmpty() else components(reduce(DataFrame.union, [links, more]))
 
     # A component is named by the smallest key of its classes.
-    linked = found.join(nodes.select(F.col("node").alias("key"), F.col("key").alias("own"), "sig"), "key").select("sig", "own", "component")
+    linked = found.join(nodes.select(F.col("node").alias("key"), F.col("smallest").alias("own"), "sig"), "key").select("sig", "own", "component")
     names = linked.groupBy("component").agg(F.min("own").alias("named"))
     linked = linked.join(names, "component").select("sig", "named")
     classes = sets.where("n > 0 and key is not null").groupBy("sig").agg(F.min("key").alias("rep"), F.count(F.lit(1)).alias("c"))
