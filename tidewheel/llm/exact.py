@@ -44,24 +44,26 @@ def duplicate_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", h
     return materialise(groups.withColumn("group_size", checked))
 
 
-def exact_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", hashed=content_hash) -> DataFrame:
-    """One row for each row of docs: key, keep_id, group_size, kept, text_sha256."""
+def judged(docs: DataFrame, key: str, text: str, hashed=content_hash) -> DataFrame:
+    """One row for each row of docs: _id, _h (of the text as it is), keep_id, group_size, kept, text_sha256."""
     groups = duplicate_groups(docs, key, text, hashed)
-    rows = docs.select(F.col(key).alias("_id"), F.sha2(normalised(F.col(text)), 256).alias("text_sha256")).withColumn("_sha", F.unhex("text_sha256"))
+    rows = docs.select(F.col(key).alias("_id"), F.xxhash64(text).alias("_h"), F.sha2(normalised(F.col(text)), 256).alias("text_sha256")).withColumn("_sha", F.unhex("text_sha256"))
     joined = rows.join(groups, "_sha", "left").select(
-        "_id", F.when(F.col("group_size").isNull(), F.col("_id")).otherwise(F.col("keep_id")).alias("keep_id"),
+        "_id", "_h", F.when(F.col("group_size").isNull(), F.col("_id")).otherwise(F.col("keep_id")).alias("keep_id"),
         F.coalesce("group_size", F.lit(1)).alias("group_size"), "text_sha256")
-    nth = F.row_number().over(Window.partitionBy("_id", "text_sha256", "keep_id").orderBy("group_size"))
-    return joined.withColumn("kept", F.col("_id").eqNullSafe(F.col("keep_id")) & (nth == 1)).select(F.col("_id").alias(key), "keep_id", "group_size", "kept", "text_sha256")
+    nth = F.row_number().over(Window.partitionBy("_id", "text_sha256", "keep_id").orderBy("_h"))
+    return joined.withColumn("kept", F.col("_id").eqNullSafe(F.col("keep_id")) & (nth == 1))
+
+
+def exact_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", hashed=content_hash) -> DataFrame:
+    """One row for each row of docs: key, keep_id, group_size, kept, text_sha256."""
+    return judged(docs, key, text, hashed).select(F.col("_id").alias(key), "keep_id", "group_size", "kept", "text_sha256")
 
 
 def keep_first(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of docs that exact_dedup keeps, with all their columns."""
-    dropped = materialise(exact_dedup(docs, key, text).where(~F.col("kept")).select(F.col(key).alias("dropped"), F.unhex("text_sha256").alias("of"), "keep_id"))
-    repeats = F.col("dropped").eqNullSafe(F.col("keep_id"))
-    sha = F.unhex(F.sha2(normalised(F.col(text)), 256))
-    left = without(docs, materialise(dropped.where(~repeats).select("dropped", "of").distinct()), [sha, F.col(key)], ["of", "dropped"])
-    if dropped.where(repeats).isEmpty():
-        return left
-    # Rows that repeat a smallest id: a text has one id left by now, so one row of it stays.
-    return one_of_each(left, materialise(dropped.where(repeats).select("of").distinct()), [sha], ["of"])
+    """The rows of docs that exact_dedup keeps, with all their columns. A row is told by its id and its text's 64-bit hash."""
+    rows = judged(docs, key, text).groupBy("_id", "_h").agg(F.max("kept").alias("_stays"), F.count(F.lit(1)).alias("_times"))
+    rows = materialise(rows.where("not _stays or _times > 1"))
+    own = [F.col(key), F.xxhash64(text)]
+    left = without(docs, rows.where("not _stays").select("_id", "_h"), own, ["_id", "_h"])
+    return one_of_each(left, rows.where("_stays").select("_id", "_h"), own, ["_id", "_h"])

@@ -116,7 +116,7 @@ class KeyFilter:
         self.bits = 0
         if 0 < n <= MOST_BITS // LEAST_BITS:
             self.bits = min(MOST_BITS, max(CHUNK, 1 << (BITS_A_KEY * n - 1).bit_length()))
-            bit = F.pmod(F.xxhash64(*columns), F.lit(self.bits))
+            bit = F.xxhash64(*columns).bitwiseAND(F.lit(self.bits - 1))
             set_ = keys.select(bit.alias("b")).selectExpr("b >> 6 AS w", "shiftleft(1L, cast(b & 63 AS int)) AS m")
             blank = keys.sparkSession.range(self.bits >> 6).selectExpr("id AS w", "0L AS m")
             words = set_.union(blank).groupBy("w").agg(F.expr("bit_or(m)").alias("m"))
@@ -127,16 +127,17 @@ class KeyFilter:
         """Adds _maybe: false only where no key equals the row's columns. rows has no column that begins so."""
         if not self.bits:
             return rows.withColumn("_maybe", F.lit(True))
-        bit = F.pmod(F.xxhash64(*columns), F.lit(self.bits))
+        bit = F.xxhash64(*columns).bitwiseAND(F.lit(self.bits - 1))  # never null, so that no filter for nulls computes it once more
         found = rows.withColumn("_bit", bit).withColumn("_chunk", F.expr("_bit >> 16")).join(F.broadcast(self.table), "_chunk")
         hit = F.expr("bit_get(get(_words, cast((_bit >> 6) & 1023 AS int)), cast(_bit & 63 AS int)) = 1")
         return found.withColumn("_maybe", hit).drop("_bit", "_chunk", "_words")
 
 
 def without(docs: DataFrame, gone: DataFrame, keys: list[Column], names: list[str]) -> DataFrame:
-    """The rows of docs whose keys aren't in gone (a written table with the columns names); docs' columns may have any names.
+    """The rows of docs whose keys aren't in gone (a written table of distinct keys with the columns names); docs' columns may have any names.
 
-    A bit table tells most rows of docs at once that they stay; only the rest is shuffled.
+    A bit table tells most rows of docs at once that they stay; only the rest is shuffled. It meets gone in an
+    outer join, as Spark would push an anti-join below the bit table's join and shuffle all rows.
     """
     if gone.isEmpty():
         return docs
@@ -145,7 +146,7 @@ def without(docs: DataFrame, gone: DataFrame, keys: list[Column], names: list[st
     gone = gone.select(*[F.col(n).alias(f"_g{i}") for i, n in enumerate(names)])
     named = KeyFilter(gone, *gone.columns).flag(named, *own)
     same = [F.col(k).eqNullSafe(F.col(f"_g{i}")) for i, k in enumerate(own)]
-    doubtful = named.where("_maybe").join(gone, same, "left_anti")
+    doubtful = named.where("_maybe").join(gone.withColumn("_gone", F.lit(True)), same, "left").where("_gone is null")
     return named.where("not _maybe").select("_row.*").union(doubtful.select("_row.*"))
 
 
