@@ -20,7 +20,7 @@ def test_same_rows(spark, con, name):
 
 @pytest.mark.parametrize(("name", "most", "align"), [("pck_first_fit", 10**9, 1), ("pck_max_seq", 3, 1), ("pck_align", 10**9, 64)])
 def test_first_fit_by_plain_loops(spark, con, name, most, align):
-    lengths = con.execute(f"SELECT doc_id, least(len(string_split(text, ' ')), {catalogue.CLIP}) FROM documents ORDER BY 1").fetchall()
+    lengths = [((d, k), n) for d, k, n in con.execute(f"SELECT doc_id, since, n FROM ({catalogue._PIECES}) ORDER BY 1, 2").fetchall()]
     want, done, bins = {}, 0, []
     for doc, n in lengths:
         while True:
@@ -34,7 +34,7 @@ def test_first_fit_by_plain_loops(spark, con, name, most, align):
         b = fits[0]
         want[doc] = (b[1] + 1, b[0], n, b[2])
         b[0], b[1] = -(-(b[0] + n) // align) * align, b[1] + 1
-    got = {r.doc_id: (r.segment, r.at, r["size"], r.row) for r in catalogue.queries()[name](spark, SF).collect()}
+    got = {(r.doc_id, r.since): (r.segment, r.at, r["size"], r.row) for r in catalogue.queries()[name](spark, SF).collect()}
     assert got == want
 
 

@@ -34,18 +34,45 @@ def test_random_map_known_values():
     assert [i + int(pool.acquire_rng(i).integers(0, 10)) for i in range(10)] == [0, 6, 9, 5, 10, 14, 14, 13, 15, 13]
 
 
+def laid_out(sizes, cycle):
+    places = {at + k * by: (i, lo + k) for i, lo, n, at, by in schedules.interleave_runs(sizes, cycle).tolist() for k in range(n)}
+    assert sorted(places) == list(range(sum(sizes)))
+    return [places[k] for k in sorted(places)]
+
+
 def test_interleave_known_orders():
-    assert (schedules.interleave_order([1, 2, 3, 4, 5], 3)[0] + 1).tolist() == [1, 2, 3, 2, 3, 4, 3, 4, 5, 4, 5, 4, 5, 5, 5]
+    assert [i + 1 for i, _ in laid_out([1, 2, 3, 4, 5], 3)] == [1, 2, 3, 2, 3, 4, 3, 4, 5, 4, 5, 4, 5, 5, 5]
+
+
+@given(st.lists(st.integers(0, 7), max_size=8), st.integers(1, 9))
+@settings(max_examples=80, deadline=None)
+def test_interleave_by_a_plain_loop(sizes, cycle):
+    waiting, slots, at, want = list(range(len(sizes))), [None] * min(cycle, len(sizes)), [0] * len(sizes), []
+    while waiting or any(s is not None for s in slots):
+        for k, _ in enumerate(slots):
+            if slots[k] is None and waiting:
+                slots[k] = waiting.pop(0)
+            i = slots[k]
+            if i is not None and at[i] < sizes[i]:
+                want.append((i, at[i]))
+                at[i] += 1
+            else:
+                slots[k] = None
+    assert laid_out(sizes, cycle) == want
+
+
+def test_runs_follow_inputs_not_rows():
+    assert len(schedules.interleave_runs([10**12 + k for k in range(50)], 4)) < 1000
 
 
 @given(st.lists(st.integers(1, 50), min_size=1, max_size=4), st.integers(0, 300))
 @settings(max_examples=60, deadline=None)
-def test_mix_positions_cover_each_input_in_order(parts, k):
-    seen = [0] * len(parts)
-    for at in range(k):
-        i, j = schedules.mix_at(at, parts)
-        assert j == seen[i] == schedules.taken(at, parts, i)
-        seen[i] += 1
+def test_mix_takes_inputs_by_their_parts(parts, k):
+    """Each position takes one row, of one input, and no input strays from its share by a whole row for each before it."""
+    before = [schedules.taken(k, parts, i) for i in range(len(parts))]
+    after = [schedules.taken(k + 1, parts, i) for i in range(len(parts))]
+    assert sum(before) == k and sorted(b - a for a, b in zip(before, after, strict=True)) == [0] * (len(parts) - 1) + [1]
+    assert all(abs(n - k * p / sum(parts)) <= len(parts) for n, p in zip(before, parts, strict=True))
 
 
 @given(st.integers(0, 100), st.integers(1, 9), st.booleans())
@@ -92,6 +119,16 @@ def test_bins_against_a_plain_loop(lengths, n, best):
     assert _bins(lengths, 20, n, best) == rows + open_
 
 
+def test_rows_of_a_batch_sorted_by_a_feature():
+    p = bins.BinPacker([3], 4, shuffle_bins=True, seed=5)
+    out = [x for i, v in enumerate([[2.0, 0.0], [0.0], [1.0, 1.0], [4.0, 2.0]]) for x in p.place(i, [3], v)] + list(p.flush())
+    assert [i for i, *_ in sorted(out, key=lambda x: x[1])] == [1, 2, 0, 3]
+    ties = bins.BinPacker([3], 4, shuffle_bins=True, seed=5)
+    out = [x for i in range(4) for x in ties.place(i, [3], [7.0])] + list(ties.flush())
+    order = np.random.default_rng(5).permuted(np.arange(4))
+    assert [i for i, *_ in sorted(out, key=lambda x: x[1])] == np.lexsort((order, np.full(4, 7.0))).tolist()
+
+
 @given(st.lists(st.integers(0, 40), max_size=20))
 @settings(max_examples=60, deadline=None)
 def test_cuts_keep_every_token(lengths):

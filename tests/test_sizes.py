@@ -1,10 +1,10 @@
-"""Queries over all rows: SQL, or plain loops where there is none."""
+"""Queries against plain loops, at sizes where widths, windows and counts of the SQL matter."""
 
 import numpy as np
 import oracle
 import pytest
 
-from tidewheel import catalogue, whole
+from tidewheel import catalogue
 from tidewheel.functions.permutation import permute
 from tidewheel.functions.schedules import RngPool, default_seed
 
@@ -25,32 +25,29 @@ def in_order(df, *columns):
     return [tuple(r) if len(r) > 1 else r[0] for r in df.orderBy("idx").select(*columns).collect()]
 
 
-@pytest.mark.parametrize("name", sorted(whole.oracle_sql()))
-def test_same_rows(spark, con, name):
-    assert not oracle.differences(whole.queries()[name](spark, SF), con, whole.oracle_sql()[name])
-
-
 def test_every_row_is_read(spark, con):
     for name, table in (("src_table", "events"), ("map_expr", "orders"), ("shf_global", "orders"), ("bat_batch", "orders"), ("itl_interleave", "customer"), ("itl_short_cycle", "customer"), ("shf_hierarchical", "customer")):
-        assert whole.queries()[f"whole_{name}"](spark, SF).count() == con.execute(f"SELECT count(*) FROM {table}").fetchone()[0]
+        assert catalogue.queries()[name](spark, SF).count() == con.execute(f"SELECT count(*) FROM {table}").fetchone()[0]
     orders, customers = (con.execute(f"SELECT count(*) FROM {t}").fetchone()[0] for t in ("orders", "customer"))
-    assert whole.queries()["whole_cat_concat"](spark, SF).count() == orders + customers
+    assert catalogue.queries()["cat_concat"](spark, SF).count() == orders + customers
 
 
 def test_shuffles_past_the_catalogues_sizes(spark, keys):
     """More rows than a 16-bit block holds, and more than 60 windows."""
     n = len(keys)
-    assert n > catalogue._WIDE and n > 60 * catalogue.WINDOW
-    assert in_order(whole.queries()["whole_shf_global"](spark, LARGE), "o_orderkey") == [keys[v] for v in permute(np.arange(n), n, catalogue.SHUFFLE_SEED)]
-    assert not oracle.differences(whole.queries()["whole_shf_global"](spark, LARGE), oracle.connect(LARGE), whole.oracle_sql()["whole_shf_global"])
+    assert n > 1 << 16 and n > 60 * catalogue.WINDOW
+    assert in_order(catalogue.queries()["shf_global"](spark, LARGE), "o_orderkey") == [keys[v] for v in permute(np.arange(n), n, catalogue.SHUFFLE_SEED)]
+    large = oracle.connect(LARGE)
+    for name in ("shf_global", "shf_window_iter", "shf_window_parity", "mix_iter_stop", "prf_sequential"):
+        assert not oracle.differences(catalogue.queries()[name](spark, LARGE), large, catalogue.oracle_sql()[name])
     straight, turned = [], []
     for w, lo in enumerate(range(0, n, catalogue.WINDOW)):
         own = keys[lo : lo + catalogue.WINDOW]
         own = [own[v] for v in permute(np.arange(len(own)), len(own), 7 + w)]
         straight += own
         turned += own[::-1]
-    assert in_order(whole.queries()["whole_shf_window_map"](spark, LARGE), "o_orderkey") == straight
-    assert in_order(whole.queries()["whole_shf_window_iter"](spark, LARGE), "o_orderkey") == turned
+    assert in_order(catalogue.queries()["shf_window_map"](spark, LARGE), "o_orderkey") == straight
+    assert in_order(catalogue.queries()["shf_window_iter"](spark, LARGE), "o_orderkey") == turned
 
 
 def test_hierarchical_shuffle(spark, con):
@@ -63,15 +60,18 @@ def test_hierarchical_shuffle(spark, con):
     for w, lo in enumerate(range(0, len(merged), 100)):
         own = merged[lo : lo + 100]
         want += [own[v] for v in permute(np.arange(len(own)), len(own), 7 + w)][::-1]
-    assert in_order(whole.queries()["whole_shf_hierarchical"](spark, SF), "c_custkey") == want
+    assert in_order(catalogue.queries()["shf_hierarchical"](spark, SF), "c_custkey") == want
 
 
 def test_random_map_and_summary(spark, con):
     keys = [k for (k,) in con.execute("SELECT o_orderkey FROM orders ORDER BY 1 DESC").fetchall()]
     pool = RngPool(default_seed([(41, 1)]))
-    assert in_order(whole.queries()["whole_random_map"](spark, SF), "o_orderkey", "drawn") == [(k, int(pool.acquire_rng(i).integers(0, 1000))) for i, k in enumerate(keys)]
+    assert in_order(catalogue.queries()["random_map"](spark, SF), "o_orderkey", "drawn") == [(k, int(pool.acquire_rng(i).integers(0, 1000))) for i, k in enumerate(keys)]
+    drawn = in_order(catalogue.queries()["random_map_workers"](spark, SF), "o_orderkey", "drawn")
+    pool = RngPool(41)
+    assert drawn == [(k, int(pool.acquire_rng(i).integers(0, 1 << 62))) for i, k in enumerate(keys)] and len({d for _, d in drawn}) == len(keys)
     kept = con.execute("SELECT count(*) FROM orders WHERE o_totalprice > 100000").fetchone()[0]
-    assert [r.elements for r in whole.queries()["whole_stats_summary"](spark, SF).orderBy("id").collect()][0] == -(-kept // 64)
+    assert [r.elements for r in catalogue.queries()["stats_summary"](spark, SF).orderBy("id").collect()][0] == -(-kept // 64)
 
 
 def test_every_word_is_packed(spark, con):
@@ -80,18 +80,18 @@ def test_every_word_is_packed(spark, con):
     assert max(sizes.values()) > 3 * catalogue.CLIP
     for name in ("first_fit", "best_fit", "max_seq", "align", "workers"):
         words, cells, n = set(), set(), 0
-        for r in whole.queries()[f"whole_pck_{name}"](spark, SF).collect():
+        for r in catalogue.queries()[f"pck_{name}"](spark, SF).collect():
             assert r.at + r["size"] <= catalogue.CLIP
             words |= {(r.doc_id, r.since + k) for k in range(r["size"])}
             cells |= {(r.row, r.at + k) for k in range(r["size"])}
             n += r["size"]
         assert words == {(d, k) for d, size in sizes.items() for k in range(size)} and len(cells) == n == len(words)
     for name in ("pck_concat_split_bos", "pck_and_batch"):
-        assert sum(r.used for r in whole.queries()[f"whole_{name}"](spark, SF).collect()) == sum(sizes.values())
-    cut = whole.queries()["whole_pck_concat_split"](spark, SF).collect()
+        assert sum(r.used for r in catalogue.queries()[name](spark, SF).collect()) == sum(sizes.values())
+    cut = catalogue.queries()["pck_concat_split"](spark, SF).collect()
     assert sum(r["size"] for r in cut) == sum(sizes.values()) and max(sum(r.doc_id == d for r in cut) for d in (max(sizes, key=sizes.get),)) >= 3
 
 
 def test_gathers_reach_every_row(spark, con):
-    got = [r.o_orderkey for r in whole.queries()["whole_idx_reindex"](spark, SF).collect()]
+    got = [r.o_orderkey for r in catalogue.queries()["idx_reindex"](spark, SF).collect()]
     assert sorted(got) == [k for (k,) in con.execute("SELECT o_orderkey FROM orders ORDER BY 1").fetchall()]

@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import json
-import os
 from collections.abc import Iterator
 
 from pyspark.sql import Row
 from pyspark.sql import functions as F
 
-from tidewheel.pipeline import IterPipeline
+from tidewheel.functions.schedules import Shard
+from tidewheel.operators.batching import RESERVED
+from tidewheel.pipeline import IterPipeline, MapPipeline, elastic_batches
+from tidewheel.sources import files
 
 
 class Cursor(Iterator):
@@ -23,7 +25,7 @@ class Cursor(Iterator):
             raise ValueError("the cursor is closed")
         if self._rows is None:
             df = self._ds.frame().where(F.col("_idx") >= self._next).orderBy("_idx")
-            self._rows = df.drop("_idx").toLocalIterator(prefetchPartitions=True)
+            self._rows = df.drop(*RESERVED).toLocalIterator(prefetchPartitions=True)
         row = next(self._rows)
         self._next += 1
         return row
@@ -46,23 +48,56 @@ class Cursor(Iterator):
         self._next, self._rows = index, None
 
     def save(self, folder: str, process: int = 0, of: int = 1) -> str:
-        os.makedirs(folder, exist_ok=True)
-        path = os.path.join(folder, f"process_{process}-of-{of}.json")
-        with open(path, "w") as f:
-            json.dump(self.get_state(), f)
+        """Writes the state to a folder on any file system that Spark reaches."""
+        path = f"{folder.rstrip('/')}/process_{process}-of-{of}.json"
+        files.write_text(self._ds.spark, path, json.dumps(self.get_state()))
         return path
 
     def load(self, folder: str, process: int = 0, of: int = 1) -> None:
-        path = os.path.join(folder, f"process_{process}-of-{of}.json")
-        if not os.path.exists(path):
-            raise ValueError(f"there is no {path}")
-        with open(path) as f:
-            self.set_state(json.load(f))
+        self.set_state(json.loads(files.read_text(self._ds.spark, f"{folder.rstrip('/')}/process_{process}-of-{of}.json")))
 
     def close(self) -> None:
         self._closed, self._rows = True, None
 
 
+class ElasticCursor(Iterator):
+    """A host's batches of a MapPipeline; the state is a global position, from which any number of hosts can go on."""
+
+    def __init__(self, ds: MapPipeline, global_batch: int, shard: Shard, extra: dict | None = None):
+        self._ds, self._batch, self._shard, self._extra, self._at, self._rows = ds, global_batch, shard, extra or {}, 0, None
+        elastic_batches(ds, global_batch, shard)  # checks the arguments
+
+    def __next__(self) -> Row:
+        if self._rows is None:
+            df = elastic_batches(self._ds, self._batch, self._shard, self._at).frame().orderBy("_idx")
+            self._rows = df.drop("_idx").toLocalIterator(prefetchPartitions=True)
+        row = next(self._rows)
+        self._at += self._batch
+        return row
+
+    def get_state(self) -> dict:
+        return {"version": 1, "plan": self._ds.signature(), "global_next_index": self._at, **self._extra}
+
+    def set_state(self, state: dict) -> None:
+        if state.get("plan") != self._ds.signature():
+            raise ValueError("the state is another pipeline's")
+        self._at, self._rows = state["global_next_index"], None
+
+    def save(self, folder: str) -> str:
+        path = f"{folder.rstrip('/')}/shard_state_{self._shard.index}.json"
+        files.write_text(self._ds.spark, path, json.dumps(self.get_state()))
+        return path
+
+    def load(self, folder: str) -> None:
+        """From the states that hosts of any layout saved together; they have to be at one position."""
+        found = [json.loads(files.read_text(self._ds.spark, p)) for p in files.matching(self._ds.spark, f"{folder.rstrip('/')}/shard_state_*.json")]
+        if not found:
+            raise ValueError(f"there is no state in {folder}")
+        if len({s["global_next_index"] for s in found}) > 1:
+            raise ValueError("the hosts' states are at different positions")
+        self.set_state(found[0])
+
+
 def assert_equal_after_restore(ds: IterPipeline) -> None:
     """From each state the rest of the rows comes out again."""
     cursor = Cursor(ds)

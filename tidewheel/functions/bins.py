@@ -11,6 +11,8 @@ class BinPacker:
     """Fills bins of one batch at a time. place() takes an element's lengths and gives finished batches.
 
     best: of the bins with room, the fullest; else the first. align: used cells round up to multiples.
+    shuffle_bins: rows of a batch come in a seeded order; elements may carry values (numbers of one feature), and
+    then rows are sorted by the mean of their distinct values other than zero, in the seeded order where they tie.
     """
 
     def __init__(self, capacity: Sequence[int], bins: int, best: bool = False, align: Sequence[int] | None = None, most: int | None = None, seed: int = 0, shuffle_bins: bool = False):
@@ -26,8 +28,9 @@ class BinPacker:
         self.used = np.zeros((self.bins, len(self.capacity)), np.int64)
         self.count = np.zeros(self.bins, np.int64)
         self.held: list[tuple] = []
+        self.values: dict[int, set] = {}
 
-    def place(self, idx: int, lengths: Sequence[int]) -> Iterator[tuple]:
+    def place(self, idx: int, lengths: Sequence[int], values: Sequence[float] | None = None) -> Iterator[tuple]:
         size = np.asarray(lengths, np.int64)
         if (size > self.capacity).any():
             raise ValueError(f"element {idx} is longer than a bin: {list(lengths)}")
@@ -39,6 +42,8 @@ class BinPacker:
             fits = np.ones(self.bins, bool)
         at = int(np.argmax(np.where(fits, self.used.sum(1), -1))) if self.best else int(np.argmax(fits))
         self.count[at] += 1
+        if values is not None:
+            self.values.setdefault(at, set()).update(values)
         self.held.append((idx, at, int(self.count[at]), self.used[at].tolist(), size.tolist()))
         self.used[at] = -(-(self.used[at] + size) // self.align) * self.align
 
@@ -48,6 +53,10 @@ class BinPacker:
         order = np.arange(rows)
         if self.shuffle_bins and rows:
             order = np.random.default_rng(self.seed + self.emitted).permuted(order)
+            if self.values:
+                kinds = [[v for v in self.values.get(k, ()) if v] for k in range(rows)]
+                means = np.array([sum(v) / len(v) if v else 0.0 for v in kinds])
+                order = np.lexsort((order, means))
         place = np.empty(rows, np.int64)
         place[order] = np.arange(rows)
         for idx, at, segment, starts, size in self.held:

@@ -31,17 +31,6 @@ def taken(k: int, parts: Sequence[int], which: int) -> int:
     raise IndexError(which)
 
 
-def mix_at(k: int, parts: Sequence[int]) -> tuple[int, int]:
-    """(input, its row) at position k of a mix."""
-    rest, a, b = sum(parts), k, k + 1
-    for i, p in enumerate(parts):
-        na, nb = a * (rest - p) // rest, b * (rest - p) // rest
-        if b - nb != a - na:
-            return i, b - nb - 1
-        rest, a, b = rest - p, na, nb
-    raise ValueError("no input has this position")
-
-
 def mix_length(lengths: Sequence[int], parts: Sequence[int]) -> int:
     total = sum(parts)
     if any(n == 0 for n in lengths):
@@ -71,39 +60,37 @@ def even_split(n: int, shard: Shard) -> tuple[int, int]:
     return q * s + min(s, r), q * (s + 1) + min(s + 1, r)
 
 
-def interleave_order(sizes: Sequence[int], cycle: int) -> tuple[np.ndarray, np.ndarray]:
-    """(input, row) at each output position of a round robin over at most `cycle` open inputs.
+def interleave_runs(sizes: Sequence[int], cycle: int) -> np.ndarray:
+    """Runs (input, first row, rows, first place, stride) of a round robin over at most `cycle` open inputs.
 
-    A slot whose input has ended gives nothing that turn and opens the next input at its next visit.
-    Inputs are opened by turn, so whole turns are laid out at once from the inputs' sizes.
+    A slot whose input has ended gives nothing that turn and opens the next input at its next visit. Between two
+    such events all turns are alike, so there are as many runs as slots for each event, whatever the rows.
     """
     if cycle < 1:
         raise ValueError("cycle_length must be positive")
-    slots = min(cycle, len(sizes))
-    source: list[int] = []
-    row: list[int] = []
-    held: list[int | None] = [None] * slots
-    at = [0] * len(sizes)
-    following = 0
-    while True:
-        idle = True
-        for s in range(slots):
-            if held[s] is None and following < len(sizes):
-                held[s] = following
-                following += 1
-                idle = False
-            i = held[s]
-            if i is None:
-                continue
-            idle = False
-            if at[i] < sizes[i]:
-                source.append(i)
-                row.append(at[i])
-                at[i] += 1
+    open_: list[int | None] = [None] * min(cycle, len(sizes))
+    given, waiting, place, runs = [0] * len(sizes), iter(range(len(sizes))), 0, []
+    upcoming = next(waiting, None)
+    while upcoming is not None or any(i is not None for i in open_):
+        rests = [sizes[i] - given[i] if i is not None else None for i in open_]
+        regular = all(r if r is not None else upcoming is None for r in rests)
+        turns = min(r for r in rests if r is not None) if regular else 1
+        live = [s for s, r in enumerate(rests) if r] if regular else []
+        for k, slot in enumerate(live):
+            i = open_[slot]
+            runs.append((i, given[i], turns, place + k, len(live)))
+            given[i] += turns
+        place += turns * len(live)
+        for slot in () if regular else range(len(open_)):
+            if open_[slot] is None and upcoming is not None:
+                open_[slot], upcoming = upcoming, next(waiting, None)
+            i = open_[slot]
+            if i is not None and given[i] < sizes[i]:
+                runs.append((i, given[i], 1, place, 1))
+                given[i], place = given[i] + 1, place + 1
             else:
-                held[s] = None
-        if idle:
-            return np.array(source, np.int64), np.array(row, np.int64)
+                open_[slot] = None
+    return np.array(runs, np.int64).reshape(-1, 5)
 
 
 def default_seed(pairs: Sequence[tuple[int, int]]) -> int:

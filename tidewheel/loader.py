@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tidewheel.cursor import Cursor
 from tidewheel.functions.schedules import Shard, even_split
 from tidewheel.operators.transforms import Batch, apply_all
-from tidewheel.pipeline import IterPipeline, MapPipeline, _div, permuted
+from tidewheel.pipeline import IterPipeline, _div, elastic_batches, permuted  # noqa: F401
 
 
 class SequentialSampler:
@@ -76,7 +76,7 @@ class DataLoader:
     """source: rows with _idx. The sampler's indices of this shard, looked up, then the operations.
 
     With worker_count > 1 each worker takes a strided part and forms its own batches; workers' results are
-    taken in turn.
+    taken in turn. Random maps draw by record: the generator's key is the sampler's seed plus the index.
     """
 
     source: DataFrame
@@ -98,8 +98,10 @@ class DataLoader:
         hi = n // s.count * s.count if s.drop_remainder else n
         spark = self.source.sparkSession
         keys = self.sampler.keys(spark, s.index, hi, s.count).withColumn("_at", _div(F.col("_index"), s.count))
-        df = self.source.withColumnRenamed("_idx", "_k").join(keys, F.col("_k") == F.col("_record_key")).drop("_k", "_record_key", "_index")
-        return IterPipeline.source(df.withColumnRenamed("_at", "_idx"))
+        df = self.source.withColumnRenamed("_idx", "_k").join(keys, F.col("_k") == F.col("_record_key")).drop("_k", "_record_key")
+        records = IterPipeline.source(df.withColumnsRenamed({"_at": "_idx", "_index": "_record"}))
+        records._context = (0, 1, self.sampler.seed)
+        return records
 
     def pipeline(self) -> IterPipeline:
         if self.worker_count <= 1:
@@ -114,16 +116,3 @@ def load(source: DataFrame, n: int, *, num_epochs: int | None = None, shuffle: b
     """A loader over an index sampler."""
     operations = [*transformations, *([Batch(batch_size, drop_remainder)] if batch_size else [])]
     return DataLoader(source, IndexSampler(n, shard, shuffle, num_epochs, seed), operations, worker_count)
-
-
-def elastic_batches(ds: MapPipeline, global_batch: int, shard: Shard, next_index: int = 0) -> IterPipeline:
-    """A host's batches from a global position on; any shard layout can resume there. The remainder is dropped."""
-    if ds.sparse:
-        raise ValueError("elements may be absent: filter after batching")
-    if global_batch % shard.count:
-        raise ValueError("the global batch must be a multiple of the shard count")
-    steps = max(ds.n - next_index, 0) // global_batch
-    df = ds.rows(next_index, next_index + steps * global_batch)
-    off = F.col("_idx") - next_index
-    own = df.where(F.pmod(off, F.lit(shard.count)) == shard.index).withColumn("_idx", _div(off, shard.count))
-    return IterPipeline.source(own).batch(global_batch // shard.count)

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 IDX = "_idx"
 
@@ -21,25 +23,45 @@ def field(name: str):
     return lambda r: r[name]
 
 
-def blocks(df: DataFrame, number: Column, place: Column, size: int, aggregates: Sequence[Column] | None = None, pad: Mapping[str, object] | None = None, skip: Sequence[str] = ()) -> DataFrame:
-    """A row for each block number (its _idx): each column as an array in order of place, or the aggregates.
+#: Columns of the engine, which are no part of an element.
+RESERVED = (IDX, "_present", "_lane", "_record")
+
+
+def blocks(df: DataFrame, number: Column, place: Column, size: int, aggregates: Sequence[Column] | None = None, pad: Mapping[str, object] | None = None, by: Sequence[str] = ()) -> DataFrame:
+    """A row for each block number (its _idx) of each lane (by): each column as an array in order of place, or the aggregates.
 
     pad: values that fill a short block's arrays up to size.
     """
-    names = [c for c in df.columns if c != IDX and c not in skip]
+    names = [c for c in df.columns if c not in RESERVED]
     kinds = dict(df.dtypes)
-    df = df.withColumn("_block", number.cast("long"))
+    df = df.withColumn("_tw_block", number.cast("long"))
     if aggregates is not None:
-        return df.groupBy("_block").agg(*aggregates).withColumnRenamed("_block", IDX)
-    rows = df.select("_block", F.struct(place.alias("_place"), *names).alias("_row"))
-    out = rows.groupBy("_block").agg(F.array_sort(F.collect_list("_row")).alias("_rows"))
+        return df.groupBy(*by, "_tw_block").agg(*aggregates).withColumnRenamed("_tw_block", IDX)
+    rows = df.select(*by, "_tw_block", F.struct(place.alias("_tw_place"), *names).alias("_tw_row"))
+    out = rows.groupBy(*by, "_tw_block").agg(F.array_sort(F.collect_list("_tw_row")).alias("_tw_rows"))
     columns = []
     for c in names:
-        values = F.transform("_rows", field(c))
+        values = F.transform("_tw_rows", field(c))
         if kinds[c].startswith("array") and pad is None:
             values = same_size(values, c)
         if pad is not None:
             fill = F.lit(pad.get(c, 0)).cast(kinds[c]) if not kinds[c].startswith("array") else F.lit(None).cast(kinds[c])
-            values = F.concat(values, F.array_repeat(fill, F.lit(size) - F.size("_rows")))
+            values = F.concat(values, F.array_repeat(fill, F.lit(size) - F.size("_tw_rows")))
         columns.append(values.alias(c))
-    return out.select(F.col("_block").alias(IDX), *columns)
+    return out.select(F.col("_tw_block").alias(IDX), *by, *columns)
+
+
+def custom(df: DataFrame, number: Column, place: Column, function: Callable[[pd.DataFrame], Mapping[str, object]], schema: str, by: Sequence[str] = ()) -> DataFrame:
+    """A row for each block: what a function makes of its elements, which it gets in order."""
+    names = [c for c in df.columns if c not in RESERVED]
+    kind = T.StructType.fromDDL(schema)
+    out = T.StructType([T.StructField(IDX, T.LongType()), *(T.StructField(b, T.LongType()) for b in by), *kind.fields])
+    rows = df.select(number.cast("long").alias("_tw_block"), *[F.col(b).cast("long").alias(b) for b in by], place.alias("_tw_place"), *names)
+
+    def run(block: pd.DataFrame) -> pd.DataFrame:
+        block = block.sort_values("_tw_place")
+        made = function(block[names].reset_index(drop=True))
+        own = {IDX: block["_tw_block"].iloc[0], **{b: block[b].iloc[0] for b in by}}
+        return pd.DataFrame({f.name: [own[f.name] if f.name in own else made[f.name]] for f in out.fields})
+
+    return rows.groupBy("_tw_block", *by).applyInPandas(run, out)

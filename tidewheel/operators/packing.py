@@ -39,12 +39,12 @@ def _batches(rows: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
 
 
 def assign_bins(lengths: DataFrame, capacity: Sequence[int], bins: int, best: bool = False, workers: int = 1, **options) -> DataFrame:
-    """lengths: _idx and len (array, one for each feature). Gives _idx, row, segment, at, since, size."""
+    """lengths: _idx, len (array, one for each feature) and maybe values (array of numbers, see BinPacker). Gives _idx, row, segment, at, since, size."""
 
     def place(elements: Iterator[tuple]) -> Iterator[tuple]:
         packer = BinPacker(capacity, bins, best, **options)
-        for idx, size in elements:
-            for i, row, segment, at, n in packer.place(idx, size):
+        for idx, size, *values in elements:
+            for i, row, segment, at, n in packer.place(idx, size, *values):
                 yield i, row, segment, at, [0] * len(at), n
         for i, row, segment, at, n in packer.flush():
             yield i, row, segment, at, [0] * len(at), n
@@ -56,8 +56,7 @@ def assign_cuts(lengths: DataFrame, target: Sequence[int], split_full: bool = Tr
     """As assign_bins, for a concatenated stream that is cut where a feature is full."""
 
     def place(elements: Iterator[tuple]) -> Iterator[tuple]:
-        for i, row, segment, at, since, n in cut_stream(elements, target, split_full):
-            yield i, row, segment, at, since, n
+        yield from cut_stream(((i, n) for i, n, *_ in elements), target, split_full)
 
     return _assigned(lengths, place, workers)
 
@@ -66,7 +65,7 @@ def _assigned(lengths: DataFrame, place, workers: int) -> DataFrame:
     ship(lengths.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from _batches(place((i, n) for b in batches for i, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)))
+        yield from _batches(place(x for b in batches for x in zip(*(c.to_pylist() for c in b.columns), strict=True)))
 
     if workers == 1:
         return lengths.repartition(1).sortWithinPartitions(IDX).mapInArrow(run, SCHEMA)
@@ -74,7 +73,7 @@ def _assigned(lengths: DataFrame, place, workers: int) -> DataFrame:
     def part(table: pa.Table) -> pa.Table:
         own = table.sort_by(IDX)
         w = own.column("_w")[0].as_py()
-        out = pa.Table.from_batches(list(_batches(place(zip(own.column(IDX).to_pylist(), own.column("len").to_pylist(), strict=True)))))
+        out = pa.Table.from_batches(list(_batches(place(zip(*(own.column(c).to_pylist() for c in own.column_names if c != "_w"), strict=True)))))
         return out.append_column("_w", pa.array([w] * out.num_rows, pa.int64()))
 
     parts = lengths.withColumn("_w", F.pmod(F.col(IDX), F.lit(workers)).cast("long")).groupBy("_w").applyInArrow(part, SCHEMA + ", _w long")
@@ -142,16 +141,24 @@ def _filler(df: DataFrame, feature: str, element: str, pad) -> Column:
     return fill
 
 
-def _lengths(df: DataFrame, features: Sequence[str]) -> DataFrame:
+def _lengths(df: DataFrame, features: Sequence[str], grouped: str | None = None) -> DataFrame:
     kinds = dict(df.dtypes)
-    return df.select(IDX, F.array(*[(F.size(f) if kinds[f].startswith("array") else F.lit(1)).cast("long") for f in features]).alias("len"))
+    values = [F.array_distinct(F.col(grouped).cast("array<double>")).alias("values")] if grouped else []
+    return df.select(IDX, F.array(*[(F.size(f) if kinds[f].startswith("array") else F.lit(1)).cast("long") for f in features]).alias("len"), *values)
 
 
-def pack_bins(df: DataFrame, lengths: Mapping[str, int], bins: int, best: bool = False, workers: int = 1, meta: Sequence[str] = (), pad: Mapping[str, object] | None = None, align: Mapping[str, int] | None = None, max_sequences_per_bin: int | None = None, seed: int = 0, shuffle_bins: bool = True) -> DataFrame:
-    """First-fit (or best-fit) packed rows of the array columns named in lengths; df has _idx."""
+def pack_bins(df: DataFrame, lengths: Mapping[str, int], bins: int, best: bool = False, workers: int = 1, meta: Sequence[str] = (), pad: Mapping[str, object] | None = None, align: Mapping[str, int] | None = None, max_sequences_per_bin: int | None = None, seed: int = 0, shuffle_bins: bool = True, shuffle_bins_group_by_feature: str | None = None) -> DataFrame:
+    """First-fit (or best-fit) packed rows of the array columns named in lengths; df has _idx.
+
+    shuffle_bins_group_by_feature: a feature of numbers; a batch's rows are sorted by the mean of its distinct values
+    other than zero, in the seeded order where they tie.
+    """
     df = _as_arrays(df, lengths)
+    if shuffle_bins_group_by_feature is not None and shuffle_bins_group_by_feature not in lengths:
+        raise ValueError(f"{shuffle_bins_group_by_feature} is no packed feature")
     options = {"align": [(align or {}).get(f, 1) for f in lengths], "most": max_sequences_per_bin, "seed": seed, "shuffle_bins": shuffle_bins}
-    places = assign_bins(_lengths(df, list(lengths)), list(lengths.values()), bins, best, workers, **options)
+    sizes = _lengths(df, list(lengths), shuffle_bins_group_by_feature if shuffle_bins else None)
+    places = assign_bins(sizes, list(lengths.values()), bins, best, workers, **options)
     return materialise_rows(df, places, lengths, meta, pad)
 
 

@@ -46,6 +46,8 @@ class Batch:
     drop_remainder: bool = False
     aggregates: Sequence[Column] | None = None
     pad: Mapping[str, object] | None = field(default=None)
+    function: Callable | None = None
+    schema: str | None = None
 
 
 def apply_one(ds, t):
@@ -61,9 +63,9 @@ def apply_one(ds, t):
         case Filter():
             return ds.filter(t.condition)
         case FlatMap():
-            return ds.flat_map(t.array, t.max_fan_out, t.name) if isinstance(ds, MapPipeline) else ds.flat_map(t.array, t.name)
+            return ds.flat_map(t.array, t.max_fan_out, t.name) if isinstance(ds, MapPipeline) else ds.flat_map(t.array, t.name, t.max_fan_out)
         case Batch():
-            return ds.batch(t.size, drop_remainder=t.drop_remainder, aggregates=t.aggregates, pad=t.pad)
+            return ds.batch(t.size, drop_remainder=t.drop_remainder, aggregates=t.aggregates, pad=t.pad, function=t.function, schema=t.schema)
     if callable(t):
         return t(ds)
     raise NotImplementedError(f"{type(t).__name__} is no transformation")

@@ -11,10 +11,13 @@ the raw indices from e * n on.
 from __future__ import annotations
 
 import hashlib
+import re
 import warnings
 from collections.abc import Callable, Iterator, Mapping, Sequence
+from contextvars import ContextVar
 from functools import cached_property, reduce
 from itertools import islice
+from types import CodeType, FunctionType
 
 import numpy as np
 import pandas as pd
@@ -27,19 +30,51 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from tidewheel.functions import schedules
 from tidewheel.functions.permutation import permute
 from tidewheel.operators import batching, packing
-from tidewheel.plans.ranking import IDX, dense
+from tidewheel.operators.batching import RESERVED as OWN
+from tidewheel.plans.ranking import IDX, dense, indexed
 from tidewheel.session import ship
 
-PRESENT = "_present"
-#: Reserved columns.
-OWN = (IDX, PRESENT)
+#: Reserved columns besides _idx: whether an element is there, a worker's lane, a record's number in its sampler.
+PRESENT, LANE, RECORD = "_present", "_lane", "_record"
 MOST_GATHERED = 5_000_000
+#: Options of a plan: shares of a window of 1,000 elements from which a filter warns or fails (0 and None: never).
+OPTIONS: ContextVar[tuple] = ContextVar("options", default=())
+
+
+class NoLanes(Exception):
+    """A stage can't run on all workers' parts at once."""
+
+
+def told(x: object) -> str:
+    """What a function, frame, column or plain value is, the same in every process."""
+    if isinstance(x, DataFrame):
+        files = sorted(f for f in x.inputFiles() if "/tidewheel-" not in f)
+        return re.sub(r"#\d+L?|tidewheel-[0-9a-f]+|@[0-9a-f]+", "", x._jdf.queryExecution().analyzed().toString()) + str(files)
+    if isinstance(x, FunctionType):
+        cells = [c.cell_contents for c in x.__closure__ or ()]
+        return told((x.__code__, x.__defaults__, cells))
+    if isinstance(x, CodeType):
+        return f"{x.co_code.hex()}{x.co_names}{told(x.co_consts)}"
+    if isinstance(x, (list, tuple)):
+        return f"[{', '.join(map(told, x))}]"
+    if isinstance(x, Mapping):
+        return told(sorted(x.items(), key=str))
+    return x.signature() if isinstance(x, _Node) else re.sub(r" at 0x[0-9a-f]+", "", repr(x))
 
 
 def payload(df: DataFrame) -> list[str]:
     return [c for c in df.columns if c not in OWN]
 
 
+def own(df: DataFrame) -> list[str]:
+    return [c for c in df.columns if c in OWN]
+
+
+def windows_lost(df: DataFrame, keep: Column, window: int, by: Sequence[str] = ()) -> DataFrame:
+    """win, n, lost: the elements of each window of inputs, and those that a filter drops."""
+    return df.groupBy(*by, F.floor(F.col(IDX) / window).alias("win")).agg(F.count(F.lit(1)).alias("n"), F.count_if(~keep).alias("lost"))
+
+
 def as_column(e: Column | str | Callable, *args: Column) -> Column:
     return e if isinstance(e, Column) else F.expr(e) if isinstance(e, str) else e(*args)
 
@@ -66,23 +101,33 @@ def permuted(idx: Column, n: int, seed: Column | int, inverse: bool = True) -> C
     return F.pandas_udf(run, "long")(idx, (seed if isinstance(seed, Column) else F.lit(seed)).cast("long"))
 
 
-def random_values(idx: Column, seed: int, draw: Callable[[np.random.Generator], object], returns: str, *inputs: Column) -> Column:
-    """draw(rng, *inputs) by row, with the row's own generator."""
-
+def random_values(idx: Column, seed: int, draw: Callable[[np.random.Generator], object], returns: str, *inputs: Column, record: bool = False) -> Column:
+    """draw(rng, *inputs) by row, with the row's own generator; record: of the seed that idx is added to, as samplers give it."""
     ship(SparkSession.active())
 
-    def run(i: pd.Series, *rest: pd.Series) -> pd.Series:
+    def run(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
         pool = schedules.RngPool(seed)
-        out = []
-        for at, row in enumerate(zip(i.tolist(), *(r.tolist() for r in rest), strict=True)):
-            g = pool.acquire_rng(row[0])
-            out.append(draw(g, *row[1:]))
-            pool.release_rng(g)
-        return pd.Series(out)
+        for i, *rest in batches:
+            out = []
+            for at, *row in zip(i.tolist(), *(r.tolist() for r in rest), strict=True):
+                if record:
+                    out.append(draw(np.random.Generator(np.random.Philox(key=seed + at)), *row))
+                    continue
+                g = pool.acquire_rng(at)
+                out.append(draw(g, *row))
+                pool.release_rng(g)
+            yield pd.Series(out)
+
+    run.__annotations__ = {"batches": Iterator[tuple[pd.Series, ...]], "return": Iterator[pd.Series]}
+    return F.pandas_udf(run, returns)(idx, *inputs) if inputs else F.pandas_udf(_alone(run), returns)(idx)
+
 
-    run.__annotations__ = {"i": pd.Series, "return": pd.Series}
-    arrow = F.pandas_udf(lambda i, *rest: run(i, *rest), returns, F.PandasUDFType.SCALAR)
-    return arrow(idx, *inputs)
+def _alone(run: Callable) -> Callable:
+    def one(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        yield from run((i,) for i in batches)
+
+    one.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
+    return one
 
 
 class _Node:
@@ -114,8 +159,9 @@ class _Node:
         return seed
 
     def signature(self) -> str:
-        own = {k: repr(v) for k, v in sorted(self.__dict__.items()) if (not k.startswith("_") or k == "_seed") and k not in ("parent", "array", "condition") and not callable(v)}
-        own |= {k: str(self.__dict__[k]) for k in ("array", "condition") if k in self.__dict__ and not callable(self.__dict__[k])}
+        """A digest of the plan: its nodes, their functions and arguments, and the sources' plans and files."""
+        skip = ("parent", "lanes", "_parents", "_count", "form", "_f", "_cached", "_make", "_spark", "_context")
+        own = [(k, told(v)) for k, v in sorted(self.__dict__.items()) if k not in skip]
         text = f"{type(self).__name__}{own}{[p.signature() for p in self._parents]}"
         return hashlib.sha256(text.encode()).hexdigest()[:16]
 
@@ -152,6 +198,12 @@ class MapPipeline(_Node):
         ship(df.sparkSession)
         return _Source(df, df.count() if n is None else n)
 
+    @staticmethod
+    def ordered(df: DataFrame, *order: str | Column) -> MapPipeline:
+        """The rows of df in a total order of their columns."""
+        ship(df.sparkSession)
+        return _Source(*indexed(df, *order))
+
     @staticmethod
     def range(spark: SparkSession, start: int, stop: int | None = None, step: int = 1) -> MapPipeline:
         return _Range(spark, start, stop, step)
@@ -165,8 +217,8 @@ class MapPipeline(_Node):
         return _Concatenate(list(inputs))
 
     @staticmethod
-    def select_from(inputs: Sequence[MapPipeline], selection: Sequence[tuple[int, int]]) -> MapPipeline:
-        """selection: (input, its index) of each output element."""
+    def select_from(inputs: Sequence[MapPipeline], selection: Sequence[tuple[int, int]] | DataFrame) -> MapPipeline:
+        """selection: (input, its index) of each output element, or a frame of any size with _idx (dense), input and index."""
         return _Select(list(inputs), selection)
 
     @staticmethod
@@ -178,21 +230,32 @@ class MapPipeline(_Node):
 
     def map(self, **columns: Column | str) -> MapPipeline:
         """New payload columns (others go unless mapped)."""
-        return _MapColumns(self, lambda df, idx: df.select(*[c for c in df.columns if c in OWN], *[as_column(e).alias(k) for k, e in columns.items()]), ("map", sorted((k, str(e)) for k, e in columns.items())))
+        return _MapColumns(self, lambda df, idx: df.select(*own(df), *[as_column(e).alias(k) for k, e in columns.items()]), ("map", columns))
+
+    def map_or_drop(self, **columns: Column | str) -> MapPipeline:
+        """As map, but an element whose new columns are all null is absent from here on."""
+        def f(df, idx):
+            made = df.select(*own(df), *[as_column(e).alias(k) for k, e in columns.items()])
+            here = F.coalesce(*[F.when(F.col(k).isNotNull(), F.lit(True)) for k in columns], F.lit(False))
+            return made.withColumn(PRESENT, F.col(PRESENT) & here if PRESENT in made.columns else here)
+
+        node = _MapColumns(self, f, ("map_or_drop", columns))
+        node.sparse = True
+        return node
 
     def map_with_index(self, f: Callable[[Column], Mapping[str, Column]]) -> MapPipeline:
         """f(raw index) gives the new columns."""
-        return _MapColumns(self, lambda df, idx: df.select(*[c for c in df.columns if c in OWN], *[e.alias(k) for k, e in f(idx).items()]))
+        return _MapColumns(self, lambda df, idx: df.select(*own(df), *[e.alias(k) for k, e in f(idx).items()]), ("map_with_index", f(F.col(IDX))))
 
     def map_pandas(self, f: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> MapPipeline:
         """f works on Arrow batches and keeps _idx; schema leaves _idx out."""
-        return _MapColumns(self, lambda df, idx: df.mapInPandas(lambda it: (f(b) for b in it), f"{IDX} bigint, {schema}"))
+        return _MapColumns(self, lambda df, idx: df.mapInPandas(lambda it: (f(b) for b in it), f"{IDX} bigint, {schema}"), ("map_pandas", f, schema))
 
     def random_map(self, draw: Callable, returns: str, name: str = "value", inputs: Sequence[str] = (), seed: int | None = None) -> MapPipeline:
         """Adds a column draw(rng, *inputs) with a generator of the element's own."""
-        node = _MapColumns(self, None)
-        own = node._seeded(seed)
-        node._f = lambda df, idx: df.withColumn(name, random_values(idx, own, draw, returns, *map(F.col, inputs)))
+        node = _MapColumns(self, None, ("random_map", draw, returns, name, inputs, seed))
+        own_seed = node._seeded(seed)
+        node._f = lambda df, idx: df.withColumn(name, random_values(idx, own_seed, draw, returns, *map(F.col, inputs)))
         return node
 
     def filter(self, condition: Column | str) -> MapPipeline:
@@ -222,8 +285,9 @@ class MapPipeline(_Node):
     def repeat(self, epochs: int | None = None, *, reseed_each_epoch: bool = True) -> MapPipeline:
         return _Repeat(self, epochs, reseed_each_epoch)
 
-    def batch(self, size: int, *, drop_remainder: bool = False, aggregates: Sequence[Column] | None = None, pad: Mapping[str, object] | None = None) -> MapPipeline:
-        return _Batch(self, size, drop_remainder, aggregates, pad)
+    def batch(self, size: int, *, drop_remainder: bool = False, aggregates: Sequence[Column] | None = None, pad: Mapping[str, object] | None = None, function: Callable[[pd.DataFrame], Mapping[str, object]] | None = None, schema: str | None = None) -> MapPipeline:
+        """Blocks as arrays, as aggregates, or as the row of `schema` that a function makes of a block's elements in order."""
+        return _Batch(self, size, drop_remainder, aggregates, pad, function, schema)
 
     def flat_map(self, array: Column | str, fan_out: int, name: str = "value") -> MapPipeline:
         return _FlatMap(self, array, fan_out, name)
@@ -242,7 +306,7 @@ def _epochs(df: DataFrame, n: int, lo: int, hi: int) -> DataFrame:
     elif first == last:
         out = df.withColumn(IDX, F.col(IDX) + first * n)
     else:
-        out = df.withColumn("_e", F.explode(F.sequence(F.lit(first).cast("long"), F.lit(last).cast("long")))).withColumn(IDX, F.col(IDX) + F.col("_e") * n).drop("_e")
+        out = df.withColumn("_tw_e", F.explode(F.sequence(F.lit(first).cast("long"), F.lit(last).cast("long")))).withColumn(IDX, F.col(IDX) + F.col("_tw_e") * n).drop("_tw_e")
     return out if lo == first * n and hi == (last + 1) * n else out.where((F.col(IDX) >= lo) & (F.col(IDX) < hi))
 
 
@@ -291,9 +355,6 @@ class _One(MapPipeline):
         self._parents, self.n, self.sparse = (parent,), parent.n, parent.sparse
         self.parent = parent
 
-    def signature(self):
-        return super().signature()
-
 
 class _Seeded(_One):
     def __init__(self, parent, seed):
@@ -305,7 +366,7 @@ class _Seeded(_One):
 
 
 class _MapColumns(_One):
-    def __init__(self, parent, f, note=""):
+    def __init__(self, parent, f, note=()):
         super().__init__(parent)
         self._f, self.note = f, note
 
@@ -355,14 +416,14 @@ class _WindowShuffle(_One):
         parts = []
         # A short last window is drawn from the whole window, which reaches into the next epoch.
         for e in range(first, last + 1):
-            df = self.parent.rows(e * n, e * n + (n if self.clip_last else windows * w)).withColumn("_r", F.col(IDX) - e * n)
-            number = _div(F.col("_r"), w)
+            df = self.parent.rows(e * n, e * n + (n if self.clip_last else windows * w)).withColumn("_tw_r", F.col(IDX) - e * n)
+            number = _div(F.col("_tw_r"), w)
             seed = F.pmod(F.lit(self.seed_).cast("long") + number, F.lit(1 << 32))
             tail = n - (windows - 1) * w
-            place = number * w + permuted(F.pmod("_r", F.lit(w)), w, seed)
+            place = number * w + permuted(F.pmod("_tw_r", F.lit(w)), w, seed)
             if self.clip_last and tail < w:
-                place = F.when(number == windows - 1, number * w + permuted(F.least(F.pmod("_r", F.lit(w)), F.lit(tail - 1)), tail, seed)).otherwise(place)
-            parts.append(df.withColumn(IDX, e * n + place).where(F.col(IDX) < (e + 1) * n).drop("_r"))
+                place = F.when(number == windows - 1, number * w + permuted(F.least(F.pmod("_tw_r", F.lit(w)), F.lit(tail - 1)), tail, seed)).otherwise(place)
+            parts.append(df.withColumn(IDX, e * n + place).where(F.col(IDX) < (e + 1) * n).drop("_tw_r"))
         return _cut(reduce(DataFrame.unionByName, parts), lo, hi, (first * n, (last + 1) * n))
 
 
@@ -467,10 +528,21 @@ class _Select(_Many):
 
     def __init__(self, inputs, selection):
         super().__init__(inputs)
+        if isinstance(selection, DataFrame):
+            self.selection = selection.select(F.col("input").cast("int").alias("_d"), F.col("index").cast("long").alias("_k"), F.col(IDX).cast("long").alias("_o"))
+            rows = self.selection.groupBy("_d").agg(F.min("_k"), F.max("_k"), F.count(F.lit(1))).collect()  # one row for each input
+            self.reach, self.n = {r[0]: (r[1], r[2]) for r in rows}, sum(r[3] for r in rows)
+            if any(not 0 <= d < len(inputs) for d in self.reach):
+                raise ValueError("a selection names no input")
+            return
         self.selection = [(int(a), int(b)) for a, b in selection]
         self.n = len(self.selection)
         if self.n > MOST_GATHERED:
-            raise ValueError(f"at most {MOST_GATHERED} elements can be gathered by a list")
+            raise ValueError(f"at most {MOST_GATHERED} elements can be gathered by a list: give a frame of selections")
+        self.reach = {}
+        for d, k in self.selection:
+            low, high = self.reach.get(d, (k, k))
+            self.reach[d] = (min(low, k), max(high, k))
         if any(not 0 <= d < len(inputs) for d, _ in self.selection):
             raise ValueError("a selection names no input")
 
@@ -479,19 +551,21 @@ class _Select(_Many):
         if not m or hi <= lo:
             return self._parents[0].rows(0, 0)
         first, last = lo // m, (hi - 1) // m
-        chosen = pd.DataFrame({"_d": [d for d, _ in self.selection], "_k": [k for _, k in self.selection], "_o": np.arange(m)})
-        wanted = self.spark.createDataFrame(chosen, "_d int, _k long, _o long")
-        wanted = wanted.withColumn("_e", F.explode(F.sequence(F.lit(first).cast("long"), F.lit(last).cast("long"))))
+        wanted = self.selection
+        if not isinstance(wanted, DataFrame):
+            chosen = pd.DataFrame({"_d": [d for d, _ in wanted], "_k": [k for _, k in wanted], "_o": np.arange(m)})
+            wanted = self.spark.createDataFrame(chosen, "_d int, _k long, _o long")
+        wanted = wanted.toDF("_tw_d", "_tw_k", "_tw_o")
+        wanted = wanted.withColumn("_tw_e", F.explode(F.sequence(F.lit(first).cast("long"), F.lit(last).cast("long"))))
         parts = []
         for i, p in enumerate(self._parents):
-            own = [k for d, k in self.selection if d == i]
-            if not own:
+            if i not in self.reach:
                 continue
             n = len(p) if p.n is not None else 0
-            df = p.rows(first * n + min(own), last * n + max(own) + 1)
-            one = wanted.where(F.col("_d") == i).withColumn("_raw", F.col("_k") + F.col("_e") * n)
+            df = p.rows(first * n + self.reach[i][0], last * n + self.reach[i][1] + 1)
+            one = wanted.where(F.col("_tw_d") == i).withColumn("_tw_raw", F.col("_tw_k") + F.col("_tw_e") * n)
             one = F.broadcast(one) if m * (last - first + 1) <= 100_000 else one
-            parts.append(df.join(one, df[IDX] == one["_raw"]).withColumn(IDX, F.col("_o") + F.col("_e") * m).drop("_d", "_k", "_o", "_e", "_raw"))
+            parts.append(df.join(one, df[IDX] == one["_tw_raw"]).withColumn(IDX, F.col("_tw_o") + F.col("_tw_e") * m).drop("_tw_d", "_tw_k", "_tw_o", "_tw_e", "_tw_raw"))
         return _cut(self.union(parts), lo, hi, (first * m, (last + 1) * m))
 
 
@@ -515,28 +589,37 @@ class _Zip(_Many):
 
 
 class _Batch(_One):
-    def __init__(self, parent, size, drop, aggregates, pad):
+    def __init__(self, parent, size, drop, aggregates, pad, function, schema):
         super().__init__(parent)
         if size < 1:
             raise ValueError("batch size must be positive")
         if parent.sparse:
             raise ValueError("elements may be absent here: turn to_iter() before batch")
-        self.size, self.drop, self.aggregates, self.pad = size, drop, aggregates, pad
+        self.size, self.drop, self.form = size, drop, _form(size, aggregates, pad, function, schema)
         self.n = None if parent.n is None else parent.n // size if drop else -(-parent.n // size)
+        self.note = ("batch", size, drop, aggregates, pad, function, schema)
 
     def rows(self, lo, hi):
         m, n, b = self.n, self.parent.n, self.size
         if n is None:
-            df = self.parent.rows(lo * b, hi * b)
-            return batching.blocks(df, _div(F.col(IDX), b), F.pmod(F.col(IDX), F.lit(b)), b, self.aggregates, self.pad)
+            return self.form(self.parent.rows(lo * b, hi * b), _div(F.col(IDX), b), F.pmod(F.col(IDX), F.lit(b)))
         full = _whole(m, lo, hi)
         if not m:
-            return batching.blocks(self.parent.rows(0, 0), F.col(IDX), F.col(IDX), b, self.aggregates, self.pad)
+            return self.form(self.parent.rows(0, 0), F.col(IDX), F.col(IDX))
         df = self.parent.rows(full[0] // m * n, full[1] // m * n)
         r = F.pmod(F.col(IDX), F.lit(n))
         df = df.where(r < m * b) if self.drop else df
         number = _div(F.col(IDX), n) * m + _div(r, b)
-        return _cut(batching.blocks(df, number, F.pmod(r, F.lit(b)), b, self.aggregates, self.pad), lo, hi, full)
+        return _cut(self.form(df, number, F.pmod(r, F.lit(b))), lo, hi, full)
+
+
+def _form(size: int, aggregates, pad, function, schema) -> Callable[..., DataFrame]:
+    """How blocks are made of (rows, block number, place in it, lanes)."""
+    if function is None:
+        return lambda df, number, place, by=(): batching.blocks(df, number, place, size, aggregates, pad, by)
+    if schema is None or aggregates is not None or pad is not None:
+        raise ValueError("a batch function needs a schema, and neither aggregates nor padding")
+    return lambda df, number, place, by=(): batching.custom(df, number, place, function, schema, by)
 
 
 class _FlatMap(_One):
@@ -551,22 +634,50 @@ class _FlatMap(_One):
         df = df.where(PRESENT).drop(PRESENT) if PRESENT in df.columns else df
         a = as_column(self.array)
         checked = F.when(F.size(a) > f, F.raise_error(F.lit(f"an element has more than {f} parts")).cast(df.select(a).schema[0].dataType)).otherwise(a)
-        out = df.select(*payload(df), IDX, F.posexplode(checked).alias("_pos", "_part"))
-        out = out.drop(self.name).withColumn(IDX, F.col(IDX) * f + F.col("_pos")).withColumnRenamed("_part", self.name).drop("_pos").withColumn(PRESENT, F.lit(True))
+        out = df.select(*payload(df), IDX, F.posexplode(checked).alias("_tw_pos", "_tw_part"))
+        out = out.drop(self.name).withColumn(IDX, F.col(IDX) * f + F.col("_tw_pos")).withColumnRenamed("_tw_part", self.name).drop("_tw_pos").withColumn(PRESENT, F.lit(True))
         return _cut(out, lo, hi, (lo // f * f, -(-hi // f) * f))
 
 
 class IterPipeline(_Node):
-    """A finite order: frame() has _idx, dense from 0, and the payload."""
+    """A finite order: frame() has _idx, dense from 0, and the payload.
+
+    lanes: workers' parts that stand side by side in one frame, each with its own _idx (_lane says whose). What
+    can't work on all of them at once raises NoLanes, and parallel() then builds the parts one by one.
+    """
+
+    lanes = 1
+    #: A worker's number and the workers' count where its part stands alone, and the sampler's seed for records.
+    _context: tuple = (0, 1, None)
 
     def frame(self) -> DataFrame:
-        if "_cached_frame" not in self.__dict__:
-            self._cached_frame = self._frame()
-        return self._cached_frame
+        cached = self.__dict__.setdefault("_cached", {})
+        if OPTIONS.get() not in cached:
+            cached[OPTIONS.get()] = self._frame()
+        return cached[OPTIONS.get()]
 
     def _frame(self) -> DataFrame:
         raise NotImplementedError
 
+    @property
+    def _by(self) -> list[str]:
+        return [LANE] if self.lanes > 1 else []
+
+    def _alone(self) -> IterPipeline:
+        if self.lanes > 1:
+            raise NoLanes
+        return self
+
+    def lane_counts(self) -> list[int]:
+        """Elements of each lane: one look at all."""
+        if self.lanes == 1:
+            return [self.count()]
+        found = dict(self.frame().groupBy(LANE).agg(F.count(F.lit(1))).collect())
+        return [found.get(w, 0) for w in range(self.lanes)]
+
+    def _of_lane(self, numbers: Sequence[int]) -> Column:
+        return F.lit(numbers[0]) if len(numbers) == 1 else F.element_at(F.lit(list(numbers)), (F.col(LANE) + 1).cast("int"))
+
     def count(self) -> int:
         return self._count
 
@@ -578,7 +689,7 @@ class IterPipeline(_Node):
     def source(df: DataFrame) -> IterPipeline:
         """df has a dense _idx."""
         ship(df.sparkSession)
-        return _Frame(lambda: df, (), spark=df.sparkSession)
+        return _Frame(lambda: df, (), spark=df.sparkSession, note=("source", df))
 
     @staticmethod
     def mix(inputs: Sequence[IterPipeline] | Mapping[str, IterPipeline], weights=None) -> IterPipeline:
@@ -587,6 +698,7 @@ class IterPipeline(_Node):
             weights = [weights[k] for k in inputs] if isinstance(weights, Mapping) else weights
             inputs = list(inputs.values())
         parts = schedules.proportions(weights, len(inputs))
+        inputs = [p._alone() for p in inputs]
 
         def frame():
             counts = [p.count() for p in inputs]
@@ -610,19 +722,16 @@ class IterPipeline(_Node):
         """Round robin over at most cycle_length open inputs; workers: each interleaves every workers-th input, and their rows are taken in turn."""
         if workers > 1:
             return IterPipeline.interleave([IterPipeline.interleave(inputs[w::workers], cycle_length) for w in range(min(workers, len(inputs)))], workers)
-
-        def frame():
-            counts = [p.count() for p in inputs]
-            return _interleaved(inputs, counts, cycle_length)
-
         if cycle_length < 1:
             raise ValueError("cycle_length must be positive")
-        return _Frame(frame, tuple(inputs), note=("interleave", cycle_length))
+        inputs = [p._alone() for p in inputs]
+        return _Frame(lambda: _interleaved(inputs, cycle_length), tuple(inputs), note=("interleave", cycle_length))
 
     @staticmethod
     def zip(inputs: Sequence[IterPipeline], strict: bool = True) -> IterPipeline:
         if not inputs:
             raise ValueError("inputs are needed")
+        inputs = [p._alone() for p in inputs]
 
         def frame():
             if strict and len({p.count() for p in inputs}) > 1:
@@ -645,18 +754,43 @@ class IterPipeline(_Node):
         return node
 
     def map(self, **columns: Column | str) -> IterPipeline:
-        return self._then(lambda df: df.select(IDX, *[as_column(e).alias(k) for k, e in columns.items()]), "map", sorted(map(str, columns.items())))
+        return self._then(lambda df: df.select(*own(df), *[as_column(e).alias(k) for k, e in columns.items()]), "map", columns)
 
     def map_with_index(self, f: Callable[[Column], Mapping[str, Column]]) -> IterPipeline:
-        return self._then(lambda df: df.select(IDX, *[e.alias(k) for k, e in f(F.col(IDX)).items()]), "map_with_index")
+        return self._then(lambda df: df.select(*own(df), *[e.alias(k) for k, e in f(F.col(IDX)).items()]), "map_with_index", f(F.col(IDX)))
 
     def map_pandas(self, f, schema: str) -> IterPipeline:
-        return self._then(lambda df: df.mapInPandas(lambda it: (f(b) for b in it), f"{IDX} bigint, {schema}"), "map_pandas", schema)
+        return self._alone()._then(lambda df: df.mapInPandas(lambda it: (f(b) for b in it), f"{IDX} bigint, {schema}"), "map_pandas", f, schema)
 
     def random_map(self, draw: Callable, returns: str, name: str = "value", inputs: Sequence[str] = (), seed: int | None = None) -> IterPipeline:
-        node = self._then(None, "random_map", seed)
-        own = node._seeded(seed)
-        node._make = lambda: self.frame().withColumn(name, random_values(F.col(IDX), own, draw, returns, *map(F.col, inputs)))
+        """draw(rng, *inputs): the k-th element of worker w of n draws as element w + k * n; a loader's records draw by their own numbers."""
+        node = self._then(None, "random_map", draw, returns, name, inputs, seed)
+        worker, workers, records = self._context
+        own_seed = node._seeded(seed) if records is None else None
+
+        def make():
+            df = self.frame()
+            if records is not None:
+                return df.withColumn(name, random_values(F.col(RECORD), records, draw, returns, *map(F.col, inputs), record=True))
+            number = F.col(LANE) + F.col(IDX) * self.lanes if self.lanes > 1 else F.col(IDX) * workers + worker
+            return df.withColumn(name, random_values(number, own_seed, draw, returns, *map(F.col, inputs)))
+
+        node._make = make
+        return node
+
+    def with_options(self, *, filter_warn_above: float | None = None, filter_raise_above: float | None = None) -> IterPipeline:
+        """Shares of a window from which filters of the whole plan warn or fail; options given later win."""
+        given = tuple((k, v) for k, v in (("warn", filter_warn_above), ("raise", filter_raise_above)) if v is not None)
+        node = self._then(None, "with_options", given)
+
+        def make():
+            mark = OPTIONS.set(tuple(sorted({**dict(given), **dict(OPTIONS.get())}.items())))
+            try:
+                return self.frame()
+            finally:
+                OPTIONS.reset(mark)
+
+        node._make = make
         return node
 
     def filter(self, condition: Column | str, raise_above: float | None = None, window: int = 1000, warn_above: float | None = None) -> IterPipeline:
@@ -664,26 +798,31 @@ class IterPipeline(_Node):
 
         def run(df):
             keep = F.coalesce(as_column(condition), F.lit(False))
-            if raise_above or warn_above:
-                lost = df.groupBy(F.floor(F.col(IDX) / window)).agg(F.count_if(~keep).alias("x"), F.count(F.lit(1)).alias("n"))
-                most = lost.where(F.col("n") == window).agg(F.max("x")).first()[0] or 0
+            options = dict(OPTIONS.get())
+            fails, warns = raise_above or options.get("raise"), warn_above or options.get("warn")
+            if fails or warns:
+                most = windows_lost(df, keep, window, self._by).where(F.col("n") == window).agg(F.max("lost")).first()[0] or 0
                 said = "the filter drops {:.0%} or more of a window of {} elements"
-                if raise_above and most >= raise_above * window:
-                    raise ValueError(said.format(raise_above, window))
-                if warn_above and most >= warn_above * window:
-                    warnings.warn(said.format(warn_above, window), stacklevel=2)
-            return dense(df.where(keep), IDX, self.count())
+                if fails and most >= fails * window:
+                    raise ValueError(said.format(fails, window))
+                if warns and most >= warns * window:
+                    warnings.warn(said.format(warns, window), stacklevel=2)
+            return dense(df.where(keep), IDX, max(self.lane_counts()), by=self._by)
+
+        return self._then(run, "filter", condition, raise_above, window, warn_above)
 
-        return self._then(run, "filter", str(condition))
+    def flat_map(self, array: Column | str, name: str = "value", fan_out: int | None = None) -> IterPipeline:
+        """fan_out: a record's part has the number record * fan_out + place."""
 
-    def flat_map(self, array: Column | str, name: str = "value") -> IterPipeline:
         def run(df):
-            df = df.withColumn("_a", as_column(array)).where(F.size("_a") > 0)
-            df = dense(df, IDX, self.count(), F.size("_a"))
-            out = df.select(*[c for c in df.columns if c not in ("_a", name)], F.posexplode("_a").alias("_pos", name))
-            return out.withColumn(IDX, F.col(IDX) + F.col("_pos")).drop("_pos")
+            df = df.withColumn("_tw_a", as_column(array)).where(F.size("_tw_a") > 0)
+            df = dense(df, IDX, max(self.lane_counts()), F.size("_tw_a"), self._by)
+            out = df.select(*[c for c in df.columns if c not in ("_tw_a", name)], F.posexplode("_tw_a").alias("_tw_pos", name))
+            if RECORD in out.columns:
+                out = out.withColumn(RECORD, F.col(RECORD) * fan_out + F.col("_tw_pos")) if fan_out else out.drop(RECORD)
+            return out.withColumn(IDX, F.col(IDX) + F.col("_tw_pos")).drop("_tw_pos")
 
-        return self._then(run, "flat_map", str(array))
+        return self._then(run, "flat_map", array, name, fan_out)
 
     def limit(self, n: int) -> IterPipeline:
         if n <= 0:
@@ -693,7 +832,7 @@ class IterPipeline(_Node):
     def repeat(self, epochs: int) -> IterPipeline:
         if epochs is None or epochs <= 0:
             raise ValueError("epochs must be positive")
-        return self._then(lambda df: _epochs(df, self.count(), 0, self.count() * epochs) if self.count() else df, "repeat", epochs)
+        return self._alone()._then(lambda df: _epochs(df, self.count(), 0, self.count() * epochs) if self.count() else df, "repeat", epochs)
 
     def cache(self) -> IterPipeline:
         return self._then(lambda df: df.persist(), "cache")
@@ -701,7 +840,7 @@ class IterPipeline(_Node):
     def window_shuffle(self, window: int, seed: int | None = None) -> IterPipeline:
         if window < 1:
             raise ValueError("window must be positive")
-        node = self._then(None, "window_shuffle", window, seed)
+        node = self._alone()._then(None, "window_shuffle", window, seed)
         own = node._seeded(seed)
 
         def make():
@@ -723,29 +862,20 @@ class IterPipeline(_Node):
         node._make = make
         return node
 
-    def batch(self, size: int, *, drop_remainder: bool = False, aggregates: Sequence[Column] | None = None, pad: Mapping[str, object] | None = None, workers: int = 1) -> IterPipeline:
-        """workers: batches are formed inside each of so many strided parts, then taken in turn."""
+    def batch(self, size: int, *, drop_remainder: bool = False, aggregates: Sequence[Column] | None = None, pad: Mapping[str, object] | None = None, function: Callable[[pd.DataFrame], Mapping[str, object]] | None = None, schema: str | None = None, workers: int = 1) -> IterPipeline:
+        """As MapPipeline.batch; workers: batches are formed inside each of so many strided parts, then taken in turn."""
         if size < 1:
             raise ValueError("batch size must be positive")
+        if workers > 1:
+            return self.parallel(workers, lambda part: part.batch(size, drop_remainder=drop_remainder, aggregates=aggregates, pad=pad, function=function, schema=schema))
+        form = _form(size, aggregates, pad, function, schema)
 
         def run(df):
-            if workers == 1:
-                if drop_remainder:
-                    df = df.where(F.col(IDX) < self.count() // size * size)
-                return batching.blocks(df, _div(F.col(IDX), size), F.pmod(F.col(IDX), F.lit(size)), size, aggregates, pad)
-            n = self.count()
-            sizes = [len(range(w, n, workers)) for w in range(workers)]
-            batches = [s // size if drop_remainder else -(-s // size) for s in sizes]
-            own = _div(F.col(IDX), workers)
-            df = df.withColumn("_w", F.pmod(F.col(IDX), F.lit(workers))).withColumn("_n", _div(own, size)).withColumn("_at", F.pmod(own, F.lit(size)))
             if drop_remainder:
-                df = df.where(F.col("_n") < F.element_at(F.array(*map(F.lit, batches)), (F.col("_w") + 1).cast("int")))
-            which, row = schedules.interleave_order(batches, workers)
-            order = df.sparkSession.createDataFrame(pd.DataFrame({"_w": which, "_n": row, "_o": np.arange(len(which))}), "_w long, _n long, _o long")
-            df = df.join(order, ["_w", "_n"]).drop("_w", "_n")
-            return batching.blocks(df.drop(IDX).withColumn(IDX, F.col("_o")).drop("_o"), F.col(IDX), F.col("_at"), size, aggregates, pad, skip=("_at",))
+                df = df.where(F.col(IDX) < self._of_lane([n // size * size for n in self.lane_counts()]))
+            return form(df, _div(F.col(IDX), size), F.pmod(F.col(IDX), F.lit(size)), self._by)
 
-        return self._then(run, "batch", size, drop_remainder, workers)
+        return self._then(run, "batch", size, drop_remainder, aggregates, pad, function, schema)
 
     def rebatch(self, size: int, drop_remainder: bool = False) -> IterPipeline:
         if size < 1:
@@ -755,22 +885,22 @@ class IterPipeline(_Node):
             names = payload(df)
             first = F.size(names[0])
             zero = F.when(first < 1, F.raise_error(F.lit("a batch is empty")).cast("int")).otherwise(first)
-            df = dense(df.withColumn("_z", zero), IDX, self.count(), F.col("_z")).drop("_z")
-            rows = df.select(IDX, F.posexplode(F.arrays_zip(*names)).alias("_pos", "_r")).withColumn(IDX, F.col(IDX) + F.col("_pos")).select(IDX, "_r.*")
+            df = dense(df.withColumn("_tw_z", zero), IDX, self.count(), F.col("_tw_z")).drop("_tw_z")
+            rows = df.select(IDX, F.posexplode(F.arrays_zip(*names)).alias("_tw_pos", "_tw_r")).withColumn(IDX, F.col(IDX) + F.col("_tw_pos")).select(IDX, "_tw_r.*")
             if drop_remainder:
                 total = self.frame().agg(F.sum(F.size(names[0]))).first()[0] or 0
                 rows = rows.where(F.col(IDX) < total // size * size)
             return batching.blocks(rows, _div(F.col(IDX), size), F.pmod(F.col(IDX), F.lit(size)), size)
 
-        return self._then(run, "rebatch", size, drop_remainder)
+        return self._alone()._then(run, "rebatch", size, drop_remainder)
 
     def pack(self, lengths: Mapping[str, int], bins: int, best: bool = False, workers: int = 1, **options) -> IterPipeline:
         """First-fit or best-fit packing of array columns; see operators.packing.pack_bins."""
-        return self._then(lambda df: packing.pack_bins(df, lengths, bins, best, workers=workers, **options), "pack", sorted(lengths.items()), bins, best, workers, sorted(options.items(), key=str))
+        return self._alone()._then(lambda df: packing.pack_bins(df, lengths, bins, best, workers=workers, **options), "pack", sorted(lengths.items()), bins, best, workers, sorted(options.items(), key=str))
 
     def pack_and_batch(self, lengths: Mapping[str, int], batch_size: int, max_sequences_per_bin: int | None = None) -> IterPipeline:
         """First-fit packing, a whole batch of rows at a time; see operators.packing.pack_and_batch."""
-        return self._then(lambda df: packing.pack_and_batch(df, lengths, batch_size, max_sequences_per_bin), "pack_and_batch", sorted(lengths.items()), batch_size, max_sequences_per_bin)
+        return self._alone()._then(lambda df: packing.pack_and_batch(df, lengths, batch_size, max_sequences_per_bin), "pack_and_batch", sorted(lengths.items()), batch_size, max_sequences_per_bin)
 
     def through(self, operation: Callable[[Iterator[dict]], Iterator[dict]], schema: str, workers: int = 1) -> IterPipeline:
         """Elements, in order, through an operation from iterator to iterator.
@@ -794,23 +924,73 @@ class IterPipeline(_Node):
 
             return df.repartition(1).sortWithinPartitions(IDX).mapInArrow(each, f"{IDX} bigint, {schema}")
 
-        return self._then(run, "through", schema, workers)
+        return self._alone()._then(run, "through", operation, schema, workers)
 
     def concat_then_split(self, lengths: Mapping[str, int], **options) -> IterPipeline:
-        return self._then(lambda df: packing.concat_then_split(df, lengths, **options), "concat_then_split", sorted(lengths.items()), sorted(options.items(), key=str))
+        return self._alone()._then(lambda df: packing.concat_then_split(df, lengths, **options), "concat_then_split", sorted(lengths.items()), sorted(options.items(), key=str))
 
-    def parallel(self, workers: int, stage: Callable[[IterPipeline], IterPipeline]) -> IterPipeline:
-        """Runs a stage on each of `workers` strided parts and takes their results in turn."""
-        return IterPipeline.interleave([stage(self.strided(w, workers)) for w in range(workers)], workers)
+    def parallel(self, workers: int, stage: Callable[[IterPipeline], IterPipeline], sequential: bool = False) -> IterPipeline:
+        """Runs a stage on each of `workers` parts and takes their results in turn.
+
+        Parts are strided, or contiguous and even if sequential. They pass through the stage side by side, as lanes
+        of one frame; a stage that can't do so is built for each part.
+        """
+        if workers < 1:
+            raise ValueError("workers must be positive")
+        if workers == 1:
+            return stage(self)
+        try:
+            return stage(self._alone()._laned(workers, sequential))._merged()
+        except NoLanes:
+            parts = [self._even(w, workers) if sequential else self.strided(w, workers) for w in range(workers)]
+            return IterPipeline.interleave([stage(p) for p in parts], workers)
+
+    def _laned(self, workers: int, sequential: bool) -> IterPipeline:
+        def run(df):
+            if not sequential:
+                return df.withColumns({LANE: F.pmod(F.col(IDX), F.lit(workers)).cast("long"), IDX: _div(F.col(IDX), workers)})
+            starts = [schedules.even_split(self.count(), schedules.Shard(w, workers))[0] for w in range(workers)]
+            lane = F.size(F.filter(F.lit(starts), lambda x: x <= F.col(IDX))).cast("long") - 1
+            return df.withColumn(LANE, lane).withColumn(IDX, F.col(IDX) - F.element_at(F.lit(starts), (F.col(LANE) + 1).cast("int")))
+
+        node = self._then(run, "lanes", workers, sequential)
+        node.lanes = workers
+        return node
+
+    def _merged(self) -> IterPipeline:
+        """The lanes' rows in turn; ended lanes are passed over."""
+
+        def run(df):
+            counts = F.lit(self.lane_counts())
+            before = F.aggregate(F.transform(counts, lambda c, w: F.least(c.cast("long"), F.col(IDX) + F.when(F.col(LANE) > w, 1).otherwise(0))), F.lit(0).cast("long"), lambda a, x: a + x)
+            return df.withColumn(IDX, before).drop(LANE)
+
+        node = self._then(run, "merged")
+        node.lanes = 1
+        return node
 
     def strided(self, first: int, step: int) -> IterPipeline:
-        """Every step-th element from the first on."""
-        return self._then(lambda df: df.where(F.pmod(F.col(IDX), F.lit(step)) == first).withColumn(IDX, _div(F.col(IDX), step)), "strided", first, step)
+        """Every step-th element from the first on: the part of worker `first` of `step`."""
+        node = self._alone()._then(lambda df: df.where(F.pmod(F.col(IDX), F.lit(step)) == first).withColumn(IDX, _div(F.col(IDX), step)), "strided", first, step)
+        node._context = (first, step, self._context[2])
+        return node
+
+    def _even(self, index: int, count: int) -> IterPipeline:
+        def run(df):
+            lo, hi = schedules.even_split(self.count(), schedules.Shard(index, count))
+            return df.where((F.col(IDX) >= lo) & (F.col(IDX) < hi)).withColumn(IDX, F.col(IDX) - lo)
+
+        node = self._then(run, "even", index, count)
+        node._context = (index, count, self._context[2])
+        return node
 
 
 class _Frame(IterPipeline):
     def __init__(self, make, parents, note=(), spark=None):
         self._make, self._parents, self.note, self._spark = make, parents, note, spark
+        before = [p for p in parents if isinstance(p, IterPipeline)]
+        if before:
+            self.lanes, self._context = before[0].lanes, before[0]._context
 
     @property
     def spark(self):
@@ -841,18 +1021,34 @@ class _ToIter(IterPipeline):
         return dense(df.where(PRESENT).drop(PRESENT), IDX, max(p.n, 1))
 
 
-def _interleaved(inputs: Sequence[IterPipeline], counts: list[int], cycle: int) -> DataFrame:
-    slots = min(cycle, len(inputs))
-    tagged = reduce(DataFrame.unionByName, [p.frame().withColumn("_d", F.lit(i).cast("long")) for i, p in enumerate(inputs)])
-    if slots == len(inputs):
+def _interleaved(inputs: Sequence[IterPipeline], cycle: int) -> DataFrame:
+    tagged = reduce(DataFrame.unionByName, [p.frame().withColumn("_tw_d", F.lit(i).cast("long")) for i, p in enumerate(inputs)])
+    if all("_count" in p.__dict__ for p in inputs):
+        counts = [p.count() for p in inputs]
+    else:
+        found = dict(tagged.groupBy("_tw_d").agg(F.count(F.lit(1))).collect())  # one row for each input
+        counts = [found.get(i, 0) for i in range(len(inputs))]
+    if min(cycle, len(inputs)) == len(inputs):
         # All inputs are open from the start: row j of input i comes after every row of earlier turns, and
         # after those of earlier slots in turn j. Turns are numbered by row; sums of what is left give places.
-        sizes = np.array(counts)
-        before = F.lit(0).cast("long")
-        for i, c in enumerate(sizes):
-            before = before + F.least(F.lit(int(c)).cast("long"), F.col(IDX) + F.when(F.col("_d") > i, 1).otherwise(0))
-        return tagged.withColumn(IDX, before).drop("_d")
-    which, row = schedules.interleave_order(counts, cycle)
-    spark = inputs[0].spark
-    order = spark.createDataFrame(pd.DataFrame({"_d": which, IDX: row, "_o": np.arange(len(which))}), f"_d long, {IDX} long, _o long")
-    return tagged.join(order, ["_d", IDX]).drop(IDX, "_d").withColumnRenamed("_o", IDX)
+        before = F.aggregate(F.transform(F.lit(counts), lambda c, d: F.least(c.cast("long"), F.col(IDX) + F.when(F.col("_tw_d") > d, 1).otherwise(0))), F.lit(0).cast("long"), lambda a, x: a + x)
+        return tagged.withColumn(IDX, before).drop("_tw_d")
+    runs = schedules.interleave_runs(counts, cycle)
+    table = inputs[0].spark.createDataFrame(pd.DataFrame(runs, columns=["_tw_d", "_tw_lo", "_tw_n", "_tw_at", "_tw_by"]), "_tw_d long, _tw_lo long, _tw_n long, _tw_at long, _tw_by long")
+    table = F.broadcast(table) if len(runs) <= 1_000_000 else table
+    off = F.col(IDX) - F.col("_tw_lo")
+    inside = (tagged["_tw_d"] == table["_tw_d"]) & (off >= 0) & (off < F.col("_tw_n"))
+    return tagged.join(table, inside).withColumn(IDX, F.col("_tw_at") + off * F.col("_tw_by")).drop("_tw_d", "_tw_lo", "_tw_n", "_tw_at", "_tw_by")
+
+
+def elastic_batches(ds: MapPipeline, global_batch: int, shard: schedules.Shard, next_index: int = 0) -> IterPipeline:
+    """A host's batches from a global position on; any shard layout can resume there. The remainder is dropped."""
+    if ds.sparse:
+        raise ValueError("elements may be absent: filter after batching")
+    if global_batch % shard.count:
+        raise ValueError("the global batch must be a multiple of the shard count")
+    steps = max(ds.n - next_index, 0) // global_batch
+    df = ds.rows(next_index, next_index + steps * global_batch)
+    off = F.col("_idx") - next_index
+    own = df.where(F.pmod(off, F.lit(shard.count)) == shard.index).withColumn("_idx", _div(off, shard.count))
+    return IterPipeline.source(own).batch(global_batch // shard.count)

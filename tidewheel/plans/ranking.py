@@ -2,38 +2,68 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 IDX = "_idx"
 #: Buckets at most, so the table of running totals that is broadcast has a fixed bound.
 BUCKETS = 1 << 16
+#: A bucket with more than this many times the mean share of rows (and ROWS at least) is no good base for a rank.
+UNEVEN, ROWS = 64, 100_000
 
 
-def dense(df: DataFrame, order: str, span: int, size: Column | None = None, then: str | None = None) -> DataFrame:
-    """Replaces `order` (whole numbers in [0, span)) by the count of rows before; size: rows that a row stands for."""
+def dense(df: DataFrame, order: str, span: int, size: Column | None = None, by: Sequence[str] = ()) -> DataFrame:
+    """Replaces `order` (whole numbers in [0, span)) by the count of rows before; size: rows that a row stands for; by: a few lanes, each ranked on its own."""
     width = max(1, -(-span // BUCKETS))
     size = F.lit(1) if size is None else size
-    df = df.withColumn("_b", F.floor(F.col(order) / width)).withColumn("_s", size.cast("long"))
-    totals = df.groupBy("_b").agg(F.sum("_s").alias("_t"))
-    before = F.coalesce(F.sum("_t").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = totals.select("_b", before.alias("_start"))
-    keys = [order] if then is None else [order, then]
-    inside = F.sum("_s").over(Window.partitionBy("_b").orderBy(*keys).rowsBetween(Window.unboundedPreceding, 0)) - F.col("_s")
-    out = df.withColumn("_in", inside).join(F.broadcast(starts), "_b")
-    return out.withColumn(order, (F.col("_start") + F.col("_in")).cast("long")).drop("_b", "_s", "_in", "_start")
+    df = df.withColumn("_tw_b", F.floor(F.col(order) / width)).withColumn("_tw_s", size.cast("long"))
+    totals = df.groupBy(*by, "_tw_b").agg(F.sum("_tw_s").alias("_tw_t"))
+    upto = Window.partitionBy(*by).orderBy("_tw_b") if by else Window.orderBy("_tw_b")
+    before = F.coalesce(F.sum("_tw_t").over(upto.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = totals.select(*by, "_tw_b", before.alias("_tw_start"))
+    inside = F.sum("_tw_s").over(Window.partitionBy(*by, "_tw_b").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)) - F.col("_tw_s")
+    out = df.withColumn("_tw_in", inside).join(F.broadcast(starts), [*by, "_tw_b"])
+    return out.withColumn(order, (F.col("_tw_start") + F.col("_tw_in")).cast("long")).drop("_tw_b", "_tw_s", "_tw_in", "_tw_start")
 
 
-def with_index(df: DataFrame, *order: str | Column) -> DataFrame:
-    """Adds _idx, dense from 0 in the given total order: a range repartition, then offsets of the partitions.
+def indexed(df: DataFrame, *order: str | Column) -> tuple[DataFrame, int]:
+    """df with _idx, dense from 0 in the given total order, and its rows.
 
-    The sorted rows are written once between the two passes, because range bounds come from a sample.
+    One whole-number column, spread well enough over its range, is ranked by buckets of values: two narrow
+    looks at the key, nothing written. Other orders take a range repartition, written once, because its
+    bounds come from a sample, and offsets of the partitions.
     """
+    columns = [F.col(o) if isinstance(o, str) else o for o in order]
+    if len(columns) == 1:
+        sorted_by = re.fullmatch(r"Column<'(.+) (ASC|DESC) NULLS (?:FIRST|LAST)'>", str(columns[0]))
+        key, falling = (F.expr(sorted_by[1]), sorted_by[2] == "DESC") if sorted_by else (columns[0], False)
+        if isinstance(df.select(key).schema[0].dataType, T.IntegralType):
+            low, high, n, nulls = df.agg(F.min(key), F.max(key), F.count(F.lit(1)), F.count_if(key.isNull())).first()
+            if n and not nulls:
+                span = int(high) - int(low) + 1
+                place = (F.lit(int(high)) - key if falling else key - F.lit(int(low))).cast("long")
+                width = max(1, -(-span // BUCKETS))
+                most = df.groupBy(F.floor(place / width).alias("b")).agg(F.count(F.lit(1)).alias("c")).agg(F.max("c"), F.count(F.lit(1))).first()
+                if span < 1 << 53 and most[0] <= max(ROWS, UNEVEN * n // most[1]):
+                    return dense(df.withColumn(IDX, place), IDX, span), n
+    out = _by_partitions(df, columns)
+    return out, out.count()
+
+
+def with_index(df: DataFrame, *order: str | Column) -> DataFrame:
+    """Adds _idx, dense from 0 in the given total order."""
+    return indexed(df, *order)[0]
+
+
+def _by_partitions(df: DataFrame, columns: list[Column]) -> DataFrame:
     from tidewheel.sources.tables import stash
 
-    columns = [F.col(o) if isinstance(o, str) else o for o in order]
-    parts = stash(df.repartitionByRange(*columns).sortWithinPartitions(*columns).withColumn("_p", F.spark_partition_id()).withColumn("_m", F.monotonically_increasing_id()))
-    counts = parts.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"), F.min("_m").alias("_first"))  # one row for each partition
-    before = F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = counts.select("_p", (before - F.col("_first")).alias("_shift"))
-    return parts.join(F.broadcast(starts), "_p").withColumn(IDX, F.col("_m") + F.col("_shift")).drop("_p", "_m", "_shift")
+    parts = stash(df.repartitionByRange(*columns).sortWithinPartitions(*columns).withColumn("_tw_p", F.spark_partition_id()).withColumn("_tw_m", F.monotonically_increasing_id()))
+    counts = parts.groupBy("_tw_p").agg(F.count(F.lit(1)).alias("_tw_n"), F.min("_tw_m").alias("_tw_first"))  # one row for each partition
+    before = F.coalesce(F.sum("_tw_n").over(Window.orderBy("_tw_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = counts.select("_tw_p", (before - F.col("_tw_first")).alias("_tw_shift"))
+    return parts.join(F.broadcast(starts), "_tw_p").withColumn(IDX, F.col("_tw_m") + F.col("_tw_shift")).drop("_tw_p", "_tw_m", "_tw_shift")

@@ -47,3 +47,21 @@ def ship(spark: SparkSession) -> None:
             z.write(f, f.relative_to(package.parent))
     sc.addPyFile(path)
     sc._tidewheel_shipped = True
+
+
+#: Temporary folders of local sessions.
+_OWN: dict[str, str] = {}
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that the driver and all executors share; where the session names none, a temporary one, for a local master only."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if found:
+        return found.rstrip("/")
+    sc = spark.sparkContext
+    if sc.master != "local" and not sc.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
+    if sc.applicationId not in _OWN:
+        _OWN[sc.applicationId] = tempfile.mkdtemp(prefix="tidewheel-shared-")
+        atexit.register(shutil.rmtree, _OWN[sc.applicationId], True)
+    return "file://" + _OWN[sc.applicationId]

@@ -2,38 +2,55 @@
 
 from __future__ import annotations
 
-import tempfile
+import atexit
 import uuid
 from collections.abc import Sequence
+from typing import TYPE_CHECKING
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidewheel.functions.schedules import Shard
+from tidewheel.session import shared_dir
+from tidewheel.sources import files
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; a temporary one only where the session names none."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="tidewheel-shared-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
+if TYPE_CHECKING:
+    from tidewheel.pipeline import IterPipeline
 
 
 def stash(df: DataFrame) -> DataFrame:
-    """The rows, written to the shared folder and read back: lineage ends here."""
-    path = f"{shared_dir(df.sparkSession)}/tidewheel-{uuid.uuid4().hex}"
+    """The rows, written to the shared folder and read back: lineage ends here. The files go when the interpreter ends."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/tidewheel-{uuid.uuid4().hex}"
+    atexit.register(files.remove, spark, path)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
-def parquet_in_file_order(spark: SparkSession, paths: str | Sequence[str]) -> list[DataFrame]:
+def iterate_parquet(spark: SparkSession, paths: str | Sequence[str], cycle_length: int = 16, shard: Shard = Shard(), **options: str) -> IterPipeline:
+    """Rows of Parquet files: one file in its stored order, several interleaved, cycle_length of them open at a time.
+
+    A shard takes every shard.count-th file, so files of others are never opened. options: the reader's.
+    """
+    from tidewheel.pipeline import IterPipeline
+
+    paths = [paths] if isinstance(paths, str) else list(paths)
+    if not paths:
+        raise ValueError("no path is given")
+    own = [IterPipeline.source(df) for df in parquet_in_file_order(spark, paths[shard.index :: shard.count], **options)]
+    if not own:
+        raise ValueError("a shard has no file")
+    return own[0] if len(own) == 1 else IterPipeline.interleave(own, cycle_length)
+
+
+def parquet_in_file_order(spark: SparkSession, paths: str | Sequence[str], **options: str) -> list[DataFrame]:
     """One DataFrame for each file, with _idx as the rows' stored order."""
     paths = [paths] if isinstance(paths, str) else list(paths)
     if not paths:
         raise ValueError("no path is given")
     out = []
     for p in paths:
-        df = spark.read.parquet(p)
+        df = spark.read.options(**options).parquet(p)
         out.append(df.select(*df.columns, F.col("_metadata.row_index").alias("_idx")))
     return out
 
