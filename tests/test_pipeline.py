@@ -262,7 +262,7 @@ def test_dense_indices(spark):
     lopsided = spark.range(300_000).withColumn("id", F.when(F.col("id") == 0, 1 << 40).otherwise(F.col("id")))
     out, n = indexed(lopsided, "id")  # nearly all keys in one bucket: ranked by partitions
     assert n == 300_000 and out.agg(F.min("_idx"), F.max("_idx"), F.countDistinct("_idx")).first()[:] == (0, 299_999, 300_000)
-    assert out.where("id = 1 << 40").first()["_idx"] == 299_999
+    assert out.where(f"id = {1 << 40}").first()["_idx"] == 299_999
 
 
 def test_plans_have_signatures_of_their_own(spark, tmp_path):
