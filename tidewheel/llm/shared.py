@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 import atexit
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidewheel.session import ship
+from tidewheel.session import shared_dir, ship
+from tidewheel.sources import files
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
@@ -22,34 +22,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share; where the session names none, a temporary one, for a local master only."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-        raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
-    if spark.sparkContext.applicationId not in _OWN:
-        _OWN[spark.sparkContext.applicationId] = "file://" + tempfile.mkdtemp(prefix="tidewheel-shared-")
-    return _OWN[spark.sparkContext.applicationId]
-
-
-#: Temporary folders of local sessions, and the paths written so far, in order.
-_OWN: dict[str, str] = {}
+#: The tables written so far, in order.
 _WRITTEN: list[tuple[SparkSession, str]] = []
 
 
-def _remove(spark: SparkSession, path: str) -> None:
-    try:
-        where = spark._jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
-    except Exception:  # the session may have ended before the interpreter
-        pass
-
-
 def _remove_all() -> None:
     while _WRITTEN:
-        _remove(*_WRITTEN.pop())
+        files.remove(*_WRITTEN.pop())
 
 
 atexit.register(_remove_all)
@@ -75,7 +54,7 @@ def release(since: int, upto: int) -> None:
     gone = _WRITTEN[since:upto]
     del _WRITTEN[since:upto]
     for spark, path in gone:
-        _remove(spark, path)
+        files.remove(spark, path)
 
 
 def others(df: DataFrame, *results: str) -> list[str]:
