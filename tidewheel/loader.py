@@ -101,6 +101,7 @@ class DataLoader:
         df = self.source.withColumnRenamed("_idx", "_k").join(keys, F.col("_k") == F.col("_record_key")).drop("_k", "_record_key")
         records = IterPipeline.source(df.withColumnsRenamed({"_at": "_idx", "_index": "_record"}))
         records._context = (0, 1, self.sampler.seed)
+        records._knowing(lambda: [len(range(s.index, hi, s.count))])
         return records
 
     def pipeline(self) -> IterPipeline:

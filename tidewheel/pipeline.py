@@ -160,7 +160,7 @@ class _Node:
 
     def signature(self) -> str:
         """A digest of the plan: its nodes, their functions and arguments, and the sources' plans and files."""
-        skip = ("parent", "lanes", "_parents", "_count", "form", "_f", "_cached", "_make", "_spark", "_context")
+        skip = ("parent", "lanes", "_parents", "_count", "_counts", "_known", "form", "_f", "_cached", "_make", "_spark", "_context")
         own = [(k, told(v)) for k, v in sorted(self.__dict__.items()) if k not in skip]
         text = f"{type(self).__name__}{own}{[p.signature() for p in self._parents]}"
         return hashlib.sha256(text.encode()).hexdigest()[:16]
@@ -669,9 +669,19 @@ class IterPipeline(_Node):
         return self
 
     def lane_counts(self) -> list[int]:
-        """Elements of each lane: one look at all."""
-        if self.lanes == 1:
-            return [self.count()]
+        """Elements of each lane: by arithmetic where the plan says them, else one look at all."""
+        if "_counts" not in self.__dict__:
+            self._counts = self._known() if self._known else [self.count()] if self.lanes == 1 else self._looked_up()
+        return self._counts
+
+    #: How many elements each lane has, where no look at them is needed.
+    _known: Callable[[], list[int]] | None = None
+
+    def _knowing(self, counts: Callable[[], list[int]]) -> IterPipeline:
+        self._known = counts
+        return self
+
+    def _looked_up(self) -> list[int]:
         found = dict(self.frame().groupBy(LANE).agg(F.count(F.lit(1))).collect())
         return [found.get(w, 0) for w in range(self.lanes)]
 
@@ -683,7 +693,7 @@ class IterPipeline(_Node):
 
     @cached_property
     def _count(self) -> int:
-        return self.frame().count()
+        return sum(self._known()) if self._known else self.frame().count()
 
     @staticmethod
     def source(df: DataFrame) -> IterPipeline:
@@ -754,17 +764,17 @@ class IterPipeline(_Node):
         return node
 
     def map(self, **columns: Column | str) -> IterPipeline:
-        return self._then(lambda df: df.select(*own(df), *[as_column(e).alias(k) for k, e in columns.items()]), "map", columns)
+        return self._then(lambda df: df.select(*own(df), *[as_column(e).alias(k) for k, e in columns.items()]), "map", columns)._knowing(self.lane_counts)
 
     def map_with_index(self, f: Callable[[Column], Mapping[str, Column]]) -> IterPipeline:
-        return self._then(lambda df: df.select(*own(df), *[e.alias(k) for k, e in f(F.col(IDX)).items()]), "map_with_index", f(F.col(IDX)))
+        return self._then(lambda df: df.select(*own(df), *[e.alias(k) for k, e in f(F.col(IDX)).items()]), "map_with_index", f(F.col(IDX)))._knowing(self.lane_counts)
 
     def map_pandas(self, f, schema: str) -> IterPipeline:
         return self._alone()._then(lambda df: df.mapInPandas(lambda it: (f(b) for b in it), f"{IDX} bigint, {schema}"), "map_pandas", f, schema)
 
     def random_map(self, draw: Callable, returns: str, name: str = "value", inputs: Sequence[str] = (), seed: int | None = None) -> IterPipeline:
         """draw(rng, *inputs): the k-th element of worker w of n draws as element w + k * n; a loader's records draw by their own numbers."""
-        node = self._then(None, "random_map", draw, returns, name, inputs, seed)
+        node = self._then(None, "random_map", draw, returns, name, inputs, seed)._knowing(self.lane_counts)
         worker, workers, records = self._context
         own_seed = node._seeded(seed) if records is None else None
 
@@ -809,7 +819,13 @@ class IterPipeline(_Node):
                     warnings.warn(said.format(warns, window), stacklevel=2)
             return dense(df.where(keep), IDX, max(self.lane_counts()), by=self._by)
 
-        return self._then(run, "filter", condition, raise_above, window, warn_above)
+        def counts():
+            kept = self.frame().where(F.coalesce(as_column(condition), F.lit(False)))
+            found = dict(kept.groupBy(F.col(LANE) if self.lanes > 1 else F.lit(0)).agg(F.count(F.lit(1))).collect())
+            return [found.get(w, 0) for w in range(self.lanes)]
+
+        node = self._then(run, "filter", condition, raise_above, window, warn_above)
+        return node._knowing(counts) if self.lanes > 1 else node
 
     def flat_map(self, array: Column | str, name: str = "value", fan_out: int | None = None) -> IterPipeline:
         """fan_out: a record's part has the number record * fan_out + place."""
@@ -827,7 +843,7 @@ class IterPipeline(_Node):
     def limit(self, n: int) -> IterPipeline:
         if n <= 0:
             raise ValueError("count must be positive")
-        return self._then(lambda df: df.where(F.col(IDX) < n), "limit", n)
+        return self._then(lambda df: df.where(F.col(IDX) < n), "limit", n)._knowing(lambda: [min(n, c) for c in self.lane_counts()])
 
     def repeat(self, epochs: int) -> IterPipeline:
         if epochs is None or epochs <= 0:
@@ -875,7 +891,8 @@ class IterPipeline(_Node):
                 df = df.where(F.col(IDX) < self._of_lane([n // size * size for n in self.lane_counts()]))
             return form(df, _div(F.col(IDX), size), F.pmod(F.col(IDX), F.lit(size)), self._by)
 
-        return self._then(run, "batch", size, drop_remainder, aggregates, pad, function, schema)
+        node = self._then(run, "batch", size, drop_remainder, aggregates, pad, function, schema)
+        return node._knowing(lambda: [n // size if drop_remainder else -(-n // size) for n in self.lane_counts()])
 
     def rebatch(self, size: int, drop_remainder: bool = False) -> IterPipeline:
         if size < 1:
@@ -953,7 +970,12 @@ class IterPipeline(_Node):
             lane = F.size(F.filter(F.lit(starts), lambda x: x <= F.col(IDX))).cast("long") - 1
             return df.withColumn(LANE, lane).withColumn(IDX, F.col(IDX) - F.element_at(F.lit(starts), (F.col(LANE) + 1).cast("int")))
 
-        node = self._then(run, "lanes", workers, sequential)
+        def counts():
+            if sequential:
+                return [hi - lo for lo, hi in (schedules.even_split(self.count(), schedules.Shard(w, workers)) for w in range(workers))]
+            return [len(range(w, self.count(), workers)) for w in range(workers)]
+
+        node = self._then(run, "lanes", workers, sequential)._knowing(counts)
         node.lanes = workers
         return node
 
@@ -965,7 +987,7 @@ class IterPipeline(_Node):
             before = F.aggregate(F.transform(counts, lambda c, w: F.least(c.cast("long"), F.col(IDX) + F.when(F.col(LANE) > w, 1).otherwise(0))), F.lit(0).cast("long"), lambda a, x: a + x)
             return df.withColumn(IDX, before).drop(LANE)
 
-        node = self._then(run, "merged")
+        node = self._then(run, "merged")._knowing(lambda: [sum(self.lane_counts())])
         node.lanes = 1
         return node
 
