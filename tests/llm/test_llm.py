@@ -73,13 +73,19 @@ def test_url_collisions_do_not_decide(tmp_path, monkeypatch):
     assert rules == ["net/", "org/fr/", None] and verdicts == ["block", "allow", None]
 
 
-def _components(texts, width, num, den):
+def _links(texts, width, num, den):
+    """The sets of all texts, and the pairs (places in texts) that link."""
     sets = [{tuple(w[j : j + width]) for j in range(max(len(w) - width + 1, 1))} if (w := re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))) else set() for _, t in texts]
     inverted: dict = {}
     for i, s in enumerate(sets):
         for x in s:
             inverted.setdefault(x, []).append(i)
     shared = Counter(p for own in inverted.values() for p in combinations(own, 2))
+    return sets, [(a, b) for (a, b), c in shared.items() if den * c >= num * (len(sets[a]) + len(sets[b]) - c)]
+
+
+def _components(texts, width, num, den):
+    sets, links = _links(texts, width, num, den)
     up = list(range(len(texts)))
 
     def find(a):
@@ -87,13 +93,25 @@ def _components(texts, width, num, den):
             a = up[a]
         return a
 
-    for (a, b), c in shared.items():
-        if den * c >= num * (len(sets[a]) + len(sets[b]) - c):
-            a, b = sorted((find(a), find(b)))
-            up[b] = a
+    for a, b in links:
+        a, b = sorted((find(a), find(b)))
+        up[b] = a
     return sorted((texts[i][0], len(sets[i]), texts[find(i)][0]) for i in range(len(texts)))
 
 
+def _linked(texts, width, num, den):
+    """(id, set size, smallest id of equal sets, links) of each text, and the pairs of classes that link; texts are sorted by id."""
+    sets, links = _links(texts, width, num, den)
+    own = {}
+    for (i, _), s in zip(texts, sets, strict=True):
+        if s:
+            own.setdefault(frozenset(s), i)
+    name = [own.get(frozenset(s), i) for (i, _), s in zip(texts, sets, strict=True)]
+    degree = Counter(x for p in links for x in p)
+    pairs = {tuple(sorted((name[a], name[b]))) for a, b in links if name[a] != name[b]}
+    return sorted((texts[i][0], len(s), name[i], degree[i]) for i, s in enumerate(sets)), sorted(pairs)
+
+
 def test_jaccard_against_brute_force(spark, con):
     docs = con.execute("SELECT doc_id, text FROM documents ORDER BY 1").fetchall()
     got = sorted(tuple(r) for r in queries.op3_ngram_jaccard(spark, SF).collect())
@@ -117,6 +135,37 @@ def test_jaccard_edges(spark, odd, none):
     assert jaccard.jaccard_components(none).count() == 0 and jaccard.keep_one(none).columns == none.columns
 
 
+def _family(n):
+    """Texts of near and equal words: chains of a few words' difference, every third text twice."""
+    rng = np.random.default_rng(n)
+    out, now = [], [f"w{i}" for i in range(120)]
+    for i in range(n):
+        now = list(now)
+        for at in rng.integers(0, 120, i % 4):
+            now[at] = f"x{i}_{at}"
+        out += [" ".join(now)] * (2 if i % 3 == 0 else 1)
+    return list(enumerate(out))
+
+
+def test_every_link_is_counted(spark, con, monkeypatch):
+    texts = con.execute("SELECT doc_id, text FROM documents ORDER BY 1").fetchall()
+    got = jaccard.jaccard_links(spark.createDataFrame(texts, "doc_id long, text string"), width=3, num=90, den=100)
+    assert sorted(tuple(r) for r in got.collect()) == _linked(texts, 3, 90, 100)[0]
+    monkeypatch.setattr(jaccard, "BLOCK", 3)
+    texts = _family(60)
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    rows, pairs = _linked(texts, 5, 8, 10)
+    assert sorted(tuple(r) for r in jaccard.jaccard_links(df).collect()) == rows
+    assert sorted(tuple(r) for r in jaccard.jaccard_pairs(df).collect()) == pairs
+
+
+def test_links_of_odd_rows(spark, odd, none):
+    got = sorted(((r.doc_id, r.n_shingles, r.class_id, r.n_links) for r in jaccard.jaccard_links(odd, width=3).collect()), key=str)
+    assert {(1, 0, 1, 0), (2, 0, 2, 0), (3, 0, 3, 0), (5, 4, 5, 3), (6, 4, 5, 3), (None, 4, None, 0)} <= set(got)
+    assert got.count((7, 4, 5, 3)) == 2 and len(got) == len(ODD)
+    assert jaccard.jaccard_links(none).count() == 0 and jaccard.jaccard_pairs(none).count() == 0
+
+
 def test_licenses(spark, con, odd, none):
     def places(t):
         w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))

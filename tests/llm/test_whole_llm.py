@@ -63,7 +63,7 @@ def test_columns_of_any_name_stay(spark, odd, name):
 
 
 READERS = {
-    "exact": exact.exact_dedup, "jaccard": jaccard.jaccard_components, "licenses": licenses.scan_licenses,
+    "exact": exact.exact_dedup, "jaccard": jaccard.jaccard_components, "links": jaccard.jaccard_links, "licenses": licenses.scan_licenses,
     "pack": lambda d: packing.pack(d).drop("sequence_id", "batch_id")}
 
 

@@ -18,14 +18,15 @@ members are held against its smallest node first, a number of pairs in proportio
 links make components, and only members of different components that still share a bucket are compared
 after that, so a group of copies costs no pair within it. Those buckets are dealt out by bands of set size,
 as sets of far sizes can't link, and bands of more than BLOCK members by salted blocks. Connectivity is
-whole; links inside a component that it doesn't need are neither compared nor counted. Components come from
-minimum labels with pointer jumping, on tables in the shared folder.
+whole; links inside a component that it doesn't need are neither compared nor counted there. jaccard_links and
+jaccard_pairs hold all members of a bucket against each other instead, by the same bands and blocks, and give
+every link. Components come from minimum labels with pointer jumping, on tables in the shared folder.
 
 Edge cases: ASCII letters are lowered and ASCII white space separates words; texts are read whole, whatever
 their length; a text with fewer words than a shingle is one shingle; a null text, or one without words, has
 none and links with nothing; rows of equal texts (repeated rows too) are in one component; several texts
 under one id are nodes of their own; null ids take no part in links and keep a null component; an empty
-table gives an empty result. jaccard_components reads no other columns; keep_one returns all columns of
+table gives an empty result. keep_one alone reads other columns; it returns all columns of
 docs, whatever their names, and of repeated rows of one id and text it keeps one.
 """
 
@@ -248,15 +249,30 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def labelled(docs: DataFrame, key: str, text: str, width: int, t: Threshold) -> DataFrame:
-    """key, h, n, component for each row of docs."""
+def prepared(docs: DataFrame, key: str, text: str, width: int, t: Threshold) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """The sets of docs, their nodes, the buckets, and the links of each bucket's members with its smallest node."""
     sets = materialise(describe(docs, key, text, width, t))
     nodes = materialise(distinct_sets(sets))
     meet = materialise(buckets(sets, nodes))
     pivots = meet.groupBy("token").agg(F.min(F.struct("node", "n")).alias("p"), F.count(F.lit(1)).alias("c")).where("c > 1").select("token", F.col("p.node").alias("b"), F.col("p.n").alias("m"))
     stars = meet.join(pivots, "token").where((F.col("node") != F.col("b")) & _near_sizes("n", "m", t)).select(F.col("node").alias("a"), "b").distinct()
-    links = verified(stars, nodes, docs, key, text, width, t)
+    return sets, nodes, meet, verified(stars, nodes, docs, key, text, width, t)
+
+
+def classes_of(sets: DataFrame) -> DataFrame:
+    """sig, rep (smallest key), c (rows) of each class of equal sets."""
+    return sets.where("n > 0 and key is not null").groupBy("sig").agg(F.min("key").alias("rep"), F.count(F.lit(1)).alias("c"))
 
+
+def with_classes(sets: DataFrame, known: DataFrame) -> DataFrame:
+    """key, h, n of each row, with the columns of its class, if it has one that is known."""
+    out = sets.select("key", "h", "n", F.when((F.col("n") > 0) & F.col("key").isNotNull(), F.col("sig")).alias("sig"))
+    return out.join(materialise(known), "sig", "left")
+
+
+def labelled(docs: DataFrame, key: str, text: str, width: int, t: Threshold) -> DataFrame:
+    """key, h, n, component for each row of docs."""
+    sets, nodes, meet, links = prepared(docs, key, text, width, t)
     found = components(links)
     placed = meet.join(found.withColumnRenamed("key", "node"), "node", "left").select("token", "node", "n", F.coalesce("component", "node").alias("comp"))
     more = verified(across_components(placed, nodes, t), nodes, docs, key, text, width, t)
@@ -266,18 +282,49 @@ def labelled(docs: DataFrame, key: str, text: str, width: int, t: Threshold) ->
     linked = found.join(nodes.select(F.col("node").alias("key"), F.col("smallest").alias("own"), "sig"), "key").select("sig", "own", "component")
     names = linked.groupBy("component").agg(F.min("own").alias("named"))
     linked = linked.join(names, "component").select("sig", "named")
-    classes = sets.where("n > 0 and key is not null").groupBy("sig").agg(F.min("key").alias("rep"), F.count(F.lit(1)).alias("c"))
-    known = classes.join(linked, "sig", "left").where("c > 1 or named is not null").select("sig", F.coalesce("named", "rep").alias("component"))
-    out = sets.select("key", "h", "n", F.when((F.col("n") > 0) & F.col("key").isNotNull(), F.col("sig")).alias("sig")).join(materialise(known), "sig", "left")
+    known = classes_of(sets).join(linked, "sig", "left").where("c > 1 or named is not null").select("sig", F.coalesce("named", "rep").alias("component"))
+    out = with_classes(sets, known)
     return out.select("key", "h", "n", F.coalesce("component", "key").alias("component"))
 
 
+def class_links(docs: DataFrame, key: str, text: str, width: int, t: Threshold) -> tuple[DataFrame, DataFrame]:
+    """The sets of docs, and every link between their classes, both ways: sig, other, each a class."""
+    sets, nodes, meet, links = prepared(docs, key, text, width, t)
+    # With a component to each node, all members that share a bucket are held against each other.
+    apart = meet.withColumn("comp", F.col("node"))
+    links = links.union(verified(across_components(apart, nodes, t), nodes, docs, key, text, width, t)).distinct()
+    side = lambda x, sig: nodes.select(F.col("node").alias(x), F.col("sig").alias(sig))
+    pairs = materialise(links.join(side("a", "sig"), "a").join(side("b", "other"), "b").select("sig", "other"))
+    return sets, pairs.union(pairs.select("other", "sig"))
+
+
 def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, num: int = 8, den: int = 10, extra: float = 0.25) -> DataFrame:
     """One row for each row of docs: key, n_shingles, component_id."""
     rows = labelled(docs, key, text, width, Threshold(num, den, extra))
     return rows.select(F.col("key").alias(key), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
 
 
+def jaccard_links(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, num: int = 8, den: int = 10, extra: float = 0.25) -> DataFrame:
+    """One row for each row of docs: key, n_shingles, class_id (smallest key of equal sets), n_links (other rows it links with, equal sets among them).
+
+    Every pair of classes that may link is compared, so the work grows with the number of links between different texts.
+    """
+    sets, pairs = class_links(docs, key, text, width, Threshold(num, den, extra))
+    classes = materialise(classes_of(sets))
+    far = pairs.join(classes.select(F.col("sig").alias("other"), F.col("c").alias("far")), "other").groupBy("sig").agg(F.sum("far").alias("far"))
+    known = classes.join(far, "sig", "left").where("c > 1 or far is not null").select("sig", "rep", (F.col("c") - 1 + F.coalesce("far", F.lit(0))).alias("links"))
+    out = with_classes(sets, known)
+    return out.select(F.col("key").alias(key), F.col("n").alias("n_shingles"), F.coalesce("rep", "key").alias("class_id"), F.coalesce("links", F.lit(0)).cast("long").alias("n_links"))
+
+
+def jaccard_pairs(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, num: int = 8, den: int = 10, extra: float = 0.25) -> DataFrame:
+    """class_a, class_b: every link between classes of equal sets, by their smallest keys; class_id of jaccard_links says who is a member."""
+    sets, pairs = class_links(docs, key, text, width, Threshold(num, den, extra))
+    names = materialise(classes_of(sets).select("sig", "rep"))
+    named = pairs.join(names.withColumnRenamed("rep", "class_a"), "sig").join(names.select(F.col("sig").alias("other"), F.col("rep").alias("class_b")), "other")
+    return named.where("class_a < class_b or class_a = class_b and sig < other").select("class_a", "class_b")
+
+
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, num: int = 8, den: int = 10, extra: float = 0.25) -> DataFrame:
     """The rows of docs whose id is their component's (rows with a null id, or without words, stay); all their columns."""
     rows = labelled(docs, key, text, width, Threshold(num, den, extra))
