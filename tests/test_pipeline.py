@@ -89,6 +89,9 @@ def test_tfrecords(spark, tmp_path):
     (tmp_path / "a").write_bytes(b"".join(map(tfrecord.frame, [b"1", b"", b"2 1"])))
     rows = tfrecord.read_tfrecords(spark, str(tmp_path / "a")).orderBy("offset").collect()
     assert [bytes(r.record) for r in rows] == [b"1", b"", b"2 1"]
+    for seen, left in ((0, [b"", b"2 1"]), (1, [b"2 1"]), (2, [])):
+        again = tfrecord.read_tfrecords(spark, str(tmp_path / "a"), {rows[seen].path: rows[seen].offset}).orderBy("offset").collect()
+        assert [bytes(r.record) for r in again] == left
     with pytest.raises(ValueError):
         list(tfrecord.frames(b"\1"))
 
@@ -318,6 +321,21 @@ def test_padding_and_advice(spark):
     assert pick_performance_config(MapPipeline.range(spark, 5).to_iter(), ram_budget_mb=1, max_workers=8, max_buffer_size=9) == PerformanceConfig(8, 9)
 
 
+def test_structs_are_batched_by_field(spark):
+    rows = [(i, {"a": i, "b": {"c": [[i], [-i]]}}) for i in range(5)]
+    ds = IterPipeline.source(spark.createDataFrame(rows, "_idx long, x struct<a: long, b: struct<c: array<array<long>>>>"))
+    two = ds.batch(2)
+    assert [r.x.asDict(True) for r in two.frame().orderBy("_idx").collect()] == [{"a": part, "b": {"c": [[[i], [-i]] for i in part]}} for part in ([0, 1], [2, 3], [4])]
+    assert [r.x.a for r in two.rebatch(3).frame().orderBy("_idx").collect()] == [[0, 1, 2], [3, 4]]
+    assert [r.x.b.c for r in two.rebatch(4, drop_remainder=True).frame().collect()] == [[[[i], [-i]] for i in range(4)]]
+    padded = ds.batch(3, pad={"x": {"a": 9}}).frame().orderBy("_idx").collect()[1]
+    assert padded.x.asDict(True) == {"a": [3, 4, 9], "b": {"c": [[[3], [-3]], [[4], [-4]], None]}}
+    deep = spark.createDataFrame([(0, {"c": [[1], [2]]}), (1, {"c": [[1, 1], [2, 2]]})], "_idx long, x struct<c: array<array<long>>>")
+    with pytest.raises(Exception, match="different shapes"):
+        IterPipeline.source(deep).batch(2).frame().collect()
+    assert IterPipeline.source(deep).batch(1).count() == 2
+
+
 def test_rows_of_a_batch_grouped(spark):
     df = spark.createDataFrame([(0, [1, 2, 3], [5, 5, 5]), (1, [4, 5], [3, 3]), (2, [6], [0]), (3, [7, 8, 9], [2, 2, 2])], "_idx long, inputs array<long>, epoch array<long>")
     rows = IterPipeline.source(df).pack({"inputs": 3, "epoch": 3}, 4, shuffle_bins=True, shuffle_bins_group_by_feature="epoch").frame().orderBy("_idx").collect()

@@ -12,17 +12,45 @@ from pyspark.sql import types as T
 IDX = "_idx"
 
 
-def same_size(values: Column, name: str) -> Column:
-    """Fails unless all arrays of a batch have one size."""
-    sizes = F.array_distinct(F.transform(values, lambda v: F.size(v)))
-    return F.when(F.size(sizes) > 1, F.raise_error(F.lit(f"elements of {name} have different shapes"))).otherwise(values)
-
-
 def field(name: str):
     """A function that takes a field of a struct."""
     return lambda r: r[name]
 
 
+def uneven(values: Column, kind: T.DataType) -> list[Column]:
+    """Conditions under which elements of one type differ in shape, one for each depth of their arrays, in structs too."""
+    if isinstance(kind, T.StructType):
+        return [c for f in kind for c in uneven(F.transform(values, field(f.name)), f.dataType)]
+    if not isinstance(kind, T.ArrayType):
+        return []
+    return [F.size(F.array_distinct(F.transform(values, F.size))) > 1, *uneven(F.flatten(values), kind.elementType)]
+
+
+def same_shape(values: Column, kind: T.DataType, name: str) -> Column:
+    """Fails unless all elements of a batch have one shape."""
+    for bad in uneven(values, kind):
+        values = F.when(bad, F.raise_error(F.lit(f"elements of {name} have different shapes"))).otherwise(values)
+    return values
+
+
+def stacked(values: Column, kind: T.DataType, missing: Column | None = None, fill: object = None) -> Column:
+    """Elements as one array; structs as structs of arrays. missing: how many fillers follow (a struct's by field, 0 unless named)."""
+    if isinstance(kind, T.StructType) and len(kind):
+        by = fill if isinstance(fill, Mapping) else {}
+        return F.struct(*[stacked(F.transform(values, field(f.name)), f.dataType, missing, by.get(f.name)).alias(f.name) for f in kind])
+    if missing is None:
+        return values
+    filler = F.lit(None if isinstance(kind, T.ArrayType) else 0 if fill is None else fill).cast(kind)
+    return F.concat(values, F.array_repeat(filler, missing))
+
+
+def unstacked(batch: Column, kind: T.DataType) -> Column:
+    """The elements of a batched column as one array: the inverse of stacked."""
+    if not isinstance(kind, T.StructType):
+        return batch
+    return F.arrays_zip(*[unstacked(batch[f.name], f.dataType).alias(f.name) for f in kind])
+
+
 #: Columns of the engine, which are no part of an element.
 RESERVED = (IDX, "_present", "_lane", "_record")
 
@@ -30,10 +58,11 @@ RESERVED = (IDX, "_present", "_lane", "_record")
 def blocks(df: DataFrame, number: Column, place: Column, size: int, aggregates: Sequence[Column] | None = None, pad: Mapping[str, object] | None = None, by: Sequence[str] = ()) -> DataFrame:
     """A row for each block number (its _idx) of each lane (by): each column as an array in order of place, or the aggregates.
 
-    pad: values that fill a short block's arrays up to size.
+    Structs become structs of arrays. pad: values that fill a short block's arrays up to size; those of a
+    struct by its fields' names.
     """
     names = [c for c in df.columns if c not in RESERVED]
-    kinds = dict(df.dtypes)
+    kinds = {f.name: f.dataType for f in df.schema}
     df = df.withColumn("_tw_block", number.cast("long"))
     if aggregates is not None:
         return df.groupBy(*by, "_tw_block").agg(*aggregates).withColumnRenamed("_tw_block", IDX)
@@ -42,11 +71,10 @@ def blocks(df: DataFrame, number: Column, place: Column, size: int, aggregates:
     columns = []
     for c in names:
         values = F.transform("_tw_rows", field(c))
-        if kinds[c].startswith("array") and pad is None:
-            values = same_size(values, c)
-        if pad is not None:
-            fill = F.lit(pad.get(c, 0)).cast(kinds[c]) if not kinds[c].startswith("array") else F.lit(None).cast(kinds[c])
-            values = F.concat(values, F.array_repeat(fill, F.lit(size) - F.size("_tw_rows")))
+        if pad is None:
+            values = stacked(same_shape(values, kinds[c], c), kinds[c])
+        else:
+            values = stacked(values, kinds[c], F.lit(size) - F.size("_tw_rows"), pad.get(c))
         columns.append(values.alias(c))
     return out.select(F.col("_tw_block").alias(IDX), *by, *columns)
 

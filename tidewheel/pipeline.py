@@ -900,12 +900,13 @@ class IterPipeline(_Node):
 
         def run(df):
             names = payload(df)
+            df = elements = df.select(IDX, *[batching.unstacked(F.col(c), df.schema[c].dataType).alias(c) for c in names])
             first = F.size(names[0])
             zero = F.when(first < 1, F.raise_error(F.lit("a batch is empty")).cast("int")).otherwise(first)
             df = dense(df.withColumn("_tw_z", zero), IDX, self.count(), F.col("_tw_z")).drop("_tw_z")
             rows = df.select(IDX, F.posexplode(F.arrays_zip(*names)).alias("_tw_pos", "_tw_r")).withColumn(IDX, F.col(IDX) + F.col("_tw_pos")).select(IDX, "_tw_r.*")
             if drop_remainder:
-                total = self.frame().agg(F.sum(F.size(names[0]))).first()[0] or 0
+                total = elements.agg(F.sum(F.size(names[0]))).first()[0] or 0
                 rows = rows.where(F.col(IDX) < total // size * size)
             return batching.blocks(rows, _div(F.col(IDX), size), F.pmod(F.col(IDX), F.lit(size)), size)
 

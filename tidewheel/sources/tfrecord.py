@@ -1,13 +1,14 @@
-"""TFRecord files as a Python data source: (path, offset, record) for each frame.
+"""TFRecord files as rows (path, offset, record), one for each frame.
 
 A frame is a little-endian u64 length, a u32 check sum, the bytes and another u32. Files are the unit of
-parallelism; they are read by Spark's own readers, so any store that Spark reaches will do.
+parallelism; they are read by Spark's own readers, so any store that Spark reaches will do. Offsets are the
+state inside a file: a later read goes on after the last record that was seen.
 """
 
 from __future__ import annotations
 
 import struct
-from collections.abc import Iterator
+from collections.abc import Iterator, Mapping
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -15,11 +16,13 @@ from pyspark.sql import DataFrame, SparkSession
 from tidewheel.session import ship
 
 HEAD, TAIL = struct.Struct("<QI"), 4
+#: Bytes of records that a batch of rows holds, about.
+AT_ONCE = 1 << 24
 
 
-def frames(raw: bytes, path: str = "") -> Iterator[tuple[int, bytes]]:
-    """(offset, record); a file that ends inside a frame is an error."""
-    at, view = 0, memoryview(raw)
+def frames(raw: bytes, path: str = "", at: int = 0) -> Iterator[tuple[int, bytes]]:
+    """(offset, record) from the frame at a byte on; a file that ends inside a frame is an error."""
+    view = memoryview(raw)
     while at < len(view):
         if at + HEAD.size > len(view):
             raise ValueError(f"{path} is truncated at byte {at}")
@@ -36,12 +39,22 @@ def frame(record: bytes) -> bytes:
     return HEAD.pack(len(record), 0) + record + b"\0" * TAIL
 
 
-def read_tfrecords(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+def read_tfrecords(spark: SparkSession, paths: str | list[str], after: Mapping[str, int] | None = None) -> DataFrame:
+    """All records; after: for some paths, as the rows name them, the offset of the last record seen, which and all before it are left out."""
+    after = dict(after or {})
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for path, raw in zip(b["path"], b["content"], strict=True):
-                got = list(frames(raw, path))
-                yield pd.DataFrame({"path": path, "offset": [o for o, _ in got], "record": [r for _, r in got]})
+                got, held = [], 0
+                for offset, record in frames(raw, path, after.get(path, 0)):
+                    if offset > after.get(path, -1):
+                        got.append((path, offset, record))
+                        held += len(record)
+                    if held > AT_ONCE:
+                        yield pd.DataFrame(got, columns=["path", "offset", "record"])
+                        got, held = [], 0
+                yield pd.DataFrame(got, columns=["path", "offset", "record"])
 
     ship(spark)
     files = spark.read.format("binaryFile").load(paths).select("path", "content")
