@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewheel.llm import ann, chat, exact, jaccard, licenses, mixing, packing, quality, sharding, sql, urlfilter
+from tidewheel.llm import alignment, ann, chat, exact, jaccard, language, licenses, mining, mixing, packing, quality, sharding, sql, urlfilter
 from tidewheel.llm.shared import table
 
 #: The conversation that op1 adds: both turns say it.
@@ -122,6 +122,43 @@ def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.neighbours(rows, F.col("vec_id") % 20 == 0, k=20)
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    fine = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    whole = F.transform("embedding", lambda x: F.floor(x.cast("double") * 256))
+    rows = rows.where(fine).select("vec_id", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")).alias("label"), whole.alias("vector"))
+    return mining.hard_negatives(rows, F.col("vec_id") % 100 == 0)
+
+
+OP11_SQL = """
+WITH rows AS (
+  SELECT vec_id AS id, CAST(CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS BIGINT) AS label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v
+  FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+  SELECT a.id AS anchor_id, r.id AS id, a.label = r.label AS same, CAST(list_dot_product(a.v, r.v) AS BIGINT) AS score
+  FROM rows a JOIN rows r ON a.id % 100 = 0 AND a.id <> r.id
+), positives AS (
+  SELECT anchor_id, id AS positive_id, score AS positive_score FROM scored WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5
+)
+SELECT anchor_id, positive_id, CAST(row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, id) AS INTEGER) AS rank, id AS negative_id, positive_score, score AS negative_score
+FROM positives JOIN scored USING (anchor_id)
+WHERE NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
+QUALIFY row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, id) <= 10
+"""
+
+
+def op12_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = language.train(docs)
+    return language.detect(docs.select("doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), "text"), model).drop("text")
+
+
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align_tokenizers(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
@@ -130,4 +167,5 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op1_chat_format": OP1_SQL, "op2_url_filter": OP2_SQL, "op3_ngram_jaccard": sql.jaccard_sql(3, 90, 100), "op7_exact_dedup": OP7_SQL,
         "op4_license_scan": sql.licenses_sql(licenses.BASE, licenses.TEMPLATES, licenses.WORDS, licenses.NEAR, licenses.SHARE, licenses.LOOK),
-        "op8_mixing": sql.mixing_sql(MIX_WEIGHTS, MIX_SHARE, MIX_EPOCHS, MIX_SEED, mixing.NONE, DOMAIN)}
+        "op8_mixing": sql.mixing_sql(MIX_WEIGHTS, MIX_SHARE, MIX_EPOCHS, MIX_SEED, mixing.NONE, DOMAIN),
+        "op11_hard_negatives": OP11_SQL}
