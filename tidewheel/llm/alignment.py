@@ -1,8 +1,9 @@
 r"""Cross-tokenizer alignment: where the tokens of two tokenizers meet, overlap and go together, by relations.
 
-The alignment (`align`) is made of joins and windows over token rows: posexplode gives a row for each token, a
-windowed sum of byte lengths its end, an equi-join on (text, end) the places where tokens of both sides end, a
-running count of these cuts the group. Sorted by their ends, the stretches between neighbouring ends of either
+The alignment (`align`) works on token rows: posexplode gives a row for each token, a windowed sum of byte lengths
+its end, an equi-join of both sides on (text, end) the places where tokens of both end, a running count of these
+cuts the group. An end occurs once a side, so the full join is a grouping of both sides' rows by (text, end), which
+keeps the texts where they are; a join by two columns would move all tokens twice more. Sorted by their ends, the stretches between neighbouring ends of either
 side lie in one token of each side, and each overlapping pair has exactly one such stretch: so the range join
 for links is a running value, linear in the tokens, however long a group is.
 
@@ -48,6 +49,8 @@ _RUN = rf"[{MARK}]*[^\s{MARK}]*(?:(?<!{LETTER})[{MARK}]+[^\s{MARK}]*)*"
 UNIT = re.compile(rf"(?:\n(?=\S)| ?(?=\S){_RUN}|\s+{_RUN})(?:(?![ \n]\S)\s+{_RUN})*")
 #: The character that stands for a space in pieces.
 SPACE = "▁"
+#: Pairs whose counts are sent to every executor; more meet the links in a join.
+MOST_BROADCAST = 1 << 20
 RESULTS = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")
 
 _CACHE: dict = {}
@@ -138,7 +141,7 @@ TOKENS = "array<struct<id int, len int>>"
 
 
 def _tokenised(units: DataFrame, paths: tuple[str, str]) -> DataFrame:
-    """units: _t (strings). Adds a and b (tokens' ids and byte lengths), or null where the tokens don't spell the unit."""
+    """units: _unit. Adds a and b (tokens' ids and byte lengths), or null where the tokens don't spell the unit."""
 
     def listed(ids: list[list[int] | None], lens: list[list[int] | None]) -> pa.Array:
         flat = pa.StructArray.from_arrays([pa.array([i for x in ids if x for i in x], pa.int32()), pa.array([i for x in lens if x for i in x], pa.int32())], names=["id", "len"])
@@ -162,9 +165,9 @@ def _tokenised(units: DataFrame, paths: tuple[str, str]) -> DataFrame:
                 fine = [all(b"".join(said[k]) == raw for _, said in sides) for k, raw in enumerate(t.encode() for t in texts)]
                 for ids, said in sides:
                     columns.append(listed([x if ok else None for x, ok in zip(ids, fine, strict=True)], [[len(b) for b in x] if ok else None for x, ok in zip(said, fine, strict=True)]))
-                yield pa.RecordBatch.from_arrays(columns, names=["_t", "a", "b"])
+                yield pa.RecordBatch.from_arrays(columns, names=["_unit", "a", "b"])
 
-    return units.mapInArrow(run, f"_t string, a {TOKENS}, b {TOKENS}")
+    return units.mapInArrow(run, f"_unit string, a {TOKENS}, b {TOKENS}")
 
 
 def align(texts: DataFrame) -> DataFrame:
@@ -174,12 +177,11 @@ def align(texts: DataFrame) -> DataFrame:
     upper and a b id in the lower 32 bits, in the order of the text; one for each overlapping pair of tokens).
     """
     texts = texts.where("size(a) > 0").repartition("_t")
-    running = Window.partitionBy("_t").orderBy("_i").rowsBetween(Window.unboundedPreceding, 0)
-    sides = []
-    for side in ("a", "b"):
-        tokens = texts.select("_t", F.posexplode(side).alias("_i", "_x")).select("_t", "_i", F.col("_x.id").alias(f"_{side}"), F.col("_x.len").alias("_len"))
-        sides.append(tokens.select("_t", F.sum("_len").over(running).alias("_end"), f"_{side}"))
-    ends = sides[0].join(sides[1], ["_t", "_end"], "full")
+    sides = texts.select("_t", F.posexplode(F.array("a", "b")).alias("_side", "_tokens"))
+    tokens = sides.select("_t", "_side", F.posexplode("_tokens").alias("_i", "_x")).select("_t", "_side", "_i", F.col("_x.id").alias("_id"), F.col("_x.len").alias("_len"))
+    running = Window.partitionBy("_t", "_side").orderBy("_i").rowsBetween(Window.unboundedPreceding, 0)
+    ended = tokens.withColumn("_end", F.sum("_len").over(running))
+    ends = ended.groupBy("_t", "_end").agg(F.max(F.when(F.col("_side") == 0, F.col("_id"))).alias("_a"), F.max(F.when(F.col("_side") == 1, F.col("_id"))).alias("_b"))
     # From the last end back: the token that covers the stretch before an end is the last one met, and a cut opens a group.
     back = Window.partitionBy("_t").orderBy(F.desc("_end")).rowsBetween(Window.unboundedPreceding, 0)
     cut = F.col("_a").isNotNull() & F.col("_b").isNotNull()
@@ -243,7 +245,7 @@ def _summed(schema: pa.Schema):
         at, flat, sizes = _by_number(units, documents)
         starts = np.cumsum(sizes) - sizes
         places = at[flat]
-        columns = [np.add.reduceat(units[c].to_numpy()[places], starts) for c in RESULTS]
+        columns = [np.add.reduceat(units[c].to_numpy().astype(np.int64)[places], starts) for c in RESULTS]
         strings, places = units["groups"].to_pylist(), places.tolist()
         said = [hashlib.sha256(";".join(map(strings.__getitem__, places[s : s + n])).encode()).hexdigest() for s, n in zip(starts.tolist(), sizes.tolist(), strict=True)]
         return pa.Table.from_arrays([pa.concat_arrays(documents["_key"].chunks), *map(pa.array, columns), pa.array(said)], schema=schema)
@@ -258,31 +260,32 @@ def align_tokenizers(docs: DataFrame, key: str = "doc_id", text: str = "text", p
     ship(docs.sparkSession)
     paths = paths or tokenizer_paths()
     rows, units = _numbered(docs, key, text, cuts_apart(paths[1]), chunk)
-    tokens = materialise(_tokenised(units.select(F.col("_unit").alias("_t")).distinct(), paths))
-    aligned = materialise(align(tokens))
+    tokens = materialise(_tokenised(units.select("_unit").distinct(), paths).withColumn("_t", F.monotonically_increasing_id()))
+    units = materialise(units.join(tokens.select("_unit", "_t"), "_unit").select("_p", "_u", "_t"))
+    aligned = materialise(align(tokens.select("_t", "a", "b")))
 
     odd = tokens.where("a is null").select("_t")  # rare: documents that hold such a unit have no tokens at all
     if not odd.isEmpty():
-        odd = units.join(odd, F.col("_unit") == F.col("_t")).select("_p", "_u", F.lit(True).alias("_odd"))
-        said = rows.select("_p", "_d", F.explode("_seq").alias("_u")).join(odd, ["_p", "_u"])
-        lost = materialise(said.select("_p", "_d").distinct())
+        odd = units.join(odd, "_t").select("_p", "_u")
+        lost = materialise(rows.select("_p", "_d", F.explode("_seq").alias("_u")).join(odd, ["_p", "_u"]).select("_p", "_d").distinct())
         rows = rows.join(lost.withColumn("_lost", F.lit(True)), ["_p", "_d"], "left")
         rows = rows.select("_p", "_d", "_key", F.when(F.col("_lost").isNull(), F.col("_seq")).otherwise(F.array().cast("array<int>")).alias("_seq"))
     said = rows.where("size(_seq) > 0").select("_p", "_key", "_seq")
 
     def by_chunk(results: DataFrame):
         """Documents and their units' results, of each chunk."""
-        results = units.join(results, F.col("_unit") == F.col("_t")).withColumnRenamed("_p", "_chunk").drop("_unit", "_t")
+        results = units.join(results, "_t").withColumnRenamed("_p", "_chunk").drop("_t")
         return said.groupBy("_p").cogroup(results.groupBy("_chunk"))
 
     held = by_chunk(aligned.select("_t", F.array_distinct("links").alias("_links"))).applyInArrow(_held, "_link long, _n long")
     counts = materialise(held.groupBy("_link").agg(F.sum("_n").alias("_n")))
     a = F.shiftright("_link", 32)
     top = counts.groupBy(a.alias("_a")).agg(F.max("_n").alias("_top"))
-    counts = counts.join(top, a == F.col("_a")).select("_link", "_n", (F.col("_n") == F.col("_top")).alias("_best"))
+    counts = materialise(counts.join(top, a == F.col("_a")).select("_link", "_n", (F.col("_n") == F.col("_top")).alias("_best")))
+    counts = F.broadcast(counts) if counts.count() <= MOST_BROADCAST else counts
     told = aligned.select("_t", F.explode("links").alias("_link")).join(counts, "_link")
-    told = told.groupBy("_t").agg(F.sum("_n").alias("count_sum"), F.count_if("_best").alias("n_best"))
-    numbers = aligned.select("_t", "n_a", "n_b", "n_groups", F.size("links").cast("long").alias("n_links"), "groups").join(told, "_t")
+    told = told.groupBy("_t").agg(F.sum("_n").alias("count_sum"), F.count_if("_best").cast("int").alias("n_best"))
+    numbers = aligned.select("_t", *[F.col(c).cast("int").alias(c) for c in ("n_a", "n_b", "n_groups")], F.size("links").alias("n_links"), "groups").join(told, "_t")
 
     schema = T.StructType([rows.schema["_key"], *(T.StructField(c, T.LongType()) for c in RESULTS), T.StructField("groups_sha256", T.StringType())])
     full = by_chunk(numbers).applyInArrow(_summed(to_arrow_schema(schema)), schema)
