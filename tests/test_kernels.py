@@ -30,8 +30,8 @@ def test_shuffle_arguments(bad):
 
 
 def test_random_map_known_values():
-    pool = schedules.RngPool(schedules.default_seed([(41, 1)]))
-    assert [i + int(pool.acquire_rng(i).integers(0, 10)) for i in range(10)] == [0, 6, 9, 5, 10, 14, 14, 13, 15, 13]
+    pool = schedules.element_generators(schedules.default_seed([(41, 1)]))
+    assert [i + int(pool(i).integers(0, 10)) for i in range(10)] == [0, 6, 9, 5, 10, 14, 14, 13, 15, 13]
 
 
 def laid_out(sizes, cycle):

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tidewheel.cursor import Cursor, ElasticCursor, assert_equal_after_restore
 from tidewheel.functions.permutation import permute
-from tidewheel.functions.schedules import RngPool, Shard, default_seed
+from tidewheel.functions.schedules import Shard, default_seed, element_generators
 from tidewheel.functions.stats import PerformanceConfig, pick_performance_config
 from tidewheel.loader import DataLoader, IndexSampler, SequentialSampler, elastic_batches, load
 from tidewheel.operators.packing import padding_ratio
@@ -132,8 +132,8 @@ def test_filter_warns(spark):
 def test_workers_draw_numbers_of_their_own(spark):
     """The k-th element of worker w of n has the generator of element w + k * n."""
     draw = lambda g: int(g.integers(0, 1 << 40))
-    pool = RngPool(default_seed([(41, 1)]))
-    alone = [int(pool.acquire_rng(i).integers(0, 1 << 40)) for i in range(12)]
+    pool = element_generators(default_seed([(41, 1)]))
+    alone = [int(pool(i).integers(0, 1 << 40)) for i in range(12)]
     ds = MapPipeline.range(spark, 12).to_iter().seed(41)
     for workers in (1, 2, 3):
         got = ds.parallel(workers, lambda p: p.random_map(draw, "long", "drawn", seed=default_seed([(41, 1)])))
@@ -147,9 +147,9 @@ def test_workers_draw_numbers_of_their_own(spark):
 
     IterPipeline.rebatch_free = lambda self: self._alone()
     together, apart = (values(ds.parallel(2, stage(x)).frame(), "drawn") for x in (False, True))
-    pool = RngPool(7)
+    pool = element_generators(7)
     first, second = [0, 2, 6, 8], [3, 5, 9, 11]
-    want = [int(pool.acquire_rng(w + 2 * k).integers(0, 1 << 40)) for k in range(4) for w in range(2)]
+    want = [int(pool(w + 2 * k).integers(0, 1 << 40)) for k in range(4) for w in range(2)]
     assert together == apart == want and values(ds.parallel(2, lambda p: p.filter("value % 3 <> 1")).frame()) == [x for pair in zip(first, second, strict=True) for x in pair]
 
 
@@ -298,9 +298,19 @@ def test_hosts_go_on_in_any_layout(spark, tmp_path):
     with pytest.raises(ValueError):
         ElasticCursor(ds, 8, Shard(0, 2)).load(str(tmp_path / "none"))
     next(two[0])
-    two[0].save(str(tmp_path))
-    with pytest.raises(ValueError):
-        four[0].load(str(tmp_path))
+    two[0].save(str(tmp_path))  # one host of two alone: the last whole set counts
+    four[0].load(str(tmp_path))
+    assert four[0].get_state()["global_next_index"] == 16
+    next(two[1])
+    two[1].save(str(tmp_path))
+    four[0].load(str(tmp_path))
+    assert four[0].get_state()["global_next_index"] == 24
+    one = ElasticCursor(ds, 8, Shard(0, 1))
+    one.load(str(tmp_path))
+    next(one)
+    one.save(str(tmp_path))  # by fewer hosts than before
+    four[0].load(str(tmp_path))
+    assert four[0].get_state()["global_next_index"] == 32
 
 
 def test_streams_resume(spark, tmp_path):

@@ -6,7 +6,7 @@ import pytest
 
 from tidewheel import catalogue
 from tidewheel.functions.permutation import permute
-from tidewheel.functions.schedules import RngPool, default_seed
+from tidewheel.functions.schedules import default_seed, element_generators
 
 SF, LARGE = "/root/testdata/sf0.001", "/root/testdata/sf0.1"
 
@@ -65,11 +65,11 @@ def test_hierarchical_shuffle(spark, con):
 
 def test_random_map_and_summary(spark, con):
     keys = [k for (k,) in con.execute("SELECT o_orderkey FROM orders ORDER BY 1 DESC").fetchall()]
-    pool = RngPool(default_seed([(41, 1)]))
-    assert in_order(catalogue.queries()["random_map"](spark, SF), "o_orderkey", "drawn") == [(k, int(pool.acquire_rng(i).integers(0, 1000))) for i, k in enumerate(keys)]
+    pool = element_generators(default_seed([(41, 1)]))
+    assert in_order(catalogue.queries()["random_map"](spark, SF), "o_orderkey", "drawn") == [(k, int(pool(i).integers(0, 1000))) for i, k in enumerate(keys)]
     drawn = in_order(catalogue.queries()["random_map_workers"](spark, SF), "o_orderkey", "drawn")
-    pool = RngPool(41)
-    assert drawn == [(k, int(pool.acquire_rng(i).integers(0, 1 << 62))) for i, k in enumerate(keys)] and len({d for _, d in drawn}) == len(keys)
+    pool = element_generators(41)
+    assert drawn == [(k, int(pool(i).integers(0, 1 << 62))) for i, k in enumerate(keys)] and len({d for _, d in drawn}) == len(keys)
     kept = con.execute("SELECT count(*) FROM orders WHERE o_totalprice > 100000").fetchone()[0]
     assert [r.elements for r in catalogue.queries()["stats_summary"](spark, SF).orderBy("id").collect()][0] == -(-kept // 64)
 

@@ -184,11 +184,10 @@ def lim_limit(spark, sf_dir):
     return _rows(_orders(spark, sf_dir).to_iter().limit(500), "o_orderkey")
 
 
-@query("SELECT CAST(row_number() OVER (ORDER BY o_orderkey DESC) - 1 AS BIGINT) AS idx, o_orderkey FROM orders")
+@query("SELECT CAST(row_number() OVER () - 1 AS BIGINT) AS idx, o_orderkey FROM orders")
 def src_parquet_files(spark, sf_dir):
-    """Parquet files in their stored order, then one stream by key."""
-    stored = iterate_parquet(spark, f"{sf_dir}/orders.parquet").frame()
-    return _rows(MapPipeline.ordered(stored.select("o_orderkey"), F.col("o_orderkey").desc()), "o_orderkey")
+    """The rows of a Parquet file in their stored order."""
+    return _rows(iterate_parquet(spark, f"{sf_dir}/orders.parquet"), "o_orderkey")
 
 
 @query(f"SELECT i AS idx, o_totalprice * 2 + o_orderkey AS v FROM ({ROWS})")
@@ -281,7 +280,9 @@ def zip_shortest(spark, sf_dir):
 def idx_reindex(spark, sf_dir):
     ds = _orders(spark, sf_dir)
     cycle = ds.n // gcd(ds.n, 37)
-    return _rows(ds.slice([(i * 37 + i // cycle) % ds.n for i in range(ds.n)]), "o_orderkey")
+    i = F.col("id")
+    wanted = spark.range(ds.n).select(i.alias("_idx"), F.lit(0).alias("input"), F.pmod(i * 37 + F.floor(i / cycle), F.lit(ds.n)).alias("index"))
+    return _rows(MapPipeline.select_from([ds], wanted), "o_orderkey")
 
 
 @query(f"WITH a AS ({ROWS}), b AS ({SECOND}) SELECT (SELECT count(*) FROM b) - 1 - i AS idx, 'customer' AS which, o_orderkey FROM b UNION ALL SELECT (SELECT count(*) FROM b) + (SELECT count(*) FROM a) - 1 - i, 'order', o_orderkey FROM a")
@@ -492,11 +493,12 @@ FROM (SELECT doc_id, n, unnest(range(0, greatest(n, 1), {CLIP})) AS k FROM (SELE
 
 
 def _packed(spark, sf_dir, **how) -> DataFrame:
-    """Where each piece stands; phase two lays the rows out, which pck_and_batch shows."""
-    pieces = _pieces(spark, sf_dir)
-    sizes = pieces.select("_idx", F.array(F.size("token").cast("long")).alias("len"))
-    placed = packing.assign_bins(sizes, [CLIP], 8, **how).select("_idx", "row", F.col("segment").cast("long").alias("segment"), F.col("at")[0].alias("at"), F.col("size")[0].alias("size"))
-    return placed.join(pieces.select("_idx", "doc_id", "since"), "_idx").drop("_idx")
+    """Where each piece stands, read back from the packed rows."""
+    rows = IterPipeline.source(_pieces(spark, sf_dir)).pack({"token": CLIP}, 8, meta=["doc_id", "since"], shuffle_bins=False, **how).frame()
+    pieces = rows.select(F.col("_idx").alias("row"), "token_segment_ids", F.posexplode(F.arrays_zip("doc_id", "since")).alias("k", "m"))
+    segment = (F.col("k") + 1).cast("long")
+    own = F.filter("token_segment_ids", lambda x: x == segment)
+    return pieces.select("row", segment.alias("segment"), "m.doc_id", "m.since", (F.array_position("token_segment_ids", segment.cast("int")) - 1).alias("at"), F.size(own).cast("long").alias("size"))
 
 
 def _packed_sql(**how) -> str:
@@ -539,12 +541,12 @@ def pck_best_fit(spark, sf_dir):
 
 @query(_packed_sql(most=3))
 def pck_max_seq(spark, sf_dir):
-    return _packed(spark, sf_dir, most=3)
+    return _packed(spark, sf_dir, max_sequences_per_bin=3)
 
 
 @query(_packed_sql(align=64))
 def pck_align(spark, sf_dir):
-    return _packed(spark, sf_dir, align=[64])
+    return _packed(spark, sf_dir, align={"token": 64})
 
 
 @query(_packed_sql(workers=4))

@@ -1,8 +1,13 @@
-"""A driver-side cursor over a pipeline's rows, whose whole state is a small JSON object."""
+"""A driver-side cursor over a pipeline's rows, whose whole state is a small JSON object.
+
+A state holds marks of the nodes that need more than an index to go on from (packing: a batch's first element and
+the rows before it), so a restored cursor computes what comes after them and asks the source for no earlier rows.
+"""
 
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
 
 from pyspark.sql import Row
@@ -24,20 +29,21 @@ class Cursor(Iterator):
         if self._closed:
             raise ValueError("the cursor is closed")
         if self._rows is None:
-            df = self._ds.frame().where(F.col("_idx") >= self._next).orderBy("_idx")
+            df = self._ds.frame_from(self._next).orderBy("_idx")
             self._rows = df.drop(*RESERVED).toLocalIterator(prefetchPartitions=True)
         row = next(self._rows)
         self._next += 1
         return row
 
     def get_state(self) -> dict:
-        return {"version": 1, "plan": self._ds.signature(), "next_index": self._next, **self._extra}
+        return {"version": 1, "plan": self._ds.signature(), "next_index": self._next, "marks": self._ds.marks(self._next), **self._extra}
 
     def set_state(self, state: dict) -> None:
         for k, v in {"version": 1, "plan": self._ds.signature(), **self._extra}.items():
             if state.get(k) != v:
                 raise ValueError(f"the state is another pipeline's: its {k} is {state.get(k)!r}, not {v!r}")
-        self.set_next_index(state["next_index"])
+        self._ds.resume(state.get("marks", []))
+        self._next, self._rows = state["next_index"], None
 
     def get_next_index(self) -> int:
         return self._next
@@ -84,18 +90,20 @@ class ElasticCursor(Iterator):
         self._at, self._rows = state["global_next_index"], None
 
     def save(self, folder: str) -> str:
-        path = f"{folder.rstrip('/')}/shard_state_{self._shard.index}.json"
+        path = f"{folder.rstrip('/')}/shard_state_{self._at}_{self._shard.index}-of-{self._shard.count}.json"
         files.write_text(self._ds.spark, path, json.dumps(self.get_state()))
         return path
 
     def load(self, folder: str) -> None:
-        """From the states that hosts of any layout saved together; they have to be at one position."""
-        found = [json.loads(files.read_text(self._ds.spark, p)) for p in files.matching(self._ds.spark, f"{folder.rstrip('/')}/shard_state_*.json")]
-        if not found:
-            raise ValueError(f"there is no state in {folder}")
-        if len({s["global_next_index"] for s in found}) > 1:
-            raise ValueError("the hosts' states are at different positions")
-        self.set_state(found[0])
+        """From the last position at which all hosts of some layout saved their states; what only some of them saved doesn't count."""
+        sets: dict[tuple[int, int], list[str]] = {}
+        for p in files.matching(self._ds.spark, f"{folder.rstrip('/')}/shard_state_*.json"):
+            at, _, count = re.fullmatch(r"shard_state_(\d+)_(\d+)-of-(\d+)\.json", p.rsplit("/", 1)[-1]).groups()
+            sets.setdefault((int(at), int(count)), []).append(p)
+        whole = {k: ps for k, ps in sets.items() if len(ps) == k[1]}
+        if not whole:
+            raise ValueError(f"there is no state of all hosts in {folder}")
+        self.set_state(json.loads(files.read_text(self._ds.spark, whole[max(whole)][0])))
 
 
 def assert_equal_after_restore(ds: IterPipeline) -> None:

@@ -10,18 +10,21 @@ import numpy as np
 class BinPacker:
     """Fills bins of one batch at a time. place() takes an element's lengths and gives finished batches.
 
+    A batch ends at the element for which no bin has room, and that element begins the next one with empty bins: so a
+    batch follows from its first element alone, which `batch_starts` and the packing operator rest on.
     best: of the bins with room, the fullest; else the first. align: used cells round up to multiples.
     shuffle_bins: rows of a batch come in a seeded order; elements may carry values (numbers of one feature), and
     then rows are sorted by the mean of their distinct values other than zero, in the seeded order where they tie.
     """
 
-    def __init__(self, capacity: Sequence[int], bins: int, best: bool = False, align: Sequence[int] | None = None, most: int | None = None, seed: int = 0, shuffle_bins: bool = False):
+    def __init__(self, capacity: Sequence[int], bins: int, best: bool = False, align: Sequence[int] | None = None, most: int | None = None, seed: int = 0, shuffle_bins: bool = False, emitted: int = 0):
         if bins < 1 or any(c < 1 for c in capacity):
             raise ValueError("bins and capacities must be positive")
         self.capacity, self.bins, self.best = np.asarray(capacity, np.int64), bins, best
         self.align = np.asarray(align if align is not None else [1] * len(self.capacity), np.int64)
         self.most, self.seed, self.shuffle_bins = most or np.iinfo(np.int64).max, seed, shuffle_bins
-        self.emitted = 0
+        #: Rows of the batches before.
+        self.emitted = emitted
         self._clear()
 
     def _clear(self) -> None:
@@ -30,26 +33,50 @@ class BinPacker:
         self.held: list[tuple] = []
         self.values: dict[int, set] = {}
 
-    def place(self, idx: int, lengths: Sequence[int], values: Sequence[float] | None = None) -> Iterator[tuple]:
+    def put(self, idx: int, lengths: Sequence[int]) -> tuple[int, np.ndarray] | None:
+        """Takes an element into a bin (its number and what it had used before), or None if no bin has room."""
         size = np.asarray(lengths, np.int64)
         if (size > self.capacity).any():
             raise ValueError(f"element {idx} is longer than a bin: {list(lengths)}")
-        fits = ((self.used + size <= self.capacity).all(1)) & (self.count < self.most)
+        fits = (self.used + size <= self.capacity).all(1) & (self.count < self.most)
         if not fits.any():
+            return None
+        at = int(np.argmax(np.where(fits, self.used.sum(1), -1))) if self.best else int(np.argmax(fits))
+        self.count[at] += 1
+        before = self.used[at].copy()
+        self.used[at] = -(-(self.used[at] + size) // self.align) * self.align
+        return at, before
+
+    def place(self, idx: int, lengths: Sequence[int], values: Sequence[float] | None = None) -> Iterator[tuple]:
+        found = self.put(idx, lengths)
+        if found is None:
             if not self.held:
                 raise ValueError(f"element {idx} fits no empty bin")
             yield from self.flush()
-            fits = np.ones(self.bins, bool)
-        at = int(np.argmax(np.where(fits, self.used.sum(1), -1))) if self.best else int(np.argmax(fits))
-        self.count[at] += 1
+            found = self.put(idx, lengths)
+        at, before = found
         if values is not None:
             self.values.setdefault(at, set()).update(values)
-        self.held.append((idx, at, int(self.count[at]), self.used[at].tolist(), size.tolist()))
-        self.used[at] = -(-(self.used[at] + size) // self.align) * self.align
+        self.held.append((idx, at, int(self.count[at]), before.tolist(), [int(n) for n in lengths]))
+
+    def rows(self) -> int:
+        """Rows of the open batch."""
+        return int((self.count > 0).sum())
+
+    def batch_starts(self, elements: Iterable[tuple[int, Sequence[int]]]) -> Iterator[tuple[int, int]]:
+        """(first element, rows of the batch before it) of each batch after the one that the first element begins; places nothing."""
+        self._clear()
+        for idx, lengths in elements:
+            if self.put(idx, lengths) is None:
+                rows = self.rows()
+                self._clear()
+                if self.put(idx, lengths) is None:
+                    raise ValueError(f"element {idx} fits no empty bin")
+                yield idx, rows
 
     def flush(self) -> Iterator[tuple]:
         """(idx, out row, segment from 1, starts, lengths) of the open batch."""
-        rows = int((self.count > 0).sum())
+        rows = self.rows()
         order = np.arange(rows)
         if self.shuffle_bins and rows:
             order = np.random.default_rng(self.seed + self.emitted).permuted(order)

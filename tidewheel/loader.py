@@ -99,7 +99,7 @@ class DataLoader:
         spark = self.source.sparkSession
         keys = self.sampler.keys(spark, s.index, hi, s.count).withColumn("_at", _div(F.col("_index"), s.count))
         df = self.source.withColumnRenamed("_idx", "_k").join(keys, F.col("_k") == F.col("_record_key")).drop("_k", "_record_key")
-        records = IterPipeline.source(df.withColumnsRenamed({"_at": "_idx", "_index": "_record"}))
+        records = IterPipeline._own_source(df.withColumnsRenamed({"_at": "_idx", "_index": "_record"}))
         records._context = (0, 1, self.sampler.seed)
         records._knowing(lambda: [len(range(s.index, hi, s.count))])
         return records

@@ -12,6 +12,11 @@ from pyspark.sql import types as T
 IDX = "_idx"
 
 
+def quoted(name: str) -> str:
+    """A column's name as an expression, whatever characters it has."""
+    return f"`{name.replace('`', '``')}`"
+
+
 def field(name: str):
     """A function that takes a field of a struct."""
     return lambda r: r[name]
@@ -66,7 +71,7 @@ def blocks(df: DataFrame, number: Column, place: Column, size: int, aggregates:
     df = df.withColumn("_tw_block", number.cast("long"))
     if aggregates is not None:
         return df.groupBy(*by, "_tw_block").agg(*aggregates).withColumnRenamed("_tw_block", IDX)
-    rows = df.select(*by, "_tw_block", F.struct(place.alias("_tw_place"), *names).alias("_tw_row"))
+    rows = df.select(*by, "_tw_block", F.struct(place.alias("_tw_place"), *map(quoted, names)).alias("_tw_row"))
     out = rows.groupBy(*by, "_tw_block").agg(F.array_sort(F.collect_list("_tw_row")).alias("_tw_rows"))
     columns = []
     for c in names:
@@ -84,11 +89,11 @@ def custom(df: DataFrame, number: Column, place: Column, function: Callable[[pd.
     names = [c for c in df.columns if c not in RESERVED]
     kind = T.StructType.fromDDL(schema)
     out = T.StructType([T.StructField(IDX, T.LongType()), *(T.StructField(b, T.LongType()) for b in by), *kind.fields])
-    rows = df.select(number.cast("long").alias("_tw_block"), *[F.col(b).cast("long").alias(b) for b in by], place.alias("_tw_place"), *names)
+    rows = df.select(number.cast("long").alias("_tw_block"), *[F.col(b).cast("long").alias(b) for b in by], place.alias("_tw_place"), *[F.col(quoted(c)).alias(f"_tw_{i}") for i, c in enumerate(names)])
 
     def run(block: pd.DataFrame) -> pd.DataFrame:
         block = block.sort_values("_tw_place")
-        made = function(block[names].reset_index(drop=True))
+        made = function(block[[f"_tw_{i}" for i in range(len(names))]].set_axis(names, axis=1).reset_index(drop=True))
         own = {IDX: block["_tw_block"].iloc[0], **{b: block[b].iloc[0] for b in by}}
         return pd.DataFrame({f.name: [own[f.name] if f.name in own else made[f.name]] for f in out.fields})
 

@@ -1,15 +1,23 @@
 """Sequence packing in two phases.
 
-Phase one assigns elements to rows from their lengths alone. First fit and best fit depend on every
-earlier element by definition, so one task runs them over a few whole numbers for each element; with
-workers=n the n strided parts are assigned on their own, each in a task, as n loading processes would do.
+Phase one assigns elements to rows from their lengths alone. First fit and best fit depend on every element
+before, but only as far back as the open batch: when no bin has room all bins are given out, so a batch is a
+function of its first element. Elements are cut into blocks of BLOCK by their index, and every block assumes that
+a batch begins at its first element; it notes where its batches begin and where the last one, which may reach
+into the next block, ends. Two runs that begin a batch at the same element are one from there on, so most blocks
+end at the same place whatever comes before. Then each block starts where the one before it ended, runs until it
+meets a start that it has noted, and only blocks whose predecessor ended elsewhere than assumed run again, until
+none is left. Rows before a block are sums over blocks. At last all blocks place their elements side by side.
+With workers=n the n strided parts are sequences of their own, as n loading processes would make them.
+
 Concatenating and cutting one feature is no sequential matter: prefix sums say where each element stands.
 Phase two joins the payload to its places and builds the rows in parallel.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
+from itertools import chain, islice
 
 import pandas as pd
 import pyarrow as pa
@@ -20,36 +28,151 @@ from tidewheel.functions.bins import BinPacker, cut_stream
 from tidewheel.operators.batching import blocks, field
 from tidewheel.plans.ranking import dense
 from tidewheel.session import ship
+from tidewheel.sources.tables import stash
 
 IDX = "_idx"
 SCHEMA = f"{IDX} long, row long, segment int, at array<long>, since array<long>, size array<long>"
 
 
+PLACED = pa.schema({IDX: pa.int64(), "row": pa.int64(), "segment": pa.int32(), "at": pa.list_(pa.int64()), "since": pa.list_(pa.int64()), "size": pa.list_(pa.int64())})
+
+
 def _batches(rows: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
-    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int64())]
-    names = [IDX, "row", "segment", "at", "since", "size"]
-    part: list[tuple] = []
-    for r in rows:
-        part.append(r)
-        if len(part) == 10_000:
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*part, strict=True), kinds, strict=True)], names=names)
-            part = []
-    if part:
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*part, strict=True), kinds, strict=True)], names=names)
+    while part := list(islice(rows, 10_000)):
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*part, strict=True), PLACED.types, strict=True)], schema=PLACED)
 
 
-def assign_bins(lengths: DataFrame, capacity: Sequence[int], bins: int, best: bool = False, workers: int = 1, **options) -> DataFrame:
-    """lengths: _idx, len (array, one for each feature) and maybe values (array of numbers, see BinPacker). Gives _idx, row, segment, at, since, size."""
+#: Elements of a block, and what it sees of the next one to end its last batch. Longer batches make blocks larger.
+BLOCK, AHEAD = 1 << 14, 4
 
-    def place(elements: Iterator[tuple]) -> Iterator[tuple]:
-        packer = BinPacker(capacity, bins, best, **options)
-        for idx, size, *values in elements:
-            for i, row, segment, at, n in packer.place(idx, size, *values):
-                yield i, row, segment, at, [0] * len(at), n
-        for i, row, segment, at, n in packer.flush():
-            yield i, row, segment, at, [0] * len(at), n
 
-    return _assigned(lengths, place, workers)
+class _TooLong(Exception):
+    """A batch reaches past what its block sees."""
+
+
+def assign_bins(lengths: DataFrame, capacity: Sequence[int], bins: int, best: bool = False, workers: int = 1, block: int | None = None, start: tuple[int, int] = (0, 0), borders: Callable[[DataFrame], None] | None = None, **options) -> DataFrame:
+    """lengths: _idx, len (array, one for each feature) and maybe values (array of numbers, see BinPacker). Gives _idx, row, segment, at, since, size.
+
+    start: an element that begins a batch, before which lengths hold nothing, and the rows before it (for one worker).
+    borders: is given a frame of such starts, element and row, one about every `block` elements.
+    """
+    ship(lengths.sparkSession)
+    BinPacker(capacity, bins, best, **options)  # checks the arguments
+    if workers > 1 and start != (0, 0):
+        raise ValueError("the parts of several workers have no common start")
+    parts = lengths.withColumn("_w", F.pmod(F.col(IDX), F.lit(workers)).cast("long")).withColumn("_at", F.expr(f"({IDX} - {start[0]}) div {workers}"))
+    block = block or BLOCK
+    while True:
+        try:
+            placed, begun = _by_blocks(parts, block, lambda emitted=0: BinPacker(capacity, bins, best, emitted=start[1] + emitted, **options), "values" in lengths.columns)
+            if borders is not None:
+                borders(begun.select((F.col("_start") + start[0]).alias("element"), (F.col("_emitted") + start[1]).alias("row")))
+            break
+        except _TooLong:
+            block *= 8
+    if workers == 1:
+        return placed.drop("_w")
+    # Rows of the parts are taken in turn: ended parts are passed over.
+    counts = placed.groupBy("_w").agg((F.max("row") + 1).alias("_c"))
+    order = counts.groupBy().agg(F.collect_list(F.struct("_w", "_c")).alias("_all"))  # as many as workers
+    ranked = placed.join(F.broadcast(order), F.lit(True))
+    before = F.aggregate("_all", F.lit(0).cast("long"), lambda s, x: s + F.least(x["_c"], F.col("row") + F.when(x["_w"] < F.col("_w"), 1).otherwise(0)))
+    return ranked.withColumn("row", before).drop("_all", "_w")
+
+
+def _by_blocks(parts: DataFrame, block: int, packer, valued: bool) -> tuple[DataFrame, DataFrame]:
+    """The places, and where each block begins. parts: _w (a sequence), _at (place in it), _idx, len and maybe values."""
+    ahead = max(1, block // AHEAD)
+    number = F.expr(f"_at div {block}")
+    seen = F.when((number > 0) & (F.pmod("_at", F.lit(block)) < ahead), F.array(number, number - 1)).otherwise(F.array(number))
+    columns = ["_w", "_b", "_at", IDX, "len", *(["values"] if valued else [])]
+    ends = stash(parts.groupBy("_w").agg((F.max("_at") + 1).alias("_n")))  # one row a sequence
+    elements = stash(parts.withColumn("_b", F.explode(seen)).select(*columns))
+
+    def opened(rows: pa.Table) -> tuple[list, int, int]:
+        """The block's elements in order, where it begins and where it ends."""
+        rows = rows.sort_by("_at")
+        lo = rows.column("_b")[0].as_py() * block
+        return list(zip(rows.column("_at").to_pylist(), rows.column("len").to_pylist(), strict=True)), lo, lo + block
+
+    def runs(elements: list, start: int, lo: int, hi: int, known: dict[int, int] | None) -> tuple[int, int, list[int], list[int]]:
+        """From a batch's start: where the first batch beyond the block begins (-1: not seen; -2: at a start that is known), rows on the way, and the starts with the rows before each."""
+        starts, rows, total, at = [start], [0], 0, start
+        for at, of_batch in packer().batch_starts(elements[start - lo :]):
+            total += of_batch
+            if at >= hi:
+                return at, total, starts, rows
+            if known is not None and at in known:
+                return -2, total, [*starts, at], rows
+            starts.append(at)
+            rows.append(total)
+        return -1, total, starts, rows
+
+    def assumed(rows: pa.Table) -> pa.Table:
+        elements, lo, hi = opened(rows)
+        end, total, starts, before = runs(elements, lo, lo, hi, None)
+        return pa.table({"_w": rows["_w"][:1], "_b": rows["_b"][:1], "_end": [end], "_rows": [total], "_starts": [starts], "_before": [before], "_last": [elements[-1][0] + 1]})
+
+    noted = stash(elements.groupBy("_w", "_b").applyInArrow(assumed, "_w long, _b long, _end long, _rows long, _starts array<long>, _before array<long>, _last long"))
+    # A batch whose end isn't seen ends with its sequence, or else the block is too small.
+    noted = noted.join(F.broadcast(ends), "_w")
+    if not noted.where("_end = -1 and _last < _n").isEmpty():
+        raise _TooLong
+    noted = noted.withColumn("_end", F.when(F.col("_end") < 0, F.col("_n")).otherwise(F.col("_end"))).drop("_last")
+
+    def corrected(rows: pa.Table, told: pa.Table) -> pa.Table:
+        """A block's end and rows from its true start on; it runs until it meets what it has noted."""
+        if not len(told):
+            return pa.table({k: pa.array([], pa.int64()) for k in ("_w", "_b", "_start", "_end", "_rows")})
+        t = {k: v[0] for k, v in told.to_pydict().items()}
+        lo = t["_b"] * block
+        known = dict(zip(t["_starts"], t["_before"], strict=True))
+        if t["_start"] >= lo + block or t["_start"] >= t["_n"]:  # the batch before covers the whole block
+            end, total = t["_start"], 0
+        elif t["_start"] in known:
+            end, total = t["_end"], t["_rows"] - known[t["_start"]]
+        else:
+            elements, lo, hi = opened(rows)
+            end, total, starts, _ = runs(elements, t["_start"], lo, hi, known)
+            if end == -2:
+                end, total = t["_end"], total + t["_rows"] - known[starts[-1]]
+            elif end == -1:
+                end = t["_n"] if elements[-1][0] + 1 >= t["_n"] else -1
+        return pa.table({"_w": [t["_w"]], "_b": [t["_b"]], "_start": [t["_start"]], "_end": [end], "_rows": [total]})
+
+    def again(wanted: DataFrame) -> DataFrame:
+        """wanted: _w, _b, _start."""
+        told = noted.join(wanted, ["_w", "_b"])
+        return elements.groupBy("_w", "_b").cogroup(told.groupBy("_w", "_b")).applyInArrow(corrected, "_w long, _b long, _start long, _end long, _rows long")
+
+    def after(found: DataFrame) -> DataFrame:
+        """Where the next blocks begin."""
+        return found.select("_w", (F.col("_b") + 1).alias("_b"), F.col("_end").alias("_start"))
+
+    first = noted.where("_b = 0").select("_w", "_b", F.lit(0).cast("long").alias("_start"))
+    found = stash(again(first.unionByName(after(noted))))
+    while True:
+        if not found.where("_end = -1").isEmpty():
+            raise _TooLong
+        want = after(found).withColumnRenamed("_start", "_want").join(found.select("_w", "_b", "_start"), ["_w", "_b"]).where("_want <> _start")
+        wrong = stash(want.select("_w", "_b", F.col("_want").alias("_start")))
+        if wrong.isEmpty():
+            break
+        kept = found.join(wrong.select("_w", "_b"), ["_w", "_b"], "left_anti")
+        found = stash(kept.unionByName(again(wrong)))
+    before = F.sum("_rows").over(Window.partitionBy("_w").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1))
+    begun = found.withColumn("_emitted", F.coalesce(before, F.lit(0)))  # a row for each BLOCK elements
+
+    def placed(rows: pa.Table, told: pa.Table) -> pa.Table:
+        rows, t = rows.sort_by("_at"), {k: v[0] for k, v in told.to_pydict().items()}
+        lo, n = rows.column("_at")[0].as_py() if len(rows) else 0, max(0, t["_end"] - t["_start"])
+        own = rows.slice(t["_start"] - lo, n) if n else rows.slice(0, 0)
+        pack = packer(t["_emitted"])
+        got = (x for e in zip(*(own.column(c).to_pylist() for c in columns[3:]), strict=True) for x in pack.place(*e))
+        out = pa.Table.from_batches(list(_batches((i, row, segment, at, [0] * len(at), size) for i, row, segment, at, size in chain(got, pack.flush()))), schema=PLACED)
+        return out.append_column("_w", pa.array([t["_w"]] * len(out), pa.int64()))
+
+    return elements.groupBy("_w", "_b").cogroup(begun.groupBy("_w", "_b")).applyInArrow(placed, SCHEMA + ", _w long"), begun
 
 
 def assign_cuts(lengths: DataFrame, target: Sequence[int], split_full: bool = True, workers: int = 1) -> DataFrame:
@@ -147,8 +270,8 @@ def _lengths(df: DataFrame, features: Sequence[str], grouped: str | None = None)
     return df.select(IDX, F.array(*[(F.size(f) if kinds[f].startswith("array") else F.lit(1)).cast("long") for f in features]).alias("len"), *values)
 
 
-def pack_bins(df: DataFrame, lengths: Mapping[str, int], bins: int, best: bool = False, workers: int = 1, meta: Sequence[str] = (), pad: Mapping[str, object] | None = None, align: Mapping[str, int] | None = None, max_sequences_per_bin: int | None = None, seed: int = 0, shuffle_bins: bool = True, shuffle_bins_group_by_feature: str | None = None) -> DataFrame:
-    """First-fit (or best-fit) packed rows of the array columns named in lengths; df has _idx.
+def pack_bins(df: DataFrame, lengths: Mapping[str, int], bins: int, best: bool = False, workers: int = 1, meta: Sequence[str] = (), pad: Mapping[str, object] | None = None, align: Mapping[str, int] | None = None, max_sequences_per_bin: int | None = None, seed: int = 0, shuffle_bins: bool = True, shuffle_bins_group_by_feature: str | None = None, block: int | None = None, start: tuple[int, int] = (0, 0), borders: Callable[[DataFrame], None] | None = None) -> DataFrame:
+    """First-fit (or best-fit) packed rows of the array columns named in lengths; df has _idx. block, start, borders: see assign_bins.
 
     shuffle_bins_group_by_feature: a feature of numbers; a batch's rows are sorted by the mean of its distinct values
     other than zero, in the seeded order where they tie.
@@ -158,7 +281,7 @@ def pack_bins(df: DataFrame, lengths: Mapping[str, int], bins: int, best: bool =
         raise ValueError(f"{shuffle_bins_group_by_feature} is no packed feature")
     options = {"align": [(align or {}).get(f, 1) for f in lengths], "most": max_sequences_per_bin, "seed": seed, "shuffle_bins": shuffle_bins}
     sizes = _lengths(df, list(lengths), shuffle_bins_group_by_feature if shuffle_bins else None)
-    places = assign_bins(sizes, list(lengths.values()), bins, best, workers, **options)
+    places = assign_bins(sizes, list(lengths.values()), bins, best, workers, block, start, borders, **options)
     return materialise_rows(df, places, lengths, meta, pad)
 
 

@@ -10,14 +10,18 @@ the raw indices from e * n on.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import re
+import sys
 import warnings
 from collections.abc import Callable, Iterator, Mapping, Sequence
 from contextvars import ContextVar
+from enum import Enum
 from functools import cached_property, reduce
 from itertools import islice
-from types import CodeType, FunctionType
+from math import gcd
+from types import BuiltinFunctionType, CodeType, FunctionType, MethodType, ModuleType
 
 import numpy as np
 import pandas as pd
@@ -31,6 +35,7 @@ from tidewheel.functions import schedules
 from tidewheel.functions.permutation import permute
 from tidewheel.operators import batching, packing
 from tidewheel.operators.batching import RESERVED as OWN
+from tidewheel.operators.batching import quoted
 from tidewheel.plans.ranking import IDX, dense, indexed
 from tidewheel.session import ship
 
@@ -45,27 +50,89 @@ class NoLanes(Exception):
     """A stage can't run on all workers' parts at once."""
 
 
-def told(x: object) -> str:
-    """What a function, frame, column or plain value is, the same in every process."""
+def told(x: object, within: tuple = ()) -> str:
+    """What a function, frame, column or plain value is, the same in every process; raises for what can't be told apart.
+
+    Functions are told by their code, what they close over and the globals that they name; arrays and frames of
+    pandas by all their bytes; objects by their class and fields. within: the objects around this one.
+    """
+    if x is None or isinstance(x, (bool, int, float, complex, str, bytes, Enum)):
+        return f"{type(x).__name__}:{x!r}"
+    if any(x is y for y in within):
+        return f"again:{next(i for i, y in enumerate(within) if x is y)}"
+    inner = lambda *parts: f"[{', '.join(told(p, (*within, x)) for p in parts)}]"
+    name = f"{getattr(x, '__module__', '')}.{getattr(x, '__qualname__', type(x).__qualname__)}"
+    if isinstance(x, _Node):
+        return x.signature()
     if isinstance(x, DataFrame):
         files = sorted(f for f in x.inputFiles() if "/tidewheel-" not in f)
         return re.sub(r"#\d+L?|tidewheel-[0-9a-f]+|@[0-9a-f]+", "", x._jdf.queryExecution().analyzed().toString()) + str(files)
-    if isinstance(x, FunctionType):
-        cells = [c.cell_contents for c in x.__closure__ or ()]
-        return told((x.__code__, x.__defaults__, cells))
-    if isinstance(x, CodeType):
-        return f"{x.co_code.hex()}{x.co_names}{told(x.co_consts)}"
+    if isinstance(x, Column):
+        node = x._jc.node().normalized().toString()
+        return f"column:{x}:{hashlib.sha256(re.sub(r'@[0-9a-f]+', '', node).encode()).hexdigest()}"
+    if isinstance(x, (np.ndarray, np.generic)):
+        plain = x.dtype.hasobject
+        return inner(str(x.dtype), x.shape, x.tolist() if plain else hashlib.sha256(np.ascontiguousarray(x).tobytes()).digest())
+    if isinstance(x, (pd.DataFrame, pd.Series, pd.Index)):
+        return inner(type(x).__name__, list(getattr(x, "columns", ())), np.asarray(pd.util.hash_pandas_object(x)))
     if isinstance(x, (list, tuple)):
-        return f"[{', '.join(map(told, x))}]"
+        return type(x).__name__ + inner(*x)
+    if isinstance(x, (set, frozenset)):
+        return type(x).__name__ + str(sorted(inner(y) for y in x))
     if isinstance(x, Mapping):
-        return told(sorted(x.items(), key=str))
-    return x.signature() if isinstance(x, _Node) else re.sub(r" at 0x[0-9a-f]+", "", repr(x))
+        return type(x).__name__ + inner(*sorted(x.items(), key=lambda kv: str(kv[0])))
+    if isinstance(x, (range, slice, T.DataType, np.dtype, re.Pattern)):
+        return repr(x)
+    if isinstance(x, CodeType):
+        return inner(x.co_code, x.co_names, x.co_varnames, x.co_consts)
+    if isinstance(x, FunctionType):
+        names = {n for c in _codes(x.__code__) for n in c.co_names}
+        outer = [(n, x.__globals__[n]) for n in sorted(names) if n in x.__globals__]
+        return "function" + inner(x.__code__, x.__defaults__, x.__kwdefaults__, [c.cell_contents for c in x.__closure__ or ()], outer)
+    if isinstance(x, ModuleType):
+        return f"module:{x.__name__}"
+    if isinstance(x, functools.partial):
+        return "partial" + inner(x.func, x.args, x.keywords)
+    if isinstance(x, MethodType):
+        return "method" + inner(x.__func__, x.__self__)
+    if isinstance(x, type):
+        own = {k: v for k, v in vars(x).items() if isinstance(v, (FunctionType, classmethod, staticmethod, property, int, float, str, bytes, tuple))}
+        ours = x.__module__ == "__main__" or not hasattr(sys.modules.get(x.__module__), "__file__") or "site-packages" not in (sys.modules[x.__module__].__file__ or "")
+        return f"class:{name}" + (inner(*sorted((k, v) for k, v in own.items() if k not in ("__module__", "__doc__"))) if ours else "")
+    if isinstance(x, (classmethod, staticmethod)):
+        return inner(x.__func__)
+    if isinstance(x, property):
+        return inner(x.fget, x.fset)
+    if isinstance(x, (BuiltinFunctionType, np.ufunc)):
+        return f"builtin:{name}:{getattr(x, '__name__', '')}"
+    fields = {**getattr(x, "__dict__", {}), **{k: getattr(x, k) for c in type(x).__mro__ for k in getattr(c, "__slots__", ()) if hasattr(x, k)}}
+    if fields or type(x).__module__ not in ("builtins", "numpy", "numpy.random._generator"):
+        if not fields and type(x).__reduce__ is object.__reduce__ and type(x).__basicsize__ > object.__basicsize__ + 16:
+            raise ValueError(f"a plan that holds {type(x).__qualname__} can't be told from others, so it has no state to save")
+        return "object" + inner(type(x), fields)
+    raise ValueError(f"a plan that holds {type(x).__qualname__} can't be told from others, so it has no state to save")
+
+
+def _codes(code: CodeType) -> Iterator[CodeType]:
+    """A function's code and that of the functions inside it."""
+    yield code
+    for c in code.co_consts:
+        if isinstance(c, CodeType):
+            yield from _codes(c)
 
 
 def payload(df: DataFrame) -> list[str]:
     return [c for c in df.columns if c not in OWN]
 
 
+def checked(df: DataFrame) -> DataFrame:
+    """A source's frame: columns of the engine's names would be taken for its own."""
+    taken = sorted(c for c in df.columns if c.lower() in OWN[1:])
+    if taken:
+        raise ValueError(f"columns {taken} bear names of the engine: rename them")
+    return df
+
+
 def own(df: DataFrame) -> list[str]:
     return [c for c in df.columns if c in OWN]
 
@@ -106,17 +173,9 @@ def random_values(idx: Column, seed: int, draw: Callable[[np.random.Generator],
     ship(SparkSession.active())
 
     def run(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
-        pool = schedules.RngPool(seed)
+        own = (lambda at: np.random.Generator(np.random.Philox(key=seed + at))) if record else schedules.element_generators(seed)
         for i, *rest in batches:
-            out = []
-            for at, *row in zip(i.tolist(), *(r.tolist() for r in rest), strict=True):
-                if record:
-                    out.append(draw(np.random.Generator(np.random.Philox(key=seed + at)), *row))
-                    continue
-                g = pool.acquire_rng(at)
-                out.append(draw(g, *row))
-                pool.release_rng(g)
-            yield pd.Series(out)
+            yield pd.Series([draw(own(at), *row) for at, *row in zip(i.tolist(), *(r.tolist() for r in rest), strict=True)])
 
     run.__annotations__ = {"batches": Iterator[tuple[pd.Series, ...]], "return": Iterator[pd.Series]}
     return F.pandas_udf(run, returns)(idx, *inputs) if inputs else F.pandas_udf(_alone(run), returns)(idx)
@@ -160,7 +219,7 @@ class _Node:
 
     def signature(self) -> str:
         """A digest of the plan: its nodes, their functions and arguments, and the sources' plans and files."""
-        skip = ("parent", "lanes", "_parents", "_count", "_counts", "_known", "form", "_f", "_cached", "_make", "_spark", "_context")
+        skip = ("parent", "lanes", "_gapped", "_parents", "_count", "_counts", "_known", "form", "_f", "_cached", "_make", "_spark", "_context", "_since", "_above", "_pack", "_borders", "_mark", "_workers")
         own = [(k, told(v)) for k, v in sorted(self.__dict__.items()) if k not in skip]
         text = f"{type(self).__name__}{own}{[p.signature() for p in self._parents]}"
         return hashlib.sha256(text.encode()).hexdigest()[:16]
@@ -196,13 +255,13 @@ class MapPipeline(_Node):
     def source(df: DataFrame, n: int | None = None) -> MapPipeline:
         """df has a dense _idx (see plans.ranking.with_index); n: its rows, counted if not given."""
         ship(df.sparkSession)
-        return _Source(df, df.count() if n is None else n)
+        return _Source(checked(df), df.count() if n is None else n)
 
     @staticmethod
     def ordered(df: DataFrame, *order: str | Column) -> MapPipeline:
         """The rows of df in a total order of their columns."""
         ship(df.sparkSession)
-        return _Source(*indexed(df, *order))
+        return _Source(*indexed(checked(df), *order))
 
     @staticmethod
     def range(spark: SparkSession, start: int, stop: int | None = None, step: int = 1) -> MapPipeline:
@@ -274,7 +333,7 @@ class MapPipeline(_Node):
         if isinstance(sl, int):
             got = self.rows(sl % len(self) if sl < 0 else sl, (sl % len(self) if sl < 0 else sl) + 1)
             got = got.where(PRESENT) if PRESENT in got.columns else got
-            return got.select(*payload(got)).first()
+            return got.select(*map(quoted, payload(got))).first()
         return self.slice(sl)
 
     def shard(self, shard: schedules.Shard) -> MapPipeline:
@@ -413,18 +472,24 @@ class _WindowShuffle(_One):
             return self.parent.rows(0, 0)
         first, last = lo // n, (hi - 1) // n
         windows = -(-n // w)
-        parts = []
-        # A short last window is drawn from the whole window, which reaches into the next epoch.
-        for e in range(first, last + 1):
-            df = self.parent.rows(e * n, e * n + (n if self.clip_last else windows * w)).withColumn("_tw_r", F.col(IDX) - e * n)
-            number = _div(F.col("_tw_r"), w)
-            seed = F.pmod(F.lit(self.seed_).cast("long") + number, F.lit(1 << 32))
-            tail = n - (windows - 1) * w
-            place = number * w + permuted(F.pmod("_tw_r", F.lit(w)), w, seed)
-            if self.clip_last and tail < w:
-                place = F.when(number == windows - 1, number * w + permuted(F.least(F.pmod("_tw_r", F.lit(w)), F.lit(tail - 1)), tail, seed)).otherwise(place)
-            parts.append(df.withColumn(IDX, e * n + place).where(F.col(IDX) < (e + 1) * n).drop("_tw_r"))
-        return _cut(reduce(DataFrame.unionByName, parts), lo, hi, (first * n, (last + 1) * n))
+        tail = n - (windows - 1) * w
+        # A short last window is drawn from the whole window, which reaches into the next epoch (or several, if they are shorter).
+        more = 0 if self.clip_last or tail == w else windows * w - n
+        reach = -(-more // n)
+        df = self.parent.rows(first * n, (last + 1 + reach) * n)
+        epoch, off = _div(F.col(IDX), n), F.pmod(F.col(IDX), F.lit(n))
+        if more:  # a row stands in its own epoch, and in the last window of those before that reach it
+            back = F.explode(F.expr(f"filter(sequence(0, {reach}), b -> b = 0 or pmod({IDX}, {n}) + b * {n} < {windows * w})"))
+            df = df.withColumn("_tw_back", back)
+            epoch, off = epoch - F.col("_tw_back"), off + F.col("_tw_back") * n
+        df = df.withColumns({"_tw_e": epoch, "_tw_r": off}).where(F.col("_tw_e").between(first, last))
+        number = _div(F.col("_tw_r"), w)
+        seed = F.pmod(F.lit(self.seed_).cast("long") + number, F.lit(1 << 32))
+        place = number * w + permuted(F.pmod("_tw_r", F.lit(w)), w, seed)
+        if self.clip_last and tail < w:
+            place = F.when(number == windows - 1, number * w + permuted(F.least(F.pmod("_tw_r", F.lit(w)), F.lit(tail - 1)), tail, seed)).otherwise(place)
+        out = df.withColumn("_tw_p", place).where(F.col("_tw_p") < n).withColumn(IDX, F.col("_tw_e") * n + F.col("_tw_p"))
+        return _cut(out.drop("_tw_back", "_tw_e", "_tw_r", "_tw_p"), lo, hi, (first * n, (last + 1) * n))
 
 
 class _Slice(_One):
@@ -496,15 +561,24 @@ class _Concatenate(_Many):
         return _cut(self.union(parts), lo, hi, full)
 
 
+def _scaled(x: Column, a: int, b: int, up: bool = False) -> Column:
+    """x * a / b in whole numbers, rounded down (or up); the product is never taken as a whole, as it may pass 64 bits."""
+    g = gcd(a, b)
+    a, b = a // g, b // g
+    if a * b >= 1 << 62:  # parts beyond that are exact as decimals
+        whole = x.cast("decimal(38,0)") * F.lit(a).cast("decimal(20,0)")
+        return F.call_function("div", whole + F.lit(b - 1 if up else 0).cast("decimal(20,0)"), F.lit(b).cast("decimal(20,0)")).cast("long")
+    rest = F.pmod(x, F.lit(b)) * F.lit(a)
+    return _div(x, b) * F.lit(a) + _div(rest + (b - 1 if up else 0), b)
+
+
 def mix_place(j: Column, parts: Sequence[int], which: int) -> Column:
     """Where the j-th row of an input stands in a mix: the schedule's inverse, in whole numbers."""
     rests = [sum(parts[i:]) for i in range(len(parts))]
-    j = j.cast("long")
-    at = _div(j * F.lit(rests[which]), parts[which])
+    at = _scaled(j.cast("long"), rests[which], parts[which])
     for i in range(which - 1, -1, -1):
         # The m-th row that input i leaves over is at ceil((m + 1) * rest / (rest - part)) - 1.
-        free = rests[i] - parts[i]
-        at = _div((at + 1) * F.lit(rests[i]) + F.lit(free - 1), free) - 1
+        at = _scaled(at + 1, rests[i], rests[i] - parts[i], up=True) - 1
     return at
 
 
@@ -583,7 +657,7 @@ class _Zip(_Many):
         for i, p in enumerate(self._parents):
             df = p.rows(lo, hi)
             here = F.col(PRESENT) if PRESENT in df.columns else F.lit(True)
-            part = df.select(IDX, F.when(here, F.struct(*payload(df))).alias(f"_{i + 1}"))
+            part = df.select(IDX, F.when(here, F.struct(*map(quoted, payload(df)))).alias(f"_{i + 1}"))
             out = part if out is None else out.join(part, IDX)
         return out
 
@@ -633,8 +707,8 @@ class _FlatMap(_One):
         df = self.parent.rows(lo // f, -(-hi // f))
         df = df.where(PRESENT).drop(PRESENT) if PRESENT in df.columns else df
         a = as_column(self.array)
-        checked = F.when(F.size(a) > f, F.raise_error(F.lit(f"an element has more than {f} parts")).cast(df.select(a).schema[0].dataType)).otherwise(a)
-        out = df.select(*payload(df), IDX, F.posexplode(checked).alias("_tw_pos", "_tw_part"))
+        sized = F.when(F.size(a) > f, F.raise_error(F.lit(f"an element has more than {f} parts")).cast(df.select(a).schema[0].dataType)).otherwise(a)
+        out = df.select(*map(quoted, payload(df)), IDX, F.posexplode(sized).alias("_tw_pos", "_tw_part"))
         out = out.drop(self.name).withColumn(IDX, F.col(IDX) * f + F.col("_tw_pos")).withColumnRenamed("_tw_part", self.name).drop("_tw_pos").withColumn(PRESENT, F.lit(True))
         return _cut(out, lo, hi, (lo // f * f, -(-hi // f) * f))
 
@@ -659,6 +733,30 @@ class IterPipeline(_Node):
     def _frame(self) -> DataFrame:
         raise NotImplementedError
 
+    #: frame_from of a node that can do without the rows before.
+    _since: Callable[[int], DataFrame] | None = None
+    #: Where a node's parent stands when the node stands at an index, if that follows from the index alone.
+    _above: Callable[[int], int] | None = None
+
+    def frame_from(self, lo: int) -> DataFrame:
+        """The elements from an index on; what stands before is not computed where the plan allows it."""
+        return (self._since(lo) if self._since and lo else self.frame()).where(F.col(IDX) >= lo)
+
+    def marks(self, lo: int) -> list[list[int]]:
+        """Snapshots from which frame_from(lo) can go on, of this node and those above it: small numbers for a state."""
+        return self._parents[0].marks(self._above(lo)) if self._above else []
+
+    def resume(self, marks: Sequence[Sequence[int]]) -> None:
+        """Takes the snapshots of an earlier run of the same plan."""
+        if self._above and marks:
+            self._parents[0].resume(marks)
+
+    def _onwards(self, node: IterPipeline, f: Callable[[DataFrame], DataFrame], step: int = 1) -> IterPipeline:
+        """node makes its elements from lo on of those of self from lo * step on."""
+        if self.lanes == 1:
+            node._since, node._above = (lambda lo: f(self.frame_from(lo * step))), (lambda lo: lo * step)
+        return node
+
     @property
     def _by(self) -> list[str]:
         return [LANE] if self.lanes > 1 else []
@@ -668,6 +766,21 @@ class IterPipeline(_Node):
             raise NoLanes
         return self
 
+    #: Rows in order whose _idx may have gaps, and a number that none reaches; where a node has it, frame() ranks these rows.
+    _gapped: Callable[[], tuple[DataFrame, int]] | None = None
+
+    def _ordered(self) -> tuple[DataFrame, int]:
+        """As _gapped, of any node: what a node takes that needs its parent's order, not its ranks."""
+        return self._gapped() if self._gapped else (self.frame(), max(self.lane_counts()))
+
+    def _in_order(self, f: Callable[[DataFrame], DataFrame], *note) -> IterPipeline:
+        """A node that keeps or drops rows and puts off the ranks of those left."""
+        node = self._then(None, *note)
+        node._gapped = lambda: (lambda df, span: (f(df), span))(*self._ordered())
+        gapped = node._gapped
+        node._make = lambda: (lambda df, span: dense(df, IDX, max(span, 1), by=self._by, lanes=self.lanes))(*gapped())
+        return node
+
     def lane_counts(self) -> list[int]:
         """Elements of each lane: by arithmetic where the plan says them, else one look at all."""
         if "_counts" not in self.__dict__:
@@ -682,9 +795,13 @@ class IterPipeline(_Node):
         return self
 
     def _looked_up(self) -> list[int]:
-        found = dict(self.frame().groupBy(LANE).agg(F.count(F.lit(1))).collect())
+        found = dict(self._rows().groupBy(LANE).agg(F.count(F.lit(1))).collect())
         return [found.get(w, 0) for w in range(self.lanes)]
 
+    def _rows(self) -> DataFrame:
+        """The rows, ranked or not."""
+        return self._gapped()[0] if self._gapped else self.frame()
+
     def _of_lane(self, numbers: Sequence[int]) -> Column:
         return F.lit(numbers[0]) if len(numbers) == 1 else F.element_at(F.lit(list(numbers)), (F.col(LANE) + 1).cast("int"))
 
@@ -693,11 +810,16 @@ class IterPipeline(_Node):
 
     @cached_property
     def _count(self) -> int:
-        return sum(self._known()) if self._known else self.frame().count()
+        return sum(self._known()) if self._known else self._rows().count()
 
     @staticmethod
     def source(df: DataFrame) -> IterPipeline:
         """df has a dense _idx."""
+        return IterPipeline._own_source(checked(df))
+
+    @staticmethod
+    def _own_source(df: DataFrame) -> IterPipeline:
+        """As source, of a frame that may hold columns of the engine's."""
         ship(df.sparkSession)
         return _Frame(lambda: df, (), spark=df.sparkSession, note=("source", df))
 
@@ -749,7 +871,7 @@ class IterPipeline(_Node):
             out = None
             for i, p in enumerate(inputs):
                 df = p.frame()
-                part = df.select(IDX, F.struct(*payload(df)).alias(f"_{i + 1}"))
+                part = df.select(IDX, F.struct(*map(quoted, payload(df))).alias(f"_{i + 1}"))
                 out = part if out is None else out.join(part, IDX)
             return out
 
@@ -764,10 +886,13 @@ class IterPipeline(_Node):
         return node
 
     def map(self, **columns: Column | str) -> IterPipeline:
-        return self._then(lambda df: df.select(*own(df), *[as_column(e).alias(k) for k, e in columns.items()]), "map", columns)._knowing(self.lane_counts)
+        made = lambda df: df.select(*own(df), *[as_column(e).alias(k) for k, e in columns.items()])
+        node = self._in_order(made, "map", columns) if self._gapped else self._then(made, "map", columns)
+        return self._onwards(node, made)._knowing(self.lane_counts)
 
     def map_with_index(self, f: Callable[[Column], Mapping[str, Column]]) -> IterPipeline:
-        return self._then(lambda df: df.select(*own(df), *[e.alias(k) for k, e in f(F.col(IDX)).items()]), "map_with_index", f(F.col(IDX)))._knowing(self.lane_counts)
+        made = lambda df: df.select(*own(df), *[e.alias(k) for k, e in f(F.col(IDX)).items()])
+        return self._onwards(self._then(made, "map_with_index", f(F.col(IDX))), made)._knowing(self.lane_counts)
 
     def map_pandas(self, f, schema: str) -> IterPipeline:
         return self._alone()._then(lambda df: df.mapInPandas(lambda it: (f(b) for b in it), f"{IDX} bigint, {schema}"), "map_pandas", f, schema)
@@ -806,39 +931,47 @@ class IterPipeline(_Node):
     def filter(self, condition: Column | str, raise_above: float | None = None, window: int = 1000, warn_above: float | None = None) -> IterPipeline:
         """raise_above, warn_above: fails, or warns, if a full window of inputs loses such a share or more (0 and None: never, and without a job of its own)."""
 
-        def run(df):
-            keep = F.coalesce(as_column(condition), F.lit(False))
+        keep = F.coalesce(as_column(condition), F.lit(False))
+        node = self._in_order(lambda df: df.where(keep), "filter", condition, raise_above, window, warn_above)
+        gapped, ranked = node._gapped, node._make
+
+        def shares() -> tuple[float | None, float | None]:
             options = dict(OPTIONS.get())
-            fails, warns = raise_above or options.get("raise"), warn_above or options.get("warn")
-            if fails or warns:
-                most = windows_lost(df, keep, window, self._by).where(F.col("n") == window).agg(F.max("lost")).first()[0] or 0
-                said = "the filter drops {:.0%} or more of a window of {} elements"
-                if fails and most >= fails * window:
-                    raise ValueError(said.format(fails, window))
-                if warns and most >= warns * window:
-                    warnings.warn(said.format(warns, window), stacklevel=2)
-            return dense(df.where(keep), IDX, max(self.lane_counts()), by=self._by)
+            return raise_above or options.get("raise"), warn_above or options.get("warn")
 
-        def counts():
-            kept = self.frame().where(F.coalesce(as_column(condition), F.lit(False)))
-            found = dict(kept.groupBy(F.col(LANE) if self.lanes > 1 else F.lit(0)).agg(F.count(F.lit(1))).collect())
-            return [found.get(w, 0) for w in range(self.lanes)]
+        def make():
+            fails, warns = shares()
+            if not fails and not warns:
+                return ranked()
+            df = self.frame()  # windows are of the parent's ranks
+            most = windows_lost(df, keep, window, self._by).where(F.col("n") == window).agg(F.max("lost")).first()[0] or 0
+            said = "the filter drops {:.0%} or more of a window of {} elements"
+            if fails and most >= fails * window:
+                raise ValueError(said.format(fails, window))
+            if warns and most >= warns * window:
+                warnings.warn(said.format(warns, window), stacklevel=2)
+            return ranked()
 
-        node = self._then(run, "filter", condition, raise_above, window, warn_above)
-        return node._knowing(counts) if self.lanes > 1 else node
+        node._make = make
+        # A filter that watches its windows does so before one after it goes on from there.
+        node._gapped = lambda: (node.frame(), max(self.lane_counts())) if any(shares()) else gapped()
+        return node
 
     def flat_map(self, array: Column | str, name: str = "value", fan_out: int | None = None) -> IterPipeline:
         """fan_out: a record's part has the number record * fan_out + place."""
 
-        def run(df):
+        def run():
+            df, span = self._ordered()
             df = df.withColumn("_tw_a", as_column(array)).where(F.size("_tw_a") > 0)
-            df = dense(df, IDX, max(self.lane_counts()), F.size("_tw_a"), self._by)
-            out = df.select(*[c for c in df.columns if c not in ("_tw_a", name)], F.posexplode("_tw_a").alias("_tw_pos", name))
+            df = dense(df, IDX, max(span, 1), F.size("_tw_a"), self._by, self.lanes)
+            out = df.select(*[quoted(c) for c in df.columns if c not in ("_tw_a", name)], F.posexplode("_tw_a").alias("_tw_pos", name))
             if RECORD in out.columns:
                 out = out.withColumn(RECORD, F.col(RECORD) * fan_out + F.col("_tw_pos")) if fan_out else out.drop(RECORD)
             return out.withColumn(IDX, F.col(IDX) + F.col("_tw_pos")).drop("_tw_pos")
 
-        return self._then(run, "flat_map", array, name, fan_out)
+        node = self._then(None, "flat_map", array, name, fan_out)
+        node._make = run
+        return node
 
     def limit(self, n: int) -> IterPipeline:
         if n <= 0:
@@ -891,7 +1024,7 @@ class IterPipeline(_Node):
                 df = df.where(F.col(IDX) < self._of_lane([n // size * size for n in self.lane_counts()]))
             return form(df, _div(F.col(IDX), size), F.pmod(F.col(IDX), F.lit(size)), self._by)
 
-        node = self._then(run, "batch", size, drop_remainder, aggregates, pad, function, schema)
+        node = self._onwards(self._then(run, "batch", size, drop_remainder, aggregates, pad, function, schema), run, size)
         return node._knowing(lambda: [n // size if drop_remainder else -(-n // size) for n in self.lane_counts()])
 
     def rebatch(self, size: int, drop_remainder: bool = False) -> IterPipeline:
@@ -900,13 +1033,13 @@ class IterPipeline(_Node):
 
         def run(df):
             names = payload(df)
-            df = elements = df.select(IDX, *[batching.unstacked(F.col(c), df.schema[c].dataType).alias(c) for c in names])
-            first = F.size(names[0])
+            df = elements = df.select(IDX, *[batching.unstacked(F.col(quoted(c)), df.schema[c].dataType).alias(c) for c in names])
+            first = F.size(quoted(names[0]))
             zero = F.when(first < 1, F.raise_error(F.lit("a batch is empty")).cast("int")).otherwise(first)
             df = dense(df.withColumn("_tw_z", zero), IDX, self.count(), F.col("_tw_z")).drop("_tw_z")
-            rows = df.select(IDX, F.posexplode(F.arrays_zip(*names)).alias("_tw_pos", "_tw_r")).withColumn(IDX, F.col(IDX) + F.col("_tw_pos")).select(IDX, "_tw_r.*")
+            rows = df.select(IDX, F.posexplode(F.arrays_zip(*map(quoted, names))).alias("_tw_pos", "_tw_r")).withColumn(IDX, F.col(IDX) + F.col("_tw_pos")).select(IDX, "_tw_r.*")
             if drop_remainder:
-                total = elements.agg(F.sum(F.size(names[0]))).first()[0] or 0
+                total = elements.agg(F.sum(F.size(quoted(names[0])))).first()[0] or 0
                 rows = rows.where(F.col(IDX) < total // size * size)
             return batching.blocks(rows, _div(F.col(IDX), size), F.pmod(F.col(IDX), F.lit(size)), size)
 
@@ -914,7 +1047,7 @@ class IterPipeline(_Node):
 
     def pack(self, lengths: Mapping[str, int], bins: int, best: bool = False, workers: int = 1, **options) -> IterPipeline:
         """First-fit or best-fit packing of array columns; see operators.packing.pack_bins."""
-        return self._alone()._then(lambda df: packing.pack_bins(df, lengths, bins, best, workers=workers, **options), "pack", sorted(lengths.items()), bins, best, workers, sorted(options.items(), key=str))
+        return _Pack(self._alone(), lengths, bins, best, workers, options)
 
     def pack_and_batch(self, lengths: Mapping[str, int], batch_size: int, max_sequences_per_bin: int | None = None) -> IterPipeline:
         """First-fit packing, a whole batch of rows at a time; see operators.packing.pack_and_batch."""
@@ -1023,6 +1156,41 @@ class _Frame(IterPipeline):
         return self._make()
 
 
+class _Pack(_Frame):
+    """Its snapshot is (row, element): the element begins a batch, before whose first row there are so many rows."""
+
+    def __init__(self, parent, lengths, bins, best, workers, options):
+        super().__init__(None, (parent,), note=("pack", sorted(lengths.items()), bins, best, workers, sorted(options.items(), key=str)))
+        self._pack = lambda df, **more: packing.pack_bins(df, lengths, bins, best, workers=workers, **options, **more)
+        self._borders, self._mark, self._workers = None, None, workers
+
+    def _seen(self, borders: DataFrame) -> None:
+        self._borders = borders
+
+    def _frame(self):
+        return self._pack(self._parents[0].frame(), borders=self._seen)
+
+    def frame_from(self, lo):
+        if not self._mark or self._mark[0] > lo or self._workers > 1:
+            return super().frame_from(lo)
+        row, element = self._mark
+        return self._pack(self._parents[0].frame_from(element), start=(element, row), borders=self._seen).where(F.col(IDX) >= lo)
+
+    def marks(self, lo):
+        if self._workers > 1:
+            return []
+        if self._borders is None:
+            self.frame()
+        last = self._borders.where(F.col("row") <= lo).agg(F.max(F.struct("row", "element")).alias("m")).first()["m"]
+        mark = [last["row"], last["element"]] if last else list(self._mark or (0, 0))
+        return [mark, *self._parents[0].marks(mark[1])]
+
+    def resume(self, marks):
+        if marks:
+            self._mark = tuple(marks[0])
+            self._parents[0].resume(marks[1:])
+
+
 class _ToIter(IterPipeline):
     def __init__(self, parent: MapPipeline, allow_nones: bool):
         if parent.n is None:
@@ -1032,16 +1200,28 @@ class _ToIter(IterPipeline):
     @cached_property
     def _count(self):
         p = self._parents[0]
-        return p.n if not p.sparse or self.allow_nones else self.frame().count()
+        return p.n if not p.sparse or self.allow_nones else self._rows().count()
+
+    def frame_from(self, lo):
+        p = self._parents[0]
+        return super().frame_from(lo) if p.sparse or not lo else p.rows(lo, p.n)
+
+    def _present(self) -> tuple[DataFrame, int]:
+        df = self._parents[0].epoch()
+        return (df.where(PRESENT).drop(PRESENT) if PRESENT in df.columns else df), self._parents[0].n
+
+    @property
+    def _gapped(self):
+        return self._present if self._parents[0].sparse and not self.allow_nones else None
 
     def _frame(self):
         p = self._parents[0]
+        if self._gapped:
+            return dense(self._present()[0], IDX, max(p.n, 1))
         df = p.epoch()
         if PRESENT not in df.columns:
             return df
-        if self.allow_nones:
-            return df.select(IDX, *[F.when(F.col(PRESENT), F.col(c)).alias(c) for c in payload(df)])
-        return dense(df.where(PRESENT).drop(PRESENT), IDX, max(p.n, 1))
+        return df.select(IDX, *[F.when(F.col(PRESENT), F.col(quoted(c))).alias(c) for c in payload(df)])
 
 
 def _interleaved(inputs: Sequence[IterPipeline], cycle: int) -> DataFrame:

@@ -16,18 +16,30 @@ BUCKETS = 1 << 16
 UNEVEN, ROWS = 64, 100_000
 
 
-def dense(df: DataFrame, order: str, span: int, size: Column | None = None, by: Sequence[str] = ()) -> DataFrame:
-    """Replaces `order` (whole numbers in [0, span)) by the count of rows before; size: rows that a row stands for; by: a few lanes, each ranked on its own."""
-    width = max(1, -(-span // BUCKETS))
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Names like these that no column of df has."""
+    taken = {c.lower() for c in df.columns}
+    mark = next(m for m in ("_tw", *(f"_tw{i}" for i in range(len(taken) + 1))) if not any(f"{m}_{n}" in taken for n in names))
+    return [f"{mark}_{n}" for n in names]
+
+
+def dense(df: DataFrame, order: str, span: int, size: Column | None = None, by: Sequence[str] = (), lanes: int = 1) -> DataFrame:
+    """Replaces `order` (whole numbers in [0, span)) by the count of rows before; size: rows that a row stands for; by: a column of lanes, each ranked on its own, and lanes: how many there are.
+
+    There are BUCKETS buckets of all lanes together, one a lane at least, so the totals that are broadcast have a
+    bound as long as the lanes do; of more lanes than that they are joined.
+    """
+    b, s, t, within, start = fresh(df, "b", "s", "t", "in", "start")
+    width = max(1, -(-span // max(1, BUCKETS // lanes)))
     size = F.lit(1) if size is None else size
-    df = df.withColumn("_tw_b", F.floor(F.col(order) / width)).withColumn("_tw_s", size.cast("long"))
-    totals = df.groupBy(*by, "_tw_b").agg(F.sum("_tw_s").alias("_tw_t"))
-    upto = Window.partitionBy(*by).orderBy("_tw_b") if by else Window.orderBy("_tw_b")
-    before = F.coalesce(F.sum("_tw_t").over(upto.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = totals.select(*by, "_tw_b", before.alias("_tw_start"))
-    inside = F.sum("_tw_s").over(Window.partitionBy(*by, "_tw_b").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)) - F.col("_tw_s")
-    out = df.withColumn("_tw_in", inside).join(F.broadcast(starts), [*by, "_tw_b"])
-    return out.withColumn(order, (F.col("_tw_start") + F.col("_tw_in")).cast("long")).drop("_tw_b", "_tw_s", "_tw_in", "_tw_start")
+    df = df.withColumn(b, F.floor(F.col(order) / width)).withColumn(s, size.cast("long"))
+    totals = df.groupBy(*by, b).agg(F.sum(s).alias(t))
+    upto = Window.partitionBy(*by).orderBy(b) if by else Window.orderBy(b)
+    before = F.coalesce(F.sum(t).over(upto.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = totals.select(*by, b, before.alias(start))
+    inside = F.sum(s).over(Window.partitionBy(*by, b).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)) - F.col(s)
+    out = df.withColumn(within, inside).join(F.broadcast(starts) if lanes <= BUCKETS else starts, [*by, b])
+    return out.withColumn(order, (F.col(start) + F.col(within)).cast("long")).drop(b, s, within, start)
 
 
 def indexed(df: DataFrame, *order: str | Column) -> tuple[DataFrame, int]:

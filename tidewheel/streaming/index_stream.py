@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Callable, Iterator
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
 
@@ -59,7 +61,12 @@ class IndexSource(DataSource):
 def index_stream(spark: SparkSession, stop: int, step: int = 1000) -> DataFrame:
     """A stream of the indices 0 .. stop - 1, step of them at a time."""
     ship(spark)
-    spark.dataSource.register(IndexSource)
+    # The source runs in a process that need not find this package, so its class travels whole.
+    cloudpickle.register_pickle_by_value(sys.modules[__name__])
+    try:
+        spark.dataSource.register(IndexSource)
+    finally:
+        cloudpickle.unregister_pickle_by_value(sys.modules[__name__])
     return spark.readStream.format("tidewheel_index").option("stop", stop).option("step", step).load()
 
 
