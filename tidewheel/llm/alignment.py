@@ -42,6 +42,8 @@ from tidewheel.session import ship
 
 #: Units of a chunk, about: its numbered units are one worker's dictionary, and their results one task's hash table.
 CHUNK = 1 << 22
+#: Documents of a row of unit numbers.
+ROWS = 256
 #: A letter, and the marks before which a text may be cut if they follow one.
 LETTER, MARK = r"[^\W\d_²³¹]", ".,;:!?"
 _RUN = rf"[{MARK}]*[^\s{MARK}]*(?:(?<!{LETTER})[{MARK}]+[^\s{MARK}]*)*"
@@ -95,9 +97,11 @@ def cuts_apart(path: str) -> bool:
 
 
 def _numbered(docs: DataFrame, key: str, text: str, apart: bool, chunk: int) -> tuple[DataFrame, DataFrame]:
-    """Documents (_p, _d, _key, _seq: their units' numbers in chunk _p), and the chunks' units (_p, _u, _unit)."""
+    """Rows of up to ROWS documents (_p, _keys, _sizes and _seq: the numbers in chunk _p of all their units, as compressed bytes), and the chunks' units (_p, _u, _unit)."""
     rows = docs.select(F.col(key).alias("_key"), F.coalesce(text, F.lit("")).alias("_text"))
-    fields = [T.StructField("_kind", T.IntegerType()), T.StructField("_p", T.LongType()), rows.schema["_key"], T.StructField("_d", T.IntegerType()), T.StructField("_seq", T.ArrayType(T.IntegerType())), T.StructField("_u", T.IntegerType()), T.StructField("_unit", T.StringType())]
+    own = rows.schema["_key"].dataType
+    fields = [T.StructField("_kind", T.IntegerType()), T.StructField("_p", T.LongType()), T.StructField("_keys", T.ArrayType(own)), T.StructField("_sizes", T.ArrayType(T.IntegerType())), T.StructField("_seq", T.BinaryType()), T.StructField("_u", T.IntegerType()), T.StructField("_unit", T.StringType())]
+    schema = to_arrow_schema(T.StructType(fields))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         class Numbers(dict):
@@ -105,36 +109,35 @@ def _numbered(docs: DataFrame, key: str, text: str, apart: bool, chunk: int) ->
                 self[unit] = at = len(self)
                 return at
 
+        def made(n: int, **columns: pa.Array) -> pa.RecordBatch:
+            columns["_p"] = pa.array([part] * n, pa.int64())
+            return pa.RecordBatch.from_arrays([columns[f.name] if f.name in columns else pa.nulls(n, f.type) for f in schema], schema=schema)
+
         def closed() -> Iterator[pa.RecordBatch]:
             units = pa.array(list(numbers), pa.string())
             for lo in range(0, len(units), 1 << 16):
                 some = units[lo : lo + (1 << 16)]
-                n = len(some)
-                yield pa.RecordBatch.from_arrays([pa.array([1] * n, pa.int32()), pa.array([part] * n, pa.int64()), pa.nulls(n, kind), pa.nulls(n, pa.int32()), pa.nulls(n, pa.list_(pa.int32())), pa.array(range(lo, lo + n), pa.int32()), some], names=names)
+                yield made(len(some), _kind=pa.array([1] * len(some), pa.int32()), _u=pa.array(range(lo, lo + len(some)), pa.int32()), _unit=some)
 
-        names = [f.name for f in fields]
-        part, kind = TaskContext.get().partitionId() << 32, pa.null()
-        numbers, met, n_docs = Numbers(), 0, 0
+        part = TaskContext.get().partitionId() << 32
+        numbers, met = Numbers(), 0
         for batch in batches:
-            keys, texts = batch.column(0), batch.column(1)
-            kind = keys.type
-            for lo in range(0, batch.num_rows, 256):
-                some = [" " + x if x else "" for x in texts.slice(lo, 256).to_pylist()]
-                each = [UNIT.findall(x) if apart else [x] if x else [] for x in some]
-                seqs = [list(map(numbers.__getitem__, units)) for units in each]
-                n = len(seqs)
-                yield pa.RecordBatch.from_arrays([pa.array([0] * n, pa.int32()), pa.array([part] * n, pa.int64()), keys.slice(lo, n), pa.array(range(n_docs, n_docs + n), pa.int32()), pa.array(seqs, pa.list_(pa.int32())), pa.nulls(n, pa.int32()), pa.nulls(n, pa.string())], names=names)
-                n_docs += n
-                met += sum(map(len, seqs))
+            for lo in range(0, batch.num_rows, ROWS):
+                texts = batch.column(1).slice(lo, ROWS).to_pylist()
+                each = [(UNIT.findall(" " + x) if apart else [" " + x]) if x else [] for x in texts]
+                seq = np.fromiter((numbers[u] for units in each for u in units), "<i4", sum(map(len, each)))
+                keys = pa.ListArray.from_arrays(pa.array([0, len(texts)], pa.int32()), batch.column(0).slice(lo, ROWS)).cast(schema.field("_keys").type)
+                yield made(1, _kind=pa.array([0], pa.int32()), _keys=keys, _sizes=pa.array([list(map(len, each))], schema.field("_sizes").type), _seq=pa.array([pa.compress(seq.tobytes(), "zstd", asbytes=True)], pa.binary()))
+                met += len(seq)
                 if met >= chunk:
                     yield from closed()
-                    numbers, met, n_docs = Numbers(), 0, 0
+                    numbers, met = Numbers(), 0
                     part += 1
         if numbers:
             yield from closed()
 
     both = materialise(rows.mapInArrow(run, T.StructType(fields)), "_kind")
-    return both.where("_kind = 0").select("_p", "_d", "_key", "_seq"), both.where("_kind = 1").select("_p", "_u", "_unit")
+    return both.where("_kind = 0").select("_p", "_keys", "_sizes", "_seq"), both.where("_kind = 1").select("_p", "_u", "_unit")
 
 
 TOKENS = "array<struct<id int, len int>>"
@@ -205,31 +208,36 @@ def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.arange(sizes.sum()) - np.repeat(before, sizes) + np.repeat(starts, sizes)
 
 
-def _by_number(units: pa.Table, documents: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Where each unit's number stands in the table of units (-1: nowhere), the documents' units, and each one's count."""
-    seqs = pa.concat_arrays(documents["_seq"].chunks)
-    flat, sizes = seqs.flatten().to_numpy(), np.diff(seqs.offsets.to_numpy())
-    at = np.full(1 + max(flat.max(initial=-1), units["_u"].to_numpy().max(initial=-1)), -1, np.int64)
-    at[units["_u"].to_numpy()] = np.arange(len(units))
-    return at, flat, sizes
+def _by_number(units: pa.Table, documents: pa.Table) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray]]:
+    """Of each row of documents: keys, how many units each has, and where each unit stands in the table of units (-1: nowhere, as it has no tokens)."""
+    numbers = units["_u"].to_numpy()
+    for keys, sizes, seq in zip(documents["_keys"], documents["_sizes"], documents["_seq"], strict=True):
+        sizes = np.array(sizes.as_py(), np.int64)
+        flat = np.frombuffer(pa.decompress(seq.as_py(), int(4 * sizes.sum()), "zstd"), "<i4") if sizes.sum() else np.zeros(0, np.int32)
+        at = np.full(1 + max(flat.max(initial=-1), numbers.max(initial=-1)), -1, np.int64)
+        at[numbers] = np.arange(len(units))
+        yield keys.values, sizes, at[flat]
+
+
+def _spelt(sizes: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """Which documents have tokens: some units, and all of them with tokens."""
+    missing = np.bincount(np.repeat(np.arange(len(sizes)), sizes), places < 0, len(sizes)) if len(places) else np.zeros(len(sizes))
+    return (sizes > 0) & (missing == 0)
 
 
 def _held(documents: pa.Table, units: pa.Table) -> pa.Table:
     """How many of the chunk's documents hold each pair."""
     if not len(documents) or not len(units):
         return pa.table({"_link": pa.array([], pa.int64()), "_n": pa.array([], pa.int64())})
-    at, flat, sizes = _by_number(units, documents)
     lists = pa.concat_arrays(units["_links"].chunks)
     links, code = np.unique(lists.flatten().to_numpy(), return_inverse=True)
     own_sizes = np.diff(lists.offsets.to_numpy())
     own_starts = np.cumsum(own_sizes) - own_sizes
     counts = np.zeros(len(links), np.int64)
-    ends = np.cumsum(sizes)
-    for lo in range(0, len(sizes), 256):
-        some = sizes[lo : lo + 256]
-        units_of = at[flat[ends[lo] - some[0] : ends[lo + len(some) - 1]]]
-        of = np.repeat(np.arange(len(some)), some)
-        once = np.unique(of[units_of >= 0] * len(units) + units_of[units_of >= 0])
+    for _, sizes, places in _by_number(units, documents):
+        of = np.repeat(np.arange(len(sizes)), sizes)
+        fine = _spelt(sizes, places)[of]
+        once = np.unique(of[fine] * len(units) + places[fine])
         of, unit = once // len(units), once % len(units)
         pairs = np.unique(np.repeat(of, own_sizes[unit]) * len(links) + code[_ranges(own_starts[unit], own_sizes[unit])])
         counts += np.bincount(pairs % len(links), minlength=len(links))
@@ -240,15 +248,16 @@ def _summed(schema: pa.Schema):
     """A document's numbers are its units' sums, its string their strings in order."""
 
     def run(documents: pa.Table, units: pa.Table) -> pa.Table:
-        if not len(documents):
-            return schema.empty_table()
-        at, flat, sizes = _by_number(units, documents)
-        starts = np.cumsum(sizes) - sizes
-        places = at[flat]
-        columns = [np.add.reduceat(units[c].to_numpy().astype(np.int64)[places], starts) for c in RESULTS]
-        strings, places = units["groups"].to_pylist(), places.tolist()
-        said = [hashlib.sha256(";".join(map(strings.__getitem__, places[s : s + n])).encode()).hexdigest() for s, n in zip(starts.tolist(), sizes.tolist(), strict=True)]
-        return pa.Table.from_arrays([pa.concat_arrays(documents["_key"].chunks), *map(pa.array, columns), pa.array(said)], schema=schema)
+        values, strings, out = [units[c].to_numpy() for c in RESULTS], units["groups"].to_pylist(), []
+        for keys, sizes, places in _by_number(units, documents) if len(documents) else ():
+            fine, before = _spelt(sizes, places), np.concatenate([[0], np.cumsum(sizes)])
+            columns = []
+            for v in values:
+                sums = np.concatenate([[0], np.cumsum(v[places].astype(np.int64))]) if len(v) else np.zeros(len(places) + 1, np.int64)
+                columns.append(np.where(fine, sums[before[1:]] - sums[before[:-1]], 0))
+            said = ["" if not ok else hashlib.sha256(";".join(map(strings.__getitem__, places[a:b].tolist())).encode()).hexdigest() for ok, a, b in zip(fine, before[:-1], before[1:], strict=True)]
+            out.append(pa.RecordBatch.from_arrays([keys.cast(schema.field(0).type), *map(pa.array, columns), pa.array(said)], schema=schema))
+        return pa.Table.from_batches(out, schema=schema)
 
     return run
 
@@ -264,18 +273,10 @@ def align_tokenizers(docs: DataFrame, key: str = "doc_id", text: str = "text", p
     units = materialise(units.join(tokens.select("_unit", "_t"), "_unit").select("_p", "_u", "_t"))
     aligned = materialise(align(tokens.select("_t", "a", "b")))
 
-    odd = tokens.where("a is null").select("_t")  # rare: documents that hold such a unit have no tokens at all
-    if not odd.isEmpty():
-        odd = units.join(odd, "_t").select("_p", "_u")
-        lost = materialise(rows.select("_p", "_d", F.explode("_seq").alias("_u")).join(odd, ["_p", "_u"]).select("_p", "_d").distinct())
-        rows = rows.join(lost.withColumn("_lost", F.lit(True)), ["_p", "_d"], "left")
-        rows = rows.select("_p", "_d", "_key", F.when(F.col("_lost").isNull(), F.col("_seq")).otherwise(F.array().cast("array<int>")).alias("_seq"))
-    said = rows.where("size(_seq) > 0").select("_p", "_key", "_seq")
-
     def by_chunk(results: DataFrame):
         """Documents and their units' results, of each chunk."""
         results = units.join(results, "_t").withColumnRenamed("_p", "_chunk").drop("_t")
-        return said.groupBy("_p").cogroup(results.groupBy("_chunk"))
+        return rows.groupBy("_p").cogroup(results.groupBy("_chunk"))
 
     held = by_chunk(aligned.select("_t", F.array_distinct("links").alias("_links"))).applyInArrow(_held, "_link long, _n long")
     counts = materialise(held.groupBy("_link").agg(F.sum("_n").alias("_n")))
@@ -287,7 +288,6 @@ def align_tokenizers(docs: DataFrame, key: str = "doc_id", text: str = "text", p
     told = told.groupBy("_t").agg(F.sum("_n").alias("count_sum"), F.count_if("_best").cast("int").alias("n_best"))
     numbers = aligned.select("_t", *[F.col(c).cast("int").alias(c) for c in ("n_a", "n_b", "n_groups")], F.size("links").alias("n_links"), "groups").join(told, "_t")
 
-    schema = T.StructType([rows.schema["_key"], *(T.StructField(c, T.LongType()) for c in RESULTS), T.StructField("groups_sha256", T.StringType())])
-    full = by_chunk(numbers).applyInArrow(_summed(to_arrow_schema(schema)), schema)
-    empty = rows.where("size(_seq) = 0").select("_key", *[F.lit(0).cast("long").alias(c) for c in RESULTS], F.lit("").alias("groups_sha256"))
-    return full.unionByName(empty).withColumnRenamed("_key", key)
+    own = T.StructField(key, docs.schema[key].dataType)
+    schema = T.StructType([own, *(T.StructField(c, T.LongType()) for c in RESULTS), T.StructField("groups_sha256", T.StringType())])
+    return by_chunk(numbers).applyInArrow(_summed(to_arrow_schema(schema)), schema)
