@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewheel.functions.bins import BinPacker, cut_stream
-from tidewheel.operators.batching import blocks, field
+from tidewheel.operators.batching import blocks, field, quoted
 from tidewheel.plans.ranking import dense
 from tidewheel.session import ship
 from tidewheel.sources.tables import stash
@@ -223,9 +223,12 @@ def assign_prefix_sums(lengths: DataFrame, target: int, span: int) -> DataFrame:
 def materialise_rows(df: DataFrame, places: DataFrame, features: Mapping[str, int], meta: Sequence[str] = (), pad: Mapping[str, object] | None = None, bos: Mapping[str, object] | None = None, drop_ids: Sequence[str] = ()) -> DataFrame:
     """The packed rows: each feature padded to its length, with _segment_ids (from 1) and _positions; meta columns as arrays by segment."""
     kinds = dict(df.dtypes)
-    joined = df.select(IDX, *features, *meta).join(places, IDX)
-    cells = [F.struct(F.col("segment"), *[F.slice(F.col(f), (F.get("since", F.lit(i)) + 1).cast("int"), F.get("size", F.lit(i)).cast("int")).alias(f) for i, f in enumerate(features)], F.col("at"), *meta).alias("_cell")]
-    rows = joined.select("row", *cells).groupBy("row").agg(F.array_sort(F.collect_list(F.struct("_cell.segment", "_cell"))).alias("_cells"))
+    # Features and meta columns go by number, as they may be called like a place's columns.
+    payload = [F.col(quoted(f)).alias(f"_f{i}") for i, f in enumerate(features)] + [F.col(quoted(m)).alias(f"_m{i}") for i, m in enumerate(meta)]
+    joined = df.select(IDX, *payload).join(places, IDX)
+    own = [F.slice(f"_f{i}", (F.get("since", F.lit(i)) + 1).cast("int"), F.get("size", F.lit(i)).cast("int")).alias(f"_f{i}") for i, _ in enumerate(features)]
+    cell = F.struct("segment", *own, "at", *[f"_m{i}" for i, _ in enumerate(meta)]).alias("_cell")
+    rows = joined.select("row", cell).groupBy("row").agg(F.array_sort(F.collect_list(F.struct("_cell.segment", "_cell"))).alias("_cells"))
     rows = rows.withColumn("_cells", F.transform("_cells", lambda c: c["_cell"]))
     out = []
     for i, (f, size) in enumerate(features.items()):
@@ -235,19 +238,19 @@ def materialise_rows(df: DataFrame, places: DataFrame, features: Mapping[str, in
         def laid(part, filler, i=i, size=size):
             """Pieces with their gaps (alignment) before them, then padding."""
             n = lambda c: F.size(c[f_])
-            f_ = list(features)[i]
+            f_ = f"_f{i}"
             ends = lambda k: F.when(k == 0, F.lit(0)).otherwise((F.get(F.get(F.col("_cells"), k - 1)["at"], F.lit(i)) + F.size(F.get(F.col("_cells"), k - 1)[f_])).cast("int"))
             pieces = F.flatten(F.transform("_cells", lambda c, k: F.concat(F.array_repeat(filler, (F.get(c["at"], F.lit(i)).cast("int") - ends(k)).cast("int")), part(c, n(c)))))
             return F.concat(pieces, F.array_repeat(filler, F.lit(size) - F.size(pieces)))
 
         first = (bos or {}).get(f)
-        values = (lambda c, n, f=f: c[f]) if first is None else (lambda c, n, f=f, first=first, element=element: F.when(n > 0, F.concat(F.array(F.lit(first).cast(element)), F.slice(c[f], 2, F.greatest(n - 1, F.lit(0))))).otherwise(c[f]))
+        values = (lambda c, n, f=f"_f{i}": c[f]) if first is None else (lambda c, n, f=f"_f{i}", first=first, element=element: F.when(n > 0, F.concat(F.array(F.lit(first).cast(element)), F.slice(c[f], 2, F.greatest(n - 1, F.lit(0))))).otherwise(c[f]))
         out.append(laid(values, fill).alias(f))
         if f not in drop_ids:
             zero = F.lit(0).cast("int")
             out.append(laid(lambda c, n: F.array_repeat(c["segment"].cast("int"), n), zero).alias(f"{f}_segment_ids"))
             out.append(laid(lambda c, n: F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), lambda x: x.cast("int"))).otherwise(F.array().cast("array<int>")), zero).alias(f"{f}_positions"))
-    out += [F.transform("_cells", field(m)).alias(m) for m in meta]
+    out += [F.transform("_cells", field(f"_m{i}")).alias(m) for i, m in enumerate(meta)]
     return rows.select(F.col("row").alias(IDX), *out)
 
 
