@@ -130,3 +130,80 @@ def test_mixes_of_far_weights_stay_in_whole_numbers(spark):
         got = [r[0] for r in spark.createDataFrame([(j,) for j in js], "j long").select(mix_place(F.col("j"), parts, which)).collect()]
         want = [j * rests[0] // parts[0] if which == 0 else ((j * rests[1] // parts[1] + 1) * rests[0] + rests[0] - parts[0] - 1) // (rests[0] - parts[0]) - 1 for j in js]
         assert got == want
+
+
+def test_named_mixes_go_on_with_other_inputs(spark):
+    from tidewheel.functions.schedules import proportions, taken
+
+    def loop(inputs, weights, at, given):
+        """Elements from `at` on, one after the other, until an input is asked for what it hasn't."""
+        names = sorted(inputs)
+        parts, out, k = proportions([weights[n] for n in names], len(names)), [], at
+        given = {n: given.get(n, 0) for n in names}
+        while True:
+            i = next(i for i in range(len(names)) if taken(k + 1, parts, i) > taken(k, parts, i))
+            if given[names[i]] == len(inputs[names[i]]):
+                return out, given
+            out.append(inputs[names[i]][given[names[i]]])
+            given[names[i]] += 1
+            k += 1
+
+    def mixed(inputs, weights):
+        return IterPipeline.mix({n: MapPipeline.range(spark, r.start, r.stop).to_iter() for n, r in inputs.items()}, weights)
+
+    first = {"b": range(100, 160), "a": range(0, 50), "c": range(200, 230)}
+    cursor = Cursor(mixed(first, {"a": 1.0, "b": 2.0, "c": 0.5}))
+    head = [next(cursor)["value"] for _ in range(23)]
+    want, _ = loop(first, {"a": 1.0, "b": 2.0, "c": 0.5}, 0, {})
+    assert head == want[:23]
+    state = cursor.get_state()
+    given = {n: sum(r.start <= x < r.stop for x in head) for n, r in first.items()}
+    assert {n: g for n, (g, _) in state["marks"][0]["inputs"].items()} == given
+    same = Cursor(mixed(first, {"a": 1.0, "b": 2.0, "c": 0.5}))
+    same.set_state(state)
+    assert [r["value"] for r in same] == want[23:]
+    for inputs, weights in (({"a": first["a"], "b": first["b"], "d": range(300, 340)}, {"a": 1.0, "b": 1.0, "d": 3.0}), ({"b": first["b"]}, {"b": 1.0}), (first, {"a": 5.0, "b": 1.0, "c": 1.0})):
+        other = Cursor(mixed(inputs, weights))
+        other.set_state(state)
+        wanted, _ = loop(inputs, weights, 23, given)
+        assert [next(other)["value"] for _ in range(5)] == wanted[:5]
+        again = Cursor(mixed(inputs, weights))
+        again.set_state(other.get_state())
+        assert [r["value"] for r in again] == wanted[5:]
+    changed = Cursor(mixed({**first, "a": range(1, 50)}, {"a": 1.0, "b": 2.0, "c": 0.5}))
+    with pytest.raises(ValueError):
+        changed.set_state(state)
+
+
+def test_samplers_of_the_user(spark):
+    import types
+    from tidewheel.functions.schedules import Shard
+    from tidewheel.loader import CustomSampler, DataLoader
+
+    class Squares:
+        """A sampler without a length."""
+
+        def __getitem__(self, i):
+            if i >= 37:
+                raise IndexError
+            return i * i % 50
+
+    class Keyed:
+        def __len__(self):
+            return 20
+
+        def __getitem__(self, i):
+            return types.SimpleNamespace(index=i, record_key=i * i % 50)
+
+    source = spark.range(50).select(F.col("id").alias("_idx"), (F.col("id") * 10).alias("value"))
+    for sampler, n in ((Squares(), 37), (Keyed(), 20)):
+        own = CustomSampler(sampler)
+        assert len(own) == n
+        assert [r["value"] for r in DataLoader(source, own)] == [i * i % 50 * 10 for i in range(n)]
+        part = DataLoader(source, CustomSampler(sampler, Shard(1, 3)), worker_count=2)
+        assert [r["value"] for r in part] == [i * i % 50 * 10 for i in range(1, n, 3)]
+    state = iter(DataLoader(source, CustomSampler(Squares()))).get_state()
+    with pytest.raises(ValueError):
+        iter(DataLoader(source, CustomSampler(Keyed()))).set_state(state)
+    with pytest.raises(IndexError):
+        CustomSampler(Keyed()).keys(spark, 0, 21)

@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewheel.cursor import Cursor
 from tidewheel.functions.schedules import Shard, even_split
 from tidewheel.operators.transforms import Batch, apply_all
-from tidewheel.pipeline import IterPipeline, _div, elastic_batches, permuted  # noqa: F401
+from tidewheel.pipeline import IterPipeline, _div, elastic_batches, permuted, told  # noqa: F401
 
 
 class SequentialSampler:
@@ -71,6 +72,54 @@ class IndexSampler:
         return f"{type(self).__name__}({self.num_records}, {self.shard}, shuffle={self.shuffle}, num_epochs={self.num_epochs}, seed={self.seed})"
 
 
+class CustomSampler:
+    """A sampler of the user's: sampler[index] has record_key (or is the key) and raises IndexError past the end.
+
+    Keys are made on the executors, in blocks of indices. Without __len__ the length is found by doubling an index
+    until it is past the end, and halving the gap. seed: for random maps, which draw by record.
+    """
+
+    def __init__(self, sampler: object, shard: Shard = Shard(), seed: int | None = None):
+        self.sampler, self.shard, self.seed = sampler, shard, seed
+        self._length = len(sampler) if hasattr(sampler, "__len__") else self._found()
+
+    def _has(self, index: int) -> bool:
+        try:
+            self.sampler[index]
+        except IndexError:
+            return False
+        return True
+
+    def _found(self) -> int:
+        if not self._has(0):
+            return 0
+        low, high = 0, 1
+        while high < 1 << 62 and self._has(high):
+            low, high = high, 2 * high
+        while high - low > 1:
+            mid = (low + high) // 2
+            low, high = (mid, high) if self._has(mid) else (low, mid)
+        return high
+
+    def __len__(self) -> int:
+        return self._length
+
+    def keys(self, spark: SparkSession, lo: int, hi: int, step: int = 1) -> DataFrame:
+        if lo < 0 or hi > len(self):
+            raise IndexError("an index is out of range")
+        sampler = self.sampler
+
+        def made(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for b in batches:
+                found = [sampler[i] for i in b["_index"].tolist()]
+                yield b.assign(_record_key=[getattr(x, "record_key", x) for x in found])
+
+        return spark.range(lo, hi, step).withColumnRenamed("id", "_index").mapInPandas(made, "_index long, _record_key long")
+
+    def __repr__(self) -> str:
+        return f"CustomSampler({told(self.sampler)}, {self.shard}, seed={self.seed})"
+
+
 @dataclass
 class DataLoader:
     """source: rows with _idx. The sampler's indices of this shard, looked up, then the operations.
@@ -80,7 +129,7 @@ class DataLoader:
     """
 
     source: DataFrame
-    sampler: SequentialSampler | IndexSampler
+    sampler: SequentialSampler | IndexSampler | CustomSampler
     operations: Sequence = ()
     worker_count: int = 0
     shard: Shard | None = None

@@ -219,7 +219,7 @@ class _Node:
 
     def signature(self) -> str:
         """A digest of the plan: its nodes, their functions and arguments, and the sources' plans and files."""
-        skip = ("parent", "lanes", "_gapped", "_parents", "_count", "_counts", "_known", "form", "_f", "_cached", "_make", "_spark", "_context", "_since", "_above", "_pack", "_borders", "_mark", "_workers")
+        skip = ("parent", "lanes", "_gapped", "_parents", "_count", "_counts", "_known", "form", "_f", "_cached", "_make", "_spark", "_context", "_since", "_above", "_pack", "_borders", "_mark", "_workers", "_parts", "_names", "_at", "_given")
         own = [(k, told(v)) for k, v in sorted(self.__dict__.items()) if k not in skip]
         text = f"{type(self).__name__}{own}{[p.signature() for p in self._parents]}"
         return hashlib.sha256(text.encode()).hexdigest()[:16]
@@ -825,29 +825,16 @@ class IterPipeline(_Node):
 
     @staticmethod
     def mix(inputs: Sequence[IterPipeline] | Mapping[str, IterPipeline], weights=None) -> IterPipeline:
-        """The mix that stops at the first input found exhausted."""
-        if isinstance(inputs, Mapping):
-            weights = [weights[k] for k in inputs] if isinstance(weights, Mapping) else weights
-            inputs = list(inputs.values())
-        parts = schedules.proportions(weights, len(inputs))
-        inputs = [p._alone() for p in inputs]
+        """The mix that stops at the first input found exhausted.
 
-        def frame():
-            counts = [p.count() for p in inputs]
-            # The position at which an input is asked for a row that it doesn't have.
-            def ends(i: int) -> int:
-                rests = [sum(parts[k:]) for k in range(len(parts))]
-                at = counts[i] * rests[i] // parts[i]
-                for k in range(i - 1, -1, -1):
-                    free = rests[k] - parts[k]
-                    at = ((at + 1) * rests[k] + free - 1) // free - 1
-                return at
-
-            stop = min(ends(i) for i in range(len(inputs)))
-            out = [p.frame().withColumn(IDX, mix_place(F.col(IDX), parts, i)) for i, p in enumerate(inputs)]
-            return reduce(DataFrame.unionByName, out).where(F.col(IDX) < stop)
-
-        return _Frame(frame, tuple(inputs), note=("mix", parts))
+        Named inputs are mixed in the order of their names, and a state goes by name: a cursor can go on after
+        inputs have been added (they begin at their start), taken away or weighted anew.
+        """
+        if isinstance(inputs, Mapping):
+            names = sorted(inputs)
+            weights = [weights[k] for k in names] if isinstance(weights, Mapping) else weights
+            return _Mixed([inputs[k] for k in names], weights, names)
+        return _Mixed(list(inputs), weights)
 
     @staticmethod
     def interleave(inputs: Sequence[IterPipeline], cycle_length: int, workers: int = 1) -> IterPipeline:
@@ -1156,6 +1143,61 @@ class _Frame(IterPipeline):
         return self._make()
 
 
+class _Mixed(_Frame):
+    """Its snapshot, of named inputs: an index, and by name how many elements each input has given by then and its plan."""
+
+    def __init__(self, inputs, weights, names=None):
+        parts = schedules.proportions(weights, len(inputs))
+        super().__init__(None, tuple(p._alone() for p in inputs), note=("mix", parts))
+        self._parts, self._names, self._at, self._given = parts, names, 0, [0] * len(inputs)
+
+    def signature(self):
+        # Named inputs may change across a restore; the snapshot holds the plan of each.
+        return super().signature() if self._names is None else hashlib.sha256(b"mix of named inputs").hexdigest()[:16]
+
+    def _ends(self, i: int, count: int) -> int:
+        """The position at which an input is asked for a row that it doesn't have."""
+        rests = [sum(self._parts[k:]) for k in range(len(self._parts))]
+        at = count * rests[i] // self._parts[i]
+        for k in range(i - 1, -1, -1):
+            free = rests[k] - self._parts[k]
+            at = ((at + 1) * rests[k] + free - 1) // free - 1
+        return at
+
+    def _from(self, lo: int) -> DataFrame:
+        """All elements from lo on; since the snapshot's index each input goes on from what it has given."""
+        out, ends = [], []
+        for i, p in enumerate(self._parents):
+            shift = schedules.taken(self._at, self._parts, i) - self._given[i]
+            ends.append(self._ends(i, p.count() + shift))
+            rows = p.frame_from(max(0, schedules.taken(max(lo, self._at), self._parts, i) - shift))
+            out.append(rows.withColumn(IDX, mix_place(F.col(IDX) + shift, self._parts, i)))
+        return reduce(DataFrame.unionByName, out).where(F.col(IDX) < min(ends))
+
+    def _frame(self):
+        return self._from(0)
+
+    def frame_from(self, lo):
+        return self._from(lo).where(F.col(IDX) >= lo)
+
+    def marks(self, lo):
+        if self._names is None:
+            return []
+        given = [g + schedules.taken(lo, self._parts, i) - schedules.taken(self._at, self._parts, i) for i, g in enumerate(self._given)]
+        return [{"index": lo, "inputs": {n: [g, p.signature()] for n, g, p in zip(self._names, given, self._parents, strict=True)}}]
+
+    def resume(self, marks):
+        if self._names is None or not marks:
+            return
+        for i, (name, p) in enumerate(zip(self._names, self._parents, strict=True)):
+            given, plan = marks[0]["inputs"].get(name, (0, p.signature()))
+            if plan != p.signature():
+                raise ValueError(f"the state's input {name} is another pipeline's")
+            self._given[i] = given
+        self._at = marks[0]["index"]
+        self.__dict__.pop("_cached", None)
+
+
 class _Pack(_Frame):
     """Its snapshot is (row, element): the element begins a batch, before whose first row there are so many rows."""
 
