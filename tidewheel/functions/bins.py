@@ -23,18 +23,22 @@ class BinPacker:
         self.capacity, self.bins, self.best = np.asarray(capacity, np.int64), bins, best
         self.align = np.asarray(align if align is not None else [1] * len(self.capacity), np.int64)
         self.most, self.seed, self.shuffle_bins = most or np.iinfo(np.int64).max, seed, shuffle_bins
+        self.limit, self.step = int(self.capacity[0]), int(self.align[0])
         #: Rows of the batches before.
         self.emitted = emitted
         self._clear()
 
     def _clear(self) -> None:
-        self.used = np.zeros((self.bins, len(self.capacity)), np.int64)
-        self.count = np.zeros(self.bins, np.int64)
+        one = len(self.capacity) == 1  # plain lists are quicker for the usual few bins of one feature
+        self.used = [0] * self.bins if one else np.zeros((self.bins, len(self.capacity)), np.int64)
+        self.count = [0] * self.bins if one else np.zeros(self.bins, np.int64)
         self.held: list[tuple] = []
         self.values: dict[int, set] = {}
 
-    def put(self, idx: int, lengths: Sequence[int]) -> tuple[int, np.ndarray] | None:
+    def put(self, idx: int, lengths: Sequence[int]) -> tuple[int, list[int]] | None:
         """Takes an element into a bin (its number and what it had used before), or None if no bin has room."""
+        if len(self.capacity) == 1:
+            return self._put_one(idx, int(lengths[0]))
         size = np.asarray(lengths, np.int64)
         if (size > self.capacity).any():
             raise ValueError(f"element {idx} is longer than a bin: {list(lengths)}")
@@ -43,10 +47,25 @@ class BinPacker:
             return None
         at = int(np.argmax(np.where(fits, self.used.sum(1), -1))) if self.best else int(np.argmax(fits))
         self.count[at] += 1
-        before = self.used[at].copy()
+        before = self.used[at].tolist()
         self.used[at] = -(-(self.used[at] + size) // self.align) * self.align
         return at, before
 
+    def _put_one(self, idx: int, size: int) -> tuple[int, list[int]] | None:
+        if size > self.limit:
+            raise ValueError(f"element {idx} is longer than a bin: {[size]}")
+        room, at, top = self.limit - size, -1, -1
+        for b, used in enumerate(self.used):
+            if used <= room and used > top and self.count[b] < self.most:
+                at, top = b, used
+                if not self.best:
+                    break
+        if at < 0:
+            return None
+        self.count[at] += 1
+        self.used[at] = -(-(top + size) // self.step) * self.step
+        return at, [top]
+
     def place(self, idx: int, lengths: Sequence[int], values: Sequence[float] | None = None) -> Iterator[tuple]:
         found = self.put(idx, lengths)
         if found is None:
@@ -57,11 +76,11 @@ class BinPacker:
         at, before = found
         if values is not None:
             self.values.setdefault(at, set()).update(values)
-        self.held.append((idx, at, int(self.count[at]), before.tolist(), [int(n) for n in lengths]))
+        self.held.append((idx, at, int(self.count[at]), before, [int(n) for n in lengths]))
 
     def rows(self) -> int:
         """Rows of the open batch."""
-        return int((self.count > 0).sum())
+        return int(np.count_nonzero(self.count))
 
     def batch_starts(self, elements: Iterable[tuple[int, Sequence[int]]]) -> Iterator[tuple[int, int]]:
         """(first element, rows of the batch before it) of each batch after the one that the first element begins; places nothing."""

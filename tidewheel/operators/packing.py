@@ -43,7 +43,7 @@ def _batches(rows: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
 
 
 #: Elements of a block, and what it sees of the next one to end its last batch. Longer batches make blocks larger.
-BLOCK, AHEAD = 1 << 14, 4
+BLOCK, AHEAD = 1 << 17, 4
 
 
 class _TooLong(Exception):
@@ -89,6 +89,22 @@ def _by_blocks(parts: DataFrame, block: int, packer, valued: bool) -> tuple[Data
     ends = stash(parts.groupBy("_w").agg((F.max("_at") + 1).alias("_n")))  # one row a sequence
     elements = stash(parts.withColumn("_b", F.explode(seen)).select(*columns))
 
+    def placed(rows: pa.Table, told: pa.Table) -> pa.Table:
+        rows, t = rows.sort_by("_at"), {k: v[0] for k, v in told.to_pydict().items()}
+        lo, n = rows.column("_at")[0].as_py() if len(rows) else 0, max(0, t["_end"] - t["_start"])
+        own = rows.slice(t["_start"] - lo, n) if n else rows.slice(0, 0)
+        pack = packer(t["_emitted"])
+        got = (x for e in zip(*(own.column(c).to_pylist() for c in columns[3:]), strict=True) for x in pack.place(*e))
+        out = pa.Table.from_batches(list(_batches((i, row, segment, at, [0] * len(at), size) for i, row, segment, at, size in chain(got, pack.flush()))), schema=PLACED)
+        return out.append_column("_w", pa.array([t["_w"]] * len(out), pa.int64()))
+
+    def place(begun: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """begun: where each block's first batch begins, where its last one ends, and the rows before."""
+        return elements.groupBy("_w", "_b").cogroup(begun.groupBy("_w", "_b")).applyInArrow(placed, SCHEMA + ", _w long"), begun
+
+    if (ends.agg(F.max("_n")).first()[0] or 0) <= block:
+        return place(ends.select("_w", F.lit(0).cast("long").alias("_b"), F.lit(0).cast("long").alias("_start"), F.col("_n").alias("_end"), F.lit(0).cast("long").alias("_emitted")))
+
     def opened(rows: pa.Table) -> tuple[list, int, int]:
         """The block's elements in order, where it begins and where it ends."""
         rows = rows.sort_by("_at")
@@ -161,18 +177,7 @@ def _by_blocks(parts: DataFrame, block: int, packer, valued: bool) -> tuple[Data
         kept = found.join(wrong.select("_w", "_b"), ["_w", "_b"], "left_anti")
         found = stash(kept.unionByName(again(wrong)))
     before = F.sum("_rows").over(Window.partitionBy("_w").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1))
-    begun = found.withColumn("_emitted", F.coalesce(before, F.lit(0)))  # a row for each BLOCK elements
-
-    def placed(rows: pa.Table, told: pa.Table) -> pa.Table:
-        rows, t = rows.sort_by("_at"), {k: v[0] for k, v in told.to_pydict().items()}
-        lo, n = rows.column("_at")[0].as_py() if len(rows) else 0, max(0, t["_end"] - t["_start"])
-        own = rows.slice(t["_start"] - lo, n) if n else rows.slice(0, 0)
-        pack = packer(t["_emitted"])
-        got = (x for e in zip(*(own.column(c).to_pylist() for c in columns[3:]), strict=True) for x in pack.place(*e))
-        out = pa.Table.from_batches(list(_batches((i, row, segment, at, [0] * len(at), size) for i, row, segment, at, size in chain(got, pack.flush()))), schema=PLACED)
-        return out.append_column("_w", pa.array([t["_w"]] * len(out), pa.int64()))
-
-    return elements.groupBy("_w", "_b").cogroup(begun.groupBy("_w", "_b")).applyInArrow(placed, SCHEMA + ", _w long"), begun
+    return place(found.withColumn("_emitted", F.coalesce(before, F.lit(0))))  # a row for each block
 
 
 def assign_cuts(lengths: DataFrame, target: Sequence[int], split_full: bool = True, workers: int = 1) -> DataFrame:
