@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from tidewheel.llm.shared import materialise
+from tidewheel.llm.shared import materialise, release, release_part, written
 from tidewheel.session import ship
 
 #: Units of a chunk, about: its numbered units are one worker's dictionary, and their results one task's hash table.
@@ -248,12 +248,14 @@ def _summed(schema: pa.Schema):
     """A document's numbers are its units' sums, its string their strings in order."""
 
     def run(documents: pa.Table, units: pa.Table) -> pa.Table:
-        values, strings, out = [units[c].to_numpy() for c in RESULTS], units["groups"].to_pylist(), []
+        given = {c: units[c].to_numpy().astype(np.int64) for c in RESULTS if c != "n_links"}
+        given["n_links"] = given["n_a"] + given["n_b"] - given["n_groups"]  # a stretch ends with a token of either side
+        values, strings, out = [given[c] for c in RESULTS], units["groups"].to_pylist(), []
         for keys, sizes, places in _by_number(units, documents) if len(documents) else ():
             fine, before = _spelt(sizes, places), np.concatenate([[0], np.cumsum(sizes)])
             columns = []
             for v in values:
-                sums = np.concatenate([[0], np.cumsum(v[places].astype(np.int64))]) if len(v) else np.zeros(len(places) + 1, np.int64)
+                sums = np.concatenate([[0], np.cumsum(v[places])]) if len(v) else np.zeros(len(places) + 1, np.int64)
                 columns.append(np.where(fine, sums[before[1:]] - sums[before[:-1]], 0))
             said = ["" if not ok else hashlib.sha256(";".join(map(strings.__getitem__, places[a:b].tolist())).encode()).hexdigest() for ok, a, b in zip(fine, before[:-1], before[1:], strict=True)]
             out.append(pa.RecordBatch.from_arrays([keys.cast(schema.field(0).type), *map(pa.array, columns), pa.array(said)], schema=schema))
@@ -268,10 +270,13 @@ def align_tokenizers(docs: DataFrame, key: str = "doc_id", text: str = "text", p
         raise ValueError(f"{key} is the name of a result column")
     ship(docs.sparkSession)
     paths = paths or tokenizer_paths()
+    mark = written()
     rows, units = _numbered(docs, key, text, cuts_apart(paths[1]), chunk)
     tokens = materialise(_tokenised(units.select("_unit").distinct(), paths).withColumn("_t", F.monotonically_increasing_id()))
     units = materialise(units.join(tokens.select("_unit", "_t"), "_unit").select("_p", "_u", "_t"))
     aligned = materialise(align(tokens.select("_t", "a", "b")))
+    release(mark + 1, mark + 2)  # from here on units go by number, so their strings and tokens can go
+    release_part(mark, "_kind=1")
 
     def by_chunk(results: DataFrame):
         """Documents and their units' results, of each chunk."""
@@ -286,7 +291,7 @@ def align_tokenizers(docs: DataFrame, key: str = "doc_id", text: str = "text", p
     counts = F.broadcast(counts) if counts.count() <= MOST_BROADCAST else counts
     told = aligned.select("_t", F.explode("links").alias("_link")).join(counts, "_link")
     told = told.groupBy("_t").agg(F.sum("_n").alias("count_sum"), F.count_if("_best").cast("int").alias("n_best"))
-    numbers = aligned.select("_t", *[F.col(c).cast("int").alias(c) for c in ("n_a", "n_b", "n_groups")], F.size("links").alias("n_links"), "groups").join(told, "_t")
+    numbers = aligned.select("_t", *[F.col(c).cast("int").alias(c) for c in ("n_a", "n_b", "n_groups")], "groups").join(told, "_t")
 
     own = T.StructField(key, docs.schema[key].dataType)
     schema = T.StructType([own, *(T.StructField(c, T.LongType()) for c in RESULTS), T.StructField("groups_sha256", T.StringType())])

@@ -57,6 +57,12 @@ def release(since: int, upto: int) -> None:
         files.remove(spark, path)
 
 
+def release_part(at: int, part: str) -> None:
+    """Removes one partition of the table written at a mark, once no frame reads it any more."""
+    spark, path = _WRITTEN[at]
+    files.remove(spark, f"{path}/{part}")
+
+
 def others(df: DataFrame, *results: str) -> list[str]:
     """The columns of df, quoted, that no result column replaces."""
     named = {r.lower() for r in results}
