@@ -372,3 +372,29 @@ def test_no_folder_of_one_machine_on_a_cluster(spark):
 
     with pytest.raises(ValueError):
         shared.shared_dir(Far)
+
+
+def test_a_third_of_all_rows_equal(spark, monkeypatch):
+    """Slots stay gapless and the equal rows are numbered in parts; of a repeated row one stays, other rows of its key's bits too."""
+    monkeypatch.setattr(sharding, "SPLIT", 500)
+    rows = spark.range(9000).select(F.when(F.col("id") % 3 == 0, F.lit(None)).otherwise(F.col("id")).alias("doc_id"), F.when(F.col("id") % 3 == 1, F.lit(7)).otherwise(F.col("id") % 3).alias("size"))
+    rows = rows.withColumn("doc_id", F.when(F.col("size") == 7, F.lit(5)).otherwise(F.col("doc_id")))
+    plain = Counter(rows.select("doc_id", "size").collect())
+    seen = []
+    whole = sharding.materialise
+    monkeypatch.setattr(sharding, "materialise", lambda df: seen.append(whole(df)) or seen[-1])
+    for weights in ([1.0], [1.0, 2.0, 1.0]):
+        seen.clear()
+        got = sharding.assign_shards(rows, weights, order=["size"]).collect()
+        assert Counter((r.doc_id, r["size"]) for r in got) == Counter({tuple(k): v for k, v in plain.items()})
+        for s in range(len(weights)):
+            assert sorted(r.slot for r in got if r.shard == s) == list(range(sum(r.shard == s for r in got)))
+        parts = seen[-1].groupBy("_key", "_part").count().collect()
+        assert {r["_key"] for r in parts} == {None, 5} and max(r["count"] for r in parts) < 1500 and sum(r["count"] for r in parts) == 6000
+
+    docs = spark.range(900).select(F.when(F.col("id") % 3 == 0, F.lit(1)).when(F.col("id") % 3 == 1, F.lit(None)).otherwise(F.col("id")).alias("k"), F.lit("x" * 50).alias("text"))
+    repeated = shared.materialise(spark.createDataFrame([(1,)], "k long"))
+    for most in (shared.MOST_BITS, 0):  # with a bit table, and without
+        monkeypatch.setattr(shared, "MOST_BITS", most)
+        left = Counter(r.k for r in shared.one_of_each(docs, repeated, [F.col("k")], ["k"]).collect())
+        assert left == Counter({1: 1, None: 300, **{i: 1 for i in range(900) if i % 3 == 2}})

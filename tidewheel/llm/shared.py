@@ -5,7 +5,7 @@ from __future__ import annotations
 import atexit
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewheel.session import shared_dir, ship
@@ -135,18 +135,29 @@ def without(docs: DataFrame, gone: DataFrame, keys: list[Column], names: list[st
     return named.where("not _maybe").select("_row.*").union(doubtful.select("_row.*"))
 
 
+#: Parts into which the rows of one repeated key are spread to meet it.
+SPREAD = 32
+
+
 def one_of_each(docs: DataFrame, repeated: DataFrame, keys: list[Column], names: list[str]) -> DataFrame:
-    """The rows of docs, but any one of those that share keys which stand in repeated (a written table with the columns names)."""
+    """The rows of docs, but any one of those that share keys which stand in repeated (a written table with the columns names).
+
+    Copies of one key are spread over SPREAD tasks to meet repeated, and reduced to one in each task before they
+    meet each other, so a key of any number of rows brings SPREAD rows into one task.
+    """
     if repeated.isEmpty():
         return docs
     own = [f"_k{i}" for i in range(len(keys))]
-    rows = docs.select(F.struct("*").alias("_row"), *[k.alias(o) for k, o in zip(keys, own, strict=True)])
+    rows = docs.select(F.struct("*").alias("_row"), *[k.alias(o) for k, o in zip(keys, own, strict=True)], F.monotonically_increasing_id().alias("_at"))
     rows = KeyFilter(repeated, *names).flag(rows, *own)
-    nth = F.row_number().over(Window.partitionBy(*own).orderBy(*own))
-    again = repeated.select(*[F.col(n).alias(f"_g{i}") for i, n in enumerate(names)], F.lit(True).alias("_again")).distinct()
+    again = repeated.select(*[F.col(n).alias(f"_g{i}") for i, n in enumerate(names)]).distinct()
+    again = again.withColumn("_gs", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))))
     same = [F.col(k).eqNullSafe(F.col(f"_g{i}")) for i, k in enumerate(own)]
-    some = rows.where("_maybe").join(again, same, "left").withColumn("_nth", nth).where("_nth = 1 or _again is null")
-    return rows.where("not _maybe").select("_row.*").union(some.select("_row.*"))
+    some = rows.where("_maybe").withColumn("_s", (F.col("_at") % SPREAD).cast("int")).join(again, [*same, F.col("_s") == F.col("_gs")], "left")
+    # Rows whose keys aren't repeated stay apart by their numbers.
+    some = some.withColumn("_alone", F.when(F.col("_gs").isNull(), F.col("_at")))
+    reduced = some.groupBy(*own, "_alone", "_s").agg(F.any_value("_row").alias("_row")).groupBy(*own, "_alone").agg(F.any_value("_row").alias("_row"))
+    return rows.where("not _maybe").select("_row.*").union(reduced.select("_row.*"))
 
 
 def matching(rows: DataFrame, columns: list[str], wanted: DataFrame, names: list[str]) -> DataFrame:
