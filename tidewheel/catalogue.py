@@ -21,7 +21,12 @@ from tidewheel.operators import packing
 from tidewheel.operators.transforms import Batch, Filter, Map, apply_all
 from tidewheel.pipeline import IterPipeline, MapPipeline, elastic_batches, windows_lost
 from tidewheel.plans.ranking import dense, with_index
-from tidewheel.sources.tables import iterate_parquet, stash
+from tidewheel.sources.blocks import records, row_groups
+from tidewheel.sources.tables import iterate_parquet, scratch, stash
+from tidewheel.sources.tfrecord import write_tfrecords
+
+#: Bytes of a block of src_records, so that small tables have several.
+RECORD_BLOCK = 1 << 16
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
@@ -190,6 +195,24 @@ def src_parquet_files(spark, sf_dir):
     return _rows(iterate_parquet(spark, f"{sf_dir}/orders.parquet"), "o_orderkey")
 
 
+@query("""WITH s AS (SELECT row_number() OVER () - 1 AS i, o_orderkey FROM orders), b AS (SELECT 1 * (count(*) // 3) + least(1, count(*) % 3) AS lo, 2 * (count(*) // 3) + least(2, count(*) % 3) AS hi FROM s)
+SELECT CAST(i - lo AS BIGINT) AS idx, o_orderkey FROM s, b WHERE i >= lo AND i < hi""")
+def src_row_groups(spark, sf_dir):
+    """A shard of a Parquet file in stored order, from its own row groups."""
+    return _rows(row_groups(spark, f"{sf_dir}/orders.parquet", ["o_orderkey"]).shard(Shard(1, 3)), "o_orderkey")
+
+
+@query("SELECT CAST(row_number() OVER (ORDER BY event_id) - 1 AS BIGINT) AS idx, event_id, event_type FROM events")
+def src_records(spark, sf_dir):
+    """All events, written as record files and read back by blocks and record numbers."""
+    events = _table(spark, sf_dir, "events").repartitionByRange("event_id").sortWithinPartitions("event_id")
+    folder = scratch(spark)
+    write_tfrecords(events.select(F.concat_ws("|", "event_id", "event_type").cast("binary").alias("record")), folder)
+    df = records(spark, folder, block=RECORD_BLOCK).epoch()
+    parts = F.split(F.decode("record", "UTF-8"), r"\|", 2)
+    return df.select(F.col("_idx").alias("idx"), parts[0].cast("long").alias("event_id"), parts[1].alias("event_type"))
+
+
 @query(f"SELECT i AS idx, o_totalprice * 2 + o_orderkey AS v FROM ({ROWS})")
 def map_expr(spark, sf_dir):
     return _rows(_orders(spark, sf_dir).map(v="o_totalprice * 2 + o_orderkey"), "v")

@@ -18,11 +18,17 @@ if TYPE_CHECKING:
     from tidewheel.pipeline import IterPipeline
 
 
+def scratch(spark: SparkSession) -> str:
+    """A new path in the shared folder; what is written there goes when the interpreter ends."""
+    path = f"{shared_dir(spark)}/tidewheel-{uuid.uuid4().hex}"
+    atexit.register(files.remove, spark, path)
+    return path
+
+
 def stash(df: DataFrame) -> DataFrame:
     """The rows, written to the shared folder and read back: lineage ends here. The files go when the interpreter ends."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tidewheel-{uuid.uuid4().hex}"
-    atexit.register(files.remove, spark, path)
+    path = scratch(spark)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

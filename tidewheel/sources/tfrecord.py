@@ -1,8 +1,8 @@
 """TFRecord files as rows (path, offset, record), one for each frame.
 
-A frame is a little-endian u64 length, a u32 check sum, the bytes and another u32. Files are the unit of
+A frame is a little-endian u64 length, a u32 check sum, the bytes and another u32. Here files are the unit of
 parallelism; they are read by Spark's own readers, so any store that Spark reaches will do. Offsets are the
-state inside a file: a later read goes on after the last record that was seen.
+state inside a file: a later read goes on after the last record that was seen. sources.blocks splits files.
 """
 
 from __future__ import annotations
@@ -11,6 +11,7 @@ import struct
 from collections.abc import Iterator, Mapping
 
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
 from tidewheel.session import ship
@@ -59,3 +60,30 @@ def read_tfrecords(spark: SparkSession, paths: str | list[str], after: Mapping[s
     ship(spark)
     files = spark.read.format("binaryFile").load(paths).select("path", "content")
     return files.mapInPandas(run, "path string, offset long, record binary")
+
+
+def write_tfrecords(df: DataFrame, path: str, column: str = "record") -> DataFrame:
+    """Writes a binary column to a folder, one file for each partition, and gives path and records of each file.
+
+    A file is written under its attempt's name and moved when it is whole, so a task that is run again leaves one file.
+    """
+    from tidewheel.sources.blocks import store
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        task = TaskContext.get()
+        fs, where = store(path)
+        fs.create_dir(where, recursive=True)
+        name = f"{where}/part-{task.partitionId():06d}.tfrecord"
+        mine, n = f"{where}/_{task.partitionId():06d}-{task.taskAttemptId()}", 0
+        with fs.open_output_stream(mine) as out:
+            for b in batches:
+                for record in b[column]:
+                    out.write(frame(bytes(record)))
+                    n += 1
+        fs.move(mine, name)
+        yield pd.DataFrame([(name, n)], columns=["path", "records"])
+
+    spark = df.sparkSession
+    ship(spark)
+    done = df.select(column).mapInPandas(run, "path string, records long").collect()  # a row for each file
+    return spark.createDataFrame([tuple(r) for r in done], "path string, records long")
