@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from math import gcd
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -124,6 +125,23 @@ def permutation_sql(domain: str) -> str:
       ) SELECT w, i, CAST(v AS BIGINT) AS v FROM walk WHERE step > 0 AND v < n"""
 
 
+#: The multipliers and key steps of the counter-based generator Philox 4x64, and its rounds.
+PHILOX_TIMES, PHILOX_STEPS, PHILOX_ROUNDS = (0xD2E7470EE14C6C93, 0xCA5A826395121157), (0x9E3779B97F4A7C15, 0xBB67AE8584CAA73B), 10
+
+
+def _drawn_sql(rows: str, seed: int) -> str:
+    """The rows with c0, the first 64 bits that the generator of each element i of a seed gives."""
+    keys = [int(k) for k in np.random.Philox(seed).state["state"]["key"]]
+    whole, half = "18446744073709551616::UHUGEINT", "UBIGINT"
+    table = f"SELECT *, 1::{half} AS c0, 0::{half} AS c1, 0::{half} AS c2, CAST(i AS {half}) AS c3 FROM ({rows})"
+    for turn in range(PHILOX_ROUNDS):
+        a, b = ((k + turn * step) % (1 << 64) for k, step in zip(keys, PHILOX_STEPS, strict=True))
+        table = f"SELECT *, c0::UHUGEINT * {PHILOX_TIMES[0]}::UHUGEINT AS p, c2::UHUGEINT * {PHILOX_TIMES[1]}::UHUGEINT AS q FROM ({table})"
+        words = f"xor(xor(CAST(q // {whole} AS {half}), c1), {a}::{half}) AS c0, CAST(q % {whole} AS {half}) AS c1, xor(xor(CAST(p // {whole} AS {half}), c3), {b}::{half}) AS c2, CAST(p % {whole} AS {half}) AS c3"
+        table = f"SELECT * EXCLUDE (c0, c1, c2, c3, p, q), {words} FROM ({table})"
+    return table
+
+
 SEED = 42
 SHUFFLE_SEED = default_seed([(SEED, 1)])
 
@@ -663,13 +681,15 @@ def elastic_resume(spark, sf_dir):
     return _unnest(elastic_batches(_orders(spark, sf_dir), 32, Shard(2, 4), next_index=96))
 
 
-@query()
+# A number below 1,000 comes from 32 bits; the few products whose low half is below 2**32 % 1000 are drawn again from the next 32.
+@query(f"""SELECT i AS idx, o_orderkey, CAST(CASE WHEN (c0 % 4294967296) * 1000 % 4294967296 < 296 THEN (c0 // 4294967296) * 1000 // 4294967296 ELSE (c0 % 4294967296) * 1000 // 4294967296 END AS BIGINT) AS drawn
+FROM ({_drawn_sql(ROWS, default_seed([(41, 1)]))})""")
 def random_map(spark, sf_dir):
     ds = _orders(spark, sf_dir).seed(41).random_map(lambda g: int(g.integers(0, 1000)), "long", "drawn")
     return _rows(ds, "o_orderkey", "drawn")
 
 
-@query()
+@query(f"SELECT i AS idx, o_orderkey, CAST(c0 // 4 AS BIGINT) AS drawn FROM ({_drawn_sql(ROWS, 41)})")
 def random_map_workers(spark, sf_dir):
     """Three workers; each element draws by its worker's number and its place there, so no two draw alike."""
     draw = lambda part: part.random_map(lambda g: int(g.integers(0, 1 << 62)), "long", "drawn", seed=41)
