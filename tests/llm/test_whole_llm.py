@@ -24,6 +24,7 @@ def own_names() -> list[str]:
     found = {"row", "start", "length", "ids", "offset", "epoch", "score", "predicted", "slot", "shard", "grown_shard", "host", "path", "rule", "verdict", "n", "key", "value"}
     for f in Path(shared.__file__).parent.glob("*.py"):
         found |= set(re.findall(r'(?:alias|withColumn)\("(\w+)"', f.read_text())) | set(re.findall(r'"(_\w+)"', f.read_text()))
+    found |= {"a.b", "a`b", "_row.text", "two words"}
     return sorted(n for n in {n.lower() for n in found} if n not in CORE and n[0] != "%")
 
 
