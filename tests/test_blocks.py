@@ -9,6 +9,7 @@ import pyarrow.parquet as pq
 import pytest
 
 from tidewheel import catalogue
+from tidewheel.cursor import Cursor
 from tidewheel.functions.schedules import Shard
 from tidewheel.sources import blocks, tfrecord
 
@@ -109,6 +110,30 @@ def test_row_groups(spark, tmp_path):
     assert [r.k for r in narrow.rows(1995, 2004).orderBy("_idx").collect()] == [5, 4, 3, 2, 1, 1000, 999, 998, 997]
 
 
+def test_a_restored_cursor_opens_what_is_left(spark, folder):
+    at, want = folder
+    ds = blocks.records(spark, str(at), block=30_000)
+    batches = ds.to_iter().batch(10)
+    first = Cursor(batches)
+    for _ in range(88):
+        next(first)
+    state = first.get_state()
+    opened, again = spark.sparkContext.accumulator(0), blocks.records(spark, str(at), block=30_000)
+    plain = again._make
+
+    def counted(*args):
+        opened.add(1)
+        yield from plain(*args)
+
+    again._make = counted
+    left = Cursor(again.to_iter().batch(10))
+    left.set_state(state)
+    assert [bytes(r) for row in left for r in row["record"]] == want[880:]
+    assert 0 < opened.value < ds.blocks / 2
+    with pytest.raises(ValueError):
+        Cursor(blocks.records(spark, f"{at}/a.rec").to_iter().batch(10)).set_state(state)
+
+
 def test_queries(spark):
     con = oracle.connect(SF)
     for name in ("src_records", "src_row_groups"):
