@@ -254,6 +254,30 @@ def test_parquet_files_in_turn(spark, tmp_path):
     assert values(IterPipeline.source(in_memory(spark, [3, None, 5], "three")).frame()) == [3, None, 5] and spark.table("three").count() == 3
 
 
+def test_parquet_folder_is_one_order(spark, tmp_path):
+    import duckdb
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    from tidewheel import catalogue
+
+    (tmp_path / "orders.parquet").mkdir()
+    parts = [[5, 9, 1, 5], [], [8, 2, 9], [7, 5]]
+    for k, keys in enumerate(parts):
+        pq.write_table(pa.table({"o_orderkey": pa.array(keys, pa.int64()), "a.b": pa.array(keys, pa.int64())}), tmp_path / f"orders.parquet/part-{k}.parquet", row_group_size=2)
+    keys = sum(parts, [])
+    for path in (tmp_path / "orders.parquet", tmp_path / "orders.parquet/*.parquet"):
+        frame = iterate_parquet(spark, str(path)).frame()
+        assert sorted((r["_idx"], r["o_orderkey"], r["a.b"]) for r in frame.collect()) == [(i, k, k) for i, k in enumerate(keys)]
+    got = sorted(tuple(r) for r in catalogue.queries()["src_parquet_files"](spark, str(tmp_path)).collect())
+    order = sorted(range(len(keys)), key=lambda i: (-keys[i], i))
+    assert got == [(n, keys[i], i) for n, i in enumerate(order)]
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW orders AS SELECT * FROM read_parquet('{tmp_path}/orders.parquet/*.parquet')")
+    assert got == sorted(con.execute(catalogue.oracle_sql()["src_parquet_files"]).fetchall())
+
+
+
 def test_dense_indices(spark):
     rows = [(k, str(k % 3)) for k in (5, 100, -7, 3, 12)]
     df = spark.createDataFrame(rows, "k long, s string")

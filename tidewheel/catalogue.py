@@ -207,10 +207,12 @@ def lim_limit(spark, sf_dir):
     return _rows(_orders(spark, sf_dir).to_iter().limit(500), "o_orderkey")
 
 
-@query("SELECT CAST(row_number() OVER () - 1 AS BIGINT) AS idx, o_orderkey FROM orders")
+@query("""WITH s AS (SELECT CAST(row_number() OVER () - 1 AS BIGINT) AS stored, o_orderkey FROM orders)
+SELECT CAST(row_number() OVER (ORDER BY o_orderkey DESC, stored) - 1 AS BIGINT) AS idx, o_orderkey, stored FROM s""")
 def src_parquet_files(spark, sf_dir):
-    """The rows of a Parquet file in their stored order."""
-    return _rows(iterate_parquet(spark, f"{sf_dir}/orders.parquet"), "o_orderkey")
+    """The rows of Parquet files with their places in stored order, then one stream by key; rows of one key stay as stored."""
+    rows = iterate_parquet(spark, f"{sf_dir}/orders.parquet").frame().select("o_orderkey", F.col("_idx").alias("stored"))
+    return _rows(MapPipeline.ordered(rows, F.col("o_orderkey").desc(), "stored"), "o_orderkey", "stored")
 
 
 @query("""WITH s AS (SELECT row_number() OVER () - 1 AS i, o_orderkey FROM orders), b AS (SELECT 1 * (count(*) // 3) + least(1, count(*) % 3) AS lo, 2 * (count(*) // 3) + least(2, count(*) % 3) AS hi FROM s)

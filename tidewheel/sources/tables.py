@@ -7,10 +7,11 @@ import uuid
 from collections.abc import Sequence
 from typing import TYPE_CHECKING
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidewheel.functions.schedules import Shard
+from tidewheel.plans.ranking import IDX, fresh
 from tidewheel.session import shared_dir
 from tidewheel.sources import files
 
@@ -34,9 +35,10 @@ def stash(df: DataFrame) -> DataFrame:
 
 
 def iterate_parquet(spark: SparkSession, paths: str | Sequence[str], cycle_length: int = 16, shard: Shard = Shard(), **options: str) -> IterPipeline:
-    """Rows of Parquet files: one file in its stored order, several interleaved, cycle_length of them open at a time.
+    """Rows of Parquet files: one path in its stored order, several interleaved, cycle_length of them open at a time.
 
-    A shard takes every shard.count-th file, so files of others are never opened. options: the reader's.
+    A folder or a pattern is one path: its files follow one another in the order of their paths. A shard takes every
+    shard.count-th path, so files of others are never opened. options: the reader's.
     """
     from tidewheel.pipeline import IterPipeline
 
@@ -50,15 +52,23 @@ def iterate_parquet(spark: SparkSession, paths: str | Sequence[str], cycle_lengt
 
 
 def parquet_in_file_order(spark: SparkSession, paths: str | Sequence[str], **options: str) -> list[DataFrame]:
-    """One DataFrame for each file, with _idx as the rows' stored order."""
+    """One DataFrame for each path, with _idx as the rows' stored order."""
     paths = [paths] if isinstance(paths, str) else list(paths)
     if not paths:
         raise ValueError("no path is given")
-    out = []
-    for p in paths:
-        df = spark.read.options(**options).parquet(p)
-        out.append(df.select(*df.columns, F.col("_metadata.row_index").alias("_idx")))
-    return out
+    return [_stored(spark.read.options(**options).parquet(p)) for p in paths]
+
+
+def _stored(df: DataFrame) -> DataFrame:
+    """Adds _idx: the row's place in its file, after the rows of all files before it."""
+    columns, place = [F.col(f"`{c.replace('`', '``')}`") for c in df.columns], F.col("_metadata.row_index")
+    if len(df.inputFiles()) < 2:
+        return df.select(*columns, place.alias(IDX))
+    path, n, before = fresh(df, "path", "n", "before")
+    files = df.groupBy(F.col("_metadata.file_path").alias(path)).agg(F.count(F.lit(1)).alias(n))  # no column is read for it
+    files = files.select(path, (F.sum(n).over(Window.orderBy(path)) - F.col(n)).alias(before))
+    rows = df.select(*columns, place.alias(IDX), F.col("_metadata.file_path").alias(path))
+    return rows.join(F.broadcast(files), path).withColumn(IDX, F.col(IDX) + F.col(before)).drop(path, before)
 
 
 def in_memory(spark: SparkSession, elements: Sequence, name: str | None = None) -> DataFrame:
