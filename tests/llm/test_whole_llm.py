@@ -117,6 +117,35 @@ def test_buckets_are_split(spark, monkeypatch):
         assert got == _components(texts, 5, 8, 10)
 
 
+def test_a_pair_leaves_the_join_of_buckets_few_times(spark, monkeypatch):
+    texts = family(120, 3)
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    t = jaccard.Threshold(8, 10, 0.25)
+    sets, nodes, meet, stars = jaccard.prepared(df, "doc_id", "text", 5, t)
+    plain_distinct, left = type(df).distinct, []
+
+    def counted(self):
+        left.extend([self.count()] if self.columns == ["a", "b"] else [])
+        return plain_distinct(self)
+
+    monkeypatch.setattr(type(df), "distinct", counted)
+    pairs = jaccard.across_components(meet.withColumn("comp", F.col("node")), nodes, t)
+    monkeypatch.undo()
+    ids = {r.node: r.key for r in nodes.select("node", "key").collect()}
+    found = {tuple(sorted((ids[r.a], ids[r.b]))) for r in pairs.union(stars).collect()}
+    own = {i: set(jaccard.shingles(x, 5).tolist()) for i, x in texts}
+    links = {(i, j) for i in own for j in own if i < j and 10 * len(own[i] & own[j]) >= 8 * len(own[i] | own[j]) and own[i] != own[j]}
+    assert links and links <= found
+    assert left[0] <= 4 * pairs.count()
+
+
+def test_buckets_are_merged_only_where_that_spares_comparisons(spark):
+    alike = [(token, 0, node, 7, 7) for token in range(100, 110) for node in range(1, 9 + token % 2)]
+    apart = [(token, 50, 3 * token + i, 7, 7) for token in range(200, 210) for i in range(3)]
+    rest = spark.createDataFrame(alike + apart, "token long, p long, node long, band int, own int")
+    assert sorted(tuple(r) for r in jaccard.merged_buckets(rest).collect()) == [(token, 7, 0) for token in range(100, 110)]
+
+
 def test_ids_with_several_texts_are_linked_by_each(spark):
     a, b = "one two three four five six seven eight nine ten eleven twelve", " ".join(f"v{i}" for i in range(60))
     near = b.replace("v59", "zz")

@@ -210,20 +210,41 @@ def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, key: str, text
     return materialise(full.select("a", "b", "text_a", "text_b").mapInArrow(run, schema).distinct())
 
 
+def merged_buckets(rest: DataFrame) -> DataFrame:
+    """token, band, into: bands of buckets that become one under their smallest node's number.
+
+    rest: token, p (smallest node of the bucket), node, band, own (band of the node's size, band or the one below).
+    The bands of all buckets with one smallest node are merged if their distinct members make no more pairs than
+    the buckets do one by one, so pairs are never lost and comparisons never grow.
+    """
+    here = F.col("own") == F.col("band")
+    sizes = rest.groupBy("token", "p", "band").agg(F.count_if(here).alias("l"), F.count(F.lit(1)).alias("r"))
+    apart = sizes.groupBy("p", "band").agg(F.sum(F.col("l") * F.col("r")).alias("apart"), F.count(F.lit(1)).alias("buckets")).where("buckets > 1")
+    members = rest.groupBy("p", "band", "node").agg(F.max(here).alias("here"))
+    together = members.groupBy("p", "band").agg((F.count_if("here") * F.count(F.lit(1))).alias("together"))
+    fewer = apart.join(together, ["p", "band"]).where("together <= apart").select("p", "band")
+    return sizes.join(fewer, ["p", "band"]).select("token", "band", F.col("p").alias("into"))
+
+
 def across_components(placed: DataFrame, nodes: DataFrame, t: Threshold) -> DataFrame:
     """Pairs (a, b) of members (token, node, n, comp) of different components that share a bucket, without those its smallest node has met.
 
     A band holds sizes within den / num of each other, so partners are in one band or in neighbouring ones.
     The larger side is dealt over blocks, the smaller one is sent to each of them. The sketches stand in the
-    join's condition, so few pairs leave it.
+    join's condition, so few pairs leave it. Buckets are merged first where that spares comparisons: near copies
+    share most of their buckets, and a pair would leave the join once for each.
     """
     open_ = placed.groupBy("token").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.min("node").alias("p"), F.count(F.lit(1)).alias("c")).where("x <> y and c > 2").select("token", "p")
     band = F.floor(F.log("n") / math.log(t.den / t.num * (1 + 1e-6))).cast("int") if t.num < t.den else F.col("n").cast("int")
-    rest = placed.join(open_, "token").where("node <> p").join(nodes.select("node", "sketch"), "node").select("token", "node", "n", "comp", "sketch", band.alias("band"))
-    rest = materialise(rest)
-    blocks = rest.groupBy("token", "band").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks")).where("blocks > 1")
-    left = rest.join(blocks, ["token", "band"], "left").withColumn("block", F.pmod(F.xxhash64("node"), F.coalesce("blocks", F.lit(1))).cast("int")).drop("blocks")
-    right = rest.withColumn("own", F.col("band")).withColumn("band", F.explode(F.array("own", F.col("own") + 1))).join(blocks, ["token", "band"], "left")
+    rest = materialise(placed.join(open_, "token").where("node <> p").select("token", "p", "node", "n", "comp", band.alias("own")))
+    rest = rest.withColumn("band", F.explode(F.array("own", F.col("own") + 1)))
+    rest = rest.join(merged_buckets(rest), ["token", "band"], "left")
+    rest = rest.select(F.coalesce("into", "token").alias("token"), "band", "own", "node", "n", "comp").distinct()
+    rest = materialise(rest.join(nodes.select("node", "sketch"), "node"))
+    left = rest.where("own = band")
+    blocks = left.groupBy("token", "band").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks")).where("blocks > 1")
+    left = left.join(blocks, ["token", "band"], "left").withColumn("block", F.pmod(F.xxhash64("node"), F.coalesce("blocks", F.lit(1))).cast("int")).drop("blocks", "own")
+    right = rest.join(blocks, ["token", "band"], "left")
     right = right.select("token", "band", "own", F.explode(F.sequence(F.lit(0), F.coalesce("blocks", F.lit(1)) - 1)).alias("block"), F.col("node").alias("other"), F.col("n").alias("m"), F.col("comp").alias("comp_b"), F.col("sketch").alias("sketch_b"))
     left, right = left.alias("x"), right.alias("y")
     met = (F.col("x.token") == F.col("y.token")) & (F.col("x.band") == F.col("y.band")) & (F.col("x.block") == F.col("y.block"))
