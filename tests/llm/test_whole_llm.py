@@ -146,6 +146,16 @@ def test_buckets_are_merged_only_where_that_spares_comparisons(spark):
     assert sorted(tuple(r) for r in jaccard.merged_buckets(rest).collect()) == [(token, 7, 0) for token in range(100, 110)]
 
 
+def test_license_words_are_split_without_matches(spark, capsys):
+    texts = [None, "", " ", "--", "CC BY", " a", "a ", "\x00a\x7f  b\n", "\u00e9t\u00e9 x", "\U0001f600 b", "\u3000x", "\u212a k", "\u0130 i", "a.B,c9", "x--y_z"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.n_words for r in licenses.scan_licenses(df).collect()}
+    assert got == {i: len(re.findall(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", x or "")) for i, x in enumerate(texts)}
+    licenses.scan_licenses(df).explain()
+    plan = capsys.readouterr().out
+    assert "split(" in plan and "regexp_extract_all" not in plan
+
+
 def test_ids_with_several_texts_are_linked_by_each(spark):
     a, b = "one two three four five six seven eight nine ten eleven twelve", " ".join(f"v{i}" for i in range(60))
     near = b.replace("v59", "zz")

@@ -16,7 +16,7 @@ their names.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidewheel.llm.shared import lower_for_matching
@@ -34,6 +34,8 @@ TEMPLATES = {
 }
 #: Words: runs of anything but ASCII characters that are neither letters (lower case by then) nor digits.
 WORDS = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: What stands between words.
+BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Diagonals at most so far apart merge; a merged span needs this share of its template's votes.
 NEAR, SHARE = 3, 0.6
 #: Words from a template's matching word on that have to agree somewhere in a span for a score below SHARE.
@@ -57,9 +59,14 @@ def template_grams(spark: SparkSession, base: dict[str, str], templates: dict[st
     return df.withColumn("t_hash", F.xxhash64("t_w0", "t_w1"))
 
 
+def words_of(text: Column) -> Column:
+    """The words of a text, in order. Each match of regexp_extract_all copies its matcher; split makes the words alone."""
+    return F.array_remove(F.split(lower_for_matching(F.coalesce(text, F.lit(""))), BETWEEN), "")
+
+
 def license_votes(docs: DataFrame, key: str, text: str, base: dict[str, str], templates: dict[str, str]) -> DataFrame:
     """Matching 2-grams, and for each row of docs one row without a template (pos -1)."""
-    rows = docs.select(F.col(key).alias("_id"), F.monotonically_increasing_id().alias("_row"), F.regexp_extract_all(lower_for_matching(F.coalesce(text, F.lit(""))), F.lit(WORDS), 0).alias("_w"))
+    rows = docs.select(F.col(key).alias("_id"), F.monotonically_increasing_id().alias("_row"), words_of(F.col(text)).alias("_w"))
     rows = rows.withColumn("_n", F.size("_w").cast("long"))
     grams = rows.select("_id", "_row", "_n", "_w", F.explode(F.sequence(F.lit(-1), F.greatest(F.size("_w") - 2, F.lit(-1)))).alias("pos"))
     at = F.col("pos")
