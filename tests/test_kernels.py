@@ -5,7 +5,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from tidewheel.functions import bins, schedules
+from tidewheel.functions import bins, permutation, schedules
 from tidewheel.functions.permutation import index_shuffle, permute
 
 
@@ -23,6 +23,21 @@ def test_shuffle_is_a_bijection_with_an_inverse(n):
     assert index_shuffle(0, n - 1, 52) == p[0]
 
 
+@pytest.mark.parametrize("n", [1, 20, 100, 256, 257, 1000, 16385, 65535, 65536, 65537, 10**6])
+def test_shuffles_of_many_seeds_go_side_by_side(monkeypatch, n):
+    """The values of one seed after the other, without a table for each, by bytes as well as by look-ups."""
+    rng = np.random.default_rng(n)
+    seeds = rng.integers(0, 1 << 32, 40)
+    which, x = rng.integers(0, 40, 300), rng.integers(0, n, 300)
+    want = {inverse: [int(permute([v], n, int(seeds[w]), inverse=inverse)[0]) for v, w in zip(x, which)] for inverse in (False, True)}
+    monkeypatch.setattr(permutation, "table", None)
+    monkeypatch.setattr(permutation, "_inverse_table", None)
+    for few in (0, 60, 1000):
+        monkeypatch.setattr(permutation, "FEW", few)
+        for inverse in (False, True):
+            assert permute(x, n, seeds[which], inverse=inverse).tolist() == want[inverse]
+
+
 @pytest.mark.parametrize("bad", [(-1, 5, 1, 4), (6, 5, 1, 4), (0, 5, 1 << 32, 4), (0, 5, 1, 5), (0, 5, 1, 2)])
 def test_shuffle_arguments(bad):
     with pytest.raises(ValueError):

@@ -35,6 +35,31 @@ def test_shuffle_and_mix(spark):
     assert IterPipeline.mix([a.to_iter(), b.to_iter()], [1, 2]).count() == MapPipeline.mix([a, b], [1, 2]).n + 1
 
 
+def test_interleave_of_one_frames_parts(spark):
+    for sizes in ([1, 2, 3, 4, 5], [3, 0, 5, 0], [2]):
+        df = spark.createDataFrame([(i, k, 10 * k + i) for k, n in enumerate(sizes) for i in range(n)], "_idx long, part int, value long").repartition(3)
+        inputs = [IterPipeline.source(df.where(f"part = {k}").drop("part")) for k in range(len(sizes))]
+        for cycle in (1, 2, 5):
+            parts = IterPipeline.interleave_parts(df, "part", len(sizes), cycle)
+            assert parts.count() == sum(sizes) and values(parts.frame()) == values(IterPipeline.interleave(inputs, cycle).frame())
+            assert parts.frame().columns == ["_idx", "value"]
+    with pytest.raises(ValueError):
+        IterPipeline.interleave_parts(df, "part", 1, 0)
+
+
+def test_windows_of_rows_that_come_mixed(spark):
+    """Rows of all windows in each batch, and a short last window."""
+    n = 10_037
+    df = spark.range(n).select(F.pmod(F.col("id") * 4001, F.lit(n)).alias("_idx")).withColumn("value", F.col("_idx"))
+    straight, turned = [], []
+    for w, lo in enumerate(range(0, n, 100)):
+        own = [lo + int(v) for v in permute(np.arange(min(100, n - lo)), min(100, n - lo), 7 + w)]
+        straight += own
+        turned += own[::-1]
+    assert values(IterPipeline.source(df).window_shuffle(100, 7).frame()) == turned
+    assert values(MapPipeline.source(df, n).window_shuffle(100, 7, clip_last=True).epoch()) == straight
+
+
 def test_interleave(spark):
     assert values(IterPipeline.interleave(lists(spark, [1, 2, 3, 4, 5]), 3).frame()) == [1, 2, 3, 2, 3, 4, 3, 4, 5, 4, 5, 4, 5, 5, 5]
     assert values(IterPipeline.interleave(lists(spark, [1, 2, 3, 4, 5]), 5, workers=3).frame()) == [1, 2, 3, 4, 5, 3, 4, 2, 3, 4, 5, 4, 5, 5, 5]

@@ -1,5 +1,6 @@
 """Queries against plain loops, at sizes where widths, windows and counts of the SQL matter."""
 
+import duckdb
 import numpy as np
 import oracle
 import pytest
@@ -63,6 +64,26 @@ def test_hierarchical_shuffle(spark, con):
     assert in_order(catalogue.queries()["shf_hierarchical"](spark, SF), "c_custkey") == want
 
 
+def test_hierarchical_shuffle_of_more_customers(spark, tmp_path):
+    """Three times the customers: their table is scanned once for all nations, and rows of 450 windows come mixed."""
+    copies, large = 3, oracle.connect(LARGE)
+    large.execute(f"COPY (SELECT * FROM nation) TO '{tmp_path}/nation.parquet'")
+    large.execute(f"COPY (SELECT c.* REPLACE (c_custkey + r * 1000000 AS c_custkey) FROM customer c, range({copies}) t(r) WHERE c_custkey <> r) TO '{tmp_path}/customer.parquet'")
+    df = catalogue.queries()["shf_hierarchical"](spark, str(tmp_path))
+    assert df._jdf.queryExecution().sparkPlan().toString().count("FileScan") == 1
+    here = duckdb.connect()
+    rows = f"SELECT c_nationkey, c_custkey, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS j FROM '{tmp_path}/customer.parquet'"
+    nations = [k for (k,) in here.execute(f"SELECT n_nationkey FROM '{tmp_path}/nation.parquet' ORDER BY 1").fetchall()]
+    slot = {nations[k]: i for i, k in enumerate(permute(range(len(nations)), len(nations), catalogue.SHUFFLE_SEED))}
+    merged = [r[1] for r in sorted(here.execute(rows).fetchall(), key=lambda r: (r[2], slot[r[0]]))]
+    assert len(merged) % 100
+    want = []
+    for w, lo in enumerate(range(0, len(merged), 100)):
+        own = merged[lo : lo + 100]
+        want += [own[v] for v in permute(np.arange(len(own)), len(own), 7 + w)][::-1]
+    assert in_order(df, "c_custkey") == want
+
+
 def test_random_map_and_summary(spark, con):
     keys = [k for (k,) in con.execute("SELECT o_orderkey FROM orders ORDER BY 1 DESC").fetchall()]
     pool = element_generators(default_seed([(41, 1)]))

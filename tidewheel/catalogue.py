@@ -371,12 +371,18 @@ _FILES = "SELECT row_number() OVER (ORDER BY n_nationkey) - 1 AS d, n_nationkey
 _OF_FILE = f"SELECT d, c_custkey, row_number() OVER (PARTITION BY d ORDER BY c_custkey) - 1 AS j FROM customer JOIN ({_FILES}) ON c_nationkey = n_nationkey"
 
 
-def _by_nation(spark, sf_dir) -> list[IterPipeline]:
-    """Customers of each nation, by key."""
+def _in_nations(spark, sf_dir) -> tuple[DataFrame, list[int]]:
+    """Customers with their places by key among those of their nation, and the nations by key."""
     nations = [r[0] for r in _table(spark, sf_dir, "nation").orderBy("n_nationkey").select("n_nationkey").collect()]
     customers = _table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
     low, high = customers.agg(F.min("c_custkey"), F.max("c_custkey")).first()
-    ranked = stash(dense(customers.withColumn("_idx", F.col("c_custkey") - (low or 0)), "_idx", (high or 0) - (low or 0) + 1, by=["c_nationkey"]))
+    customers = customers.withColumn("_idx", F.col("c_custkey") - (low or 0))
+    return stash(dense(customers, "_idx", (high or 0) - (low or 0) + 1, by=["c_nationkey"], lanes=max(len(nations), 1))), nations
+
+
+def _by_nation(spark, sf_dir) -> list[IterPipeline]:
+    """Customers of each nation, by key."""
+    ranked, nations = _in_nations(spark, sf_dir)
     return [IterPipeline.source(ranked.where(F.col("c_nationkey") == k).select("_idx", "c_custkey")) for k in nations]
 
 
@@ -454,9 +460,11 @@ _MERGED = f"SELECT row_number() OVER (ORDER BY j, p.i) - 1 AS i, c_custkey FROM
 
 @query(f"SELECT p.w * 100 + least(100, (SELECT count(*) FROM ({_MERGED})) - p.w * 100) - 1 - p.i % 100 AS idx, c_custkey FROM ({_windows(_MERGED, 100)}) p JOIN ({_MERGED}) s ON s.i = p.w * 100 + p.v")
 def shf_hierarchical(spark, sf_dir):
-    files = _by_nation(spark, sf_dir)
-    files = [files[k] for k in permute(range(len(files)), len(files), SHUFFLE_SEED)]
-    return _rows(IterPipeline.interleave(files, len(files)).window_shuffle(100, 7), "c_custkey")
+    ranked, nations = _in_nations(spark, sf_dir)
+    order = permute(range(len(nations)), len(nations), SHUFFLE_SEED)
+    files = spark.createDataFrame([(nations[k], i) for i, k in enumerate(order)], "c_nationkey long, file long")
+    rows = ranked.join(F.broadcast(files), "c_nationkey").select("_idx", "c_custkey", "file")
+    return _rows(IterPipeline.interleave_parts(rows, "file", len(nations), len(nations)).window_shuffle(100, 7), "c_custkey")
 
 
 @query(_UNNEST.format(b=100, rows=ROWS))

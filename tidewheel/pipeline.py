@@ -151,21 +151,20 @@ def _div(a: Column, b: int) -> Column:
     return F.call_function("div", a.cast("long"), F.lit(b).cast("long"))
 
 
-def permuted(idx: Column, n: int, seed: Column | int, inverse: bool = True) -> Column:
-    """A column's places under the bijection of [0, n); seeds may differ by row."""
+def permuted(idx: Column, n: Column | int, seed: Column | int, inverse: bool = True) -> Column:
+    """A column's places under the bijection of [0, n); sizes and seeds may differ by row."""
 
     ship(SparkSession.active())
 
-    def run(i: pd.Series, s: pd.Series) -> pd.Series:
-        out = np.empty(len(i), np.int64)
-        seeds = s.to_numpy(np.int64)
-        for one in np.unique(seeds):
-            rows = seeds == one
-            out[rows] = permute(i.to_numpy(np.int64)[rows], n, int(one), inverse=inverse)
+    def run(i: pd.Series, n: pd.Series, s: pd.Series) -> pd.Series:
+        out, at, sizes, seeds = np.empty(len(i), np.int64), i.to_numpy(np.int64), n.to_numpy(np.int64), s.to_numpy(np.int64)
+        for one in np.unique(sizes):
+            rows = sizes == one
+            out[rows] = permute(at[rows], int(one), seeds[rows], inverse=inverse)
         return pd.Series(out)
 
-    run.__annotations__ = {"i": pd.Series, "s": pd.Series, "return": pd.Series}
-    return F.pandas_udf(run, "long")(idx, (seed if isinstance(seed, Column) else F.lit(seed)).cast("long"))
+    run.__annotations__ = {"i": pd.Series, "n": pd.Series, "s": pd.Series, "return": pd.Series}
+    return F.pandas_udf(run, "long")(idx, *((x if isinstance(x, Column) else F.lit(x)).cast("long") for x in (n, seed)))
 
 
 def random_values(idx: Column, seed: int, draw: Callable[[np.random.Generator], object], returns: str, *inputs: Column, record: bool = False) -> Column:
@@ -485,9 +484,8 @@ class _WindowShuffle(_One):
         df = df.withColumns({"_tw_e": epoch, "_tw_r": off}).where(F.col("_tw_e").between(first, last))
         number = _div(F.col("_tw_r"), w)
         seed = F.pmod(F.lit(self.seed_).cast("long") + number, F.lit(1 << 32))
-        place = number * w + permuted(F.pmod("_tw_r", F.lit(w)), w, seed)
-        if self.clip_last and tail < w:
-            place = F.when(number == windows - 1, number * w + permuted(F.least(F.pmod("_tw_r", F.lit(w)), F.lit(tail - 1)), tail, seed)).otherwise(place)
+        size = F.when(number == windows - 1, tail).otherwise(w) if self.clip_last and tail < w else w
+        place = number * w + permuted(F.pmod("_tw_r", F.lit(w)), size, seed)
         out = df.withColumn("_tw_p", place).where(F.col("_tw_p") < n).withColumn(IDX, F.col("_tw_e") * n + F.col("_tw_p"))
         return _cut(out.drop("_tw_back", "_tw_e", "_tw_r", "_tw_p"), lo, hi, (first * n, (last + 1) * n))
 
@@ -846,6 +844,17 @@ class IterPipeline(_Node):
         inputs = [p._alone() for p in inputs]
         return _Frame(lambda: _interleaved(inputs, cycle_length), tuple(inputs), note=("interleave", cycle_length))
 
+    @staticmethod
+    def interleave_parts(df: DataFrame, part: str, parts: int, cycle_length: int) -> IterPipeline:
+        """As interleave, of the parts of one frame, which is read once for all of them: the column `part` has their numbers, in [0, parts), and _idx is dense in each."""
+        if cycle_length < 1 or parts < 1:
+            raise ValueError("cycle_length and parts must be positive")
+        ship(df.sparkSession)
+        tagged = checked(df).withColumnRenamed(part, "_tw_d")
+        sizes = functools.cache(lambda: _sizes(tagged, parts))
+        node = _Frame(lambda: _in_turn(tagged, sizes(), cycle_length), (), spark=df.sparkSession, note=("interleave_parts", df, part, parts, cycle_length))
+        return node._knowing(lambda: [sum(sizes())])
+
     @staticmethod
     def zip(inputs: Sequence[IterPipeline], strict: bool = True) -> IterPipeline:
         if not inputs:
@@ -987,12 +996,8 @@ class IterPipeline(_Node):
             inside = F.pmod(F.col(IDX), F.lit(window))
 
             # A window is emptied from its end: the p-th row out is perm(m - 1 - p)... so a row goes to m - 1 - inverse.
-            def place(m: int, where: Column) -> Column:
-                return number * window + (m - 1) - permuted(where, m, s)
-
-            at = place(window, inside)
-            if tail:
-                at = F.when(number == n // window, place(tail, F.least(inside, F.lit(tail - 1)))).otherwise(at)
+            size = F.when(number == n // window, tail).otherwise(window) if tail else F.lit(window)
+            at = number * window + (size - 1) - permuted(inside, size, s)
             return self.frame().withColumn(IDX, at)
 
         node._make = make
@@ -1268,18 +1273,24 @@ class _ToIter(IterPipeline):
 
 def _interleaved(inputs: Sequence[IterPipeline], cycle: int) -> DataFrame:
     tagged = reduce(DataFrame.unionByName, [p.frame().withColumn("_tw_d", F.lit(i).cast("long")) for i, p in enumerate(inputs)])
-    if all("_count" in p.__dict__ for p in inputs):
-        counts = [p.count() for p in inputs]
-    else:
-        found = dict(tagged.groupBy("_tw_d").agg(F.count(F.lit(1))).collect())  # one row for each input
-        counts = [found.get(i, 0) for i in range(len(inputs))]
-    if min(cycle, len(inputs)) == len(inputs):
+    counts = [p.count() for p in inputs] if all("_count" in p.__dict__ for p in inputs) else _sizes(tagged, len(inputs))
+    return _in_turn(tagged, counts, cycle)
+
+
+def _sizes(tagged: DataFrame, inputs: int) -> list[int]:
+    found = dict(tagged.groupBy("_tw_d").agg(F.count(F.lit(1))).collect())  # one row for each input
+    return [found.get(i, 0) for i in range(inputs)]
+
+
+def _in_turn(tagged: DataFrame, counts: Sequence[int], cycle: int) -> DataFrame:
+    """Rows of inputs that _tw_d numbers, at their places in the round robin."""
+    if cycle >= len(counts):
         # All inputs are open from the start: row j of input i comes after every row of earlier turns, and
         # after those of earlier slots in turn j. Turns are numbered by row; sums of what is left give places.
         before = F.aggregate(F.transform(F.lit(counts), lambda c, d: F.least(c.cast("long"), F.col(IDX) + F.when(F.col("_tw_d") > d, 1).otherwise(0))), F.lit(0).cast("long"), lambda a, x: a + x)
         return tagged.withColumn(IDX, before).drop("_tw_d")
     runs = schedules.interleave_runs(counts, cycle)
-    table = inputs[0].spark.createDataFrame(pd.DataFrame(runs, columns=["_tw_d", "_tw_lo", "_tw_n", "_tw_at", "_tw_by"]), "_tw_d long, _tw_lo long, _tw_n long, _tw_at long, _tw_by long")
+    table = tagged.sparkSession.createDataFrame(pd.DataFrame(runs, columns=["_tw_d", "_tw_lo", "_tw_n", "_tw_at", "_tw_by"]), "_tw_d long, _tw_lo long, _tw_n long, _tw_at long, _tw_by long")
     table = F.broadcast(table) if len(runs) <= 1_000_000 else table
     off = F.col(IDX) - F.col("_tw_lo")
     inside = (tagged["_tw_d"] == table["_tw_d"]) & (off >= 0) & (off < F.col("_tw_n"))
